@@ -3,14 +3,24 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import quality, simhash, toxicity
 from .common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.held_out_queries(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", 3, 1, toxicity.detect)
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("offending").alias("n_offending"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op4_simhash": op4_simhash}
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.held_out_queries(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", 4, 2, quality.classify)
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op4_simhash": op4_simhash, "op7_quality": op7_quality}
 ORACLES: dict[str, str] = {}
