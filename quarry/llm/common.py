@@ -23,3 +23,15 @@ def saved(df: DataFrame) -> DataFrame:
 def crc_part(doc_id: Column | str, parts: int) -> Column:
     """crc32 of the id as text, modulo parts."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id.cast("string").cast("binary")) % parts
+
+
+def sampled_labels(labels: DataFrame, train: Column, rows: int) -> DataFrame:
+    """(doc_id, y) of at most rows documents with a label in {0, 1} where train holds, picked by a hash of doc_id: small enough to broadcast."""
+    clean = labels.where("doc_id is not null and label in (0, 1)").where(train).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("label").cast("int").alias("y"))
+    return F.broadcast(clean.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
+
+
+def gathered(encoded: DataFrame):
+    """(doc_id, f, y) of the sample on the driver, in order of doc_id, a document once however often its row is repeated."""
+    got = encoded.groupBy("doc_id").agg(F.min(F.struct("f", "y")).alias("s")).select("doc_id", "s.f", "s.y").toArrow()
+    return got.sort_by("doc_id")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textfeatures
+from .common import gathered, sampled_labels
 
 HASH_BITS = 18
 MAX_FIT_ROWS = 6_000
@@ -76,9 +77,9 @@ class Model:
         return -np.expm1(clean), (doc, start, end, p)
 
 
-def fit(labelled: DataFrame, bits: int = HASH_BITS, max_fit_rows: int = MAX_FIT_ROWS) -> Model | None:
-    """labelled: (doc_id, text, y). Learnt from at most max_fit_rows rows, picked by a hash of doc_id. None without rows of both classes."""
-    sample = labelled.join(F.broadcast(labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit_rows)), "doc_id", "left_semi")
+def fit(docs: DataFrame, labels: DataFrame, bits: int = HASH_BITS) -> Model | None:
+    """A model of the texts of docs (doc_id, text) that labels (doc_id, y), of bounded size, names. None without rows of both classes."""
+    sample = docs.select(F.col("doc_id").cast("long"), "text").join(labels, "doc_id")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,7 +95,7 @@ def fit(labelled: DataFrame, bits: int = HASH_BITS, max_fit_rows: int = MAX_FIT_
                     packed.append(np.unique(np.unique(rows[lo:hi], return_inverse=True)[1].astype(np.int64) << bits | features[lo:hi]).astype("<i8").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), batch.column(2)], names=["doc_id", "f", "y"])
 
-    got = sample.select("doc_id", "text", F.col("y").cast("int").alias("y")).mapInArrow(encode, "doc_id long, f binary, y int").orderBy("doc_id", "f", "y").toArrow()
+    got = gathered(sample.select("doc_id", "text", "y").mapInArrow(encode, "doc_id long, f binary, y int"))
     y = np.array(got.column("y").to_pylist(), dtype=np.float64)
     if len(set(y.tolist())) < 2:
         return None
@@ -164,6 +165,4 @@ def detect(docs: DataFrame, labels: DataFrame, train: Column, max_fit_rows: int
 
     A row for each input row; rows with null doc_id are scored but never learnt from; null labels are left out; a document with
     several labels counts as toxic if any label says so."""
-    labels = labels.where("doc_id is not null and label in (0, 1)").where(train).groupBy("doc_id").agg(F.max("label").alias("y"))
-    labelled = docs.select(F.col("doc_id").cast("long"), "text").join(labels.select(F.col("doc_id").cast("long"), "y"), "doc_id")
-    return score(docs, fit(labelled, max_fit_rows=max_fit_rows))
+    return score(docs, fit(docs, sampled_labels(labels, train, max_fit_rows)))
