@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, simhash, toxicity
+from . import bpe, licenses, mixing, quality, simhash, toxicity, urlfilter
 from .common import table
 
 
@@ -22,5 +22,36 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op4_simhash": op4_simhash, "op7_quality": op7_quality}
-ORACLES: dict[str, str] = {}
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs.withColumn("domain", mixing.domain_of(F.col("source"))))
+
+
+def op6_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urlfilter.judge(pages, urlfilter.listed_from(pages))
+
+
+VOCABULARY = "word_bpe_49k.json"
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
+QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_licenses": op2_licenses,
+    "op3_mixing": op3_mixing,
+    "op4_simhash": op4_simhash,
+    "op6_urlfilter": op6_urlfilter,
+    "op7_quality": op7_quality,
+    "op8_bpe": op8_bpe,
+}
+ORACLES = {"op2_licenses": licenses.ORACLE_SQL, "op3_mixing": mixing.ORACLE_SQL, "op6_urlfilter": urlfilter.ORACLE_SQL}
