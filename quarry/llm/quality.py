@@ -1,9 +1,9 @@
 """Quality classifier: naive Bayes support vectors.
 
-1. Counts (all labelled training rows, in Spark): for each hashed n-gram, in how many texts of either class it stands.
-2. Ratios: r = log((p / |p|) / (q / |q|)), with p and q the smoothed counts of the two classes.
-3. Fit (a sample of at most max_fit_rows labelled rows): a linear hinge-loss model over r * indicator, by dual coordinate descent;
-   its margins on held-back fit rows give the logistic curve that turns a margin into a score.
+1. Sample: at most max_fit_rows labelled rows; their n-grams are taken in Spark, where the texts are.
+2. Ratios: r = log((p / |p|) / (q / |q|)), with p and q the smoothed counts of texts of the two classes that have an n-gram.
+3. Fit: a linear hinge-loss model over r * indicator, by dual coordinate descent; its margins on held-back rows of the sample give
+   the logistic curve that turns a margin into a score.
 4. Scores: every text, in Spark; weights are a vector of 2^bits doubles, whatever the size of the corpus.
 
 N-grams are words, pairs of words, and runs of one to three token shapes (lower, Title, UPPER, digits, the symbols themselves)."""
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textfeatures
-from .common import crc_part
+from .common import crc_part, gathered, sampled_labels
 
 HASH_BITS = 18
 MAX_FIT_ROWS = 12_000
@@ -64,27 +64,6 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30)))
 
 
-def class_counts(labelled: DataFrame, bits: int = HASH_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Texts of class 1 and of class 0 for each feature, over all rows of labelled (text, y)."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, 1 << bits), dtype=np.int64)
-        for batch in batches:
-            texts, y = textfeatures.as_bytes(batch.column(0)), np.array(batch.column(1).to_pylist(), dtype=np.int64)
-            for a, b in textfeatures.chunks(texts):
-                doc, feature = features(texts[a:b], bits)
-                for k in (0, 1):
-                    sums[k] += np.bincount(feature[y[a:b][doc] == k], minlength=1 << bits)
-        got = np.flatnonzero(sums.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(got), pa.array(sums[1][got]), pa.array(sums[0][got])], names=["feature", "pos", "neg"])
-
-    got = labelled.select("text", "y").mapInArrow(count, "feature long, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toArrow()
-    out = np.zeros((2, 1 << bits))
-    at = got.column("feature").to_numpy()
-    out[0, at], out[1, at] = got.column("pos").to_numpy(), got.column("neg").to_numpy()
-    return out[0], out[1]
-
-
 def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost: float, epochs: int, seed: int = 7) -> tuple[np.ndarray, float]:
     """L2-regularised hinge loss, C = cost, over scale * indicator rows; the last coordinate is a constant 1 for the bias."""
     w, bias = np.zeros(len(scale)), 0.0
@@ -126,10 +105,9 @@ def logistic(margin: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float
     return float(a), float(b)
 
 
-def fit(labelled: DataFrame, bits: int = HASH_BITS, max_fit_rows: int = MAX_FIT_ROWS) -> Model | None:
-    """labelled: (doc_id, text, y in {0, 1}). None without rows of both classes."""
-    pos, neg = class_counts(labelled, bits)
-    sample = labelled.join(F.broadcast(labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit_rows)), "doc_id", "left_semi")
+def fit(docs: DataFrame, labels: DataFrame, bits: int = HASH_BITS) -> Model | None:
+    """A model of the texts of docs (doc_id, text) that labels (doc_id, y), of bounded size, names. None without rows of both classes."""
+    sample = docs.select(F.col("doc_id").cast("long"), "text").join(labels, "doc_id")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,12 +118,13 @@ def fit(labelled: DataFrame, bits: int = HASH_BITS, max_fit_rows: int = MAX_FIT_
                 packed += [x.astype("<i4").tobytes() for x in np.split(feature, np.searchsorted(doc, np.arange(1, b - a)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), batch.column(2)], names=["doc_id", "f", "y"])
 
-    got = sample.select("doc_id", "text", F.col("y").cast("int").alias("y")).mapInArrow(encode, "doc_id long, f binary, y int").orderBy("doc_id", "f", "y").toArrow()
+    got = gathered(sample.select("doc_id", "text", "y").mapInArrow(encode, "doc_id long, f binary, y int"))
     y = np.array(got.column("y").to_pylist(), dtype=np.int64)
     if len(set(y.tolist())) < 2:
         return None
     rows = [np.frombuffer(x, dtype="<i4") for x in got.column("f").to_pylist()]
-    p, q = SMOOTHING + pos, SMOOTHING + neg
+    counts = [np.bincount(np.concatenate([r for r, k in zip(rows, y) if k == c]), minlength=1 << bits) for c in (1, 0)]
+    p, q = SMOOTHING + counts[0], SMOOTHING + counts[1]
     ratio = np.log((p / p.sum()) / (q / q.sum()))
     sign = 2.0 * y - 1
     back = np.arange(len(rows)) % 5 == 0
@@ -179,9 +158,7 @@ def classify(docs: DataFrame, labels: DataFrame, train: Column, max_fit_rows: in
 
     A row for each input row; rows with null doc_id are scored but never learnt from; null labels are left out; a document with
     several labels counts as 1 if any label is 1. Other columns, whatever their names, play no part."""
-    labels = labels.where("doc_id is not null and label in (0, 1)").where(train).groupBy("doc_id").agg(F.max("label").alias("y"))
-    labelled = docs.select(F.col("doc_id").cast("long"), "text").join(labels.select(F.col("doc_id").cast("long"), "y"), "doc_id")
-    return score(docs, fit(labelled, max_fit_rows=max_fit_rows))
+    return score(docs, fit(docs, sampled_labels(labels, train, max_fit_rows)))
 
 
 def held_out_queries(docs: DataFrame, labels: DataFrame, label: str, parts: int, held: int, how) -> DataFrame:
