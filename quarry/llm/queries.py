@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, mixing, quality, simhash, toxicity, urlfilter
+from . import ann, bpe, licenses, mixing, quality, simhash, suffix, toxicity, urlfilter
 from .common import table
 
 
@@ -45,6 +45,14 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup(table(spark, sf_dir, "documents"))
+
+
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_licenses": op2_licenses,
@@ -53,5 +61,7 @@ QUERIES = {
     "op6_urlfilter": op6_urlfilter,
     "op7_quality": op7_quality,
     "op8_bpe": op8_bpe,
+    "op9_suffix": op9_suffix,
+    "op10_ann": op10_ann,
 }
 ORACLES = {"op2_licenses": licenses.ORACLE_SQL, "op3_mixing": mixing.ORACLE_SQL, "op6_urlfilter": urlfilter.ORACLE_SQL}
