@@ -191,8 +191,8 @@ def _shared(docs: DataFrame, path: str):
     return docs.sparkSession.sparkContext.broadcast(Encoder(path))  # its size is that of the vocabulary file
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids array<long>, decoded string), a row for each input row: the ids of the whole text and the text they decode to."""
+def encode(docs: DataFrame, path: str, with_decoded: bool = True) -> DataFrame:
+    """(doc_id, ids array<int>, decoded string), a row for each input row: the ids of the whole text and, if asked for, the text they decode to."""
     shared = _shared(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,13 +200,13 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             at = 0
             for texts in _groups(batch.column(1)):
                 ids = shared.value.encode_batch(texts)
-                decoded = [shared.value.decode(x) for x in ids]
+                decoded = [shared.value.decode(x) if with_decoded else None for x in ids]
                 offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids])))
-                values = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int64)))
+                values = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), values, pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
                 at += len(texts)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<long>, decoded string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

@@ -12,11 +12,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own only where the session names none, as in tests."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="/tmp/spark-"))
+    return context.getCheckpointDir()
+
+
 def saved(df: DataFrame) -> DataFrame:
     """df, written to the folder that driver and executors share (spark.checkpoint.dir), with its lineage cut."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:  # only where the session names none, as in tests
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="/tmp/spark-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -49,21 +49,23 @@ def _unzip(data: bytes) -> bytes:
 # -- 1: batches
 
 
-def batches_of(docs: DataFrame, size: int = BATCH_BYTES) -> DataFrame:
-    """(batch, ids, lengths, data): documents in order of doc_id within a batch; a null doc_id comes last and is later than any other."""
+def batches_of(docs: DataFrame, size: int = BATCH_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(batch, ids, lengths, data, carried): documents in order of doc_id within a batch; a null doc_id comes last and is later than any other.
 
-    def pack(rows: list[tuple[int, bytes]], name: str) -> pa.RecordBatch:
+    carried holds, for each document, the columns named by carry as strings."""
+
+    def pack(rows: list[tuple[int, bytes, list]], name: str) -> pa.RecordBatch:
         rows.sort(key=lambda r: r[0])
-        ids, lengths = [[r[0] for r in rows]], [[len(r[1]) for r in rows]]
-        columns = [pa.array([name]), pa.array(ids, pa.list_(pa.int64())), pa.array(lengths, pa.list_(pa.int32())), pa.array([_zip(b"".join(r[1] for r in rows))], pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, names=["batch", "ids", "lengths", "data"])
+        ids, lengths, carried = [[r[0] for r in rows]], [[len(r[1]) for r in rows]], [[r[2] for r in rows]]
+        columns = [pa.array([name]), pa.array(ids, pa.list_(pa.int64())), pa.array(lengths, pa.list_(pa.int32())), pa.array([_zip(b"".join(r[1] for r in rows))], pa.binary()), pa.array(carried, pa.list_(pa.list_(pa.string())))]
+        return pa.RecordBatch.from_arrays(columns, names=["batch", "ids", "lengths", "data", "carried"])
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, rows, held = TaskContext.get().partitionId(), 0, [], 0
         for batch in arrow:
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
+            for doc_id, text, *more in zip(*batch.columns):
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                rows.append((NO_ID if doc_id.as_py() is None else doc_id.as_py(), data))
+                rows.append((NO_ID if doc_id.as_py() is None else doc_id.as_py(), data, [x.as_py() for x in more]))
                 held += len(data) + 64
                 if held >= size:
                     yield pack(rows, f"{part}-{number}")
@@ -71,7 +73,8 @@ def batches_of(docs: DataFrame, size: int = BATCH_BYTES) -> DataFrame:
         if rows:
             yield pack(rows, f"{part}-{number}")
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "batch string, ids array<long>, lengths array<int>, data binary")
+    given = docs.select(F.col("doc_id").cast("long"), "text", *[F.col(c).cast("string").alias(f"carried_{i}") for i, c in enumerate(carry)])
+    return given.mapInArrow(run, "batch string, ids array<long>, lengths array<int>, data binary, carried array<array<string>>")
 
 
 class Batch:
@@ -342,8 +345,8 @@ def spans_of(sent: DataFrame, span: int) -> DataFrame:
 
 
 def removed(batches: DataFrame, spans: DataFrame, with_text: bool) -> DataFrame:
-    """A row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (binary)."""
-    kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
+    """A row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (binary) and carried."""
+    kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary, carried array<string>" if with_text else "")
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in arrow:
@@ -369,16 +372,17 @@ def removed(batches: DataFrame, spans: DataFrame, with_text: bool) -> DataFrame:
                     pa.array(before[ends] - before[batch.starts]),
                     pa.array(begun[ends] - begun[batch.starts]),
                     pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
-                ] + ([pa.array(kept, pa.binary())] if with_text else [])
+                ] + ([pa.array(kept, pa.binary()), pa.array(row["carried"], pa.list_(pa.string()))] if with_text else [])
                 yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in kinds.split(", ")])
 
-    return batches.join(spans, "batch", "left").select("batch", "ids", "lengths", "data", "spans").mapInArrow(run, kinds)
+    given = ["batch", "ids", "lengths", "data", "spans"] + ["carried"] * with_text
+    return batches.join(spans, "batch", "left").select(*given).mapInArrow(run, kinds)
 
 
-def dedup(docs: DataFrame, span: int = SPAN, piece: int = PIECE, common: int = COMMON, with_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, span: int = SPAN, piece: int = PIECE, common: int = COMMON, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """docs: doc_id, text, any more. A row for each input row; see removed(). A null text is empty. Rows with one doc_id are one document for
     each other: neither removes from the other. A row with null doc_id loses what any other document holds, and takes from none."""
-    batches = saved(batches_of(docs))
+    batches = saved(batches_of(docs, carry=carry))
     size = batches.select(F.coalesce(F.sum(F.expr("aggregate(lengths, 0L, (s, x) -> s + x)")), F.lit(0))).first()[0]
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
     codes = repeated(batches, buckets, span, piece, common)

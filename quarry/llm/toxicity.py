@@ -137,27 +137,29 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = HASH_BITS) -> Model | No
     return Model(weights, float(bias), bits)
 
 
-SCHEMA = "doc_id long, score double, offending array<struct<start:int,end:int,score:double>>"
+OFFENDING = "array<struct<start:int,end:int,score:double>>"
 
 
-def score(docs: DataFrame, model: Model | None, located_from: float = SENTENCE_THRESHOLD) -> DataFrame:
-    """docs (doc_id, text) with score, predicted and offending: byte spans of the sentences of at least located_from, in order of place.
+def score(docs: DataFrame, model: Model | None, located_from: float = SENTENCE_THRESHOLD, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns of docs (text and others) with score, predicted and offending: byte spans of the sentences of at least located_from, in order of place.
 
     Null is scored as empty; a text without words scores zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
         for batch in batches:
-            texts = textfeatures.as_bytes(batch.column(1))
+            texts = textfeatures.as_bytes(batch.column(0))
             got, spans = np.full(len(texts), NEUTRAL), [[] for _ in texts]
             if model is not None:
                 for a, b in textfeatures.chunks(texts):
                     got[a:b], (doc, start, end, p) = model.scores(texts[a:b])
                     for i in np.flatnonzero(p >= located_from):
                         spans[a + doc[i]].append({"start": int(start[i]), "end": int(end[i]), "score": float(p[i])})
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got), pa.array(spans, kind)], names=["doc_id", "score", "offending"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(got), pa.array(spans, kind)], names=[*columns, "score", "offending"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    given = docs.select(F.col("text").alias("whole_text"), *columns)
+    schema = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns], "score double", f"offending {OFFENDING}"])
+    return given.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def detect(docs: DataFrame, labels: DataFrame, train: Column, max_fit_rows: int = MAX_FIT_ROWS) -> DataFrame:

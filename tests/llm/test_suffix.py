@@ -67,7 +67,7 @@ def corpus():
 def test_dedup_equals_brute_force(spark, monkeypatch, common, batch):
     rows = corpus()
     df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, spans int").repartition(3)
-    monkeypatch.setattr(suffix.batches_of, "__defaults__", (batch,))
+    monkeypatch.setattr(suffix.batches_of, "__defaults__", (batch, ()))
     got = suffix.dedup(df, common=common)
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows)
 
