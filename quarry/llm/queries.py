@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, licenses, mixing, quality, simhash, suffix, toxicity, urlfilter
+from . import ann, bpe, licenses, media, mixing, quality, simhash, suffix, toxicity, urlfilter
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs.withColumn("domain", mixing.domain_of(F.col("source"))))
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(table(spark, sf_dir, "documents"))
+
+
 def op6_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return urlfilter.judge(pages, urlfilter.listed_from(pages))
@@ -58,6 +62,7 @@ QUERIES = {
     "op2_licenses": op2_licenses,
     "op3_mixing": op3_mixing,
     "op4_simhash": op4_simhash,
+    "op5_media": op5_media,
     "op6_urlfilter": op6_urlfilter,
     "op7_quality": op7_quality,
     "op8_bpe": op8_bpe,
