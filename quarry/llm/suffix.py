@@ -38,8 +38,8 @@ SHARD_BYTES = 1 << 18
 NO_ID = 2**63 - 1
 
 
-def _zip(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+def _zip(data: bytes, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(data)
 
 
 def _unzip(data: bytes) -> bytes:
@@ -57,7 +57,7 @@ def batches_of(docs: DataFrame, size: int = BATCH_BYTES, carry: tuple[str, ...]
     def pack(rows: list[tuple[int, bytes, list]], name: str) -> pa.RecordBatch:
         rows.sort(key=lambda r: r[0])
         ids, lengths, carried = [[r[0] for r in rows]], [[len(r[1]) for r in rows]], [[r[2] for r in rows]]
-        columns = [pa.array([name]), pa.array(ids, pa.list_(pa.int64())), pa.array(lengths, pa.list_(pa.int32())), pa.array([_zip(b"".join(r[1] for r in rows))], pa.binary()), pa.array(carried, pa.list_(pa.list_(pa.string())))]
+        columns = [pa.array([name]), pa.array(ids, pa.list_(pa.int64())), pa.array(lengths, pa.list_(pa.int32())), pa.array([_zip(b"".join(r[1] for r in rows), 6)], pa.binary()), pa.array(carried, pa.list_(pa.list_(pa.string())))]
         return pa.RecordBatch.from_arrays(columns, names=["batch", "ids", "lengths", "data", "carried"])
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +239,7 @@ def stretches(batches: DataFrame, codes: DataFrame, buckets: int, span: int, pie
                     docs, local = np.unique(doc[part], return_inverse=True)
                     fields = [np.array([len(names), len(part), len(docs)], "<i8"), np.array([len(t) for t in names], "<u2"), batch.ids[docs].astype("<i8"), docs.astype("<u4")]
                     fields += [np.array(own, "<u4"), local.astype("<u4"), (at[part] - batch.starts[doc[part]]).astype("<u4")]
-                    got.append((b, _zip(b"".join([f.tobytes() for f in fields] + list(names)))))
+                    got.append((b, _zip(b"".join([f.tobytes() for f in fields] + list(names)), 3)))
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([batch.name] * len(got)), pa.array([g[1] for g in got], pa.binary())], names=["bucket", "batch", "data"])
 
@@ -354,10 +354,9 @@ def removed(batches: DataFrame, spans: DataFrame, with_text: bool) -> DataFrame:
                 row = rows.slice(i, 1).to_pylist()[0]
                 batch = Batch(row)
                 change = np.zeros(len(batch.data) + 1, np.int32)
-                for part in row["spans"] or []:
-                    doc, a, b = np.frombuffer(_unzip(part), "<u4").reshape(3, -1).astype(np.int64)
-                    change += np.bincount(batch.starts[doc] + a, minlength=len(change)).astype(np.int32)
-                    change -= np.bincount(batch.starts[doc] + b, minlength=len(change)).astype(np.int32)
+                if row["spans"]:
+                    doc, a, b = np.concatenate([np.frombuffer(_unzip(part), "<u4").reshape(3, -1) for part in row["spans"]], axis=1).astype(np.int64)
+                    change = (np.bincount(batch.starts[doc] + a, minlength=len(change)) - np.bincount(batch.starts[doc] + b, minlength=len(change))).astype(np.int32)
                 gone = np.cumsum(change)[:-1] > 0
                 before = np.concatenate(([0], np.cumsum(gone)))
                 begins = gone & ~np.concatenate(([False], gone[:-1]))
