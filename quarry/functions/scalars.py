@@ -12,6 +12,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, where body uses it inside lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def clamp(v, low: float = 0.0, high: float = 100.0) -> Column:
     """v within [low, high]; null stays null."""
     return F.when(col(v).isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), col(v))))
@@ -35,9 +40,8 @@ def line_count(text) -> Column:
 
 def entropy(s) -> Column:
     """Shannon entropy in bits a character; zero for empty."""
-    chars = F.split(col(s), "")
     n = F.length(col(s)).cast("double")
-    counts = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / n)
+    counts = let(F.split(col(s), ""), lambda chars: F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / n))
     return F.when(n > 0, F.aggregate(counts, F.lit(0.0), lambda a, p: a - p * F.log2(p))).otherwise(0.0)
 
 

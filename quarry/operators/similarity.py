@@ -6,17 +6,22 @@ it, so chunks with equal fingerprint sets are first brought down to one, and pai
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import col, feature_hash, token_stream, words
+from ..functions.scalars import col, dense_cosine, feature_hash, let, token_stream, words
 
 
 def winnowed(source, k: int = 12, window: int = 8) -> Column:
     """Distinct minima over windows of hashed k-grams of the token stream; the least hash of a short text."""
-    tokens = token_stream(source)
-    n = F.size(tokens)
-    grams = F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substring(F.md5(F.array_join(F.slice(tokens, i, k), " ").cast("binary")), 1, 16)))
-    many = F.size(grams)
-    minima = F.when(many > window, F.transform(F.sequence(F.lit(1), F.greatest(many - window + 1, F.lit(1))), lambda i: F.array_min(F.slice(grams, i, window)))).otherwise(F.array(F.array_min(grams)))
-    return F.coalesce(F.when(n >= k, F.array_sort(F.array_distinct(minima))), F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+
+    def grams(tokens: Column) -> Column:
+        hashed = lambda i: F.substring(F.md5(F.array_join(F.slice(tokens, i, k), " ").cast("binary")), 1, 16)
+        return F.when(F.size(tokens) >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - k + 1, F.lit(1))), hashed)).otherwise(none)
+
+    def minima(hashes: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.greatest(F.size(hashes) - window + 1, F.lit(1))), lambda i: F.array_min(F.slice(hashes, i, window)))
+        return F.when(F.size(hashes) > window, each).when(F.size(hashes) > 0, F.array(F.array_min(hashes))).otherwise(none)
+
+    return F.coalesce(let(token_stream(source), lambda t: let(grams(t), lambda h: F.array_sort(F.array_distinct(minima(h))))), none)
 
 
 def chunks(files: DataFrame, k: int = 12, window: int = 8) -> DataFrame:
@@ -81,8 +86,6 @@ def top_similar(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame
     """queries, vectors: (id, repo_id, embedding). For each query the k nearest by cosine among vectors of other repositories.
 
     The queries are a stated set, sent to every task in one block; each task keeps k a query before anything is shuffled."""
-    from ..functions.scalars import dense_cosine
-
     q = queries.select(F.col("id").alias("query_id"), F.col("repo_id").alias("query_repo"), F.col("embedding").alias("q"))
     scored = vectors.join(q, F.col("repo_id") != F.col("query_repo")).select("query_id", "id", dense_cosine("q", "embedding").alias("similarity"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))

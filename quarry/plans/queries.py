@@ -145,8 +145,12 @@ register("g16_rework", lambda t: rounded(history.rework(t("commit_files")), "sha
 register("f3_winnowing", lambda t: t("files").select("repo_id", "path", F.array_join(similarity.winnowed("text"), ",").alias("fingerprints")),
     f""", u as (select repo_id, path, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s)/\\*.*?\\*/', ' ', 'g'), '(?s)\"\"\".*?\"\"\"', ' ', 'g'), '(?s)''''''.*?''''''', ' ', 'g'), '//[^\\n]*', ' ', 'g'), '#[^\\n]*', ' ', 'g') as s from files),
 tok as (select repo_id, path, regexp_extract_all(s, '[A-Za-z_][A-Za-z0-9_]*|[^\\sA-Za-z0-9_]') as tk from u),
-g as (select repo_id, path, case when len(tk) >= 12 then list_transform(generate_series(1, len(tk) - 11), lambda i: substr(md5(array_to_string(tk[i:i + 11], ' ')), 1, 16)) else [] end as h from tok)
-select repo_id, path, coalesce(array_to_string(list_sort(list_distinct(case when len(h) > 8 then list_transform(generate_series(1, len(h) - 7), lambda i: list_min(h[i:i + 7])) when len(h) > 0 then [list_min(h)] else [] end)), ','), '') as fingerprints from g""", ("files",))
+one as (select repo_id, path, unnest(tk) as t, unnest(generate_series(1, len(tk))) as i from tok),
+gram as (select repo_id, path, i, substr(md5(string_agg(t, ' ') over w), 1, 16) as h, count(*) over w as n from one window w as (partition by repo_id, path order by i rows between current row and 11 following)),
+least_of as (select repo_id, path, min(h) over w as h, count(*) over w as n, count(*) over (partition by repo_id, path) as grams from gram where n = 12 window w as (partition by repo_id, path order by i rows between current row and 7 following)),
+kept as (select repo_id, path, array_to_string(list_sort(list(distinct h)), ',') as fingerprints from least_of where n = 8 or grams < 8 group by all),
+small as (select repo_id, path, min(h) as h, count(*) as n from gram where n = 12 group by all)
+select f.repo_id, f.path, case when small.n <= 8 then small.h else coalesce(kept.fingerprints, '') end as fingerprints from files f left join kept on f.repo_id = kept.repo_id and f.path = kept.path left join small on f.repo_id = small.repo_id and f.path = small.path""", ("files",))
 register("g39_near_duplicates", lambda t: rounded(similarity.near_duplicates(similarity.chunks(t("files")))[0], "similarity"))
 register("g39_members", lambda t: similarity.near_duplicates(similarity.chunks(t("files")))[1])
 register("g38_hash_embedding", lambda t: rounded(similarity.hash_embedding(t("part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"))), "value"),
