@@ -86,3 +86,50 @@ INSECURE = [
     ("tls_verification_disabled", "insecure_transport", r"verify\s*=\s*False|rejectUnauthorized\s*:\s*false|CURLOPT_SSL_VERIFYPEER\s*,\s*(?:0|false)|NODE_TLS_REJECT_UNAUTHORIZED\s*=\s*['\"]?0", "high", 0.9, None),
 ]
 CODE_CATEGORIES = ["candidate_code", "test_code", "configuration"]
+
+LAYERS = {
+    "api_layer": "api routes routers controllers endpoints handlers views", "service_layer": "services service usecases use_cases domain core business logic managers",
+    "data_layer": "models entities schemas repositories repository dao db database store persistence migrations", "presentation": "components pages app ui views screens templates widgets features",
+    "shared": "utils helpers lib common shared config constants types", "tests": "tests test __tests__ spec e2e", "infrastructure": "infrastructure infra deploy docker k8s terraform ops .github",
+    "workers": "workers worker tasks jobs queue celery consumers",
+}
+FRAMEWORKS = {
+    "fastapi": ["from fastapi", "import fastapi", "FastAPI("], "flask": ["from flask", "Flask(__name__)"], "django": ["from django", "django.db", "INSTALLED_APPS"],
+    "express": ["require('express')", 'from "express"', "express()"], "nestjs": ["@nestjs/common", "@Module("], "next": ["next/router", "next/link", "next/navigation", '"next"'],
+    "react": ["from 'react'", 'from "react"', "React."], "vue": ["from 'vue'", "<template>"], "spring": ["org.springframework", "@SpringBootApplication"],
+    "pytorch": ["import torch", "from torch"], "tensorflow": ["import tensorflow", "from tensorflow"], "langchain": ["from langchain", "import langchain"],
+}
+# README features: (key, weight, pattern).
+DOC_FEATURES = [
+    ("overview", 0.14, r"(?im)^#\s+\S|\b(overview|about|what is|introduction)\b"),
+    ("setup", 0.20, r"(?im)\b(installation|getting started|setup|quick ?start|prerequisites)\b|```(?:bash|sh|shell|console)"),
+    ("usage", 0.16, r"(?im)\b(usage|example|how to use|running|run the)\b"),
+    ("architecture", 0.14, r"(?im)\b(architecture|design|how it works|system design|data flow|components)\b"),
+    ("api", 0.10, r"(?im)\b(api|endpoint|route|openapi|swagger)\b|\b(GET|POST|PUT|DELETE)\s+/"),
+    ("configuration", 0.08, r"(?im)\b(configuration|environment variable|\.env|config)\b"),
+    ("screenshots", 0.05, r"(?im)!\[[^\]]*\]\([^)]+\)|```mermaid"),
+    ("contributing", 0.04, r"(?im)\b(contributing|contribution|pull request)\b"),
+    ("limitations", 0.05, r"(?im)\b(limitation|known issue|caveat|trade-?off|not supported|roadmap|future work)\b"),
+    ("decisions", 0.04, r"(?im)\b(decision|why we|rationale|chose|instead of|adr)\b"),
+]
+PLACEHOLDER_README = r"(?im)(your[- ]project[- ]name|todo: (?:add|write)|lorem ipsum|this project was bootstrapped with|getting started with create[- ]react[- ]app|^\s*#\s*(?:project|app|untitled)\s*$)"
+ARTIFACTS = [
+    ("narration", r"(?im)^\s*(?://|#)\s*(?:here'?s|this (?:function|method|code|class) (?:will|is used to|does)|note that|let'?s|we (?:will|need to|can))\b"),
+    ("step_markers", r"(?im)^\s*(?://|#)\s*(?:step\s*\d+|\d+\.\s+[A-Z])"),
+    ("placeholder_impl", r"(?im)^\s*(?://|#)\s*(?:your (?:code|implementation|logic) here|implement(?:ation)? (?:goes )?here|add your|replace (?:this|with)|rest of the (?:code|implementation)|\.\.\. *(?:existing|rest))"),
+    ("example_usage_block", r"(?im)^\s*(?://|#)\s*example usage\s*:?\s*$"),
+    ("markdown_fence_in_code", r"(?m)^\s*```"),
+    ("apology_or_meta", r"(?im)^\s*(?://|#)\s*(?:as an ai|i cannot|i'?m sorry|certainly[,!]|of course[,!]|feel free to)"),
+]
+HEADER = r"^(\s*)(?:async\s+)?(def|class|function)\s+([A-Za-z_]\w*)"
+DECISIONS = r"\b(if|elif|for|while|except|case|catch|and|or)\b|&&|\|\||\?"
+SHORT_NAMES = ["id", "ok", "db", "io"]
+GENERIC_NAMES = ["data", "data2", "temp", "tmp", "foo", "bar", "baz", "test1", "thing", "stuff", "obj", "val", "var", "res", "ret", "arr", "lst", "dict1"]
+# Skills: (key, dimension, terms, implied keys).
+SKILLS = [
+    ("python", "backend", ["python", "py"], []), ("javascript", "frontend", ["javascript", "js", "ecmascript"], []), ("typescript", "frontend", ["typescript", "ts"], []), ("java", "backend", ["java"], []),
+    ("go", "backend", ["golang"], []), ("rust", "systems", ["rust"], []), ("sql", "backend", ["sql"], []), ("bash", "devops", ["shell scripting", "shell", "bash"], []),
+    ("pytorch", "ai_ml", ["pytorch", "torch"], ["machine_learning", "python"]), ("tensorflow", "ai_ml", ["tensorflow", "tf", "keras"], ["machine_learning", "python"]),
+    ("machine_learning", "ai_ml", ["machine learning", "ml", "deep learning", "neural network"], []), ("llm", "ai_ml", ["large language model", "gpt", "generative ai"], []),
+    ("vector_database", "ai_ml", ["vector database", "pgvector", "vector store"], []), ("rag", "ai_ml", ["retrieval augmented generation", "vector search"], ["llm", "vector_database"]),
+]

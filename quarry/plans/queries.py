@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed, scalars
-from ..operators import classify, dependencies, graph, history, lines, scoring, security, serving, similarity
+from ..operators import classify, dependencies, graph, history, lines, scoring, security, serving, similarity, skills, structure
 from .domain import view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -237,3 +237,74 @@ register("e12_dna_max", lambda t: rounded(_strengths(t).withColumn("dimension",
 register("i5_distinct_first", lambda t: serving.latest(t("commits"), ["repo_id", "author_email"], [F.asc("committed_at"), F.asc("sha")]).select("repo_id", "author_email", "sha"), "select repo_id, author_email, sha from commits qualify row_number() over (partition by repo_id, author_email order by committed_at, sha) = 1", ("commits",))
 register("e16_totals", lambda t: serving.totals({n: t(n) for n in ("files", "commits", "evaluations", "audit")}), "select 'files' as name, count(*) as n from files union all select 'commits', count(*) from commits union all select 'evaluations', count(*) from evaluations union all select 'audit', count(*) from audit", ("files", "commits", "evaluations", "audit"))
 register("e17_durations", lambda t: rounded(t("audit").groupBy("action").agg(F.avg("value").alias("mean_value"), F.max("value").alias("max_value"), F.median("value").alias("median_value"), F.stddev_pop("value").alias("spread")), "mean_value", "median_value", "spread"), "select action, round(avg(value), 6) as mean_value, max(value) as max_value, round(median(value), 6) as median_value, round(stddev_pop(value), 6) as spread from audit group by action", ("audit",))
+
+
+# -- structure
+
+SQL_CODE_LINES = "all_lines as (select repo_id, path, cast(unnest(generate_series(1, len(string_split(text, chr(10))))) as int) as line_no, unnest(string_split(text, chr(10))) as line from code where text is not null)"
+SQL_ENTITIES = f"""{SQL_CODE_LINES},
+ind as (select *, length(regexp_extract(line, '^(\\s*)', 1)) as indent from all_lines where trim(line) <> ''),
+heads as (select repo_id, path, line_no as start_line, indent as own, regexp_extract(line, {quoted(fixed.HEADER)}, 2) as kind, regexp_extract(line, {quoted(fixed.HEADER)}, 3) as symbol from ind where regexp_matches(line, {quoted(fixed.HEADER)})),
+stops as (select h.repo_id, h.path, start_line, min(line_no) as stop from heads h join ind i on h.repo_id = i.repo_id and h.path = i.path and line_no > start_line and indent <= own group by all),
+ends as (select repo_id, path, max(line_no) as last_line from ind group by all),
+found as (select h.repo_id, h.path, symbol, kind, h.start_line, coalesce(stop - 1, last_line)::int as end_line from heads h join ends e on h.repo_id = e.repo_id and h.path = e.path left join stops s on h.repo_id = s.repo_id and h.path = s.path and h.start_line = s.start_line),
+bodies as (select f.*, line_no, line from found f join all_lines a on f.repo_id = a.repo_id and f.path = a.path and line_no between start_line and end_line)"""
+
+
+def _code(t) -> DataFrame:
+    """Files of the view `code`, one for each path of a repository."""
+    return t("code").groupBy("repo_id", "path").agg(F.min("text").alias("text"))
+
+
+def _found(t) -> DataFrame:
+    return structure.entities(lines.lines_of(_code(t)))
+
+
+def register_code(name: str, run, sql: str) -> None:
+    """sql reads the view code, one row for each path."""
+    from .domain import VIEWS
+
+    base, columns = VIEWS["code"]
+    body = ", ".join(f"{e} as {c}" for c, e in columns.items())
+    register(name, run, None)
+    ORACLES[name] = f"with raw as (select {body} from {base}), code as (select repo_id, path, min(text) as text from raw group by all),\n{sql}"
+
+
+register_code("g2_entities", lambda t: _found(t), f"{SQL_ENTITIES} select repo_id, path, symbol, kind, start_line, end_line from found")
+register_code("g3_complexity", lambda t: structure.entity_complexity(_found(t), lines.lines_of(_code(t))).select("repo_id", "path", "symbol", "start_line", "complexity"), f"{SQL_ENTITIES} select repo_id, path, symbol, start_line, 1 + sum(case when regexp_matches(line, {quoted(fixed.COMMENT_LINE)}) then 0 else len(regexp_extract_all(line, {quoted(fixed.DECISIONS)})) end)::bigint as complexity from bodies group by all")
+register_code("g4_nesting", lambda t: structure.entity_nesting(_found(t), lines.lines_of(_code(t))), f"{SQL_ENTITIES} select repo_id, path, symbol, start_line, count(distinct length(regexp_extract(line, '^(\\s*)', 1))) as nesting from bodies where trim(line) <> '' and line_no > start_line group by all")
+register_code("g8_clone_groups", lambda t: structure.clone_groups(_found(t), lines.lines_of(_code(t))), f"{SQL_ENTITIES}, sig as (select repo_id, path, symbol, start_line, md5(regexp_replace(regexp_replace(string_agg(line, chr(10) order by line_no), '[A-Za-z_][A-Za-z0-9_]*', 'V', 'g'), '\\s+|\\d+', '', 'g')) as signature from bodies where kind <> 'class' and end_line - start_line + 1 >= 6 group by all) select repo_id, signature, count(*) as n, min(symbol) as first_symbol from sig group by all having count(*) > 1")
+register_code("g10_naming", lambda t: rounded(structure.naming_quality(_found(t)), "share"), f"{SQL_ENTITIES} select repo_id, round(avg((not ((length(symbol) <= 2 and lower(symbol) not in ({listed(fixed.SHORT_NAMES)})) or lower(symbol) in ({listed(fixed.GENERIC_NAMES)}) or (len(list_filter(string_split(lower(trim(regexp_replace(regexp_replace(symbol, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[_\\-\\s]+', ' ', 'g'))), ' '), lambda x: x <> '')) = 1 and length(symbol) <= 3 and lower(symbol) not in ({listed(fixed.SHORT_NAMES)}))))::int), 6) as share, count(*) as n from found group by repo_id")
+register_code("g11_error_handling", lambda t: rounded(structure.error_handling(_code(t), _found(t)), "ratio"), f"{SQL_ENTITIES}, w as (select repo_id, sum(len(regexp_extract_all(text, '\\b(try|catch|except|rescue|recover|finally)\\b'))) as n from code group by repo_id), k as (select repo_id, count(*) as m from found group by repo_id) select repo_id, round(n / m, 6) as ratio from w join k using (repo_id)")
+SQL_FOLDERS = "fo as (select repo_id, list_transform(string_split(path, '/')[:-2], lambda x: lower(x)) as d from code)"
+register_code("g30_layers", lambda t: structure.layers(_code(t)), f"{SQL_FOLDERS} " + " union all ".join(f"select repo_id, '{n}' as layer, count(*) as n_files from fo where list_has_any(d, [{listed(m.split())}]) group by repo_id" for n, m in fixed.LAYERS.items()))
+register_code("g20_frameworks", lambda t: structure.frameworks(_code(t)), "x as (select repo_id, " + ", ".join("coalesce(bool_or(" + " or ".join(f"contains(text, {quoted(m)})" for m in ms) + f"), false) as {n}" for n, ms in fixed.FRAMEWORKS.items()) + " from code group by repo_id) select repo_id, array_to_string(list_sort(list_filter([" + ", ".join(f"case when {n} then '{n}' end" for n in fixed.FRAMEWORKS) + "], lambda x: x is not null)), ',') as frameworks from x")
+SQL_README = f"rd as (select repo_id, path, text from code where lower(regexp_extract(path, '[^/]*$')) in ({listed(fixed.README_NAMES)}) qualify row_number() over (partition by repo_id order by len(string_split(path, '/')) > 1, list_position([{listed(fixed.README_NAMES)}], lower(regexp_extract(path, '[^/]*$'))), len(string_split(path, '/')), path) = 1)"
+register_code("g22_readme", lambda t: structure.readmes(_code(t)).select("repo_id", "path"), f"{SQL_README} select repo_id, path from rd")
+
+
+def _documentation(t) -> DataFrame:
+    code = _code(t)
+    extra = code.where(F.col("path").startswith("docs/")).groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_docs"), F.lit(0.1).alias("documented"))
+    return rounded(structure.documentation_score(code.select("repo_id").distinct(), structure.readmes(code), extra), "score")
+
+
+register_code("g23_documentation", _documentation, f"{SQL_README}, ex as (select repo_id, count(*) as n from code where starts_with(path, 'docs/') group by repo_id), s as (select repo_id, text, " + " + ".join(f"case when regexp_matches(text, {quoted(p)}) then {w}e0 else 0 end" for _, w, p in fixed.DOC_FEATURES) + f" as f, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) as n, regexp_matches(text, {quoted(fixed.PLACEHOLDER_README)}) as ph from rd) select r.repo_id, round(case when s.text is null then 0 else greatest(0, least(100, 100 * f * case when s.n < 60 then 0.35e0 when s.n < 150 then 0.6e0 when s.n < 400 then 0.85e0 else 1.0e0 end * case when ph then 0.55e0 else 1.0e0 end + least(8, 2 * coalesce(ex.n, 0)) + least(10, 20 * case when ex.n is null then 0 else 0.1e0 end))) end, 6) as score from (select distinct repo_id from code) r left join s using (repo_id) left join ex using (repo_id)")
+register_code("g18_testing", lambda t: rounded(structure.testing_score(classify.classified(_code(t).withColumn("size_bytes", F.length("text").cast("long")))), "score"), f"named as (select *, {SQL_LANGUAGE} as language, {SQL_REASON} as skipped_reason from code), cl as (select *, {SQL_CATEGORY} as category from named), w as (select repo_id, count(*) filter (category = 'test_code') as n_tests, count(*) filter (category = 'candidate_code') as n_code, coalesce(bool_or(category = 'test_code' and regexp_matches(lower(path), 'integration|e2e|end_to_end|end-to-end|functional|api_test')), false) as i, coalesce(bool_or(category = 'test_code' and regexp_matches(lower(path), 'e2e|playwright|cypress|selenium|puppeteer')), false) as e from cl group by repo_id) select repo_id, n_tests, round(0.30e0 * case when n_tests >= 3 then 100 when n_tests > 0 then 40 else 0 end + 0.25e0 * {sql_scale('least(0.6e0, n_tests / greatest(1, n_code))', 0, 0.35)} + 0.20e0 * 100 * (case when n_tests > 0 then 0.45e0 else 0 end + case when i then 0.35e0 else 0 end + case when e then 0.20e0 else 0 end), 6) as score from w")
+register_code("g21_untested", lambda t: structure.untested_modules(classify.classified(_code(t).withColumn("size_bytes", F.length("text").cast("long")))), f"named as (select *, {SQL_LANGUAGE} as language, {SQL_REASON} as skipped_reason from code), cl as (select *, {SQL_CATEGORY} as category, lower(regexp_replace(regexp_extract(path, '[^/]*$'), '\\.[^.]+$', '')) as stem from named) select repo_id, path from cl a where category = 'candidate_code' and stem not in ('index', '__init__', 'main', 'app', 'types', 'constants') and not exists (select 1 from cl b where b.repo_id = a.repo_id and b.category = 'test_code' and contains(lower(b.path), a.stem))")
+register_code("g45_artifacts", lambda t: rounded(structure.assistant_artifacts(_code(t)), "strength"), "h as (select repo_id, " + " + ".join(f"least(2, len(regexp_extract_all(text, {quoted(p)})))" for _, p in fixed.ARTIFACTS) + " as n from code) select repo_id, sum(n)::bigint as n_hits, round(least(1.0, sum(n) / count(*) / 0.8), 6) as strength from h group by repo_id")
+
+# -- skills
+
+SQL_TERMS = "terms(term, skill) as (values " + ", ".join(f"('{t}', '{k}')" for k, _, ts, _ in fixed.SKILLS for t in ts) + ")"
+SQL_SKILLS = f"""{SQL_TERMS}, ws as (select id, list_filter(string_split(lower(regexp_replace(text, '[^A-Za-z0-9+#]+', ' ', 'g')), ' '), lambda x: x <> '') as w from notes),
+runs as (select id, i as pos, n, array_to_string(w[i:i + n - 1], ' ') as term from (select id, w, unnest(generate_series(1, len(w))) as i from ws where len(w) > 0), generate_series(1, {max(len(t.split()) for _, _, ts, _ in fixed.SKILLS for t in ts)}) g(n) where i + n - 1 <= len(w)),
+hits as (select id, pos, n, term, skill from runs join terms using (term)),
+kept as (select * from hits h where not exists (select 1 from hits o where o.id = h.id and o.n > h.n and o.pos < h.pos + h.n and h.pos < o.pos + o.n)),
+skills as (select id, skill, count(*) as n_mentions from kept group by all)"""
+register("g50_skills", lambda t: skills.extract(t("notes")), f", {SQL_SKILLS} select * from skills", ("notes",))
+register("g51_implied_skills", lambda t: skills.with_implied(skills.extract(t("notes"))), f", {SQL_SKILLS}, cl(skill, implied) as (values " + ", ".join(f"('{a}', '{b}')" for a, bs in skills.closure().items() for b in bs) + ") select id, implied as skill, bool_or(skills.skill = implied) as direct from skills join cl using (skill) group by all", ("notes",))
+register("g64_resume_consistency", lambda t: rounded(skills.resume_consistency(_requirements(t).select(F.concat(F.lit("repo"), F.col("job_id").cast("string")).alias("candidate_id"), "skill", F.least(F.lit(1.0), F.col("importance") / 60).alias("expected")), _strengths(t).withColumnRenamed("repo_id", "candidate_id")), "strength"),
+    f", {SQL_STRENGTH}, cm as (select 'repo' || (p_partkey % 25) as candidate_id, 'skill' || (p_partkey % 60) as skill, least(1.0, sum(p_size) / 60) as expected from part group by all), j as (select candidate_id, cm.skill, expected, coalesce(strength, 0) as strength from cm left join st on st.repo_id = candidate_id and st.skill = cm.skill), u as (select repo_id as candidate_id, skill, strength from st where strength >= 0.5 and not exists (select 1 from cm where cm.candidate_id = st.repo_id and cm.skill = st.skill) qualify row_number() over (partition by repo_id order by strength desc, skill) <= 10) select candidate_id, skill, round(strength, 6) as strength, case when strength >= expected then 'supported' when strength >= expected / 2 then 'partial' else 'verify' end as state from j union all select candidate_id, skill, round(strength, 6), 'unclaimed' from u", ("strengths",))
+register("k2_sliding_activity", lambda t: t("audit").groupBy(F.window("created_at", "24 hours", "12 hours").alias("w"), "action").agg(F.count(F.lit(1)).alias("n")).select(F.unix_micros("w.start").alias("start_us"), "action", "n"), ", s as (select action, (epoch_us(created_at) // 43200000000 - k) * 43200000000 as start_us from audit, generate_series(0, 1) g(k)) select start_us, action, count(*) as n from s group by all", ("audit",))
+register("g27_import_edges", lambda t: graph.import_edges(t("edges").select("repo_id", F.concat(F.lit("src/"), F.col("src"), F.lit(".py")).alias("path"), F.concat(F.lit("src."), F.col("dst")).alias("target")).distinct(), t("edges").select("repo_id", F.concat(F.lit("src/"), F.col("dst"), F.lit(".py")).alias("path")).distinct()), "select distinct repo_id, 'src/' || src || '.py' as src, 'src/' || dst || '.py' as dst from edges where src <> dst", ("edges",))
