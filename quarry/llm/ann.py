@@ -29,8 +29,9 @@ FIT_ROWS = 20_000
 CALIBRATION_QUERIES = 64
 TARGET = 0.96
 SALTS = 64
-SCORED = "array<struct<score:double,entry:long>>"
-_SCORED = pa.list_(pa.struct([("score", pa.float64()), ("entry", pa.int64())]))
+# Results order by themselves: the score with its sign turned, then the entry.
+SCORED = "array<struct<down:double,entry:long>>"
+_SCORED = pa.list_(pa.struct([("down", pa.float64()), ("entry", pa.int64())]))
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -114,15 +115,15 @@ def _best(queries: np.ndarray, base: np.ndarray, ids: np.ndarray, k: int) -> lis
     out = []
     for i in range(len(queries)):
         stop = min(first[i] + k, first[i + 1] if i + 1 < len(queries) else len(q))
-        out.append([{"score": s, "entry": e} for s, e in zip(score[first[i] : stop].tolist(), ids[b[first[i] : stop]].tolist())])
+        out.append([{"down": -s, "entry": e} for s, e in zip(score[first[i] : stop].tolist(), ids[b[first[i] : stop]].tolist())])
     return out
 
 
-def _merged(found: DataFrame, k: int) -> DataFrame:
-    """(query, best): the k best of all partial results, each entry once."""
-    every = F.array_distinct(F.flatten(F.collect_list("best")))
-    by = F.array_sort(F.transform(every, lambda x: F.struct((-x.score).alias("down"), x.entry.alias("entry"))))
-    return found.groupBy("query").agg(F.slice(by, 1, k).alias("best"))
+def _merged(found: DataFrame, k: int, times: int) -> DataFrame:
+    """(query, best): the k best of all partial results, each entry once. An entry comes at most `times` times, so the k best are among the
+    first k * times."""
+    by = F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, k * times)
+    return found.groupBy("query").agg(F.slice(F.array_distinct(by) if times > 1 else by, 1, k).alias("best"))
 
 
 def fit_index(known: DataFrame, count: int, curves: int = CURVES, dimensions: int = DIMENSIONS, block_rows: int = BLOCK_ROWS, seed: int = 3) -> Index:
@@ -169,7 +170,7 @@ def measured_reach(base: DataFrame, queries: DataFrame, k: int, target: float =
                 got = _best(matrix, _matrix(batch.column(1)), batch.column(0).to_numpy(), k)
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(got, _SCORED)], names=["query", "best"])
 
-    true = _merged(base.select("entry", "embedding").mapInArrow(run, f"query long, best {SCORED}"), k)
+    true = _merged(base.select("entry", "embedding").mapInArrow(run, f"query long, best {SCORED}"), k, 1)
     pairs = true.select("query", F.explode("best").alias("b")).select("query", F.col("b.entry").alias("entry")).where("query <> entry")
     own = queries.select(F.col("entry").alias("query"), F.col("blocks").alias("mine")).join(F.broadcast(pairs), "query")
     gaps = own.join(base.select("entry", "blocks"), "entry").select(F.array_min(F.zip_with("mine", "blocks", lambda a, b: F.abs(a - b))).alias("gap"))
@@ -215,7 +216,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, target: float = T
         return pa.Table.from_arrays([right.column("entry").combine_chunks(), pa.array(got, _SCORED)], schema=schema)
 
     found = dealt.groupBy("curve", "block").cogroup(visits.groupBy("curve", "block")).applyInArrow(search, f"query long, best {SCORED}")
-    best = saved(_merged(found, top))
+    best = saved(_merged(found, top, len(index.rotations)))
     # Each entry stands for all vectors equal to it.
     opened = best.select("query", F.explode("best").alias("b")).select("query", F.col("b.down").alias("down"), F.col("b.entry").alias("entry")).join(known.select("entry", "ids"), "entry")
     opened = opened.select("query", F.explode(F.transform("ids", lambda x: F.struct(F.col("down").alias("down"), x.alias("vec_id")))).alias("hit"))
