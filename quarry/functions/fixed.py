@@ -133,3 +133,21 @@ SKILLS = [
     ("machine_learning", "ai_ml", ["machine learning", "ml", "deep learning", "neural network"], []), ("llm", "ai_ml", ["large language model", "gpt", "generative ai"], []),
     ("vector_database", "ai_ml", ["vector database", "pgvector", "vector store"], []), ("rag", "ai_ml", ["retrieval augmented generation", "vector search"], ["llm", "vector_database"]),
 ]
+
+OWNERSHIP_WEIGHTS = {"incremental_development": 0.20, "iteration_evidence": 0.18, "test_evolution": 0.14, "project_specific_docs": 0.12, "commit_quality": 0.12, "style_consistency": 0.08, "attribution": 0.10, "candidate_explanation": 0.06}
+UTILIZATION_WEIGHTS = {"delivery": 0.15, "integration": 0.20, "verification": 0.22, "architectural_ownership": 0.18, "understanding": 0.15, "dependency_discipline": 0.10}
+ASSISTANCE_WEIGHTS = {"history_shape": 0.20, "style_discontinuity": 0.14, "structured_docs": 0.14, "boilerplate": 0.12, "abstraction": 0.12, "artifacts": 0.16, "bursts": 0.12}
+TUTORIAL_SIGNALS = [
+    ("cra_scaffold", 0.28, [r"This project was bootstrapped with \[Create React App\]", r"You can learn more in the \[Create React App documentation\]"], ["src/logo.svg", "src/reportWebVitals.js", "src/setupTests.js"]),
+    ("next_scaffold", 0.26, [r"This is a \[Next\.js\]\(https://nextjs\.org\) project bootstrapped", r"Get started by editing.*app/page", r"Deploy on Vercel.*The easiest way to deploy your Next\.js app"], []),
+    ("vite_scaffold", 0.22, [r"This template provides a minimal setup to get React working in Vite", r"Expanding the ESLint configuration"], []),
+    ("django_scaffold", 0.18, [r"Django settings for \w+ project\."], []),
+    ("express_generator", 0.18, [], ["bin/www", "views/error.jade", "views/error.pug"]),
+    ("tutorial_placeholder_text", 0.16, [r"\bJohn Doe\b.*\bjohn(\.|@)doe\b", r"\byour[-_ ]api[-_ ]key[-_ ]here\b", r"\bLearn React\b\s*</a>"], []),
+]
+DEPENDENCY_CATEGORIES = {
+    "web_backend": "fastapi flask django express koa nestjs gin spring-boot starlette hapi rails", "web_frontend": "react next vue svelte angular solid-js remix tailwindcss vite",
+    "database": "sqlalchemy prisma psycopg psycopg2 pymongo mongoose redis asyncpg typeorm sequelize alembic pgvector",
+    "ai_ml": "torch pytorch tensorflow keras scikit-learn sklearn transformers langchain llama-index openai anthropic xgboost lightgbm spacy numpy pandas scipy datasets",
+    "testing": "pytest jest vitest mocha chai playwright cypress unittest2 testing-library junit hypothesis faker", "devops": "docker kubernetes boto3 terraform ansible celery",
+}

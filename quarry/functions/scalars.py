@@ -96,8 +96,8 @@ def message_quality(message) -> Column:
     subject = F.trim(F.element_at(F.split(m, "\n"), 1))
     n = F.size(F.filter(F.split(subject, r"\s+"), lambda w: w != ""))
     length = clamp((n - 1) / 6.0, 0.0, 1.0) * 0.7
-    body = F.when(F.size(F.split(m, "\n")) > 2, 0.15).otherwise(0.0)
-    specific = F.when(subject.rlike(r"[A-Za-z_]+\.[A-Za-z]+|#\d+|\b[A-Z][a-z]+[A-Z]\w*|`[^`]+`|\w+_\w+"), 0.15).otherwise(0.0)
+    body = F.when(F.size(F.split(F.trim(m), "\n")) > 2, 0.15).otherwise(0.0)
+    specific = F.when(subject.rlike(r"(?i)[a-z]+[._/][a-z]+|`|#\d+"), 0.15).otherwise(0.0)
     return F.when(subject.rlike(fixed.LOW_EFFORT), 0.15).otherwise(F.least(F.lit(1.0), length + body + specific))
 
 
@@ -121,12 +121,12 @@ def score_band(v) -> Column:
 
 def confidence_band(v) -> Column:
     c = col(v)
-    return F.when(c < 0.35, "low").when(c < 0.55, "moderate").when(c < 0.78, "high").otherwise("very_high")
+    return F.when(c < 0.35, "very_low").when(c < 0.55, "low").when(c < 0.78, "medium").otherwise("high")
 
 
 def utilization_class(v) -> Column:
     c = col(v)
-    return F.when(c >= 75, "effective").when(c >= 55, "productive").when(c >= 35, "mixed").otherwise("ineffective")
+    return F.when(c >= 75, "Effective AI Augmentation").when(c >= 55, "Productive, With Gaps").when(c >= 35, "Verification Recommended").otherwise("Insufficient Evidence of Productive Use")
 
 
 def feature_hash(feature, dims: int = 256) -> tuple[Column, Column]:

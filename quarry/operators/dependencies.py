@@ -1,8 +1,11 @@
 """Manifest readers and dependency measures."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions.scalars import clamp
 from .classify import base_name
 
@@ -72,3 +75,11 @@ def dependency_score(dependencies: DataFrame, locked: DataFrame) -> DataFrame:
     lock = locked.select("repo_id").distinct().withColumn("lock", F.lit(100.0))
     size = F.when(F.col("runtime") <= 40, 100.0).otherwise(clamp(100.0 - 0.8 * (F.col("runtime") - 40)))
     return by.join(lock, "repo_id", "left").select("repo_id", "n", (0.4 * 100 * F.col("pinned") + 0.35 * F.coalesce("lock", F.lit(35.0)) + 0.25 * size).alias("score"))
+
+
+def categories(names: DataFrame, markers: dict[str, str] = fixed.DEPENDENCY_CATEGORIES) -> DataFrame:
+    """names (repo_id, name): (repo_id, category, name) where a marker is the name, its beginning before -, its scope, or part of its last segment."""
+    last = F.element_at(F.split("name", "/"), -1)
+    hit = lambda m: (F.col("name") == m) | F.col("name").startswith(f"{m}-") | F.col("name").startswith(f"@{m}/") | last.contains(m)
+    found = F.array_compact(F.array(*[F.when(reduce(lambda a, b: a | b, [hit(m) for m in ms.split()]), c) for c, ms in markers.items()]))
+    return names.select("repo_id", "name").distinct().select("repo_id", F.explode(found).alias("category"), "name")

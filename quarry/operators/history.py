@@ -100,7 +100,8 @@ def history_score(commits: DataFrame, branches: DataFrame, tags: DataFrame) -> D
     return wide.select("repo_id", reduce(lambda x, y: x + y, [w * c for w, c in parts]).alias("score"), F.when(F.col("n") >= 5, 0.9).otherwise(0.55).alias("confidence"))
 
 
-PHASES = [("start", ["feature"], 0.10), ("build", ["feature", "other"], 0.22), ("bug_fixes", ["fix", "revert"], 0.18), ("refactoring", ["refactor", "style"], 0.20), ("performance", ["perf"], 0.08), ("testing", ["test"], 0.12), ("delivery", ["deploy", "docs", "chore"], 0.10)]
+# Fixed values: (phase, intents, weight).
+PHASES = [("initial_implementation", ["feature"], 0.10), ("bug_fixes", ["fix"], 0.22), ("refactoring", ["refactor"], 0.18), ("testing", ["test"], 0.20), ("optimization", ["perf"], 0.08), ("documentation", ["docs"], 0.12), ("deployment", ["deploy"], 0.10)]
 
 
 def evolution_score(commits: DataFrame) -> DataFrame:

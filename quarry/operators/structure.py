@@ -125,3 +125,28 @@ def clone_groups(found: DataFrame, lines: DataFrame, least_lines: int = 6) -> Da
     shape = F.regexp_replace(F.regexp_replace(body, r"[A-Za-z_][A-Za-z0-9_]*", "V"), r"\s+|\d+", "")
     texts = _bodies(found.where("kind <> 'class'").where(F.col("end_line") - F.col("start_line") + 1 >= least_lines), lines).groupBy("repo_id", "path", "symbol", "start_line").agg(F.md5(shape.cast("binary")).alias("signature"))
     return texts.groupBy("repo_id", "signature").agg(F.count(F.lit(1)).alias("n"), F.min("symbol").alias("first_symbol")).where("n > 1")
+
+
+def tutorial_signals(files: DataFrame) -> DataFrame:
+    """(repo_id, weight, verdict, signals): artefacts that scaffolds leave, by text patterns or paths; .45 is strong, .2 possible."""
+    one = lambda ps, paths: reduce(lambda a, b: a | b, [F.coalesce(F.col("text").rlike(p), F.lit(False)) for p in ps] + [F.col("path") == x for x in paths])
+    seen = files.groupBy("repo_id").agg(*[F.bool_or(one(ps, paths)).alias(name) for name, _, ps, paths in fixed.TUTORIAL_SIGNALS])
+    total = reduce(lambda a, b: a + b, [F.when(F.col(n), w).otherwise(0.0) for n, w, _, _ in fixed.TUTORIAL_SIGNALS])
+    verdict = F.when(F.col("weight") >= 0.45, "STRONG_TUTORIAL_SIMILARITY").when(F.col("weight") >= 0.2, "POSSIBLY_TUTORIAL_DERIVED").otherwise("ORIGINAL")
+    names = F.array_join(F.array_compact(F.array(*[F.when(F.col(n), n) for n, *_ in fixed.TUTORIAL_SIGNALS])), ",")
+    return seen.withColumn("weight", total).select("repo_id", "weight", verdict.alias("verdict"), names.alias("signals"))
+
+
+def architecture_score(files: DataFrame, edges: DataFrame, cycles: DataFrame) -> DataFrame:
+    """files (repo_id, path), edges (repo_id, src, dst), cycles (repo_id, n): layering, modularity, coupling, depth and entry points."""
+    name = F.element_at(F.split("path", "/"), -1)
+    entry = name.isin("main.py", "app.py", "manage.py", "index.js", "index.ts", "server.js", "server.ts", "main.go", "Main.java", "cli.py")
+    depth = F.length("path") - F.length(F.replace(F.col("path"), F.lit("/")))
+    wide = files.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"), F.avg(depth).alias("depth"), F.avg((depth == 0).cast("int")).alias("at_root"), F.bool_or(entry).alias("entry"))
+    core = layers(files).where(F.col("layer").isin("api_layer", "service_layer", "data_layer", "presentation")).groupBy("repo_id").agg(F.count(F.lit(1)).alias("core"))
+    fan = edges.distinct().groupBy("repo_id").agg((F.count(F.lit(1)) / F.countDistinct("src")).alias("fan"))
+    w = wide.join(core, "repo_id", "left").join(fan, "repo_id", "left").join(cycles, "repo_id", "left").na.fill({"core": 0, "fan": 0.0})
+    modularity = F.when(F.col("n") <= 3, 55.0).otherwise(scale(F.col("at_root"), 0.9, 0.15))
+    coupling = clamp(100 - 12 * F.greatest(F.lit(0.0), F.col("fan") - 4) - 10 * F.coalesce(F.col("n_cycles"), F.lit(0)))
+    score = 0.32 * scale(F.col("core"), 0, 4) + 0.24 * modularity + 0.22 * coupling + 0.12 * F.when(F.col("depth") > 0, scale(F.col("depth"), 0, 2)).otherwise(20.0) + 0.10 * F.when(F.col("entry"), 100.0).otherwise(40.0)
+    return w.select("repo_id", score.alias("score"))

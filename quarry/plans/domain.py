@@ -25,6 +25,7 @@ VIEWS = {
                 || '            ' || replace(text, chr(10), chr(10) || '            ') || chr(10) || 'class Store' || (doc_id % 11) || ':' || chr(10) || '    # here is the step' || chr(10) || '    def save(self):' || chr(10) || '        return React.x or self'""",
         },
     ),
+    "dependencies": ("part", {"repo_id": "p_brand", "name": "case p_partkey % 8 when 0 then 'react-dom' when 1 then '@vue/core' when 2 then 'numpy' when 3 then 'left-pad' || p_partkey when 4 then 'pytest' when 5 then 'github.com/gin-gonic/gin' when 6 then 'types/redis' else p_name end", "version_spec": "case p_size % 5 when 0 then '^1.2' when 1 then '1.0' when 2 then '' when 3 then '==2.1' else '~3' end", "dev": "p_partkey % 4 = 0"}),
     "notes": ("orders", {"id": "o_orderkey", "text": """case o_orderkey % 6 when 0 then 'Built with PyTorch and deep learning, ML on top' when 1 then 'shell scripting in bash; SQL, sql.' when 2 then 'Retrieval augmented generation with a vector store'
                 when 3 then 'golang and Rust' when 4 then 'nothing to see' else 'TypeScript, js and py' end || ' ' || o_orderpriority"""}),
     "commits": (

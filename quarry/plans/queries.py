@@ -66,8 +66,8 @@ SQL_INTENT = "case " + " ".join(f"when regexp_matches(message, {quoted(p)}) then
 SQL_SUBJECT = "trim(string_split(message, chr(10))[1])"
 SQL_MESSAGE = f"""case when regexp_matches({SQL_SUBJECT}, {quoted(fixed.LOW_EFFORT)}) then 0.15e0 else least(1.0e0,
   greatest(0.0e0, least(1.0e0, (len(list_filter(string_split_regex({SQL_SUBJECT}, '\\s+'), lambda x: x <> '')) - 1) / 6.0e0)) * 0.7e0
-  + case when len(string_split(message, chr(10))) > 2 then 0.15e0 else 0.0e0 end
-  + case when regexp_matches({SQL_SUBJECT}, '[A-Za-z_]+\\.[A-Za-z]+|#\\d+|\\b[A-Z][a-z]+[A-Z]\\w*|`[^`]+`|\\w+_\\w+') then 0.15e0 else 0.0e0 end) end"""
+  + case when len(string_split(trim(message), chr(10))) > 2 then 0.15e0 else 0.0e0 end
+  + case when regexp_matches({SQL_SUBJECT}, '(?i)[a-z]+[._/][a-z]+|`|#\\d+') then 0.15e0 else 0.0e0 end) end"""
 
 
 def sql_scale(v: str, worst: float, best: float) -> str:
@@ -101,7 +101,7 @@ register("c20_module_key", lambda t: t("files").select("path", scalars.module_ke
 register("c22_test_cases", lambda t: classify.classified(t("files")).groupBy("repo_id").agg(F.sum(scalars.test_cases("text")).alias("n")), "select repo_id, sum(" + " + ".join(f"len(regexp_extract_all(text, {quoted(p)}))" for p in fixed.TEST_CASES) + ")::bigint as n from files group by repo_id", ("files",))
 register("c24_mask", lambda t: t("part").select("p_partkey", scalars.masked("p_name").alias("masked")), "select p_partkey, case when length(p_name) > 4 then substr(p_name, 1, 2) || '…[REDACTED]' else '…[REDACTED]' end as masked from part")
 register("c33_slug", lambda t: t("customer").select("c_custkey", scalars.slug(F.concat_ws(" ", "c_name", "c_mktsegment")).alias("slug")), "select c_custkey, regexp_replace(regexp_replace(lower(c_name || ' ' || c_mktsegment), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as slug from customer")
-register("b19_score_band", lambda t: t("category_scores").select("score_id", scalars.score_band("score").alias("band"), scalars.confidence_band("confidence").alias("confidence_band"), scalars.utilization_class("score").alias("utilization")), "select score_id, case when score is null then 'unknown' when score >= 80 then 'strong' when score >= 65 then 'good' when score >= 45 then 'fair' else 'weak' end as band, case when confidence < 0.35e0 then 'low' when confidence < 0.55e0 then 'moderate' when confidence < 0.78e0 then 'high' else 'very_high' end as confidence_band, case when score >= 75 then 'effective' when score >= 55 then 'productive' when score >= 35 then 'mixed' else 'ineffective' end as utilization from category_scores", ("category_scores",))
+register("b19_score_band", lambda t: t("category_scores").select("score_id", scalars.score_band("score").alias("band"), scalars.confidence_band("confidence").alias("confidence_band"), scalars.utilization_class("score").alias("utilization")), "select score_id, case when score is null then 'unknown' when score >= 80 then 'strong' when score >= 65 then 'good' when score >= 45 then 'fair' else 'weak' end as band, case when confidence < 0.35e0 then 'very_low' when confidence < 0.55e0 then 'low' when confidence < 0.78e0 then 'medium' else 'high' end as confidence_band, case when score >= 75 then 'Effective AI Augmentation' when score >= 55 then 'Productive, With Gaps' when score >= 35 then 'Verification Recommended' else 'Insufficient Evidence of Productive Use' end as utilization from category_scores", ("category_scores",))
 
 # -- lines
 
@@ -197,8 +197,30 @@ j as (select evaluation_id, sum(case when score is not null then score * weight
 select evaluation_id, round(case when w > 0 then s / w end, 6) as score, round(coalesce(w, 0) / aw, 6) as coverage, round(case when w > 0 then c / w * (0.55 + 0.45 * coalesce(w, 0) / aw) end, 6) as confidence from j""", ("category_scores", "policies"))
 register("f9_latest", lambda t: serving.latest(t("category_scores"), ["evaluation_id", "category"], [F.desc("created_at"), F.desc("score_id")]).select("evaluation_id", "category", "score", "score_id"), f", {SQL_LATEST} select evaluation_id, category, score, score_id from last", ("category_scores",))
 register("g72_repository_score", lambda t: rounded(scoring.repository_score(t("category_scores")), "score"), "select evaluation_id, round(avg(score), 6) as score, count(score) as n_available from category_scores group by evaluation_id", ("category_scores",))
-register("g60_verification", lambda t: scoring.verification_status(t("evaluations").select("evaluation_id", F.col("overall").alias("score"), "coverage", "ownership")), "select evaluation_id, case when overall is null or coverage < 0.5 then 'ANALYSIS_INCOMPLETE' when ownership < 60 and overall < 45 then 'REVIEW_RECOMMENDED' when ownership < 60 then 'VERIFICATION_REQUIRED' when overall < 45 then 'REVIEW_RECOMMENDED' else 'CLEAR' end as status, array_to_string(list_filter([case when overall is null or coverage < 0.5 then 'coverage too low' end, case when ownership < 60 then 'ownership unclear' end, case when overall < 45 then 'low score' end], lambda x: x is not null), '; ') as reasons from evaluations", ("evaluations",))
-register("c30_assistance_class", lambda t: t("evaluations").groupBy(scoring.assistance_class(F.col("likelihood"), F.col("ownership")).alias("class")).agg(F.count(F.lit(1)).alias("n")), "select case when likelihood >= 65 and ownership < 45 then 'GENERATED' when likelihood >= 45 and ownership >= 65 then 'AUGMENTED' when likelihood >= 45 then 'ASSISTED' else 'MANUAL' end as class, count(*) as n from evaluations group by all", ("evaluations",))
+SQL_CLASS = "case when ownership is null then 'INSUFFICIENT_EVIDENCE' when likelihood < 35 then 'AI_ASSISTED' when likelihood < 60 and ownership >= 75 then 'AI_ASSISTED' when likelihood < 60 then 'AI_AUGMENTED' when ownership >= 70 then 'AI_AUGMENTED' when likelihood < 78 or ownership >= 45 then 'AI_DEPENDENT' else 'AI_DOMINATED' end"
+register("g60_verification", lambda t: scoring.verification_status(t("evaluations").select("evaluation_id", F.floor(F.col("coverage") * 9).alias("n_available"), F.when(F.col("evaluation_id") % 5 > 0, F.col("ownership")).alias("ownership"), F.when(F.col("evaluation_id") % 3 > 0, F.col("overall") / 100).alias("similarity"), "likelihood", (F.col("evaluation_id") % 2 == 0).alias("disclosed"))),
+    f""", e as (select evaluation_id, floor(coverage * 9) as n, case when evaluation_id % 5 > 0 then ownership end as ownership, case when evaluation_id % 3 > 0 then overall / 100 end as similarity, likelihood, evaluation_id % 2 = 0 as disclosed from evaluations),
+c as (select *, coalesce(ownership < 45, false) as ov, coalesce(ownership < 65, false) as ow, coalesce(similarity >= 0.75, false) as sv, coalesce(similarity >= 0.55, false) as sr, likelihood >= 65 and {SQL_CLASS} in ('AI_DEPENDENT', 'AI_DOMINATED') as lv, likelihood >= 65 and not disclosed as lr from e)
+select evaluation_id, case when n < 4 then 'ANALYSIS_INCOMPLETE' when ov or sv or lv then 'VERIFICATION_REQUIRED' when ow or sr or lr then 'REVIEW_RECOMMENDED' else 'CLEAR' end as status, case when n < 4 then 'too few categories' else array_to_string(list_filter([case when ov then 'ownership insufficient' when ow then 'ownership limited' end, case when sv then 'close external match' when sr then 'external match' end, case when lv then 'dependent on assistance' when lr then 'undisclosed assistance' end], lambda x: x is not null), '; ') end as reasons from c""", ("evaluations",))
+register("c30_assistance_class", lambda t: t("evaluations").groupBy(scoring.assistance_class(F.col("likelihood"), F.col("ownership")).alias("class")).agg(F.count(F.lit(1)).alias("n")), f"select {SQL_CLASS} as class, count(*) as n from evaluations group by all", ("evaluations",))
+register("c32_disclosure", lambda t: t("evaluations").select("evaluation_id", scoring.disclosure_alignment(F.col("evaluation_id") % 3 == 0, F.col("likelihood")).alias("alignment")), "select evaluation_id, case when evaluation_id % 3 = 0 and likelihood >= 45 then 'consistent' when evaluation_id % 3 = 0 then 'declared_more_than_observed' when likelihood >= 65 then 'signals_above_declaration' else 'consistent' end as alignment from evaluations", ("evaluations",))
+
+
+def _factors(t, weights: dict[str, float]) -> DataFrame:
+    names = F.array(*[F.lit(n) for n in sorted(weights)])
+    e = t("category_scores").select(F.col("evaluation_id").alias("id"), F.element_at(names, (F.col("score_id") % len(weights) + 1).cast("int")).alias("factor"), (F.col("score") / 100).alias("value"))
+    return scoring.weighted_factors(e, weights)
+
+
+def _factors_sql(weights: dict[str, float]) -> str:
+    return f"wt(factor, weight) as (values {', '.join(f'({quoted(k)}, {v}e0)' for k, v in sorted(weights.items()))}), fv as (select evaluation_id as id, [{listed(sorted(weights))}][score_id % {len(weights)} + 1] as factor, max(score / 100) as value from category_scores group by all), fs as (select id, sum(value * weight) as s, sum(case when value is not null then weight end) as w from fv join wt using (factor) group by id), sc as (select id, 100 * s / w as score, least(0.95e0, 0.3e0 + 0.7e0 * coalesce(w, 0) / {sum(weights.values())}e0) as confidence from fs)"
+
+
+for _name, _weights in (("g48_ownership", fixed.OWNERSHIP_WEIGHTS), ("g47_likelihood", fixed.ASSISTANCE_WEIGHTS)):
+    register(_name, lambda t, w=_weights: rounded(_factors(t, w), "score", "confidence"), f", {_factors_sql(_weights)} select id, round(score, 6) as score, round(confidence, 6) as confidence from sc", ("category_scores",))
+register("g49_utilization", lambda t: rounded(scoring.utilization(_factors(t, fixed.UTILIZATION_WEIGHTS), t("evaluations").groupBy(F.col("candidate_id").alias("id")).agg(F.max("likelihood").alias("likelihood"), F.max("ownership").alias("ownership"))), "score"),
+    f", {_factors_sql(fixed.UTILIZATION_WEIGHTS)}, cx as (select candidate_id as id, max(likelihood) as likelihood, max(ownership) as ownership from evaluations group by 1), u as (select id, least(100, score + case when likelihood >= 45 and ownership >= 65 and score >= 55 then 6 else 0 end) as score from sc join cx using (id)) select id, round(score, 6) as score, case when score >= 75 then 'Effective AI Augmentation' when score >= 55 then 'Productive, With Gaps' when score >= 35 then 'Verification Recommended' else 'Insufficient Evidence of Productive Use' end as class from u", ("category_scores", "evaluations"))
+register("g65_recommendations", lambda t: rounded(scoring.recommendations(serving.latest(t("category_scores"), ["evaluation_id", "category"], [F.desc("created_at"), F.desc("score_id")]), t("policies").where("policy_key = 'Brand#1'").groupBy("category").agg((F.sum("weight") / 100).alias("weight")), 3), "gain"), f", {SQL_LATEST}, w as (select category, sum(weight) / 100 as weight from policies where policy_key = 'Brand#1' group by category), g as (select evaluation_id, category, greatest(0, 85.0e0 - score) * weight as gain from last join w using (category) where score is not null) select evaluation_id, place, category, round(gain, 6) as gain from (select *, row_number() over (partition by evaluation_id order by gain desc, category) as place from g where gain > 0) where place <= 3", ("category_scores", "policies"))
 SQL_STRENGTH = "st as (select repo_id, skill, least(1.0, max(value)) as strength from strengths group by all)"
 
 
@@ -308,3 +330,12 @@ register("g64_resume_consistency", lambda t: rounded(skills.resume_consistency(_
     f", {SQL_STRENGTH}, cm as (select 'repo' || (p_partkey % 25) as candidate_id, 'skill' || (p_partkey % 60) as skill, least(1.0, sum(p_size) / 60) as expected from part group by all), j as (select candidate_id, cm.skill, expected, coalesce(strength, 0) as strength from cm left join st on st.repo_id = candidate_id and st.skill = cm.skill), u as (select repo_id as candidate_id, skill, strength from st where strength >= 0.5 and not exists (select 1 from cm where cm.candidate_id = st.repo_id and cm.skill = st.skill) qualify row_number() over (partition by repo_id order by strength desc, skill) <= 10) select candidate_id, skill, round(strength, 6) as strength, case when strength >= expected then 'supported' when strength >= expected / 2 then 'partial' else 'verify' end as state from j union all select candidate_id, skill, round(strength, 6), 'unclaimed' from u", ("strengths",))
 register("k2_sliding_activity", lambda t: t("audit").groupBy(F.window("created_at", "24 hours", "12 hours").alias("w"), "action").agg(F.count(F.lit(1)).alias("n")).select(F.unix_micros("w.start").alias("start_us"), "action", "n"), ", s as (select action, (epoch_us(created_at) // 43200000000 - k) * 43200000000 as start_us from audit, generate_series(0, 1) g(k)) select start_us, action, count(*) as n from s group by all", ("audit",))
 register("g27_import_edges", lambda t: graph.import_edges(t("edges").select("repo_id", F.concat(F.lit("src/"), F.col("src"), F.lit(".py")).alias("path"), F.concat(F.lit("src."), F.col("dst")).alias("target")).distinct(), t("edges").select("repo_id", F.concat(F.lit("src/"), F.col("dst"), F.lit(".py")).alias("path")).distinct()), "select distinct repo_id, 'src/' || src || '.py' as src, 'src/' || dst || '.py' as dst from edges where src <> dst", ("edges",))
+register("b13_pinned", lambda t: t("dependencies").groupBy("repo_id").agg(F.count_if(dependencies.is_pinned()).alias("n_pinned"), F.count(F.lit(1)).alias("n")), "select repo_id, count(*) filter (version_spec <> '' and not regexp_matches(version_spec, '^[~^>*]|^latest$')) as n_pinned, count(*) as n from dependencies group by repo_id", ("dependencies",))
+register("g26_dependency_score", lambda t: rounded(dependencies.dependency_score(t("dependencies"), t("dependencies").where("name = 'numpy'")), "score"), ", b as (select repo_id, avg((version_spec <> '' and not regexp_matches(version_spec, '^[~^>*]|^latest$'))::int) as pinned, count(*) filter (not dev) as runtime, count(*) as n, bool_or(name = 'numpy') as locked from dependencies group by repo_id) select repo_id, n, round(40 * pinned + 0.35e0 * case when locked then 100 else 35 end + 0.25e0 * case when runtime <= 40 then 100 else greatest(0, 100 - 0.8e0 * (runtime - 40)) end, 6) as score from b", ("dependencies",))
+register("g25_dependency_categories", lambda t: dependencies.categories(t("dependencies")), ", d as (select distinct repo_id, name, regexp_extract(name, '[^/]*$') as last from dependencies) " + " union all ".join(f"select repo_id, '{c}' as category, name from d where " + " or ".join(f"name = '{m}' or starts_with(name, '{m}-') or starts_with(name, '@{m}/') or contains(last, '{m}')" for m in ms.split()) for c, ms in fixed.DEPENDENCY_CATEGORIES.items()), ("dependencies",))
+register_code("g42_tutorial_signals", lambda t: rounded(structure.tutorial_signals(_code(t)), "weight"), "s as (select repo_id, " + ", ".join("bool_or(" + " or ".join([f"coalesce(regexp_matches(text, {quoted(p)}), false)" for p in ps] + [f"path = '{x}'" for x in paths]) + f") as {n}" for n, _, ps, paths in fixed.TUTORIAL_SIGNALS) + " from code group by repo_id), w as (select *, " + " + ".join(f"case when {n} then {w}e0 else 0 end" for n, w, _, _ in fixed.TUTORIAL_SIGNALS) + " as weight from s) select repo_id, round(weight, 6) as weight, case when weight >= 0.45 then 'STRONG_TUTORIAL_SIMILARITY' when weight >= 0.2 then 'POSSIBLY_TUTORIAL_DERIVED' else 'ORIGINAL' end as verdict, array_to_string(list_filter([" + ", ".join(f"case when {n} then '{n}' end" for n, *_ in fixed.TUTORIAL_SIGNALS) + "], lambda x: x is not null), ',') as signals from w")
+register("g68_session_scores", lambda t: rounded(t("answers").groupBy("session_id").agg(F.avg(F.coalesce(F.when(F.col("question_id") % 3 == 0, F.length("answer_text") % 100), F.lit(50))).alias("score"), F.count(F.lit(1)).alias("n")), "score"), "select session_id, round(avg(coalesce(case when question_id % 3 = 0 then length(answer_text) % 100 end, 50)), 6) as score, count(*) as n from answers group by session_id", ("answers",))
+register("j24_job_monitor", lambda t: t("audit").where("action in ('error', 'view')").join(t("customer").select(F.col("c_custkey").alias("actor_id"), "c_name"), "actor_id", "left").select("event_id", "action", "c_name"), "select event_id, action, c_name from audit left join customer on c_custkey = actor_id where action in ('error', 'view')", ("audit",))
+register("j9_evaluation_detail", lambda t: t("evaluations").join(t("customer").select(F.col("c_custkey").alias("candidate_id"), "c_name"), "candidate_id", "left").join(t("category_scores").groupBy(F.col("evaluation_id").alias("candidate_id")).agg(F.count("score").alias("n_scores"), F.max("score").alias("best")), "candidate_id", "left").select("evaluation_id", "c_name", "n_scores", "best"), ", c as (select evaluation_id as candidate_id, count(score) as n_scores, max(score) as best from category_scores group by 1) select evaluation_id, c_name, n_scores, best from evaluations left join customer on c_custkey = candidate_id left join c using (candidate_id)", ("evaluations", "category_scores"))
+register("j14_disclosure_latest", lambda t: serving.latest(t("evaluations"), ["candidate_id"], [F.desc("created_at"), F.desc("evaluation_id")]).select("candidate_id", "evaluation_id", scoring.disclosure_alignment(F.col("candidate_id") % 2 == 0, F.col("likelihood")).alias("alignment")), "select candidate_id, evaluation_id, case when candidate_id % 2 = 0 and likelihood >= 45 then 'consistent' when candidate_id % 2 = 0 then 'declared_more_than_observed' when likelihood >= 65 then 'signals_above_declaration' else 'consistent' end as alignment from evaluations qualify row_number() over (partition by candidate_id order by created_at desc, evaluation_id desc) = 1", ("evaluations",))
+register("e5_variation", lambda t: rounded(t("commit_files").groupBy("repo_id", "path").agg(F.avg("added").alias("m")).groupBy("repo_id").agg((F.stddev_pop("m") / F.avg("m")).alias("variation")), "variation"), ", p as (select repo_id, path, avg(added) as m from commit_files group by all) select repo_id, round(stddev_pop(m) / avg(m), 6) as variation from p group by repo_id", ("commit_files",))
