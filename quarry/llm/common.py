@@ -31,10 +31,15 @@ def crc_part(doc_id: Column | str, parts: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id.cast("string").cast("binary")) % parts
 
 
-def sampled_labels(labels: DataFrame, train: Column, rows: int) -> DataFrame:
-    """(doc_id, y) of at most rows documents with a label in {0, 1} where train holds, picked by a hash of doc_id: small enough to broadcast."""
+def sampled_labels(labels: DataFrame, train: Column, rows: int, balanced: bool = False) -> DataFrame:
+    """(doc_id, y) of at most rows documents with a label in {0, 1} where train holds, picked by a hash of doc_id: small enough to broadcast.
+
+    balanced: at most half of them of either class."""
     clean = labels.where("doc_id is not null and label in (0, 1)").where(train).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("label").cast("int").alias("y"))
-    return F.broadcast(clean.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
+    first = lambda df, n: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    if balanced:
+        return F.broadcast(first(clean.where("y = 1"), rows // 2).unionByName(first(clean.where("y = 0"), rows // 2)))
+    return F.broadcast(first(clean, rows))
 
 
 def gathered(encoded: DataFrame):

@@ -17,7 +17,7 @@ from . import textfeatures
 from .common import gathered, sampled_labels
 
 HASH_BITS = 18
-MAX_FIT_ROWS = 6_000
+MAX_FIT_ROWS = 5_000  # labelled rows that a model is learnt from, at most half of them toxic
 PREFIX_BYTES = (4, 5, 6, 7, 8)
 LEAST_DOCUMENTS = 5
 ROUNDS = 200
@@ -114,6 +114,8 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = HASH_BITS) -> Model | No
     place[used] = np.arange(len(used))
     features = place[flat & ((1 << bits) - 1)]
     kept = features >= 0
+    many = len(bags)
+    del bags
     rows = ((flat >> bits).astype(np.int32) + np.repeat(shift.astype(np.int32), lengths))[kept]
     features = features[kept]
     del flat, kept
@@ -122,10 +124,10 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = HASH_BITS) -> Model | No
     weight = np.minimum(np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())), 5.0)
     for k in range(1, ROUNDS + 1):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, weights=w[features], minlength=len(bag)) + bias, -30, 30)))
-        clean = np.bincount(bag, weights=np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=len(bags))
+        clean = np.bincount(bag, weights=np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=many)
         whole = np.clip(-np.expm1(clean), 1e-9, 1 - 1e-9)
         # d loss / d z: p for clean documents, -p (1 - P) / P for toxic ones
-        g = weight[bag] * p * np.where(y[bag] == 1, -(1 - whole[bag]) / whole[bag], 1.0) / len(bags)
+        g = weight[bag] * p * np.where(y[bag] == 1, -(1 - whole[bag]) / whole[bag], 1.0) / many
         grad = np.concatenate((np.bincount(features, weights=g[rows], minlength=len(used)), [g.sum()]))
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         scale = STEP / (np.sqrt(v / (1 - 0.999**k)) + 1e-6)
@@ -167,4 +169,4 @@ def detect(docs: DataFrame, labels: DataFrame, train: Column, max_fit_rows: int
 
     A row for each input row; rows with null doc_id are scored but never learnt from; null labels are left out; a document with
     several labels counts as toxic if any label says so."""
-    return score(docs, fit(docs, sampled_labels(labels, train, max_fit_rows)))
+    return score(docs, fit(docs, sampled_labels(labels, train, max_fit_rows, balanced=True)))
