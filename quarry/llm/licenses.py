@@ -2,7 +2,13 @@
 
 The whole text and each of its lines are normalised (a-z and 0-9, one space between words) and compared with licence notices by the
 Dice coefficient of their sets of word bigrams. A unit of b bigrams reaches t against a notice of n only if
-t / (2 - t) * n <= b <= (2 - t) / t * n, so notices out of that range are pruned before bigrams are matched."""
+t / (2 - t) * n <= b <= (2 - t) / t * n, so notices out of that range are pruned before bigrams are matched.
+
+A unit that reaches t against a notice of n bigrams shares at least t / (2 - t) * n of them. Keywords are words of the notices such that
+fewer bigrams than that have none of them, so a text without a keyword can't match, nor can any of its lines: it is passed over after one
+look at its words. A unit whose first words alone have more distinct bigrams than any range allows is passed over as well."""
+
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,31 +34,62 @@ NOTICES = [
     ("Proprietary", "All rights reserved. No part of this work may be reproduced without permission."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+# Words too common to tell a notice from prose.
+COMMON_WORDS = set("a all an and any are as at be by can for from have in is it its may no not of on or that the this to under was which with you your".split())
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def normalised(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(text, CAPITALS, SMALL), "[^a-z0-9]+", " "))
+    return F.trim(F.lower(F.regexp_replace(text, "[^A-Za-z0-9]+", " ")))
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def bigrams(normal: Column) -> Column:
-    """Distinct word bigrams of a normalised text."""
-    words = F.split(normal, " ")
+def bigrams(words: Column) -> Column:
+    """Distinct word bigrams of an array of words."""
     return F.array_distinct(F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b)))
 
 
+def _pairs(text: str) -> set[tuple[str, str]]:
+    words = "".join(c if c.isascii() and c.isalnum() else " " for c in text).lower().split()
+    return set(zip(words, words[1:]))
+
+
+def keywords(notices: list[tuple[str, str]], threshold: float) -> list[str]:
+    """Words one of which stands in every unit that reaches the threshold against some notice."""
+    found: set[str] = set()
+    for _, text in notices:
+        pairs = _pairs(text)
+        needed = math.ceil(threshold / (2 - threshold) * len(pairs) - 1e-9)
+        open_ = [p for p in pairs if not found & set(p)]
+        while len(open_) >= needed:
+            words = {w for p in open_ for w in p}
+            best = min(words, key=lambda w: (w in COMMON_WORDS or w.isdigit(), -sum(w in p for p in open_), w))
+            found.add(best)
+            open_ = [p for p in open_ if best not in p]
+    return sorted(found)
+
+
 def matches(docs: DataFrame, notices: list[tuple[str, str]] = NOTICES, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, unit, notice, license, dice) for each notice that a unit reaches; unit 0 is the whole text, others are line numbers.
 
     Rows of one doc_id count as one document; a null doc_id is a value like others. Null and empty texts have no units."""
     spark = docs.sparkSession
     known = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(notices)], "notice int, license string, text string")
-    known = known.select("notice", "license", bigrams(normalised("text")).alias("b")).withColumn("n", F.size("b"))
+    known = known.select("notice", "license", bigrams(F.split(normalised("text"), " ")).alias("b")).withColumn("n", F.size("b"))
     low, high = F.col("n") * (threshold / (2 - threshold)) - 1e-9, F.col("n") * ((2 - threshold) / threshold) + 1e-9
     probes = F.broadcast(known.select("notice", "license", "n", low.alias("low"), high.alias("high"), F.explode("b").alias("bigram")))
-    units = docs.select("doc_id", F.posexplode(F.concat(F.array("text"), F.split("text", "\n"))).alias("unit", "part")).where("part is not null")
-    sized = units.select("doc_id", "unit", bigrams(normalised("part")).alias("b")).withColumn("size", F.size("b"))
-    met = sized.select("doc_id", "unit", "size", F.explode("b").alias("bigram")).join(probes, "bigram").where("size between low and high")
+    most = math.floor(max(len(_pairs(t)) for _, t in notices) * (2 - threshold) / threshold + 1e-9)
+    words = F.split(normalised("text"), " ")
+    held = docs.select("doc_id", "text").where(F.arrays_overlap(words, F.array(*[F.lit(w) for w in keywords(notices, threshold)])))
+    units = held.select("doc_id", F.posexplode(F.concat(F.array("text"), F.split("text", "\n"))).alias("unit", "part"))
+    some = lambda w: F.when(F.size(bigrams(F.slice(w, 1, most + 2))) <= most, bigrams(w))
+    rows = lambda b: F.transform(b, lambda x: F.struct(x.alias("bigram"), F.size(b).alias("size")))
+    sized = units.select("doc_id", "unit", F.explode(_let(F.split(normalised("part"), " "), lambda w: _let(some(w), rows))).alias("r")).select("doc_id", "unit", "r.size", "r.bigram")
+    met = sized.join(probes, "bigram").where("size between low and high")
     counted = met.groupBy("doc_id", "unit", "size", "notice", "license", "n").agg(F.countDistinct("bigram").alias("common"))
     return counted.withColumn("dice", 2.0 * F.col("common") / (F.col("size") + F.col("n"))).where(F.col("dice") >= threshold).select("doc_id", "unit", "notice", "license", "dice")
 
