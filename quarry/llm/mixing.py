@@ -16,6 +16,7 @@ from .common import saved
 LEVELS = ("domain", "lang", "source")
 MAX_EPOCHS = 2
 SEED = 17
+SALTS = 64
 WORD = r"[^\x20\x09-\x0D]+"
 WHOLE = "decimal(38,0)"
 # The query's weights; children that aren't named weigh 1.
@@ -78,7 +79,9 @@ def mix(docs: DataFrame, budget: Column | None = None, levels: tuple[str, ...] =
     whole = F.when(F.col("leaf_tokens") > 0, F.expr("budget div leaf_tokens")).otherwise(F.lit(0))
     plan = plan.withColumnRenamed("tokens", "leaf_tokens").withColumn("whole", whole.cast("int")).withColumn("rest", F.col("budget") - F.col("whole") * F.col("leaf_tokens"))
     plan = plan.withColumn("buckets", F.greatest(F.lit(1), F.floor(2 * F.sqrt(F.col("docs").cast("double")))).cast("long"))
-    rows = own.join(plan, keys)
+    # Each leaf's plan is repeated for every salt, so a leaf that holds much of the corpus is dealt to many tasks.
+    salted = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = own.withColumn("salt", F.pmod(F.xxhash64("doc_id", "tokens"), F.lit(SALTS)).cast("int")).join(salted, [*keys, "salt"]).drop("salt")
     full = rows.where("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("whole") - 1))).select("doc_id", *keys, "epoch", "tokens", F.col("tokens").alias("taken"))
     some = rows.where("rest > 0").withColumn("h", _ordered_hash(F.col("whole"), seed)).withColumn("bucket", F.expr("(h * buckets) div 4294967296"))
     sums = some.groupBy(*keys, "bucket").agg(F.sum("tokens").alias("n"))
