@@ -17,6 +17,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
+
 NONE = np.int32(2**31 - 1)
 # Fixed values. The library follows Unicode 16; these ranges became letters later, so its pattern takes them for other characters ...
 LATER_LETTERS = (
@@ -27,7 +29,7 @@ LATER_LETTERS = (
 )
 # ... and these capitals have small letters that Python's tables may lack.
 LATER_CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B, **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}}
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 
 
 def byte_symbols() -> list[str]:
@@ -174,7 +176,7 @@ class Encoder:
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(packed, dtype="<u4").tolist()))
 
 
-def _groups(column, size: int = 1 << 22):
+def _groups(column, size: int = 1 << 20):
     """Runs of the column's texts of about size characters."""
     got, n = [], 0
     for x in column:
@@ -205,6 +207,7 @@ def encode(docs: DataFrame, path: str, with_decoded: bool = True) -> DataFrame:
                 values = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), values, pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
                 at += len(texts)
+        release()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
@@ -229,5 +232,6 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
                 at += len(texts)
+        release()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

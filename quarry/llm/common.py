@@ -1,5 +1,6 @@
 """What several operators share: reading, checkpoints, numbers of partitions."""
 
+import ctypes
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,3 +47,10 @@ def gathered(encoded: DataFrame):
     """(doc_id, f, y) of the sample on the driver, in order of doc_id, a document once however often its row is repeated."""
     got = encoded.groupBy("doc_id").agg(F.min(F.struct("f", "y")).alias("s")).select("doc_id", "s.f", "s.y").toArrow()
     return got.sort_by("doc_id")
+
+
+def release() -> None:
+    """Give freed memory of a worker back to the system, where the C library can: workers outlive their tasks."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -24,14 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bwt
-from .common import saved
-from .textfeatures import BASE, UNBASE, _powers, mixed
+from .common import release, saved
+from .textfeatures import BASE, UNBASE, _powers, chunks, mixed
 
 SPAN = 50
 PIECE = 20
 BATCH_BYTES = 4 << 20
 STEP_BYTES = 1 << 19  # at most, unless one document is longer: fewer than 2^16 documents of `span` bytes
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 COMMON = 2000
 LONGEST_RUN = 100
 SHARD_BYTES = 1 << 18
@@ -155,13 +155,14 @@ def _by_bucket(values: np.ndarray, buckets: int):
         yield name, part
 
 
-def _pack48(v: np.ndarray) -> bytes:
-    return np.ascontiguousarray(v.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def _pack40(v: np.ndarray) -> bytes:
+    """The low 40 bits: within a bucket that is enough, as buckets grow in number with the input. Two that agree in them count as one, which only sends more."""
+    return np.ascontiguousarray(v.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
 
 
-def _unpack48(data: bytes) -> np.ndarray:
-    raw = np.zeros((len(data) // 6, 8), np.uint8)
-    raw[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+def _unpack40(data: bytes) -> np.ndarray:
+    raw = np.zeros((len(data) // 5, 8), np.uint8)
+    raw[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
     return raw.view("<u8").ravel().astype(np.uint64)
 
 
@@ -174,16 +175,17 @@ def repeated(batches: DataFrame, buckets: int, span: int, piece: int, common: in
                 batch = Batch(rows.slice(i, 1).to_pylist()[0])
                 values, counts = _unique_minimisers(batch, span, piece)
                 counts = np.minimum(counts, 255).astype(np.uint8)
-                got = [(b, _pack48(values[at]), _zip(counts[at].tobytes())) for b, at in _by_bucket(values, buckets)]
+                got = [(b, _pack40(values[at]), _zip(counts[at].tobytes())) for b, at in _by_bucket(values, buckets)]
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([batch.name] * len(got)), pa.array([g[1] for g in got], pa.binary()), pa.array([g[2] for g in got], pa.binary())], names=["bucket", "batch", "vals", "counts"])
 
     def tell(table: pa.Table) -> pa.Table:
-        values = [_unpack48(v) for v in table.column("vals").to_pylist()]
+        values = [_unpack40(v) for v in table.column("vals").to_pylist()]
         counts = np.concatenate([np.frombuffer(_unzip(c), np.uint8) for c in table.column("counts").to_pylist()]).astype(np.int64)
         every, place = np.unique(np.concatenate(values), return_inverse=True)
         total = np.bincount(place, weights=counts, minlength=len(every))
         code = np.where(total > common, 2, np.where(total > 1, 1, 0)).astype(np.uint8)[place]
+        release()
         codes = [_zip(c.tobytes()) for c in np.split(code, np.cumsum([len(v) for v in values])[:-1])]
         return pa.Table.from_arrays([table.column("batch"), table.column("bucket"), pa.array(codes, pa.binary())], names=["batch", "bucket", "codes"])
 
@@ -239,9 +241,10 @@ def stretches(batches: DataFrame, codes: DataFrame, buckets: int, span: int, pie
                     docs, local = np.unique(doc[part], return_inverse=True)
                     fields = [np.array([len(names), len(part), len(docs)], "<i8"), np.array([len(t) for t in names], "<u2"), batch.ids[docs].astype("<i8"), docs.astype("<u4")]
                     fields += [np.array(own, "<u4"), local.astype("<u4"), (at[part] - batch.starts[doc[part]]).astype("<u4")]
-                    got.append((b, _zip(b"".join([f.tobytes() for f in fields] + list(names)), 3)))
+                    got.append((b, _zip(b"".join([f.tobytes() for f in fields] + list(names)), 5)))
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([batch.name] * len(got)), pa.array([g[1] for g in got], pa.binary())], names=["bucket", "batch", "data"])
+        release()
 
     joined = batches.join(codes, "batch")
     return joined.select("batch", "ids", "lengths", "data", "codes").mapInArrow(run, "bucket long, batch string, data binary")
@@ -273,16 +276,20 @@ def first_documents(texts: list[bytes], first: np.ndarray, span: int) -> tuple[n
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
     count = lengths - span + 1
     offsets = np.cumsum(count) - count
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), count)
+    hashes = np.empty(len(owner), np.uint64)
+    for i, j in chunks(texts):  # a hash doesn't depend on what stands before its string
+        data = np.frombuffer(b"".join(texts[i:j]), np.uint8)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(BASE, len(data)))))
+        lo, hi = offsets[i], offsets[j - 1] + count[j - 1]
+        hashes[lo:hi] = _window_hash(sums, np.arange(hi - lo) + (owner[lo:hi].astype(np.int64) - i) * (span - 1), span)
+    order = np.argsort(hashes)
+    hashes, owner = hashes[order], owner[order]
+    del order
+    meets = (hashes[1:] == hashes[:-1]) & (owner[1:] != owner[:-1])
+    candidates = np.unique(np.concatenate((owner[1:][meets], owner[:-1][meets])))
+    del hashes, owner, meets
     least = np.repeat(first, count)
-    owner = np.repeat(np.arange(len(texts)), count)
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(BASE, len(data)))))
-    at = np.arange(len(owner)) + owner * (span - 1)
-    hashes = _window_hash(sums, at, span)
-    order = np.argsort(hashes, kind="stable")
-    same = hashes[order][1:] == hashes[order][:-1]
-    meets = same & (owner[order][1:] != owner[order][:-1])
-    candidates = np.unique(np.concatenate((owner[order][1:][meets], owner[order][:-1][meets])))
     if not len(candidates):
         return offsets, least
     # The merged transforms of shards of the texts that may share a string. UTF-8 has no byte 255: it stands for byte 0, which ends texts.
@@ -336,6 +343,8 @@ def spans_of(sent: DataFrame, span: int) -> DataFrame:
                 fields = [numbers[row[a]].astype("<u4"), (start[row[a]] + inner[a]).astype("<u4"), (start[row[b]] + inner[b] + span).astype("<u4")]
                 names_out.append(name)
                 out.append(_zip(b"".join(f.tobytes() for f in fields)))
+        del least, parts, names, texts
+        release()
         return pa.Table.from_arrays([pa.array(names_out, pa.string()), pa.array(out, pa.binary())], names=["batch", "spans"])
 
     return sent.groupBy("bucket").applyInArrow(run, "batch string, spans binary").groupBy("batch").agg(F.collect_list("spans").alias("spans"))
@@ -373,6 +382,7 @@ def removed(batches: DataFrame, spans: DataFrame, with_text: bool) -> DataFrame:
                     pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
                 ] + ([pa.array(kept, pa.binary()), pa.array(row["carried"], pa.list_(pa.string()))] if with_text else [])
                 yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in kinds.split(", ")])
+        release()
 
     given = ["batch", "ids", "lengths", "data", "spans"] + ["carried"] * with_text
     return batches.join(spans, "batch", "left").select(*given).mapInArrow(run, kinds)
