@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, mixing, simhash, suffix, toxicity
-from quarry.llm.common import DOCUMENT_COLUMNS, sampled_labels, shared_folder, table
+from quarry.llm import bpe, mixing, nearcopies, suffix, toxicity
+from quarry.llm.common import DOCUMENT_COLUMNS, sampled_labels, saved, shared_folder, table
 
 VOCABULARY = "word_bpe_49k.json"
 # Of all tokens, the share that the mixture takes; a document comes at most mixing.MAX_EPOCHS times.
@@ -24,10 +24,12 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the smallest id stays; rows without an id, which no class can name, stay."""
-    first = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi")
-    return named.unionByName(docs.where("doc_id is null")).select(*DOCUMENT_COLUMNS)
+    """Of each class of near copies (Jaccard of five-word shingles 0.8 or more) one row stays: that with the smallest id, a row without an id only if
+    the class has no other."""
+    rows = saved(docs.withColumn("row", F.monotonically_increasing_id()))
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    first = nearcopies.classes(rows).groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.row").alias("row"))
+    return rows.join(first, "row", "left_semi").select(*DOCUMENT_COLUMNS)
 
 
 def repeats_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
