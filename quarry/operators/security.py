@@ -14,16 +14,19 @@ PLACEHOLDER = r"(?i)(example|placeholder|changeme|your[_-]|xxxx|dummy|\*\*\*|<[a
 
 
 def scan_secrets(lines: DataFrame, min_entropy: float = 3.2) -> DataFrame:
-    """(repo_id, path, line_no, rule_id, severity, confidence, masked_value): first hit of each rule in a line. Placeholders are passed over; a
-    generic value needs min_entropy bits a character; example and test paths lower the confidence."""
-    hit = lambda rule, pattern: F.regexp_extract("line", pattern, 0)
-    rows = [F.struct(F.lit(r).alias("rule_id"), F.lit(s).alias("severity"), F.lit(c).alias("confidence"), hit(r, p).alias("value")) for r, p, s, c in fixed.SECRETS]
-    found = lines.where(F.length("line") <= LONGEST_LINE).select("repo_id", "path", "line_no", F.explode(F.array(*rows)).alias("h")).select("repo_id", "path", "line_no", "h.*").where("value <> ''")
+    """(repo_id, path, line_no, rule_id, severity, confidence, masked_value, value_hash): every hit of each rule, in lines of any length. Placeholders are
+    passed over hit by hit; a generic value needs min_entropy bits a character; example and test paths lower the confidence."""
+
+    def hits(rule: str, pattern: str, severity: str, confidence: float) -> Column:
+        values = F.regexp_extract_all("line", F.lit(pattern), F.lit(0))
+        return F.transform(values, lambda v: F.struct(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), F.lit(confidence).alias("confidence"), v.alias("value")))
+
+    found = lines.select("repo_id", "path", "line_no", F.explode(F.concat(*[hits(*x) for x in fixed.SECRETS])).alias("h")).select("repo_id", "path", "line_no", "h.*")
     inner = F.regexp_extract("value", "[\"']([^\"']*)[\"']", 1)
     real = ~F.col("value").rlike(PLACEHOLDER) & ((F.col("rule_id") != "generic_secret") | (entropy(inner) >= min_entropy))
     doubtful = is_test_path("path") | F.lower("path").contains("example")
     value = F.when(F.col("rule_id") == "generic_secret", inner).otherwise(F.col("value"))
-    return found.where(real).select("repo_id", "path", "line_no", "rule_id", "severity", (F.col("confidence") * F.when(doubtful, 0.5).otherwise(1.0)).alias("confidence"), masked(value).alias("masked_value"))
+    return found.where(real).select("repo_id", "path", "line_no", "rule_id", "severity", (F.col("confidence") * F.when(doubtful, 0.5).otherwise(1.0)).alias("confidence"), masked(value).alias("masked_value"), F.sha2(value, 256).alias("value_hash"))
 
 
 def scan_patterns(lines: DataFrame, files: DataFrame) -> DataFrame:
@@ -41,8 +44,8 @@ def scan_patterns(lines: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def dedupe_findings(findings: DataFrame) -> DataFrame:
-    """Of findings with the same file, line and masked value the surest; ties to the first rule."""
-    place = F.row_number().over(Window.partitionBy("repo_id", "path", "line_no", "masked_value").orderBy(F.desc("confidence"), "rule_id"))
+    """Of findings with the same file, line and value the surest; ties to the first rule."""
+    place = F.row_number().over(Window.partitionBy("repo_id", "path", "line_no", "value_hash").orderBy(F.desc("confidence"), "rule_id"))
     return findings.withColumn("place", place).where("place = 1").drop("place")
 
 

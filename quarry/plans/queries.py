@@ -167,7 +167,7 @@ register("g40_corpus_matches", lambda t: rounded(similarity.best_matches(
 
 # -- security
 
-register("g33_secrets", lambda t: rounded(security.dedupe_findings(security.scan_secrets(lines.lines_of(t("files")))), "confidence"))
+register("g33_secrets", lambda t: rounded(security.dedupe_findings(security.scan_secrets(lines.lines_of(t("files")))).drop("value_hash"), "confidence"))
 register("g35_security_score", lambda t: rounded(security.security_score(security.dedupe_findings(security.scan_secrets(lines.lines_of(t("files")))), t("files").select("repo_id").distinct()), "score"))
 register("g32_patterns", lambda t: rounded(security.scan_patterns(lines.lines_of(t("files")), classify.classified(t("files"))), "confidence"),
     f", {SQL_LINES}, {SQL_CLASSIFIED}, k as (select a.repo_id, a.path, line_no, line, language from all_lines a join classified c on a.repo_id = c.repo_id and a.path = c.path where category in ({listed(fixed.CODE_CATEGORIES)}) and length(line) <= 4000 and not regexp_matches(line, '^\\s*(#|//|\\*)')) "

@@ -29,3 +29,12 @@ def test_loader_pattern_equals_lookahead():
     for _ in range(20000):
         text = "yaml.load(" + "".join(rng.choice(["L", "o", "a", "der", "Loader", " ", "=", ")", "x"]) for _ in range(rng.randint(0, 9)))
         assert bool(ours.search(text)) == bool(theirs.search(text)), text
+
+
+def test_every_secret_of_a_line_of_any_length(spark):
+    first, second = "AKIA" + "ABCDEFGHIJ234567", "AKIA" + "ABZZEFGHIJ234567"
+    fake = 'api_key = "your_key_example_here" '
+    rows = [("r", "a.json", "x " * 2500 + first), ("r", "b.py", f"{first} {second} {first}"), ("r", "c.py", fake + 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"')]
+    files = spark.createDataFrame(rows, "repo_id string, path string, text string")
+    found = security.dedupe_findings(security.scan_secrets(lines.lines_of(files))).collect()
+    assert sorted((r.path, r.rule_id) for r in found) == [("a.json", "aws_access_key_id"), ("b.py", "aws_access_key_id"), ("b.py", "aws_access_key_id"), ("c.py", "generic_secret")]
