@@ -20,7 +20,7 @@ VIEWS = {
         "documents",
         {
             "repo_id": "source",
-            "path": "case doc_id % 7 when 0 then 'README.md' when 1 then 'docs/readme.md' when 2 then 'src/api/mod' || doc_id || '.py' when 3 then 'src/services/jobs/run' || doc_id || '.py' when 4 then 'tests/e2e/test_run' || (doc_id - 1) || '.py' when 5 then 'tests/test_x' || doc_id || '.py' else 'web/pages/p' || doc_id || '.ts' end",
+            "path": "case doc_id % 7 when 0 then 'p' || doc_id || '/README.md' when 1 then 'docs/p' || doc_id || '/readme.md' when 2 then 'src/api/mod' || doc_id || '.py' when 3 then 'src/services/jobs/run' || doc_id || '.py' when 4 then 'tests/e2e/test_run' || (doc_id - 1) || '.py' when 5 then 'tests/test_x' || doc_id || '.py' else 'web/pages/p' || doc_id || '.ts' end",
             "text": """'# Setup and usage of ' || doc_id || chr(10) || 'def ' || case doc_id % 5 when 0 then 'tmp' when 1 then 'x1' when 2 then 'load_rows' else 'run' || doc_id end || '(a, b):' || chr(10) || '    try:' || chr(10) || '        if a and b:' || chr(10)
                 || '            ' || replace(text, chr(10), chr(10) || '            ') || chr(10) || 'class Store' || (doc_id % 11) || ':' || chr(10) || '    # here is the step' || chr(10) || '    def save(self):' || chr(10) || '        return React.x or self'""",
         },

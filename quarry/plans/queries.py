@@ -274,8 +274,8 @@ bodies as (select f.*, line_no, line from found f join all_lines a on f.repo_id
 
 
 def _code(t) -> DataFrame:
-    """Files of the view `code`, one for each path of a repository."""
-    return t("code").groupBy("repo_id", "path").agg(F.min("text").alias("text"))
+    """Files of the view `code`; each document has a path of its own."""
+    return t("code")
 
 
 def _found(t) -> DataFrame:

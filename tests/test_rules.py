@@ -38,3 +38,11 @@ def test_every_secret_of_a_line_of_any_length(spark):
     files = spark.createDataFrame(rows, "repo_id string, path string, text string")
     found = security.dedupe_findings(security.scan_secrets(lines.lines_of(files))).collect()
     assert sorted((r.path, r.rule_id) for r in found) == [("a.json", "aws_access_key_id"), ("b.py", "aws_access_key_id"), ("b.py", "aws_access_key_id"), ("c.py", "generic_secret")]
+
+
+def test_each_document_is_a_file_of_its_own(spark, tmp_path):
+    from quarry.plans.queries import QUERIES
+
+    rows = [(i, f"text {i}", "en", "s", 6) for i in range(28)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert QUERIES["g2_entities"](spark, str(tmp_path)).select("path").distinct().count() == 28
