@@ -1,12 +1,16 @@
 """What several operators share: reading, checkpoints, numbers of partitions."""
 
 import ctypes
+import re
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+BATCH_BYTES = 8 << 20
+# A model is learnt from at most so many bytes of packed features, whatever the length of the sampled texts.
+MAX_FIT_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,13 +18,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own only where the session names none, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where the session names none and runs in one process.
+
+    A cluster without that setting is an error: what one machine writes in a folder of its own no other could read again."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not re.match(r"local($|\[)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="/tmp/spark-"))
     return context.getCheckpointDir()
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session that hands rows to Python workers in batches of BATCH_BYTES or less (a longer row comes alone)."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.match(r"\d+", conf.get(name)).group()) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def saved(df: DataFrame) -> DataFrame:
     """df, written to the folder that driver and executors share (spark.checkpoint.dir), with its lineage cut."""
     shared_folder(df.sparkSession)
@@ -43,10 +59,16 @@ def sampled_labels(labels: DataFrame, train: Column, rows: int, balanced: bool =
     return F.broadcast(first(clean, rows))
 
 
-def gathered(encoded: DataFrame):
-    """(doc_id, f, y) of the sample on the driver, in order of doc_id, a document once however often its row is repeated."""
-    got = encoded.groupBy("doc_id").agg(F.min(F.struct("f", "y")).alias("s")).select("doc_id", "s.f", "s.y").toArrow()
-    return got.sort_by("doc_id")
+def gathered(encoded: DataFrame, max_bytes: int = MAX_FIT_BYTES):
+    """(doc_id, f, y) of the sample on the driver, in order of doc_id, a document once however often its row is repeated.
+
+    f is packed features. Documents come in order of a hash while their features have at most max_bytes together; one with more than a
+    hundredth of that is passed over, so that no single text crowds out the others."""
+    own = saved(encoded.groupBy("doc_id").agg(F.min(F.struct("f", "y")).alias("s")).select("doc_id", "s.f", "s.y"))
+    sizes = own.select("doc_id", F.length("f").alias("n")).where(F.col("n") <= max_bytes // 100)
+    ahead = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # a row for each sampled document, with its size alone
+    few = sizes.withColumn("ahead", ahead).where(F.col("ahead") <= max_bytes).select("doc_id")
+    return own.join(F.broadcast(few), "doc_id").toArrow().sort_by("doc_id")
 
 
 def release() -> None:

@@ -8,6 +8,7 @@
 
 N-grams are words, pairs of words, and runs of one to three token shapes (lower, Title, UPPER, digits, the symbols themselves)."""
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textfeatures
-from .common import crc_part, gathered, sampled_labels
+from .common import crc_part, gathered, release, sampled_labels, small_batches
 
 HASH_BITS = 18
 MAX_FIT_ROWS = 12_000
@@ -26,6 +27,7 @@ COST = 0.1
 EPOCHS = 12
 THRESHOLD = 0.7
 NEUTRAL = 0.5
+OVERLAP = 1024
 
 
 def features(texts: list[bytes], bits: int = HASH_BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -50,6 +52,24 @@ def features(texts: list[bytes], bits: int = HASH_BITS) -> tuple[np.ndarray, np.
     return (key >> np.uint64(bits)).astype(np.int64), (key & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
+# Where a long text may be cut: after white space.
+_ENDS = re.compile(rb"[\s\0]")
+
+
+def features_of(texts: list[bytes], bits: int = HASH_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """features() of a run of texts, or of a single long one read in pieces; each piece repeats the end of the one before, so n-grams that go
+    over a cut are counted."""
+    if len(texts) > 1 or len(texts[0]) <= textfeatures.CHUNK_BYTES:
+        return features(texts, bits)
+    seen = np.zeros(1 << bits, dtype=bool)
+    for a, b, _ in textfeatures.pieces(texts[0], _ENDS):
+        back = texts[0][max(0, a - OVERLAP) : a]
+        at = a - len(back) + (back.find(b" ") + 1 if a > OVERLAP else 0)
+        seen[features([texts[0][at:b]], bits)[1]] = True
+    found = np.flatnonzero(seen)
+    return np.zeros(len(found), np.int64), found
+
+
 @dataclass
 class Model:
     weights: np.ndarray
@@ -59,7 +79,7 @@ class Model:
     bits: int
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        doc, feature = features(texts, self.bits)
+        doc, feature = features_of(texts, self.bits)
         margin = np.bincount(doc, weights=self.weights[feature], minlength=len(texts)) + self.bias
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30)))
 
@@ -114,11 +134,11 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = HASH_BITS) -> Model | No
             texts = textfeatures.as_bytes(batch.column(1))
             packed = []
             for a, b in textfeatures.chunks(texts):
-                doc, feature = features(texts[a:b], bits)
+                doc, feature = features_of(texts[a:b], bits)
                 packed += [x.astype("<i4").tobytes() for x in np.split(feature, np.searchsorted(doc, np.arange(1, b - a)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), batch.column(2)], names=["doc_id", "f", "y"])
 
-    got = gathered(sample.select("doc_id", "text", "y").mapInArrow(encode, "doc_id long, f binary, y int"))
+    got = gathered(small_batches(sample).select("doc_id", "text", "y").mapInArrow(encode, "doc_id long, f binary, y int"))
     y = np.array(got.column("y").to_pylist(), dtype=np.int64)
     if len(set(y.tolist())) < 2:
         return None
@@ -139,7 +159,9 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = HASH_BITS) -> Model | No
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs (doc_id, text) with score and predicted; null is scored as empty. Without a model the score is NEUTRAL."""
+    """docs (doc_id, text) with score and predicted; null is scored as empty. Without a model the score is NEUTRAL.
+
+    A text of more than a megabyte is read in pieces; it has the n-grams of all of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,9 +170,11 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             if model is not None:
                 for a, b in textfeatures.chunks(texts):
                     got[a:b] = model.scores(texts[a:b])
+            del texts
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got)], names=["doc_id", "score"])
+        release()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double").withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double").withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, train: Column, max_fit_rows: int = MAX_FIT_ROWS) -> DataFrame:

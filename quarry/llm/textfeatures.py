@@ -3,12 +3,16 @@
 A token is a maximal run of letters (A-Z, a-z, any byte from 128), of digits, or of other visible characters. The hash of a run
 is the difference of two prefix sums of byte * BASE^position (mod 2^64), times BASE^-start: equal runs have equal hashes wherever they stand."""
 
+import re
+
 import numpy as np
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 MIX = np.uint64(0xBF58476D1CE4E5B9)
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+
+_SPACE = re.compile(rb"\s")
 
 _KIND = np.full(256, 3, dtype=np.uint8)  # 0 space, 1 letter, 2 digit, 3 other
 _KIND[[32, 9, 10, 11, 12, 13, 0]] = 0
@@ -80,3 +84,16 @@ def chunks(texts: list[bytes]):
 def as_bytes(column) -> list[bytes]:
     """UTF-8 bytes of an Arrow string column; null is empty."""
     return [b"" if x is None else x.encode("utf-8", "surrogatepass") for x in column.to_pylist()]
+
+
+def pieces(text: bytes, ends: re.Pattern, size: int = CHUNK_BYTES):
+    """(begin, end, whole) of stretches of at most size bytes that cover a text, each cut after the last match of ends in it, else after its last
+    white space, else anywhere. whole: whether the stretch ends at a match of ends or with the text."""
+    at = 0
+    while len(text) - at > size:
+        part = text[at : at + size]
+        stop = max((m.end() for m in ends.finditer(part)), default=0)
+        cut = stop or max((m.end() for m in _SPACE.finditer(part)), default=size)
+        yield at, at + cut, bool(stop)
+        at += cut
+    yield at, len(text), True

@@ -5,16 +5,18 @@ likelihood of the document labels through the noisy-or, so weight goes to the se
 same model then says which sentences offend. Features are the hashed words of the sentence and the beginnings of its words, as
 offending words also stand in inflected and compound forms; those of too few documents are left out."""
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textfeatures
-from .common import gathered, sampled_labels
+from .common import gathered, release, sampled_labels, small_batches
 
 HASH_BITS = 18
 MAX_FIT_ROWS = 5_000  # labelled rows that a model is learnt from, at most half of them toxic
@@ -27,6 +29,8 @@ THRESHOLD = 0.7
 SENTENCE_THRESHOLD = 0.5
 NEUTRAL = 0.0
 
+# Ends of sentences, as sentences() cuts them.
+_ENDS = re.compile(rb"[.!?](?=[ \t-\r\0])|[\n\r\0]")
 _STOP = np.zeros(256, dtype=bool)
 _STOP[[ord(c) for c in ".!?\n\r\0"]] = True
 
@@ -60,23 +64,76 @@ def sentences(texts: list[bytes], bits: int = HASH_BITS):
     return doc, start - base, end - base, rows, features
 
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 @dataclass
 class Model:
     weights: np.ndarray
     bias: float
     bits: int
 
-    def instances(self, texts: list[bytes]):
+    def _sums(self, texts: list[bytes]):
         doc, start, end, rows, features = sentences(texts, self.bits)
-        z = np.bincount(rows, weights=self.weights[features], minlength=len(doc)) + self.bias
-        return doc, start, end, 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return doc, start, end, np.bincount(rows, weights=self.weights[features], minlength=len(doc))
+
+    def _long(self, text: bytes):
+        """(start, end, sum of weights) of the sentences of a text that is read in pieces; a sentence may go over several."""
+        start, end, total, open_ = [], [], [], False
+        for a, b, whole in textfeatures.pieces(text, _ENDS):
+            _, s, e, z = self._sums([text[a:b]])
+            if open_ and len(s) and not _ENDS.search(text, a, a + int(s[0])):
+                end[-1], total[-1] = int(e[0]) + a, total[-1] + z[0]
+                s, e, z = s[1:], e[1:], z[1:]
+            open_ = (not whole) and (open_ or len(s) > 0)
+            start, end, total = start + (s + a).tolist(), end + (e + a).tolist(), total + z.tolist()
+        return np.array(start, np.int64), np.array(end, np.int64), np.array(total)
 
     def scores(self, texts: list[bytes]):
-        doc, start, end, p = self.instances(texts)
+        """(score of each text, (text, start, end, probability) of its sentences)."""
+        if len(texts) == 1 and len(texts[0]) > textfeatures.CHUNK_BYTES:
+            start, end, z = self._long(texts[0])
+            doc = np.zeros(len(z), np.int64)
+        else:
+            doc, start, end, z = self._sums(texts)
+        p = _sigmoid(z + self.bias)
         clean = np.bincount(doc, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(texts))
         return -np.expm1(clean), (doc, start, end, p)
 
 
+def gradient(w: np.ndarray, bias: float, rows: np.ndarray, features: np.ndarray, bag: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, float]:
+    """(loss, its gradient by w, by bias): mean weighted negative log likelihood of document labels y under the noisy-or.
+
+    (rows, features): which sentence has which feature; bag: the document of each sentence; a document without sentences has probability zero."""
+    many = len(y)
+    p = _sigmoid(np.bincount(rows, weights=w[features], minlength=len(bag)) + bias)
+    clean = np.bincount(bag, weights=np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=many)
+    whole = np.clip(-np.expm1(clean), 1e-9, 1 - 1e-9)
+    loss = -np.mean(weight * np.where(y == 1, np.log(whole), np.log1p(-whole)))
+    # d loss / d z: p for clean documents, -p (1 - P) / P for toxic ones
+    g = weight[bag] * p * np.where(y[bag] == 1, -(1 - whole[bag]) / whole[bag], 1.0) / many
+    return float(loss), np.bincount(features, weights=g[rows], minlength=len(w)), float(g.sum())
+
+
+def pack(rows: np.ndarray, features: np.ndarray) -> bytes:
+    """The features of a document's sentences, each once a sentence, compressed: how many each sentence has, then the features, four bytes each."""
+    if not len(rows):
+        return b""
+    key = np.unique(np.unique(rows, return_inverse=True)[1].astype(np.int64) << 32 | features)
+    counts = np.bincount(key >> 32)
+    fields = (np.array([len(counts)]), counts, key & 0xFFFFFFFF)
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(x.astype("<u4").tobytes() for x in fields))
+
+
+def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(features of each sentence, features) as pack() took them."""
+    if not data:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<u4").astype(np.int64)
+    return raw[1 : 1 + raw[0]], raw[1 + raw[0] :]
+
+
 def fit(docs: DataFrame, labels: DataFrame, bits: int = HASH_BITS) -> Model | None:
     """A model of the texts of docs (doc_id, text) that labels (doc_id, y), of bounded size, names. None without rows of both classes."""
     sample = docs.select(F.col("doc_id").cast("long"), "text").join(labels, "doc_id")
@@ -86,57 +143,66 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = HASH_BITS) -> Model | No
             texts = textfeatures.as_bytes(batch.column(1))
             packed = []
             for a, b in textfeatures.chunks(texts):
+                if len(texts[a]) > textfeatures.CHUNK_BYTES:
+                    packed.append(_pack_long(texts[a], bits))
+                    continue
                 doc, _, _, rows, features = sentences(texts[a:b], bits)
                 order = np.argsort(rows, kind="stable")
                 rows, features = rows[order], features[order]
                 of = doc[rows]
                 for i in range(b - a):
                     lo, hi = np.searchsorted(of, i), np.searchsorted(of, i, side="right")
-                    packed.append(np.unique(np.unique(rows[lo:hi], return_inverse=True)[1].astype(np.int64) << bits | features[lo:hi]).astype("<i8").tobytes())
+                    packed.append(pack(rows[lo:hi], features[lo:hi]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), batch.column(2)], names=["doc_id", "f", "y"])
 
-    got = gathered(sample.select("doc_id", "text", "y").mapInArrow(encode, "doc_id long, f binary, y int"))
+    got = gathered(small_batches(sample).select("doc_id", "text", "y").mapInArrow(encode, "doc_id long, f binary, y int"))
     y = np.array(got.column("y").to_pylist(), dtype=np.float64)
     if len(set(y.tolist())) < 2:
         return None
-    bags = [np.frombuffer(x, dtype="<i8") for x in got.column("f").to_pylist()]
-    sizes = [int(x[-1] >> bits) + 1 if len(x) else 0 for x in bags]
-    shift = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-    bag = np.repeat(np.arange(len(bags)), sizes)
-    lengths = [len(x) for x in bags]
-    flat = np.concatenate(bags)
+    counts, features = zip(*map(unpack, got.column("f").to_pylist()))
     del got
+    bag = np.repeat(np.arange(len(y)), [len(c) for c in counts])
     documents = np.zeros(1 << bits, dtype=np.int32)
-    for x in bags:
-        documents[np.unique(x & ((1 << bits) - 1))] += 1
+    for x in features:
+        documents[np.unique(x)] += 1
     used = np.flatnonzero(documents >= LEAST_DOCUMENTS)
     place = np.full(1 << bits, -1, dtype=np.int32)
     place[used] = np.arange(len(used))
-    features = place[flat & ((1 << bits) - 1)]
+    features = place[np.concatenate(features)]
     kept = features >= 0
-    many = len(bags)
-    del bags
-    rows = ((flat >> bits).astype(np.int32) + np.repeat(shift.astype(np.int32), lengths))[kept]
+    rows = np.repeat(np.arange(len(bag), dtype=np.int32), np.concatenate(counts))[kept]
     features = features[kept]
-    del flat, kept
-    w, bias = np.zeros(len(used)), -4.0
-    m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
+    del kept
+    w, bias = train(rows, features, bag, y, len(used))
+    weights = np.zeros(1 << bits)
+    weights[used] = w
+    return Model(weights, float(bias), bits)
+
+
+def _pack_long(text: bytes, bits: int) -> bytes:
+    rows, features, at = [], [], 0
+    for a, b, _ in textfeatures.pieces(text, _ENDS):
+        doc, _, _, r, f = sentences([text[a:b]], bits)
+        rows.append(r + at)
+        features.append(f)
+        at += len(doc)
+    return pack(np.concatenate(rows), np.concatenate(features))
+
+
+def train(rows: np.ndarray, features: np.ndarray, bag: np.ndarray, y: np.ndarray, many: int, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+    """(weights of many features, bias): Adam steps on gradient(), with a pull of size L1 to zero."""
+    w, bias = np.zeros(many), -4.0
+    m, v = np.zeros(many + 1), np.zeros(many + 1)
     weight = np.minimum(np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())), 5.0)
-    for k in range(1, ROUNDS + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, weights=w[features], minlength=len(bag)) + bias, -30, 30)))
-        clean = np.bincount(bag, weights=np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=many)
-        whole = np.clip(-np.expm1(clean), 1e-9, 1 - 1e-9)
-        # d loss / d z: p for clean documents, -p (1 - P) / P for toxic ones
-        g = weight[bag] * p * np.where(y[bag] == 1, -(1 - whole[bag]) / whole[bag], 1.0) / many
-        grad = np.concatenate((np.bincount(features, weights=g[rows], minlength=len(used)), [g.sum()]))
+    for k in range(1, rounds + 1):
+        _, by_w, by_bias = gradient(w, bias, rows, features, bag, y, weight)
+        grad = np.concatenate((by_w, [by_bias]))
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         scale = STEP / (np.sqrt(v / (1 - 0.999**k)) + 1e-6)
         w -= scale[:-1] * m[:-1] / (1 - 0.9**k)
         w = np.sign(w) * np.maximum(np.abs(w) - L1 * scale[:-1], 0)  # features without steady evidence stay at zero
         bias -= scale[-1] * m[-1] / (1 - 0.9**k)
-    weights = np.zeros(1 << bits)
-    weights[used] = w
-    return Model(weights, float(bias), bits)
+    return w, bias
 
 
 OFFENDING = "array<struct<start:int,end:int,score:double>>"
@@ -145,23 +211,27 @@ OFFENDING = "array<struct<start:int,end:int,score:double>>"
 def score(docs: DataFrame, model: Model | None, located_from: float = SENTENCE_THRESHOLD, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of docs (text and others) with score, predicted and offending: byte spans of the sentences of at least located_from, in order of place.
 
-    Null is scored as empty; a text without words scores zero."""
+    Null is scored as empty; a text without words scores zero. A text of more than a megabyte is read in pieces cut between sentences or, within a
+    longer one, between words; its score is that of the whole."""
+    given = [*columns] if "text" in columns else [*columns, "text"]
+    at = given.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
         for batch in batches:
-            texts = textfeatures.as_bytes(batch.column(0))
+            texts = textfeatures.as_bytes(batch.column(at))
             got, spans = np.full(len(texts), NEUTRAL), [[] for _ in texts]
             if model is not None:
                 for a, b in textfeatures.chunks(texts):
                     got[a:b], (doc, start, end, p) = model.scores(texts[a:b])
                     for i in np.flatnonzero(p >= located_from):
                         spans[a + doc[i]].append({"start": int(start[i]), "end": int(end[i]), "score": float(p[i])})
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(got), pa.array(spans, kind)], names=[*columns, "score", "offending"])
+            del texts
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(got), pa.array(spans, kind)], names=[*columns, "score", "offending"])
+        release()
 
-    given = docs.select(F.col("text").alias("whole_text"), *columns)
     schema = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns], "score double", f"offending {OFFENDING}"])
-    return given.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return small_batches(docs).select(*given).mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def detect(docs: DataFrame, labels: DataFrame, train: Column, max_fit_rows: int = MAX_FIT_ROWS) -> DataFrame:
