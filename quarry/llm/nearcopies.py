@@ -1,14 +1,16 @@
-"""Near copies by exact Jaccard similarity of word shingles, found with bands of minima.
+"""Near copies by exact Jaccard similarity of word shingles, found with covering masks of SimHash fingerprints and with bands of minima.
 
 A text's set is the 64-bit hashes of its runs of five words. Two texts are linked if their sets' Jaccard similarity is 0.8 or more, and a class is
-all that links join. Candidates agree on one of 24 bands of five minima: a pair at 0.8 has none with a chance of 0.00007. Each candidate is
-confirmed with the whole sets.
+all that links join. Candidates are pairs whose fingerprints of these runs agree on a covering mask and differ in at most two bits (op4's tables),
+and pairs that agree on one of 24 bands of five minima: a pair at 0.8 has none with a chance of 0.00007. Each candidate is confirmed with the whole sets.
+SimHash alone can't reach 0.8: such pairs differ in about 10 of 64 bits, and a covering family for that radius has 2^11 - 1 masks of half the bits.
 
-Work is per distinct set. Buckets of few are compared pair by pair. In larger ones each is held against the bucket's centre, the member
-with most company; those of them that are not yet in one class meet again in buckets of two bands, and there likewise. So pairs grow with the
-number of texts, not with its square; in a bucket that is large even for two bands only pairs with the centre are looked at."""
+Work is per distinct set. First each member of a bucket is held against the bucket's centre, its least member: that joins most of a class with a pair
+or two a text. Then pairs of a bucket that are still in different classes follow, so no pair of a bucket is left out:
+those of small buckets, and in place of large ones those of buckets of two bands. There the members outside the largest class meet all others."""
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -17,17 +19,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
-from .simhash import components
+from .common import release, saved, small_batches
+from .simhash import components, links, majority
 
 SEED = 42
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS, BAND_ROWS = 24, 5
 PAIRWISE_LIMIT = 32
-STEPS = (1, 7)
+# A pair at 0.8 agrees on about eight bands; two of them are so many places apart, but for a chance below 0.0001.
+STEPS = (1, 2, 3, 5, 7, 11)
 # Pairs that one copy of a set is joined with.
 PAIRS_A_COPY = 64
+SALTS = 16
 
 _draw = np.random.default_rng(SEED)
 _FACTORS = _draw.integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -55,9 +59,15 @@ def band_keys(hashes: np.ndarray) -> list[int]:
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [shingles(x.as_py()) for x in batch.column(2)]
-        digests = pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), digests, pa.array(map(band_keys, sets), pa.list_(pa.int64()))], names=["row", "doc_id", "digest", "keys"])
+        digests, prints, keys = [], [], []
+        for x in batch.column(2):
+            own = shingles(x.as_py())
+            digests.append(xxhash.xxh128_digest(own.tobytes()))
+            prints.append(majority(own))
+            keys.append(band_keys(own))
+        columns = [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "digest", "fp", "keys"])
+    release()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,16 +88,31 @@ def _confirmed(similarity: float):
     return run
 
 
-def _met(tables: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
-    """tables: (node, v, key). Candidates (a, b), a > b, and the rows that are in buckets beyond the limit."""
-    sizes = tables.groupBy("v", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = saved(tables.join(sizes, ["v", "key"]))
-    few, large = met.where(F.col("n") <= limit), met.where(F.col("n") > limit)
-    pairs = few.select("v", "key", F.col("node").alias("a")).join(few.select("v", "key", F.col("node").alias("b")), ["v", "key"]).where("a > b")
-    company = large.groupBy("node").agg(F.sum("n").alias("company"))
-    centres = large.join(company, "node").groupBy("v", "key").agg(F.max(F.struct("company", (-F.col("node")).alias("minus"))).alias("c")).select("v", "key", (-F.col("c.minus")).alias("centre"))
-    stars = large.join(centres, ["v", "key"]).where("node <> centre").select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b"))
-    return pairs.select("a", "b").unionByName(stars).distinct(), large
+def _buckets(tables: DataFrame) -> DataFrame:
+    """tables: (node, v, key) with n, the size of the bucket, and centre, its least node; buckets of one are left out. Keys are grouped before they are joined."""
+    sizes = tables.groupBy("v", "key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("centre")).where("n > 1")
+    return tables.join(sizes, ["v", "key"])
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b), a > b, whose nodes are not in one class; roots: (node, root)."""
+    for side in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
+    return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b").distinct()
+
+
+def _all_pairs(small: DataFrame) -> DataFrame:
+    """Pairs of the members of buckets whose size the caller bounds."""
+    return small.select("v", "key", F.col("node").alias("a")).join(small.select("v", "key", F.col("node").alias("b")), ["v", "key"]).where("a > b").select("a", "b")
+
+
+def _outsiders(large: DataFrame, roots: DataFrame) -> DataFrame:
+    """In each bucket, pairs of a member outside the bucket's largest class with every member of another class."""
+    own = large.select("v", "key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    most = own.groupBy("v", "key", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("v", "key").agg(F.max_by("root", F.struct("m", "root")).alias("largest"))
+    outside = own.join(most, ["v", "key"]).where("root <> largest").select("v", "key", F.col("node").alias("x"), F.col("root").alias("root_x"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    met = own.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(outside, ["v", "key", "salt"]).where("root <> root_x")
+    return met.select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b"))
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
@@ -102,25 +127,27 @@ def confirmed(pairs: DataFrame, rows: DataFrame, similarity: float = SIMILARITY)
     """Those of pairs (a, b) of row keys whose sets reach the similarity."""
     pairs = saved(pairs)
     nodes = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
-    sets = saved(rows.select("row", "text").join(nodes, "row", "left_semi").mapInArrow(_sets, "node long, hashes binary"))
+    sets = saved(small_batches(rows).select("row", "text").join(nodes, "row", "left_semi").mapInArrow(_sets, "node long, hashes binary"))
     both = _with_sets(_with_sets(pairs, sets, "a"), sets, "b")
     return saved(both.select("a", "b", "hashes_a", "hashes_b").mapInArrow(_confirmed(similarity), "a long, b long"))
 
 
 def classes(rows: DataFrame, similarity: float = SIMILARITY, pairwise_limit: int = PAIRWISE_LIMIT) -> DataFrame:
     """rows: row (a long of its own for each), doc_id, text. (row, doc_id, root): rows of one class have one root. Texts without words are one class."""
-    own = saved(rows.select("row", F.col("doc_id").cast("long"), "text").mapInArrow(_sketches, "row long, doc_id long, digest binary, keys array<long>"))
-    nodes = saved(own.groupBy("digest").agg(F.min("row").alias("node"), F.first("keys").alias("keys")))
-    candidates, large = _met(nodes.select("node", F.posexplode("keys").alias("v", "key")), pairwise_limit)
-    edges = confirmed(candidates, rows, similarity)
+    own = saved(small_batches(rows).select("row", F.col("doc_id").cast("long"), "text").mapInArrow(_sketches, "row long, doc_id long, digest binary, fp long, keys array<long>"))
+    nodes = saved(own.groupBy("digest").agg(F.min("row").alias("node"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    tables = saved(_buckets(nodes.select("node", F.posexplode("keys").alias("v", "key"))))
+    by_fp = nodes.groupBy("fp").agg(F.min("node").alias("first"))
+    near = links(by_fp.select(F.col("first").alias("node"), "fp")).unionByName(nodes.join(by_fp, "fp").where("node > first").select(F.col("node").alias("a"), F.col("first").alias("b")))
+    stars = tables.where("node > centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
+    edges = confirmed(stars.unionByName(near).distinct(), rows, similarity)
     roots = saved(components(edges))
-    dense = nodes.join(large.select("node").distinct(), "node", "left_semi")
+    large = F.col("n") > pairwise_limit
+    dense = nodes.join(tables.where(large).select("node").distinct(), "node", "left_semi")
     twice = F.array(*[F.xxhash64(F.element_at("keys", v + 1), F.element_at("keys", (v + s) % BANDS + 1)) for s in STEPS for v in range(BANDS)])
-    again, _ = _met(dense.select("node", F.posexplode(twice).alias("v", "key")), pairwise_limit)
-    for side in ("a", "b"):
-        again = again.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
-    apart = again.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    more = confirmed(apart, rows, similarity)
+    finer = _buckets(dense.select("node", F.posexplode(twice).alias("v", "key")))
+    rest = [_all_pairs(tables.where(~large)), _all_pairs(finer.where(~large)), _outsiders(finer.where(large), roots)]
+    more = confirmed(_apart(reduce(DataFrame.unionByName, rest), roots), rows, similarity)
     if not more.isEmpty():
         roots = saved(components(edges.unionByName(more)))
     found = nodes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, small_batches
 
 SEED = 42
 BITS = 64
@@ -39,7 +39,11 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED)
     else:
         starts, ends = starts[:1], ends[-1:]
     pieces = map(joined.__getitem__, map(slice, starts.tolist(), ends.tolist()))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(seed)), dtype="<u8", count=len(starts))
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(seed)), dtype="<u8", count=len(starts)))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A signed 64-bit number whose bits are those set in over half of hashes; zero for none."""
     ones = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashes), 4096):
         part = np.ascontiguousarray(hashes[at : at + 4096]).view(np.uint8).reshape(-1, 8)
@@ -58,7 +62,7 @@ def _fingerprint_batches(words: int, seed: int):
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
     """(doc_id, fp long), a row for each input row."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprint_batches(words, seed), "doc_id long, fp long")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprint_batches(words, seed), "doc_id long, fp long")
 
 
 def covering_masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
@@ -77,6 +81,8 @@ def _signed(x: int) -> int:
 
 def links(nodes: DataFrame, radius: int = RADIUS, pairwise_limit: int = PAIRWISE_LIMIT) -> DataFrame:
     """nodes: (node, fp), fp distinct. Edges (a, b), a > b, whose closure joins all fingerprints within the radius."""
+    if radius % 2:
+        raise ValueError("points between two fingerprints need an even radius")
     masks = covering_masks(radius)
     tables = nodes.select("node", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("v", "key"))
     sizes = tables.groupBy("v", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -90,8 +96,6 @@ def links(nodes: DataFrame, radius: int = RADIUS, pairwise_limit: int = PAIRWISE
     changes = [[0] + [_signed(sum(1 << i for i in c)) for k in range(1, (radius + 1) // 2 + 1) for c in combinations([i for i in range(BITS) if not m >> i & 1], k)] for m in masks]
     flips = F.element_at(F.array(*[F.array(*[F.lit(x) for x in c]) for c in changes]), F.col("v") + 1)
     points = met.where(F.col("n") > pairwise_limit).select("node", "fp", F.explode(flips).alias("x")).select("node", F.col("fp").bitwiseXOR(F.col("x")).alias("point")).distinct()
-    if radius % 2:
-        raise ValueError("points between two fingerprints need an even radius")
     first = points.groupBy("point").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("point", "b")
     stars = points.join(first, "point").where(F.col("node") > F.col("b")).select(F.col("node").alias("a"), "b")
     return pairs.unionByName(stars).distinct()
