@@ -68,11 +68,12 @@ def mix(docs: DataFrame, budget: Column | None = None, levels: tuple[str, ...] =
 
     budget is an expression over `available`, the number of all tokens; without it, that number itself. Tokens are words. A null level is
     the empty name; null and empty texts have no tokens and come with any epoch that passes them; a null doc_id orders like an empty one.
-    taken is less than tokens only for the document in which a leaf's budget ends. Repeated rows are documents of their own."""
+    taken is less than tokens only for the document in which a leaf's budget ends. Repeated rows are documents of their own; rows that agree in
+    leaf, doc_id and tokens are counted together, so one id in very many rows is no large group. A child of weight zero or less gets nothing."""
     keys = list(levels)
-    own = saved(docs.select("doc_id", *[F.coalesce(F.col(x).cast("string"), F.lit("")).alias(x) for x in keys], F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("tokens")))
-    leaves = own.groupBy(*keys).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
-    leaves = saved(leaves)
+    given = (docs.select("doc_id", *[F.coalesce(F.col(x).cast("string"), F.lit("")).alias(x) for x in keys], F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("tokens")))
+    own = saved(given.groupBy("doc_id", *keys, "tokens").agg(F.count(F.lit(1)).alias("copies")))
+    leaves = saved(own.groupBy(*keys).agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.sum("copies").alias("docs")))
     available = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("available")).first().available
     total = F.lit(available) if budget is None else F.lit(docs.sparkSession.range(1).select(F.lit(available).alias("available")).select(budget.cast("long")).first()[0])
     plan = leaf_budgets(leaves, total, levels, weights, max_epochs)
@@ -82,15 +83,21 @@ def mix(docs: DataFrame, budget: Column | None = None, levels: tuple[str, ...] =
     # Each leaf's plan is repeated for every salt, so a leaf that holds much of the corpus is dealt to many tasks.
     salted = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = own.withColumn("salt", F.pmod(F.xxhash64("doc_id", "tokens"), F.lit(SALTS)).cast("int")).join(salted, [*keys, "salt"]).drop("salt")
-    full = rows.where("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("whole") - 1))).select("doc_id", *keys, "epoch", "tokens", F.col("tokens").alias("taken"))
+    full = rows.where("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("whole") - 1))).select("doc_id", *keys, "epoch", "tokens", F.col("tokens").alias("taken"), "copies")
     some = rows.where("rest > 0").withColumn("h", _ordered_hash(F.col("whole"), seed)).withColumn("bucket", F.expr("(h * buckets) div 4294967296"))
-    sums = some.groupBy(*keys, "bucket").agg(F.sum("tokens").alias("n"))
+    both = F.col("tokens") * F.col("copies")
+    sums = some.groupBy(*keys, "bucket").agg(F.sum(both).alias("n"))
     ahead = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("start", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n")
     within = Window.partitionBy(*keys, "bucket").orderBy("h", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, -1)
-    some = some.join(starts, [*keys, "bucket"]).where("start < rest").withColumn("before", F.col("start") + F.coalesce(F.sum("tokens").over(within), F.lit(0)))
-    some = some.where("before < rest").select("doc_id", *keys, F.col("whole").alias("epoch"), "tokens", F.least("tokens", F.col("rest") - F.col("before")).alias("taken"))
-    return full.unionByName(some)
+    some = some.join(starts, [*keys, "bucket"]).where("start < rest").withColumn("before", F.col("start") + F.coalesce(F.sum(both).over(within), F.lit(0)))
+    some = some.where("before < rest").select("doc_id", *keys, F.col("whole").alias("epoch"), "tokens", (F.col("rest") - F.col("before")).alias("room"), "copies")
+    # Of equal rows as many as have room, the last of them cut; rows without tokens all come.
+    one = F.when(F.col("tokens") == 0, F.col("copies")).otherwise(F.least("copies", F.expr("room div tokens")))
+    cut = F.when((F.col("tokens") > 0) & (one < F.col("copies")), F.expr("room % tokens")).otherwise(F.lit(0).cast("long"))
+    shares = F.filter(F.array(F.struct(F.col("tokens").alias("taken"), one.alias("copies")), F.struct(cut.alias("taken"), F.when(cut > 0, 1).otherwise(0).cast("long").alias("copies"))), lambda x: x.copies > 0)
+    some = some.withColumn("share", F.explode(shares)).select("doc_id", *keys, "epoch", "tokens", "share.taken", "share.copies")
+    return full.unionByName(some).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies", "copy")
 
 
 def _case(level: str) -> str:
