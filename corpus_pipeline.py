@@ -12,8 +12,6 @@ from quarry.llm import bpe, mixing, nearcopies, suffix, toxicity
 from quarry.llm.common import DOCUMENT_COLUMNS, sampled_labels, saved, shared_folder, table
 
 VOCABULARY = "word_bpe_49k.json"
-# Of all tokens, the share that the mixture takes; a document comes at most mixing.MAX_EPOCHS times.
-MIXED_SHARE = 0.8
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +22,8 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies (Jaccard of five-word shingles 0.8 or more) one row stays: that with the smallest id, a row without an id only if
-    the class has no other."""
+    """Of each class of near copies (Jaccard of five-word shingles 0.8 or more, see nearcopies) one row stays: that with the smallest id, a row without an id
+    only if the class has no other. Texts without words are one class."""
     rows = saved(docs.withColumn("row", F.monotonically_increasing_id()))
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
     first = nearcopies.classes(rows).groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.row").alias("row"))
@@ -49,14 +47,16 @@ def repeats_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents, as often as the mixture takes them."""
-    taken = mixing.mix(docs.withColumn("domain", mixing.domain_of(F.col("source"))), (F.col("available") * MIXED_SHARE))
-    times = taken.groupBy(F.col("doc_id").alias("taken_id")).agg(F.countDistinct("epoch").alias("times"))
-    return docs.join(times, F.col("doc_id").eqNullSafe(F.col("taken_id"))).withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*DOCUMENT_COLUMNS)
+    """Whole documents, as often as the mixture takes them: as many tokens as there are, so sources above their weight lose documents and those below come
+    up to mixing.MAX_EPOCHS times. Each row counts by itself, whatever its id. A document in which a budget ends comes whole."""
+    rows = saved(docs.withColumn("row", F.monotonically_increasing_id()))
+    taken = mixing.mix(rows.drop("doc_id").withColumnRenamed("row", "doc_id").withColumn("domain", mixing.domain_of(F.col("source"))))
+    times = taken.groupBy(F.col("doc_id").alias("row")).agg(F.countDistinct("epoch").alias("times"))
+    return rows.join(times, "row").withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*DOCUMENT_COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids) of each whole text."""
+    """(doc_id, n_tokens, ids) of each whole text, a row for each row of docs; null and empty texts have no tokens."""
     got = bpe.encode(docs, public_tokenizers.path(VOCABULARY), with_decoded=False)
     return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
@@ -66,6 +66,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of encoded() for what the stages keep of the table documents. An empty table gives no rows; rows with null ids or texts and repeated ids
+    go through like others (each stage says how). The stages' Parquet stays in the folder of checkpoints, as the result is read from it lazily."""
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
