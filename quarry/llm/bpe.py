@@ -2,13 +2,14 @@
 
 The ranks of a word's adjacent pairs are the leaves of a segment tree of minima. The root is the lowest rank, and the walk down that
 prefers the left child finds its leftmost place; a merge changes three leaves, each a walk of logarithmic length to the root. The trees of
-all new words of a batch are rows of one array, so a step of numpy merges one pair in each word that still has one.
+all new words of a batch are rows of one array, so a step of numpy merges one pair in each word that still has one. Where only a few words have one size, each has a tree of its own.
 
 Handled files: normalizer NFC, white space to one space, lower case; pieces by a pattern; byte-level symbols; an end-of-word suffix; no decoder."""
 
 import hashlib
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release
+from .common import release, small_batches
 
 NONE = np.int32(2**31 - 1)
 # Fixed values. The library follows Unicode 16; these ranges became letters later, so its pattern takes them for other characters ...
@@ -30,6 +31,8 @@ LATER_LETTERS = (
 # ... and these capitals have small letters that Python's tables may lack.
 LATER_CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B, **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}}
 CACHED_WORDS = 200_000
+# With fewer words of one size, each is merged by itself.
+FEW_ROWS = 32
 
 
 def byte_symbols() -> list[str]:
@@ -67,9 +70,10 @@ class Encoder:
         later = "".join("-".join(f"\\U{int(x, 16):08X}" for x in r.split("-")) for r in LATER_LETTERS.split())
         self.pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\p{L}", rf"[\p{{L}}--[{later}]]")
         self.cache: dict[str, bytes] = {}
+        self.rank_of: dict[int, int] = {}
 
     def __getstate__(self):
-        return self.__dict__ | {"cache": {}}
+        return self.__dict__ | {"cache": {}, "rank_of": {}}
 
     # -- merging
 
@@ -86,6 +90,10 @@ class Encoder:
             if w:
                 classes.setdefault(max(1, (len(w) - 1).bit_length()), []).append(i)
         for depth, members in classes.items():
+            if len(members) < FEW_ROWS and depth > 4:
+                for i in members:
+                    out[i] = self._merge_word(words[i], depth)
+                continue
             most = max(1, (1 << 20) >> depth)
             for at in range(0, len(members), most):
                 part = members[at : at + most]
@@ -93,6 +101,56 @@ class Encoder:
                     out[i] = ids
         return out
 
+    def _merge_word(self, word: bytes, depth: int) -> bytes:
+        """The same tree for a single word: an update stops at the first node that it doesn't change."""
+        width, size, none = 1 << depth, self.size, int(NONE)
+        if not self.rank_of:
+            self.rank_of = dict(zip(self.keys.tolist(), self.ranks.tolist()))
+        rank_of, made = self.rank_of.get, self.made
+        flat = np.frombuffer(word, dtype=np.uint8)
+        ids = self.inner[flat]
+        ids[-1] = self.last[flat[-1]]
+        levels = [np.full(width, NONE, dtype=np.int32)]
+        levels[0][: len(ids) - 1] = self._rank(ids[:-1], ids[1:])
+        while len(levels[-1]) > 1:
+            levels.append(np.minimum(levels[-1][::2], levels[-1][1::2]))
+        tree = array("i", np.concatenate([NONE[None], *reversed(levels)]).tobytes())
+        n = len(ids)
+        symbol, after, before = array("q", ids.tobytes()), array("i", range(1, n + 1)), array("i", range(-1, n - 1))
+
+        def put(leaf: int, value: int) -> None:
+            node = leaf + width
+            tree[node] = value
+            node >>= 1
+            while node:
+                a, b = tree[2 * node], tree[2 * node + 1]
+                least = a if a < b else b
+                if tree[node] == least:
+                    return
+                tree[node] = least
+                node >>= 1
+
+        while (rank := tree[1]) != none:
+            node = 1
+            while node < width:
+                node *= 2
+                if tree[node] != rank:
+                    node += 1
+            left = node - width
+            right = after[left]
+            symbol[left], symbol[right] = int(made[rank]), -1
+            follows = after[left] = after[right]
+            put(right, none)
+            if follows < n:
+                before[follows] = left
+                put(left, rank_of(symbol[left] * size + symbol[follows], none))
+            else:
+                put(left, none)
+            if (prior := before[left]) >= 0:
+                put(prior, rank_of(symbol[prior] * size + symbol[left], none))
+        kept = np.frombuffer(symbol, dtype=np.int64)
+        return kept[kept >= 0].astype("<u4").tobytes()
+
     def _merge_rows(self, words: list[bytes], depth: int) -> list[bytes]:
         width, n = 1 << depth, len(words)
         lengths = np.array([len(w) for w in words])
@@ -194,7 +252,9 @@ def _shared(docs: DataFrame, path: str):
 
 
 def encode(docs: DataFrame, path: str, with_decoded: bool = True) -> DataFrame:
-    """(doc_id, ids array<int>, decoded string), a row for each input row: the ids of the whole text and, if asked for, the text they decode to."""
+    """(doc_id, ids array<int>, decoded string), a row for each input row: the ids of the whole text and, if asked for, the text they decode to.
+
+    Null and empty texts have no ids. A word of any length is merged as a whole, in memory of some 50 bytes for each of its own."""
     shared = _shared(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,13 +269,13 @@ def encode(docs: DataFrame, path: str, with_decoded: bool = True) -> DataFrame:
                 at += len(texts)
         release()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encode()'s ids and texts, which stay in the task.
 
-    A row for each input row; null texts are empty: no tokens, the digests of nothing."""
+    A row for each input row; null texts are empty: no tokens, the digests of nothing. Texts and words of any length are encoded whole."""
     shared = _shared(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,4 +294,4 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                 at += len(texts)
         release()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

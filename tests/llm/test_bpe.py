@@ -60,3 +60,26 @@ def test_query_rows(spark):
     assert whole[3].decoded == "to</w> be</w> ,</w> or</w> not</w>"
     assert hashlib.sha256(struct.pack(f"<{len(whole[3].ids)}I", *whole[3].ids)).hexdigest() == next(r for r in got if r.doc_id == 3).ids_sha256
     assert bpe.digests(df.limit(0), PATH).count() == 0
+
+
+def test_a_word_alone_merges_like_rows(both):
+    import random
+
+    ours, _ = both
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abeinorsth'é1") for _ in range(n)).encode() for n in (1, 2, 3, 16, 17, 33, 64, 65, 500, 3000) for _ in range(3)]
+    for w in words:
+        depth = max(1, (len(w) - 1).bit_length())
+        assert ours._merge_word(w, depth) == ours._merge_rows([w], depth)[0], w
+
+
+def test_a_word_of_a_hundred_thousand_letters_in_seconds(both):
+    import random
+    import time
+
+    rng = random.Random(7)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000))
+    start = time.time()
+    ids = both[0].encode_batch([word])[0]
+    assert time.time() - start < 30
+    assert both[0].decode(ids).replace(" ", "").replace("</w>", "") == word
