@@ -20,12 +20,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 UNIT = 64
 RESTART = 4
 WIDE = 16
 TALLEST = 4095
 CHUNK_BYTES = 1 << 20
 BAND = 5
+# Lanes that are written or read side by side, and the bytes of a scan that are read at once.
+SLICE_LANES = 2048
+SLICE_BYTES = 1 << 20
+# Blocks that are transformed at once.
+SLICE_BLOCKS = 8192
 
 # Huffman tables by rule: (class, id) -> {symbol: code length}. Symbols are run * 16 + size.
 LENGTHS = {
@@ -145,15 +152,15 @@ def write(payloads: list[bytes]) -> list[bytes]:
     wide = -(-mcus // rows)
     cells = wide * rows
     n = len(payloads)
-    data = np.zeros((int(cells.sum()) * 6, UNIT), np.int64)
+    data = np.zeros((int(cells.sum()) * 6, UNIT), np.int16)
     at = np.repeat((np.cumsum(cells) - cells) * 6, units) + _within(units)
-    data[at] = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, UNIT).astype(np.int64) - 128
+    data[at] = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, UNIT).astype(np.int16) - 128
     data = data.reshape(-1, 6, UNIT)
     # raster order of luma blocks within each picture
     m = _within(cells)
     w = np.repeat(wide, cells)
     start = np.repeat((np.cumsum(cells) - cells) * 4, cells)
-    luma = np.empty((len(data) * 4, UNIT), np.int64)
+    luma = np.empty((len(data) * 4, UNIT), np.int16)
     for j in range(4):
         luma[start + (2 * (m // w) + j // 2) * 2 * w + 2 * (m % w) + j % 2] = data[:, j]
     planes, blocks = [luma, data[:, 4], data[:, 5]], [cells * 4, cells, cells]
@@ -164,17 +171,26 @@ def write(payloads: list[bytes]) -> list[bytes]:
         number = _within(per)
         return per, number, number == np.repeat(per, per) - 1, np.repeat(np.cumsum(per) - per, counts) + _within(counts) // RESTART
 
-    def add(header: bytes, counts: np.ndarray, value, size, lane) -> None:
-        per, number, last, _ = lanes_of(counts)
-        out, stops = _bits(value, size, lane, int(per.sum()), last, number)
-        ends = stops[np.cumsum(per) - 1].tolist()
-        whole = out.tobytes()
+    def add(header: bytes, counts: np.ndarray, tokens) -> None:
+        """A scan of every file. tokens(first, last): (value, bits, block) of the blocks in between; lanes are whole bytes, so runs of lanes follow one another."""
+        per, number, last, lane = lanes_of(counts)
+        lanes = int(per.sum())
+        begin = np.concatenate(([0], np.cumsum(np.bincount(lane, minlength=lanes))))
+        parts, stops, held = [], [], 0
+        for i in range(0, lanes, SLICE_LANES):
+            j = min(i + SLICE_LANES, lanes)
+            value, size, block = tokens(int(begin[i]), int(begin[j]))
+            out, stop = _bits(value, size, lane[block] - i, j - i, last[i:j], number[i:j])
+            parts.append(out.tobytes())
+            stops.append(stop + held)
+            held += len(out)
+        whole, ends = b"".join(parts), np.concatenate(stops)[np.cumsum(per) - 1].tolist()
         for k, (a, b) in enumerate(zip([0, *ends[:-1]], ends)):
             pieces[k] += [header, whole[a:b]]
 
     every = [(1, 0, 0), (2, 0, 0), (3, 0, 0)]
     lane = lanes_of(cells)[3]
-    dc = data[:, :, 0] >> 1
+    dc = data[:, :, 0].astype(np.int64) >> 1
     fresh = np.concatenate(([True], lane[1:] != lane[:-1]))
     before = np.zeros_like(dc)
     before[:, 1:4] = dc[:, :3]
@@ -184,10 +200,11 @@ def write(payloads: list[bytes]) -> list[bytes]:
     diff = (dc - before).ravel()
     size = _size(diff)
     code = _WRITE[0, 0][size]
-    add(_scan_header(every, 0, 0, 0, 1), cells, code[:, 0] << size | _signed_bits(diff, size), code[:, 1] + size, np.repeat(lane, 6))
+    value, width = code[:, 0] << size | _signed_bits(diff, size), code[:, 1] + size
+    add(_scan_header(every, 0, 0, 0, 1), cells, lambda a, b: (value[a * 6 : b * 6], width[a * 6 : b * 6], np.repeat(np.arange(a, b), 6)))
 
-    def band(plane: np.ndarray, counts: np.ndarray, number: int, first: int, last: int, low: int) -> None:
-        v = plane[:, first : last + 1]
+    def band(plane: np.ndarray, first: int, last: int, low: int):
+        v = plane[:, first : last + 1].astype(np.int64)
         v = np.sign(v) * (np.abs(v) >> low)
         b, k = np.nonzero(v)
         v = v[b, k]
@@ -203,17 +220,11 @@ def write(payloads: list[bytes]) -> list[bytes]:
         value = np.concatenate((np.full(skips.sum(), skip[0]), code[:, 0] << size | _signed_bits(v, size), np.full(len(open_), stop[0])))
         width = np.concatenate((np.full(skips.sum(), skip[1]), code[:, 1] + size, np.full(len(open_), stop[1])))
         order = np.argsort(key, kind="stable")
-        add(_scan_header([(number, 0, 0)], first, last, 0, low), counts, value[order], width[order], lanes_of(counts)[3][key[order] // 192])
+        return value[order], width[order], key[order] // 192
 
-    for c in range(3):
-        band(planes[c], blocks[c], c + 1, 1, BAND, 1)
-    for c in range(3):
-        band(planes[c], blocks[c], c + 1, BAND + 1, 63, 0)
-    bit = (data[:, :, 0] & 1).ravel()
-    add(_scan_header(every, 0, 0, 1, 0), cells, bit, np.ones_like(bit), np.repeat(lane, 6))
-    for c in range(3):
-        # Last bits: a symbol for each coefficient that becomes nonzero now, then the bits of those that were; at the end of a block the rest.
-        v = planes[c][:, 1 : BAND + 1]
+    def last_bits(plane: np.ndarray):
+        # A symbol for each coefficient that becomes nonzero now, then the bits of those that were; at the end of a block the rest.
+        v = plane[:, 1 : BAND + 1].astype(np.int64)
         size = np.abs(v)
         old, new = size > 1, size == 1
         block, k = np.nonzero(old | new)
@@ -238,7 +249,22 @@ def write(payloads: list[bytes]) -> list[bytes]:
         value = np.concatenate((code[:, 0] << 1 | (v[nb, nk] > 0), size[ob, ok] & 1, np.full(len(ends), stop[0])))
         width = np.concatenate((code[:, 1] + 1, np.ones(len(ob), int), np.full(len(ends), stop[1])))
         order = np.argsort(key, kind="stable")
-        add(_scan_header([(c + 1, 0, 1)], 1, BAND, 1, 0), blocks[c], value[order], width[order], lanes_of(blocks[c])[3][key[order] // 64])
+        return value[order], width[order], key[order] // 64
+
+    def within(how, plane: np.ndarray, *args):
+        def tokens(a: int, b: int):
+            value, size, block = how(plane[a:b], *args)
+            return value, size, block + a
+
+        return tokens
+
+    for first, last, low in ((1, BAND, 1), (BAND + 1, 63, 0)):
+        for c in range(3):
+            add(_scan_header([(c + 1, 0, 0)], first, last, 0, low), blocks[c], within(band, planes[c], first, last, low))
+    bit = (data[:, :, 0] & 1).astype(np.int64).ravel()
+    add(_scan_header(every, 0, 0, 1, 0), cells, lambda a, b: (bit[a * 6 : b * 6], np.ones((b - a) * 6, np.int64), np.repeat(np.arange(a, b), 6)))
+    for c in range(3):
+        add(_scan_header([(c + 1, 0, 1)], 1, BAND, 1, 0), blocks[c], within(last_bits, planes[c]))
     out = []
     for i in range(n):
         frame = _segment(0xC2, bytes([8]) + int(rows[i] * 16).to_bytes(2, "big") + int(wide[i] * 16).to_bytes(2, "big") + bytes([3, 1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0]))
@@ -279,6 +305,31 @@ class Scan:
     data: np.ndarray
     parts: list[Component]
     restart: int
+    skip: int = 0  # lanes before data, and lanes in it (all: -1)
+    lanes: int = -1
+
+
+def _slices(scans: list[Scan]):
+    """Runs of scans of about SLICE_BYTES; a longer scan is parted at its restart markers."""
+    got, held = [], 0
+    for scan in scans:
+        parts = [scan]
+        if len(scan.data) > SLICE_BYTES and scan.restart:
+            full = np.flatnonzero(scan.data[:-1] == 255)
+            marks = full[(scan.data[full + 1] >= 0xD0) & (scan.data[full + 1] <= 0xD7)]
+            cuts = np.searchsorted(marks, np.arange(SLICE_BYTES, len(scan.data), SLICE_BYTES))
+            cuts = np.unique(cuts[cuts < len(marks)])
+            begins, firsts = [0, *(marks[cuts] + 2).tolist()], [0, *(cuts + 1).tolist()]
+            ends, stops = [*marks[cuts].tolist(), len(scan.data)], [*firsts[1:], len(marks) + 1]
+            parts = [Scan(scan.picture, scan.data[a:b], scan.parts, scan.restart, i, j - i) for a, b, i, j in zip(begins, ends, firsts, stops)]
+        for part in parts:
+            if got and held + len(part.data) > SLICE_BYTES:
+                yield got
+                got, held = [], 0
+            got.append(part)
+            held += len(part.data)
+    if got:
+        yield got
 
 
 def _parse(data: bytes, marks: list[int], raw: np.ndarray, index: int, base: int, groups: dict) -> tuple[Picture, int]:
@@ -356,11 +407,12 @@ def _lanes(scans: list[Scan], pictures: list[Picture]):
     firsts = np.concatenate((np.cumsum(lengths) - lengths, marks + 2))
     firsts.sort(kind="stable")
     restart = np.array([s.restart or n for s, n in zip(scans, counts)])
-    per = -(-counts // np.maximum(restart, 1))
-    if per.sum() != len(firsts):
+    every, skip, lanes = -(-counts // np.maximum(restart, 1)), np.array([s.skip for s in scans]), np.array([s.lanes for s in scans])
+    per = np.where(lanes < 0, every, lanes)
+    if per.sum() != len(firsts) or (skip + per > every).any():
         raise ValueError("restart markers don't fit the frame")
     of = np.repeat(np.arange(len(scans)), per)
-    number = _within(per)
+    number = _within(per) + skip[of]
     raw = data[~drop].astype(np.uint64)
     ahead = np.zeros(len(raw), np.uint64)
     for j in range(8):
@@ -505,12 +557,12 @@ _BASIS = basis()
 
 def _samples(blocks: np.ndarray, quantiser: np.ndarray) -> np.ndarray:
     """(n, 64) coefficients in zigzag order to (n, 8, 8) samples of 0 to 255."""
-    square = np.empty(blocks.shape)
+    square = np.empty(blocks.shape)  # doubles
     square[:, ZIGZAG] = blocks * quantiser
     square = square.reshape(-1, 8, 8)
     out = (square.reshape(-1, 8) @ _BASIS.T).reshape(-1, 8, 8).transpose(0, 2, 1)
     out = (np.ascontiguousarray(out).reshape(-1, 8) @ _BASIS.T).reshape(-1, 8, 8).transpose(0, 2, 1)
-    return np.clip(np.floor(out / 4096**2 + 128.5), 0, 255).astype(np.int32)
+    return np.clip(np.floor(out / 4096**2 + 128.5), 0, 255).astype(np.uint8)
 
 
 def read(files: list[bytes]) -> list[tuple[Picture, list[np.ndarray], np.ndarray]]:
@@ -525,21 +577,21 @@ def read(files: list[bytes]) -> list[tuple[Picture, list[np.ndarray], np.ndarray
         own = (marks[bounds[i] : bounds[i + 1]] - starts[i]).tolist()
         picture, base = _parse(data, own, joined[starts[i] : starts[i] + len(data)], i, base, groups)
         pictures.append(picture)
-    coefficients = np.zeros((base, 64), np.int32)
+    coefficients = np.zeros((base, 64), np.int16)
     for key in sorted(groups, key=lambda g: g[0]):
-        _read_group(key, groups[key], pictures, coefficients)
+        for scans in _slices(groups[key]):
+            _read_group(key, scans, pictures, coefficients)
     if not files:
         return []
     quantiser = {}
     for picture in pictures:
         for p in picture.parts:
             quantiser.setdefault(picture.quantisers[p.quantiser].tobytes(), []).append((p.base, p.base + p.stride * p.rows))
-    samples = np.empty((base, 8, 8), np.int32)
+    samples = np.empty((base, 8, 8), np.uint8)
     for q, ranges in quantiser.items():
-        if len(quantiser) == 1:
-            samples = _samples(coefficients, np.frombuffer(q))
-        else:
-            for a, b in ranges:
+        for first, last in [(0, base)] if len(quantiser) == 1 else ranges:
+            for a in range(first, last, SLICE_BLOCKS):
+                b = min(a + SLICE_BLOCKS, last)
                 samples[a:b] = _samples(coefficients[a:b], np.frombuffer(q))
     out = []
     for picture in pictures:
@@ -551,16 +603,23 @@ def read(files: list[bytes]) -> list[tuple[Picture, list[np.ndarray], np.ndarray
             if (across, down) != (p.across, p.down):
                 plane = plane.repeat(down // p.down, axis=0).repeat(across // p.across, axis=1)
             planes.append(plane[: picture.height, : picture.width])
-        y = planes[0]
-        if len(planes) == 3:
-            blue, red = planes[1] - 128, planes[2] - 128
-            colours = (y + ((91881 * red + 32768) >> 16), y - ((22554 * blue + 46802 * red + 32768) >> 16), y + ((116130 * blue + 32768) >> 16))
-        else:
-            colours = (y, y, y)
-        out.append((picture, own, np.clip(np.stack(colours, axis=-1), 0, 255).astype(np.uint8)))
+        rgb = np.empty((picture.height, picture.width, 3), np.uint8)
+        step = max(1, SLICE_BLOCKS * 64 // max(1, picture.width))
+        for at in range(0, picture.height, step):
+            rgb[at : at + step] = _coloured([p[at : at + step].astype(np.int32) for p in planes])
+        out.append((picture, own, rgb))
     return out
 
 
+def _coloured(planes: list[np.ndarray]) -> np.ndarray:
+    y = planes[0]
+    colours = (y, y, y)
+    if len(planes) == 3:
+        blue, red = planes[1] - 128, planes[2] - 128
+        colours = (y + ((91881 * red + 32768) >> 16), y - ((22554 * blue + 46802 * red + 32768) >> 16), y + ((116130 * blue + 32768) >> 16))
+    return np.clip(np.stack(colours, axis=-1), 0, 255)
+
+
 def payload_of(picture: Picture, coefficients: list[np.ndarray]) -> bytes:
     """The payload that write() stored."""
     wide, rows = picture.mcus
@@ -610,28 +669,38 @@ def to_media(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(got)), pa.array([n for _, n in got], pa.int64()), pa.array(files, pa.binary())], names=["doc_id", "n_bytes", "media"])
                 at += len(got)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
 def to_tensors(media: DataFrame) -> DataFrame:
-    """media (doc_id, media) with height, width and rgb (binary, height x width x 3 bytes); null where media is null. A file that isn't such a JPEG fails the job."""
+    """media (doc_id, media) with height, width, rgb (binary, height x width x 3 bytes) and reason: why there is no tensor (a null, or a file that
+    isn't such a JPEG), else null. A row for each input row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):  # a tensor is some times its file: one at a time
-                data = batch.column(1)[i].as_py()
-                rgb = None if data is None else read([data])[0][2]
+                data, rgb, reason = batch.column(1)[i].as_py(), None, None
+                if data is None:
+                    reason = "null"
+                else:
+                    try:
+                        rgb = read([data])[0][2]
+                    except (ValueError, IndexError, KeyError, TypeError) as e:
+                        reason = str(e) or "not a readable file"
                 shape = (None, None) if rgb is None else rgb.shape[:2]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([shape[0]], pa.int32()), pa.array([shape[1]], pa.int32()), pa.array([None if rgb is None else rgb.tobytes()], pa.binary())], names=["doc_id", "height", "width", "rgb"])
+                columns = [pa.array([shape[0]], pa.int32()), pa.array([shape[1]], pa.int32()), pa.array([None if rgb is None else rgb.tobytes()], pa.binary()), pa.array([reason], pa.string())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *columns], names=["doc_id", "height", "width", "rgb", "reason"])
 
-    return media.select(F.col("doc_id").cast("long"), "media").mapInArrow(run, "doc_id long, height int, width int, rgb binary")
+    return small_batches(media).select(F.col("doc_id").cast("long"), "media").mapInArrow(run, "doc_id long, height int, width int, rgb binary, reason string")
 
 
 DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """For each row of docs (doc_id, text): what to_media() stores, read back, and the feature of its tensor, without leaving the task."""
+    """For each row of docs (doc_id, text): what to_media() stores, read back, and the feature of its tensor, without leaving the task.
+
+    Null and empty texts are one unit of zero bytes. Texts of any length are stored whole, in memory of about 30 times the text's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -647,4 +716,4 @@ def digests(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(got)), *columns], names=[x.split()[0] for x in DIGESTS.split(", ")])
                 at += len(got)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, DIGESTS)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, DIGESTS)
