@@ -18,13 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bwt
-from .common import release, saved
+from .common import release, saved, small_batches
 from .textfeatures import BASE, UNBASE, _powers, chunks, mixed
 
 SPAN = 50
@@ -74,7 +75,7 @@ def batches_of(docs: DataFrame, size: int = BATCH_BYTES, carry: tuple[str, ...]
             yield pack(rows, f"{part}-{number}")
 
     given = docs.select(F.col("doc_id").cast("long"), "text", *[F.col(c).cast("string").alias(f"carried_{i}") for i, c in enumerate(carry)])
-    return given.mapInArrow(run, "batch string, ids array<long>, lengths array<int>, data binary, carried array<array<string>>")
+    return small_batches(given).mapInArrow(run, "batch string, ids array<long>, lengths array<int>, data binary, carried array<array<string>>")
 
 
 class Batch:
@@ -85,15 +86,24 @@ class Batch:
         self.data = np.frombuffer(_unzip(row["data"]), dtype=np.uint8)
         self.starts = np.cumsum(self.lengths) - self.lengths
 
-    def steps(self):
-        """(first, last) places of documents of about STEP_BYTES together."""
-        at, held = 0, 0
-        for i, n in enumerate(self.lengths.tolist()):
-            if held and held + n > STEP_BYTES:
-                yield at, i
-                at, held = i, 0
+    def steps(self, span: int):
+        """(place, lengths): documents of about STEP_BYTES together, from that place on. A longer document comes in stretches, each followed by the
+        next span - 1 bytes, so that each of its strings is within one stretch."""
+        at, held, lengths = 0, 0, []
+        for start, n in zip(self.starts.tolist(), self.lengths.tolist()):
+            if lengths and held + n > STEP_BYTES:
+                yield at, np.array(lengths, np.int64)
+                held, lengths = 0, []
+            if n > STEP_BYTES + span:
+                for a in range(0, n - span + 1, STEP_BYTES):
+                    yield start + a, np.array([min(STEP_BYTES + span - 1, n - a)], np.int64)
+                continue
+            if not lengths:
+                at = start
+            lengths.append(n)
             held += n
-        yield at, len(self.lengths)
+        if lengths:
+            yield at, np.array(lengths, np.int64)
 
 
 # -- 2: minimisers
@@ -134,11 +144,9 @@ def _window_hash(sums: np.ndarray, at: np.ndarray, span: int) -> np.ndarray:
 
 def _unique_minimisers(batch: Batch, span: int, piece: int) -> tuple[np.ndarray, np.ndarray]:
     """(minimiser shortened to 48 bits, in how many documents of the batch), in order."""
-    parts = []
-    for a, b in batch.steps():
-        lengths = batch.lengths[a:b]
-        lo, hi = batch.starts[a] if b > a else 0, batch.starts[a] + lengths.sum() if b > a else 0
-        start, _, value, _ = runs(batch.data[lo:hi], lengths, span, piece)
+    parts = [np.zeros(0, np.uint64)]
+    for lo, lengths in batch.steps(span):
+        start, _, value, _ = runs(batch.data[lo : lo + lengths.sum()], lengths, span, piece)
         doc = np.unique(np.searchsorted(np.cumsum(lengths), start, side="right"), return_inverse=True)[1].astype(np.uint64)
         value = value >> np.uint64(16)
         key = np.unique(value << np.uint64(16) | doc)  # a step has fewer than 2^16 documents long enough for a string
@@ -198,7 +206,9 @@ def repeated(batches: DataFrame, buckets: int, span: int, piece: int, common: in
 
 
 def stretches(batches: DataFrame, codes: DataFrame, buckets: int, span: int, piece: int) -> DataFrame:
-    """(bucket, batch, data): texts of the batch around repeated minimisers, each once, with their places."""
+    """(bucket, batch, data, local): texts of the batch around repeated minimisers, each once, with its places in the first document of the batch that
+    has it. Its places in the batch's other documents go whatever other batches hold, so these are settled here: local, on one row of each batch, has
+    their spans. A text that stands in every document is thus one entry a batch, however many documents there are."""
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in arrow:
@@ -211,9 +221,7 @@ def stretches(batches: DataFrame, codes: DataFrame, buckets: int, span: int, pie
                 for b, at in _by_bucket(values, buckets):
                     code[at] = np.frombuffer(_unzip(told[b]), np.uint8)
                 at, count, key = [], [], []
-                for a, b in batch.steps():
-                    lengths = batch.lengths[a:b]
-                    lo = batch.starts[a] if b > a else 0
+                for lo, lengths in batch.steps(span):
                     start, n, value, sums = runs(batch.data[lo : lo + lengths.sum()], lengths, span, piece)
                     if not len(start):
                         continue
@@ -234,20 +242,37 @@ def stretches(batches: DataFrame, codes: DataFrame, buckets: int, span: int, pie
                 at, count, key = np.concatenate(at), np.concatenate(count), np.concatenate(key)
                 doc = np.searchsorted(batch.starts + batch.lengths, at, side="right")
                 whole = batch.data.tobytes()
-                got = []
+                got, gone = [], np.zeros(len(at), bool)
                 for b, part in _by_bucket(key, buckets):
                     names: dict[bytes, int] = {}
-                    own = [names.setdefault(whole[s : s + w], len(names)) for s, w in zip(at[part].tolist(), (count[part] + span - 1).tolist())]
+                    own = np.array([names.setdefault(whole[s : s + w], len(names)) for s, w in zip(at[part].tolist(), (count[part] + span - 1).tolist())])
+                    first = np.full(len(names), NO_ID, dtype=np.int64)
+                    np.minimum.at(first, own, batch.ids[doc[part]])
+                    later = batch.ids[doc[part]] > first[own]
+                    gone[part[later]] = True
+                    part, own = part[~later], own[~later]
                     docs, local = np.unique(doc[part], return_inverse=True)
                     fields = [np.array([len(names), len(part), len(docs)], "<i8"), np.array([len(t) for t in names], "<u2"), batch.ids[docs].astype("<i8"), docs.astype("<u4")]
                     fields += [np.array(own, "<u4"), local.astype("<u4"), (at[part] - batch.starts[doc[part]]).astype("<u4")]
                     got.append((b, _zip(b"".join([f.tobytes() for f in fields] + list(names)), 5)))
-                if got:
-                    yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([batch.name] * len(got)), pa.array([g[1] for g in got], pa.binary())], names=["bucket", "batch", "data"])
+                settled: list = [None] * len(got)
+                settled[at[0] % len(got)] = _union(at[gone], at[gone] + count[gone] + span - 1)
+                yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([batch.name] * len(got)), pa.array([g[1] for g in got], pa.binary()), pa.array(settled, pa.binary())], names=["bucket", "batch", "data", "local"])
         release()
 
     joined = batches.join(codes, "batch")
-    return joined.select("batch", "ids", "lengths", "data", "codes").mapInArrow(run, "bucket long, batch string, data binary")
+    return joined.select("batch", "ids", "lengths", "data", "codes").mapInArrow(run, "bucket long, batch string, data binary, local binary")
+
+
+def _union(begin: np.ndarray, end: np.ndarray) -> bytes | None:
+    """Spans of a batch's bytes, joined where they overlap, as spans_of() packs them; none for no spans."""
+    if not len(begin):
+        return None
+    order = np.argsort(begin, kind="stable")
+    begin, reach = begin[order], np.maximum.accumulate(end[order])
+    new = np.flatnonzero(np.concatenate(([True], begin[1:] > reach[:-1])))
+    fields = np.zeros(len(new)), begin[new], reach[np.concatenate((new[1:] - 1, [len(reach) - 1]))]
+    return _zip(b"".join(f.astype("<u4").tobytes() for f in fields))
 
 
 def _opened(data: bytes):
@@ -315,11 +340,13 @@ def first_documents(texts: list[bytes], first: np.ndarray, span: int) -> tuple[n
 
 
 def spans_of(sent: DataFrame, span: int) -> DataFrame:
-    """(batch, spans): for each bucket, the stretches of bytes to remove, as document's number in the batch, begin and end."""
+    """(batch, spans): for each bucket, the stretches of bytes to remove, as document's number in the batch, begin and end there; and those that
+    the batch itself settled, counted from the batch's first byte, as if all in its first document."""
 
     def run(table: pa.Table) -> pa.Table:
         names: dict[bytes, int] = {}
         parts = []
+        settled = table.select(["batch", "local"]).filter(pc.is_valid(table.column("local")))
         for data in table.column("data").to_pylist():
             texts, own, ids, numbers, start = _opened(data)
             here = np.array([names.setdefault(t, len(names)) for t in texts], dtype=np.int64)
@@ -330,7 +357,7 @@ def spans_of(sent: DataFrame, span: int) -> DataFrame:
             np.minimum.at(first, own, ids)
         offsets, least = first_documents(texts, first, span)
         counts = np.array([len(t) for t in texts], dtype=np.int64) - span + 1
-        names_out, out = [], []
+        names_out, out = settled.column("batch").to_pylist(), settled.column("local").to_pylist()
         for name, (own, ids, numbers, start) in zip(table.column("batch").to_pylist(), parts):
             n = counts[own]
             row = np.repeat(np.arange(len(own)), n)
@@ -363,22 +390,20 @@ def removed(batches: DataFrame, spans: DataFrame, with_text: bool) -> DataFrame:
                 row = rows.slice(i, 1).to_pylist()[0]
                 batch = Batch(row)
                 change = np.zeros(len(batch.data) + 1, np.int32)
-                if row["spans"]:
-                    doc, a, b = np.concatenate([np.frombuffer(_unzip(part), "<u4").reshape(3, -1) for part in row["spans"]], axis=1).astype(np.int64)
-                    change = (np.bincount(batch.starts[doc] + a, minlength=len(change)) - np.bincount(batch.starts[doc] + b, minlength=len(change))).astype(np.int32)
-                gone = np.cumsum(change)[:-1] > 0
-                before = np.concatenate(([0], np.cumsum(gone)))
-                begins = gone & ~np.concatenate(([False], gone[:-1]))
-                full = np.flatnonzero(batch.lengths)
-                begins[batch.starts[full]] = gone[batch.starts[full]]
-                begun = np.concatenate(([0], np.cumsum(begins)))
-                ends = batch.starts + batch.lengths
-                kept = [batch.data[a:b][~gone[a:b]].tobytes() for a, b in zip(batch.starts.tolist(), ends.tolist())]
+                for part in row["spans"] or []:
+                    doc, a, b = np.frombuffer(_unzip(part), "<u4").reshape(3, -1).astype(np.int64)
+                    np.add.at(change, batch.starts[doc] + a, 1)
+                    np.subtract.at(change, batch.starts[doc] + b, 1)
+                gone = np.cumsum(change, dtype=np.int32)[:-1] > 0
+                del change
+                parts = [gone[a : a + n] for a, n in zip(batch.starts.tolist(), batch.lengths.tolist())]
+                lost, begun = [int(np.count_nonzero(p)) for p in parts], [int(p[:1].sum()) + int(np.count_nonzero(p[1:] & ~p[:-1])) if p.any() else 0 for p in parts]
+                kept = [batch.data[a : a + len(p)][~p].tobytes() for a, p in zip(batch.starts.tolist(), parts)]
                 columns = [
                     pa.array([None if x == NO_ID else x for x in batch.ids.tolist()], pa.int64()),
                     pa.array(batch.lengths),
-                    pa.array(before[ends] - before[batch.starts]),
-                    pa.array(begun[ends] - begun[batch.starts]),
+                    pa.array(lost, pa.int64()),
+                    pa.array(begun, pa.int64()),
                     pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
                 ] + ([pa.array(kept, pa.binary()), pa.array(row["carried"], pa.list_(pa.string()))] if with_text else [])
                 yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in kinds.split(", ")])
@@ -390,7 +415,8 @@ def removed(batches: DataFrame, spans: DataFrame, with_text: bool) -> DataFrame:
 
 def dedup(docs: DataFrame, span: int = SPAN, piece: int = PIECE, common: int = COMMON, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """docs: doc_id, text, any more. A row for each input row; see removed(). A null text is empty. Rows with one doc_id are one document for
-    each other: neither removes from the other. A row with null doc_id loses what any other document holds, and takes from none."""
+    each other: neither removes from the other. A row with null doc_id loses what any other document holds, and takes from none. Texts of any length
+    are read whole, in stretches of STEP_BYTES; carry names columns whatever else docs has."""
     batches = saved(batches_of(docs, carry=carry))
     size = batches.select(F.coalesce(F.sum(F.expr("aggregate(lengths, 0L, (s, x) -> s + x)")), F.lit(0))).first()[0]
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)

@@ -89,3 +89,25 @@ def test_runs_cover_every_string_once():
     ends = np.cumsum(lengths)
     want = [i for e, n in zip(ends, lengths) for i in range(e - n, e - 49) if n >= 50]
     assert got == want
+
+
+@pytest.mark.parametrize("common", [1, 2000])
+def test_long_texts_in_stretches_and_a_line_in_every_document(spark, monkeypatch, common):
+    rng = random.Random(2)
+    prose = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line = "the very same line of text is under each of the documents here"
+    long = prose(900)
+    rows = [(i, prose(rng.randint(0, 80)) + line + prose(5)) for i in range(40)] + [(50, long + line + long[:300]), (49, prose(30) + long[100:700]), (51, line * 8)]
+    monkeypatch.setattr(suffix, "STEP_BYTES", 150)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted((tuple(r) for r in suffix.dedup(df, common=common).collect()), key=str) == brute(rows)
+
+
+def test_a_common_text_is_one_entry_a_batch(spark):
+    line = "the very same line of text is under each of the documents here"
+    df = spark.createDataFrame([(i, f"{i} {line}") for i in range(400)], "doc_id long, text string").repartition(2)
+    batches = suffix.batches_of(df).persist()
+    codes = suffix.repeated(batches, 4, 50, 20, 10)
+    sent = suffix.stretches(batches, codes, 4, 50, 20).collect()
+    places = sum(len(suffix._opened(r.data)[1]) for r in sent)
+    assert places <= batches.count() * (len(line) - 49)
