@@ -144,7 +144,8 @@ def classes(rows: DataFrame, similarity: float = SIMILARITY, pairwise_limit: int
     roots = saved(components(edges))
     large = F.col("n") > pairwise_limit
     dense = nodes.join(tables.where(large).select("node").distinct(), "node", "left_semi")
-    twice = F.array(*[F.xxhash64(F.element_at("keys", v + 1), F.element_at("keys", (v + s) % BANDS + 1)) for s in STEPS for v in range(BANDS)])
+    places, steps = F.sequence(F.lit(0), F.lit(BANDS - 1)), F.array(*[F.lit(s) for s in STEPS])
+    twice = F.flatten(F.transform(steps, lambda s: F.transform(places, lambda v: F.xxhash64(F.get("keys", v), F.get("keys", (v + s) % BANDS)))))
     finer = _buckets(dense.select("node", F.posexplode(twice).alias("v", "key")))
     rest = [_all_pairs(tables.where(~large)), _all_pairs(finer.where(~large)), _outsiders(finer.where(large), roots)]
     more = confirmed(_apart(reduce(DataFrame.unionByName, rest), roots), rows, similarity)

@@ -155,6 +155,8 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = HASH_BITS) -> Model | No
     else:
         slope, offset = 1.0, 0.0
     w, bias = dual_coordinate_descent(rows, sign, ratio, COST, EPOCHS)
+    del rows, got
+    release()
     return Model(w * ratio, bias, slope, offset, bits)
 
 

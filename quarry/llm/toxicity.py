@@ -129,8 +129,8 @@ def pack(rows: np.ndarray, features: np.ndarray) -> bytes:
 def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(features of each sentence, features) as pack() took them."""
     if not data:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<u4").astype(np.int64)
+        return np.zeros(0, "<u4"), np.zeros(0, "<u4")
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<u4")
     return raw[1 : 1 + raw[0]], raw[1 + raw[0] :]
 
 
@@ -176,6 +176,8 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = HASH_BITS) -> Model | No
     w, bias = train(rows, features, bag, y, len(used))
     weights = np.zeros(1 << bits)
     weights[used] = w
+    del rows, features, bag
+    release()
     return Model(weights, float(bias), bits)
 
 
