@@ -8,8 +8,10 @@ and these merge, once per vector, by their exact inner products.
 reach is measured, not fixed: for a sample of queries all vectors are searched, and reach is the least that finds `target` of their true
 neighbours. Clustered vectors need one range or two; vectors without any structure need many, as no index helps with those.
 
-The index's scales and cuts come from at most FIT_ROWS vectors; every vector is indexed. Equal vectors are one entry with the smallest ids
-(no more than can be answers), so a vector with many copies fills no range."""
+The index's scales come from at most FIT_ROWS vectors; every vector is indexed. Equal vectors are one entry with the smallest ids
+(no more than can be answers), so a vector with many copies fills no range. Cuts are quantiles of all keys, and ranges grow in number with the vectors,
+up to MAX_RANGES a curve. A range that still has many vectors or many queries, as where near-equal vectors share a cell, is searched in parts: each
+part of its vectors by each part of its queries, so no group grows with the data."""
 
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,6 +28,8 @@ DIMENSIONS = 6
 BITS = 10
 BLOCK_ROWS = 1024
 FIT_ROWS = 20_000
+MAX_RANGES = 16_384
+QUERY_ROWS = 4096
 CALIBRATION_QUERIES = 64
 TARGET = 0.96
 SALTS = 64
@@ -62,14 +66,13 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
 
 @dataclass
 class Index:
-    """What workers need to place a vector: rotations, scales, shifts, and the keys at which ranges begin."""
+    """What workers need to place a vector: rotations, scales, shifts."""
 
     longest: float
     rotations: list[np.ndarray]
     means: list[np.ndarray]
     spreads: list[np.ndarray]
     shifts: list[np.ndarray]
-    cuts: list[np.ndarray]
 
     def _keys(self, curve: int, lifted: np.ndarray) -> np.ndarray:
         z = (lifted @ self.rotations[curve] - self.means[curve]) / self.spreads[curve]
@@ -82,9 +85,10 @@ class Index:
             return np.column_stack((x * (self.longest / norm)[:, None], np.zeros(len(x))))
         return np.column_stack((x, np.sqrt(np.maximum(self.longest**2 - norm**2, 0))))
 
-    def blocks(self, x: np.ndarray, as_query: bool) -> np.ndarray:
+    def keys(self, x: np.ndarray, as_query: bool) -> np.ndarray:
+        """A row for each row of x: its place on each curve."""
         lifted = self.lift(x, as_query)
-        return np.column_stack([np.searchsorted(self.cuts[c], self._keys(c, lifted), side="right") for c in range(len(self.rotations))])
+        return np.column_stack([self._keys(c, lifted) for c in range(len(self.rotations))])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -126,37 +130,70 @@ def _merged(found: DataFrame, k: int, times: int) -> DataFrame:
     return found.groupBy("query").agg(F.slice(F.array_distinct(by) if times > 1 else by, 1, k).alias("best"))
 
 
-def fit_index(known: DataFrame, count: int, curves: int = CURVES, dimensions: int = DIMENSIONS, block_rows: int = BLOCK_ROWS, seed: int = 3) -> Index:
-    """known: (entry, embedding). Scales and cuts from at most FIT_ROWS entries, picked by a hash."""
+def fit_index(known: DataFrame, curves: int = CURVES, dimensions: int = DIMENSIONS, seed: int = 3) -> Index:
+    """known: (entry, embedding). Scales from at most FIT_ROWS entries, picked by a hash."""
     longest = known.select(F.max(F.expr("sqrt(aggregate(embedding, 0D, (s, x) -> s + x * x))"))).first()[0]
     sample = _matrix(known.orderBy(F.xxhash64("entry"), "entry").limit(FIT_ROWS).select("embedding").toArrow().column(0).combine_chunks())
     rng = np.random.default_rng(seed)
     width = sample.shape[1] + 1
-    index = Index(float(longest), [], [], [], [], [])
+    index = Index(float(longest), [], [], [], [])
     lifted = index.lift(sample, False)
-    ranges = int(max(1, min(count // block_rows, FIT_ROWS // 16)))
-    for c in range(curves):
+    for _ in range(curves):
         rotation = np.linalg.qr(rng.normal(size=(width, min(dimensions, width))))[0]
         flat = lifted @ rotation
         index.rotations.append(rotation)
         index.means.append(flat.mean(axis=0))
         index.spreads.append(np.maximum(flat.std(axis=0), 1e-12))
         index.shifts.append(rng.random(rotation.shape[1]) * 0.999)
-        keys = np.sort(index._keys(c, lifted))
-        index.cuts.append(np.unique(keys[np.arange(1, ranges) * len(keys) // ranges]))
     return index
 
 
-def _placed(df: DataFrame, index: Index, as_query: bool) -> DataFrame:
-    """df (entry, embedding) with blocks: its range on each curve."""
+def _keyed(df: DataFrame, index: Index, as_query: bool) -> DataFrame:
+    """df (entry, embedding) with keys: its place on each curve."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                got = index.blocks(_matrix(batch.column(1)), as_query)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got.astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["entry", "embedding", "blocks"])
+                got = index.keys(_matrix(batch.column(1)), as_query)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got.tolist(), pa.list_(pa.int64()))], names=["entry", "embedding", "keys"])
 
-    return df.select("entry", "embedding").mapInArrow(run, "entry long, embedding array<double>, blocks array<int>")
+    return df.select("entry", "embedding").mapInArrow(run, "entry long, embedding array<double>, keys array<long>")
+
+
+def range_cuts(keyed: DataFrame, ranges: int) -> list[np.ndarray]:
+    """For each curve the keys at which its ranges begin: quantiles of all keys, at most MAX_RANGES of them, each once."""
+    if ranges < 2:
+        return [np.zeros(0, np.int64)] * len(keyed.select("keys").first().keys)
+    shares = [i / ranges for i in range(1, ranges)]
+    quantiles = keyed.select(F.posexplode("keys").alias("curve", "key")).groupBy("curve").agg(F.percentile_approx("key", shares, 10 * ranges).alias("cuts"))
+    return [np.unique(np.array(r.cuts, dtype=np.int64)) for r in sorted(quantiles.collect())]
+
+
+def _placed(keyed: DataFrame, cuts: list[np.ndarray]) -> DataFrame:
+    """keyed with blocks in place of keys: its range on each curve."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keys = np.array(batch.column(2).to_pylist(), dtype=np.int64).reshape(batch.num_rows, -1)
+                got = np.column_stack([np.searchsorted(c, keys[:, i], side="right") for i, c in enumerate(cuts)])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(got.astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["entry", "embedding", "blocks"])
+
+    return keyed.mapInArrow(run, "entry long, embedding array<double>, blocks array<int>")
+
+
+def _parted(dealt: DataFrame, visits: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with part: the vectors and queries of a range that has many of either meet in several parts, each pair in just one."""
+    sizes = dealt.groupBy("curve", "block").agg(F.count(F.lit(1)).alias("n")).join(visits.groupBy("curve", "block").agg(F.count(F.lit(1)).alias("m")), ["curve", "block"])
+    parts = sizes.select("curve", "block", F.ceil(F.col("n") / (2 * block_rows)).cast("int").alias("across"), F.ceil(F.col("m") / QUERY_ROWS).cast("int").alias("down"))
+    many = saved(parts.where("across > 1 or down > 1"))  # at most CURVES * MAX_RANGES rows
+
+    def split(df: DataFrame, own: str, other: str, number) -> DataFrame:
+        wide = df.join(F.broadcast(many), ["curve", "block"], "left").fillna(1, ["across", "down"])
+        spread = wide.withColumn("mine", F.pmod(F.xxhash64("entry"), F.col(own)).cast("int")).withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        return spread.withColumn("part", number).select("entry", "embedding", "curve", "block", "part")
+
+    return split(dealt, "across", "down", F.expr("mine * down + theirs")), split(visits, "down", "across", F.expr("theirs * down + mine"))
 
 
 def measured_reach(base: DataFrame, queries: DataFrame, k: int, target: float = TARGET, rows: int = CALIBRATION_QUERIES) -> int:
@@ -178,7 +215,7 @@ def measured_reach(base: DataFrame, queries: DataFrame, k: int, target: float =
     return int(got[min(len(got) - 1, int(np.ceil(target * len(got))) - 1)]) if len(got) else 0
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, target: float = TARGET, **options) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, target: float = TARGET, block_rows: int = BLOCK_ROWS, **options) -> DataFrame:
     """vectors: vec_id, embedding, any more. (query_id, rank from 1, vec_id, score): for each row where is_query holds its k best others.
 
     Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, nor do rows with null vec_id;
@@ -192,15 +229,20 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, target: float = T
     clean = clean.where(F.size("embedding") == widths.n).dropDuplicates(["vec_id", "embedding"])
     known = saved(entries(clean, k + 1))
     count = known.count()
-    index = fit_index(known, count, **options)
-    base = saved(_placed(known, index, False))
+    if not count:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    index = fit_index(known, **options)
+    keyed = saved(_keyed(known, index, False))
+    cuts = range_cuts(keyed, int(max(1, min(count // block_rows, MAX_RANGES))))
+    base = saved(_placed(keyed, cuts))
     asked = saved(clean.where("asks").select("vec_id", "embedding").join(known.select("entry", "embedding"), "embedding").select(F.col("vec_id").alias("query_id"), "entry", "embedding"))
-    queries = saved(_placed(asked.select("entry", "embedding").dropDuplicates(["entry"]), index, True))
+    queries = saved(_placed(_keyed(asked.select("entry", "embedding").dropDuplicates(["entry"]), index, True), cuts))
     reach = measured_reach(base, queries, k + 1, target)
-    last = [len(c) for c in index.cuts]
+    last = [len(c) for c in cuts]
     spread = F.transform("blocks", lambda b, i: F.struct(i.alias("curve"), F.sequence(F.greatest(b - reach, F.lit(0)), F.least(b + reach, F.element_at(F.array(*[F.lit(x) for x in last]), i + 1))).alias("near")))
     visits = queries.select("entry", "embedding", F.explode(spread).alias("v")).select("entry", "embedding", F.col("v.curve").alias("curve"), F.explode("v.near").alias("block"))
     dealt = base.select("entry", "embedding", F.posexplode("blocks").alias("curve", "block"))
+    dealt, visits = _parted(dealt, visits, block_rows)
     top = k + 1
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -211,11 +253,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, target: float = T
         order = np.argsort(ids)
         q = _matrix(right.column("embedding").combine_chunks())
         got: list = []
-        for at in range(0, len(q), 2048):
-            got += _best(q[at : at + 2048], b[order], ids[order], top)
+        for at in range(0, len(q), 1024):
+            got += _best(q[at : at + 1024], b[order], ids[order], top)
         return pa.Table.from_arrays([right.column("entry").combine_chunks(), pa.array(got, _SCORED)], schema=schema)
 
-    found = dealt.groupBy("curve", "block").cogroup(visits.groupBy("curve", "block")).applyInArrow(search, f"query long, best {SCORED}")
+    found = dealt.groupBy("curve", "block", "part").cogroup(visits.groupBy("curve", "block", "part")).applyInArrow(search, f"query long, best {SCORED}")
     best = saved(_merged(found, top, len(index.rotations)))
     # Each entry stands for all vectors equal to it.
     opened = best.select("query", F.explode("best").alias("b")).select("query", F.col("b.down").alias("down"), F.col("b.entry").alias("entry")).join(known.select("entry", "ids"), "entry")

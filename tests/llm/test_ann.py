@@ -55,3 +55,23 @@ def test_recall_in_many_ranges(spark):
     got, want = found(df, block_rows=100), brute(rows)
     assert set(got) == set(want) and all(len(v) == 20 for v in got.values())
     assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
+
+
+def test_near_equal_vectors_are_searched_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.concatenate((np.ones((1500, 8)) + 1e-7 * rng.normal(size=(1500, 8)), rng.normal(size=(200, 8))))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann, "QUERY_ROWS", 20)
+    sizes = []
+    parted = ann._parted
+
+    def watched(dealt, visits, block_rows):
+        out = parted(dealt, visits, block_rows)
+        for side in out:
+            sizes.append(max(r["count"] for r in side.groupBy("curve", "block", "part").count().collect()))
+        return out
+
+    monkeypatch.setattr(ann, "_parted", watched)
+    got, want = found(df, block_rows=50), brute([(i, r.tolist()) for i, r in enumerate(x)])
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
+    assert sizes[0] < 200 and sizes[1] < 60
