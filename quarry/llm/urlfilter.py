@@ -4,8 +4,9 @@ Level 1 of the cascade encodes the listed keys; level 2 those keys of the corpus
 that pass level 2; and so on until nothing passes wrongly. Over the complete set of the corpus's keys the first level that a key
 fails tells exactly whether it is listed, so urls need no join with the list.
 
-A level is an array of 64-bit words, made by grouping bit positions. While all levels together have at most max_bytes (their size
-follows from counted keys before they are built), they are literals of the plan; beyond that, words stay a table and positions look them up there."""
+A level is an array of 64-bit words, made by grouping bit positions. While it has at most max_bytes (its size follows from counted keys before it
+is built) it is a literal of the plan. A larger one is parted by a hash of the key into shards of SHARD_WORDS words, a row of a small table each; a key
+then looks at the one row of its shard, whatever the size of the list."""
 
 import json
 import math
@@ -16,7 +17,10 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-MAX_BYTES = 4 << 20
+MAX_BYTES = 1 << 20
+SHARD_WORDS = 1 << 16
+# Shards of a level that go to every task together: at most 64 MB.
+BROADCAST_SHARDS = 128
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # (verdict, host, beginning of the path)
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -40,7 +44,7 @@ def path_of(url: Column) -> Column:
 def matched_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
     """(rule text, verdict) of the longest rule that fits, else nulls; of rules equally long the first."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for say, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):
+    for say, h, p in sorted(reversed(rules), key=lambda r: len(r[1] + r[2])):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
         rule, verdict = F.when(fits, F.lit(h + p)).otherwise(rule), F.when(fits, F.lit(say)).otherwise(verdict)
     return rule, verdict
@@ -49,18 +53,21 @@ def matched_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
 @dataclass
 class Level:
     number: int
-    bits: int
+    bits: int  # of each shard
     hashes: int
+    shards: int
     words: list[int] | None  # on the driver, if small enough
-    table: DataFrame | None  # (word, bits), else
+    table: DataFrame | None  # (shard, words), else
+
+    def shard(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(F.lit("shard"), F.lit(self.number), key), F.lit(self.shards)).cast("int")
 
     def positions(self, key: Column) -> list[Column]:
         a, b = F.pmod(F.xxhash64(key, F.lit(self.number)), F.lit(self.bits)), F.pmod(F.xxhash64(F.lit(self.number), key), F.lit(self.bits))
         return [(a + b * i) % self.bits for i in range(self.hashes)]
 
-    def holds(self, key: Column) -> Column:
-        """Whether all bits of the key are set, over the literal words."""
-        array = F.from_json(F.lit(json.dumps(self.words)), "array<bigint>")
+    def _set(self, array: Column, key: Column) -> Column:
+        """Whether all bits of the key are set."""
         bit = lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), (p % 64).cast("int"))
         tests = [F.element_at(array, (F.floor(p / 64) + 1).cast("int")).bitwiseAND(bit(p)) != 0 for p in self.positions(key)]
         out = tests[0]
@@ -68,26 +75,35 @@ class Level:
             out = out & t
         return out
 
+    def marked(self, rows: DataFrame, key: Column, name: str) -> DataFrame:
+        """rows with a column that tells whether the level holds the key; null keys are held or not like empty ones."""
+        key = F.coalesce(key, F.lit(""))
+        if self.words is not None:
+            return rows.withColumn(name, self._set(F.from_json(F.lit(json.dumps(self.words)), "array<bigint>"), key))
+        shards = F.broadcast(self.table) if self.shards <= BROADCAST_SHARDS else self.table
+        return rows.withColumn("level_shard", self.shard(key)).join(shards, "level_shard").withColumn(name, self._set(F.col("level_words"), key)).drop("level_shard", "level_words")
+
     def passing(self, keys: DataFrame) -> DataFrame:
         """The rows of keys (key, distinct) that the level holds."""
-        if self.words is not None:
-            return keys.where(self.holds(F.col("key")))
-        spread = keys.select("key", F.explode(F.array(*self.positions(F.col("key")))).alias("p")).select("key", (F.floor(F.col("p") / 64)).alias("word"), (F.col("p") % 64).cast("int").alias("bit"))
-        set_bit = F.expr("bits & shiftleft(1L, bit) != 0")
-        return spread.join(self.table, "word", "left").groupBy("key").agg(F.min(F.coalesce(set_bit, F.lit(False)).cast("int")).alias("ok")).where("ok = 1").select("key")
+        return self.marked(keys, F.col("key"), "ok").where("ok").select("key")
 
 
 def _level(number: int, keys: DataFrame, count: int, rate: float, max_bytes: int) -> Level:
     bits = max(64, math.ceil(count * 1.4427 * math.log2(1 / rate) / 64) * 64)
-    level = Level(number, bits, max(1, round(math.log2(1 / rate))), None, None)
-    spots = keys.select(F.explode(F.array(*level.positions(F.col("key")))).alias("p"))
-    table = spots.groupBy(F.floor(F.col("p") / 64).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("bits"))
-    if bits // 8 > max_bytes:
-        level.table = saved(table)
+    small = bits // 8 <= max_bytes
+    shards = 1 if small else math.ceil(bits / 64 / SHARD_WORDS)
+    # Keys of a shard vary in number around count / shards; a few words more keep the rate.
+    own = bits // 64 if small else min(SHARD_WORDS, math.ceil(bits / 64 / shards * 1.05) + 1)
+    level = Level(number, own * 64, max(1, round(math.log2(1 / rate))), shards, None, None)
+    spots = keys.select(level.shard(F.col("key")).alias("shard"), F.explode(F.array(*level.positions(F.col("key")))).alias("p"))
+    given = spots.groupBy("shard", F.floor(F.col("p") / 64).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("bits"))
+    every = keys.sparkSession.range(shards * own).select(F.expr(f"cast(id div {own} as int)").alias("shard"), (F.col("id") % own).alias("word"), F.lit(0).cast("long").alias("bits"))
+    words = given.unionByName(every).groupBy("shard", "word").agg(F.expr("bit_or(bits)").alias("bits"))
+    table = words.groupBy("shard").agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x.bits).alias("words"))  # at most SHARD_WORDS, or max_bytes
+    if small:
+        level.words = table.select("words").toArrow().column(0).combine_chunks().flatten().to_pylist()
     else:
-        level.words = [0] * (bits // 64)
-        for r in table.collect():  # at most bits / 64 rows, within max_bytes
-            level.words[r.word] = r.bits
+        level.table = saved(table.toDF("level_shard", "level_words"))
     return level
 
 
@@ -115,42 +131,29 @@ def cascade(universe: DataFrame, listed: DataFrame, max_bytes: int = MAX_BYTES,
         now, test = wrong, now
 
 
-def is_listed(key: Column, levels: list[Level]) -> Column:
-    """Whether a key of the universe is listed; false for null. For levels that are literals."""
+def with_listed(rows: DataFrame, key: Column, levels: list[Level], name: str) -> DataFrame:
+    """rows with a column that tells whether a key of the universe is listed: the first level that it fails decides. False for null."""
+    marks = [f"passes_{level.number}" for level in levels]
     out = F.lit(len(levels) % 2 == 1)
-    for level in reversed(levels):
-        out = F.when(level.holds(key), out).otherwise(F.lit(level.number % 2 == 0))
-    return F.coalesce(out, F.lit(False)) if levels else F.lit(False)
-
-
-def listed_of(keys: DataFrame, levels: list[Level]) -> DataFrame:
-    """(key, listed) for distinct keys of the universe, whatever the size of the levels."""
-    if all(x.words is not None for x in levels):
-        return keys.select("key", is_listed(F.col("key"), levels).alias("listed"))
-    passed, out = keys, None
-    for level in levels:  # the first level that a key fails decides
-        through = saved(level.passing(passed))
-        failed = passed.join(through, "key", "left_anti").withColumn("listed", F.lit(level.number % 2 == 0))
-        out, passed = failed if out is None else out.unionByName(failed), through
-    return out.unionByName(passed.withColumn("listed", F.lit(len(levels) % 2 == 1)))
+    for level, mark in zip(reversed(levels), reversed(marks)):
+        out = F.when(F.col(mark), out).otherwise(F.lit(level.number % 2 == 0))
+    for level, mark in zip(levels, marks):
+        rows = level.marked(rows, key, mark)
+    return rows.withColumn(name, key.isNotNull() & out if levels else F.lit(False)).drop(*marks)
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]] = RULES, max_bytes: int = MAX_BYTES) -> DataFrame:
     """pages: page_id, url, any more; listed: (key), hosts or host and path. (page_id, host, path, rule, verdict, listed), a row for each input row.
 
-    A url is listed if its host or its host and path are. A rule's verdict goes before the list's."""
+    A url is listed if its host or its host and path are. A rule's verdict goes before the list's. A null url, or one without ://, has empty host and
+    path, fits no rule and is allowed. Rows count each for itself, whatever their page_id; texts of any length are read whole."""
     parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     full = F.concat("host", "path")
     universe = parsed.select(F.explode(F.array("host", full)).alias("key")).where("key <> ''").distinct()
     levels = cascade(universe, listed, max_bytes)
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
-    if all(x.words is not None for x in levels):
-        found = parsed.withColumn("listed", (F.col("host") != "") & (is_listed(F.col("host"), levels) | is_listed(full, levels)))
-    else:
-        known = listed_of(universe, levels).where("listed").select("key")
-        pairs = parsed.select("host", "path").distinct()
-        by = pairs.select("host", "path", F.explode(F.array("host", full)).alias("key")).join(known, "key").select("host", "path").distinct().withColumn("listed", F.lit(True))
-        found = parsed.join(by, ["host", "path"], "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    found = with_listed(with_listed(parsed, F.col("host"), levels, "by_host"), full, levels, "by_url")
+    found = found.withColumn("listed", (F.col("host") != "") & (F.col("by_host") | F.col("by_url")))
     return found.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed")
 
 

@@ -2,6 +2,7 @@
 
 import itertools
 import re
+import textwrap
 
 import pytest
 
@@ -14,19 +15,23 @@ def grams(text):
 
 
 def test_licenses(spark):
-    mit = licenses.NOTICES[13][1]
-    texts = [None, "", "Released under the MIT License.", "prose\nreleased under the  mit license\nmore prose " * 3, mit, mit + " And then much more prose follows. " * 40, "Licensed under CC BY-NC 4.0!", "All rights reserved", "nothing here"]
-    rows = [(i, t, "clash", 3) for i, t in enumerate(texts)] + [(2, texts[2], "clash", 3), (None, texts[2], "", 1)]
+    mit = licenses._MIT_GRANT
+    wrapped = lambda t, mark="": "\n".join(mark + line for line in textwrap.wrap(t, 60))
+    full = wrapped(licenses._MIT_GRANT) + "\n\n" + wrapped(licenses._MIT_REST)
+    inside = "some code here\n#\n" + wrapped(licenses._BSD_THIRD, "# ") + "\n# \n\nmore code there\n" * 30
+    texts = ["MIT License\n\nCopyright (c) 2020 Someone\n\n" + full, inside, "x = 1\n\n" + wrapped(licenses._APACHE_REST, "// ") + "\n\n" + "y = 2\n" * 400, "word " * 200_000 + "\nReleased under the MIT License.", None, "", "Released under the MIT License.", "prose\nreleased under the  mit license\nmore prose " * 3, mit, mit + " And then much more prose follows. " * 40, "Licensed under CC BY-NC 4.0!", "All rights reserved", "nothing here"]
+    rows = [(i, t, "clash", 3) for i, t in enumerate(texts)] + [(6, texts[6], "clash", 3), (None, texts[6], "", 1)]
     got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, license string, unit int")).collect()}
     assert len(got) == len(texts) + 1
     for doc_id, text, *_ in rows:
         best = []
-        for unit, part in enumerate([text, *text.split("\n")] if text is not None else []):
+        for part in [text, *text.split("\n"), *[b for b in re.split(r"\n[^A-Za-z0-9]*\n", text) if "\n" in b]] if text is not None else []:
             a = grams(part)
             best += [(-2 * len(a & grams(t)) / (len(a) + len(grams(t))), name) for name, t in licenses.NOTICES if a and 2 * len(a & grams(t)) >= 0.8 * (len(a) + len(grams(t)))]
         want = min(best, default=(None, None))
         r = got[doc_id]
         assert r.license == want[1] and (r.dice is None if not best else abs(r.dice + want[0]) < 1e-12), doc_id
+    assert [got[i].license for i in range(4)] == ["MIT", "BSD-3-Clause", "Apache-2.0", "MIT"]
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
@@ -116,9 +121,27 @@ def test_url_verdicts(spark, max_bytes):
     assert {r.verdict for r in urlfilter.judge(pages, keys.limit(0)).where("rule is null").collect()} == {"allow"}
 
 
+def test_of_rules_equally_long_the_first_wins(spark):
+    url = spark.createDataFrame([("a.b/cd",)], "u string").select(urlfilter.F.lit("a.b").alias("h"), urlfilter.F.lit("/cde").alias("p"))
+    rules = [("block", "a.b", "/c"), ("allow", "b", "/cde")]
+    for order in (rules, rules[::-1]):
+        rule, verdict = urlfilter.matched_rule(urlfilter.F.col("h"), urlfilter.F.col("p"), order)
+        assert tuple(url.select(rule, verdict).first()) == (order[0][1] + order[0][2], order[0][0]), order
+
+
+def test_large_levels_in_shards(spark, monkeypatch):
+    monkeypatch.setattr(urlfilter, "SHARD_WORDS", 16)
+    monkeypatch.setattr(urlfilter, "BROADCAST_SHARDS", 0)
+    keys = spark.range(4000).selectExpr("cast(id as string) as key")
+    levels = urlfilter.cascade(keys, keys.where("cast(key as int) % 3 = 0"), max_bytes=64)
+    assert levels[0].shards > 2 and levels[0].words is None and any(x.words is not None for x in levels)
+    got = {r.key for r in urlfilter.with_listed(keys, urlfilter.F.col("key"), levels, "listed").where("listed").collect()}
+    assert got == {str(i) for i in range(0, 4000, 3)}
+
+
 def test_cascade_levels_alternate(spark):
     keys = spark.range(3000).selectExpr("cast(id as string) as key")
     levels = urlfilter.cascade(keys, keys.where("cast(key as int) % 7 = 0"))
     assert len(levels) > 1 and [x.number for x in levels] == list(range(1, len(levels) + 1))
-    got = {r.key for r in keys.where(urlfilter.is_listed(urlfilter.F.col("key"), levels)).collect()}
+    got = {r.key for r in urlfilter.with_listed(keys, urlfilter.F.col("key"), levels, "listed").where("listed").collect()}
     assert got == set(map(str, itertools.islice(range(0, 3000, 7), 3000)))
