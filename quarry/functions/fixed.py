@@ -57,6 +57,7 @@ INTENTS = [
 LOW_EFFORT = r"(?i)^\s*(update|updates|updated|changes?|edit|edits|stuff|wip|temp|test|asdf|fix|fixes|fixed|misc|minor|final|done|new|commit|\.|x+|\d+)\s*[.!]*\s*$"
 CONVENTIONAL = r"(?i)^(feat|fix|docs|style|refactor|perf|test|build|ci|chore|revert)(\([^)]*\))?!?:\s+\S"
 TEST_CASES = [r"(?m)^\s*def\s+test_\w+", r"(?m)^\s*(?:async\s+)?(?:it|test)\s*\(\s*['\"`]", r"@Test\b", r"(?m)^\s*func\s+Test\w+", r"TEST(?:_F)?\s*\("]
+HISTORY_WEIGHTS = {"volume": 0.18, "cadence": 0.20, "message_quality": 0.22, "commit_size": 0.15, "branching": 0.12, "releases": 0.13}
 KNOWN_BRANCHES = ["HEAD", "main", "master", "develop", "dev"]
 README_NAMES = ["readme.md", "readme.rst", "readme.txt", "readme"]
 PENALTIES = {"critical": 30.0, "high": 16.0, "medium": 7.0, "low": 2.5, "info": 0.0}
@@ -103,7 +104,7 @@ INSECURE = [
     ("bind_all_interfaces", "misconfiguration", r"0\.0\.0\.0['\"]?\s*[,:)]|host\s*=\s*['\"]0\.0\.0\.0['\"]", "low", 0.3, None),
     ("tls_verification_disabled", "insecure_transport", r"verify\s*=\s*False|rejectUnauthorized\s*:\s*false|CURLOPT_SSL_VERIFYPEER\s*,\s*(?:0|false)|NODE_TLS_REJECT_UNAUTHORIZED\s*=\s*['\"]?0", "high", 0.9, None),
 ]
-CODE_CATEGORIES = ["candidate_code", "test_code", "configuration"]
+CODE_CATEGORIES = ["candidate_code", "test_code", "configuration", "generated_code"]
 
 LAYERS = {
     "api_layer": "api routes routers controllers endpoints handlers views", "service_layer": "services service usecases use_cases domain core business logic managers",

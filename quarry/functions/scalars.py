@@ -86,8 +86,9 @@ def token_stream(source) -> Column:
 
 
 def intent(message) -> Column:
-    """The first commit intent whose pattern matches, else other."""
-    return reduce(lambda out, rule: F.when(col(message).rlike(rule[1]), rule[0]).otherwise(out), reversed(fixed.INTENTS), F.lit("other"))
+    """The first commit intent whose pattern matches the message's first line, else other."""
+    subject = F.element_at(F.split(col(message), "\n"), 1)
+    return reduce(lambda out, rule: F.when(subject.rlike(rule[1]), rule[0]).otherwise(out), reversed(fixed.INTENTS), F.lit("other"))
 
 
 def message_quality(message) -> Column:

@@ -33,7 +33,7 @@ VIEWS = {
         {
             "repo_id": "'repo' || (o_custkey % 40)",
             "sha": "md5('c' || o_orderkey)",
-            "author_email": "'Dev' || (o_custkey % 97) || '@example.com'",
+            "author_email": "case when o_orderkey % 5 = 0 then (o_orderkey % 9) || '+' else '' end || 'Dev' || (o_custkey % 97) || '@example.com'",
             "committed_at": "cast(o_orderdate as timestamp)",
             "message": """case o_orderkey % 14 when 0 then 'fix: correct rounding in total_price' when 1 then 'Refactor the parser' when 2 then 'Add tests for the reader' when 3 then 'docs: describe setup'
                 when 4 then 'update' when 5 then 'Speed up the cache lookup' when 6 then 'Release 1.2 to the pipeline' when 7 then 'format with black' when 8 then 'bump deps'

@@ -62,7 +62,7 @@ SQL_CLASSIFIED = f"""named as (select *, {SQL_LANGUAGE} as language, {SQL_REASON
 classified as (select *, {SQL_CATEGORY} as category,
   length(text) - length(replace(text, chr(10), '')) + case when length(text) > 0 and not ends_with(text, chr(10)) then 1 else 0 end as line_count from named)"""
 SQL_LINES = "all_lines as (select repo_id, path, cast(unnest(generate_series(1, len(string_split(text, chr(10))))) as int) as line_no, unnest(string_split(text, chr(10))) as line from files where text is not null)"
-SQL_INTENT = "case " + " ".join(f"when regexp_matches(message, {quoted(p)}) then '{n}'" for n, p in fixed.INTENTS) + " else 'other' end"
+SQL_INTENT = "case " + " ".join(f"when regexp_matches(string_split(message, chr(10))[1], {quoted(p)}) then '{n}'" for n, p in fixed.INTENTS) + " else 'other' end"
 SQL_SUBJECT = "trim(string_split(message, chr(10))[1])"
 SQL_MESSAGE = f"""case when regexp_matches({SQL_SUBJECT}, {quoted(fixed.LOW_EFFORT)}) then 0.15e0 else least(1.0e0,
   greatest(0.0e0, least(1.0e0, (len(list_filter(string_split_regex({SQL_SUBJECT}, '\\s+'), lambda x: x <> '')) - 1) / 6.0e0)) * 0.7e0
@@ -123,21 +123,39 @@ register("g44_style_discontinuity", lambda t: rounded(lines.style_discontinuity(
 
 # -- history
 
-register("c17_intents", lambda t: history.intents(t("commits")), f"select repo_id, {SQL_INTENT} as intent, count(*) as n from commits group by all", ("commits",))
-register("g13_message_quality", lambda t: rounded(history.message_scores(t("commits")), "quality", "low_effort", "conventional"), f"select repo_id, round(avg({SQL_MESSAGE}), 6) as quality, round(avg(regexp_matches({SQL_SUBJECT}, {quoted(fixed.LOW_EFFORT)})::int), 6) as low_effort, round(avg(regexp_matches({SQL_SUBJECT}, {quoted(fixed.CONVENTIONAL)})::int), 6) as conventional from commits group by repo_id", ("commits",))
-register("f5_longest_gap", lambda t: rounded(history.longest_gap(t("commits")), "longest_gap"), ", g as (select repo_id, (epoch_us(lead(committed_at) over (partition by repo_id order by committed_at, sha)) - epoch_us(committed_at)) / 86400e6 as gap from commits) select repo_id, round(coalesce(max(gap), 0.0), 6) as longest_gap from g group by repo_id", ("commits",))
-register("f6_burst_days", lambda t: history.burst_days(t("commits"), 2.0, 500).withColumn("day", F.col("day").cast("string")), ", d as (select repo_id, committed_at::date as day, sum(insertions + deletions)::bigint as size from commits group by all), m as (select repo_id, median(size) as middle from d group by repo_id) select d.repo_id, day::varchar as day, size from d join m using (repo_id) where size > greatest(middle * 2.0, 500)", ("commits",))
-register("f7_timeline", lambda t: history.timeline(t("commits")), ", e as (select repo_id, min(epoch_us(committed_at)) / 1e6 as a, max(epoch_us(committed_at)) / 1e6 as b from commits group by repo_id), p as (select c.repo_id, least(23, floor((epoch_us(committed_at) / 1e6 - a) / (greatest(b - a, 86400.0) / 24)))::int as bucket, insertions + deletions as n from commits c join e using (repo_id)), f as (select repo_id, bucket, count(*) as n_commits, sum(n)::bigint as n_lines from p group by all), g as (select repo_id, unnest(generate_series(0, 23))::int as bucket from e) select g.repo_id, g.bucket, coalesce(n_commits, 0) as n_commits, coalesce(n_lines, 0) as n_lines from g left join f using (repo_id, bucket)", ("commits",))
-register("f8_commit_shares", lambda t: rounded(history.commit_shares(t("commits")), "first_share", "largest_share"), "select repo_id, round(arg_min(insertions + deletions, {'a': committed_at, 's': sha}) / sum(insertions + deletions), 6) as first_share, round(max(insertions + deletions) / sum(insertions + deletions), 6) as largest_share from commits group by repo_id", ("commits",))
-register("g17_contributors", lambda t: history.contributors(t("commits")), ", b as (select repo_id, lower(author_email) as author_email, count(*) as n_commits from commits group by all) select * from (select *, row_number() over (partition by repo_id order by n_commits desc, author_email) as place from b) where place <= 5", ("commits",))
-register("g17_candidate_share", lambda t: rounded(history.candidate_share(t("commits"), t("emails")), "share"), "select repo_id, round(count(*) filter (lower(author_email) in (select email from emails)) / count(*), 6) as share from commits where not is_merge group by repo_id", ("commits", "emails"))
-register("g14_history_score", lambda t: rounded(history.history_score(t("commits"), t("branches"), t("tags")), "score"),
-    f""", c as (select repo_id, count(*) as n, count(distinct committed_at::date) as days, date_diff('day', min(committed_at)::date, max(committed_at)::date) as span, avg({SQL_MESSAGE}) as message, max(insertions + deletions) / sum(insertions + deletions) as largest from commits group by repo_id),
+SQL_OWN = "own as (select *, insertions + deletions as size from commits where not is_merge)"
+SQL_MINE = ", mine as (select * from own where exists (select 1 from emails e where lower(author_email) = e.email) or exists (select 1 from emails e where ends_with(lower(author_email), '+' || e.email)))"
+SQL_JUDGED = ", judged as (select * from mine union all select * from own where repo_id not in (select repo_id from mine))"
+register("c17_intents", lambda t: history.intents(t("commits")), f", {SQL_OWN} select repo_id, {SQL_INTENT} as intent, count(*) as n from own group by all", ("commits",))
+SQL_JUDGE = f"round(avg({SQL_MESSAGE}), 6) as quality, round(avg(regexp_matches({SQL_SUBJECT}, {quoted(fixed.LOW_EFFORT)})::int), 6) as low_effort, round(avg((regexp_matches({SQL_SUBJECT}, {quoted(fixed.CONVENTIONAL)}) and not regexp_matches({SQL_SUBJECT}, {quoted(fixed.LOW_EFFORT)}))::int), 6) as conventional"
+register("g13_message_quality", lambda t: rounded(history.message_scores(t("commits"), t("emails")), "quality", "low_effort", "conventional"), f", {SQL_OWN}{SQL_MINE}{SQL_JUDGED} select repo_id, {SQL_JUDGE} from judged group by repo_id", ("commits", "emails"))
+register("f5_longest_gap", lambda t: history.longest_gap(t("commits")), ", g as (select repo_id, (epoch_us(lead(committed_at) over (partition by repo_id order by committed_at, sha)) - epoch_us(committed_at)) // 86400000000 as gap from commits) select repo_id, coalesce(max(gap), 0) as longest_gap from g group by repo_id", ("commits",))
+register("f6_burst_days", lambda t: history.burst_days(t("commits"), 2.0, 500).withColumn("day", F.col("day").cast("string")), f", {SQL_OWN}, d as (select repo_id, committed_at::date as day, sum(size)::bigint as size from own group by all), m as (select repo_id, median(size) as middle from d group by repo_id) select d.repo_id, day::varchar as day, size from d join m using (repo_id) where middle > 0 and size > middle * 2.0 and size > 500", ("commits",))
+register("f7_timeline", lambda t: history.timeline(t("commits")), f", {SQL_OWN}, e as (select repo_id, min(epoch_us(committed_at)) / 1e6 as a, max(epoch_us(committed_at)) / 1e6 as b from own group by repo_id), p as (select c.repo_id, least(23, floor((epoch_us(committed_at) / 1e6 - a) / (greatest(b - a, 86400.0) / 24)))::int as bucket, size as n from own c join e using (repo_id)), f as (select repo_id, bucket, count(*) as n_commits, sum(n)::bigint as n_lines from p group by all), g as (select repo_id, unnest(generate_series(0, 23))::int as bucket from e) select g.repo_id, g.bucket, coalesce(n_commits, 0) as n_commits, coalesce(n_lines, 0) as n_lines from g left join f using (repo_id, bucket)", ("commits",))
+register("f8_commit_shares", lambda t: rounded(history.commit_shares(t("commits")), "first_share", "largest_share"), f", {SQL_OWN}, r as (select *, row_number() over (partition by repo_id order by committed_at, sha) as place from own) select repo_id, round(max(case when place = 1 then size end) / greatest(1, sum(size)), 6) as first_share, round(max(size) / greatest(1, sum(size)), 6) as largest_share from r group by repo_id", ("commits",))
+register("g17_contributors", lambda t: history.contributors(t("commits")), f", {SQL_OWN}, b as (select repo_id, lower(author_email) as author_email, count(*) as n_commits from own group by all) select * from (select *, row_number() over (partition by repo_id order by n_commits desc, author_email) as place from b) where place <= 5", ("commits",))
+register("g17_candidate_share", lambda t: rounded(history.candidate_share(t("commits"), t("emails")), "share"), f", {SQL_OWN}{SQL_MINE}, m as (select repo_id, count(*) as k from mine group by all) select repo_id, round(coalesce(any_value(k), 0) / count(*), 6) as share from own left join m using (repo_id) group by repo_id", ("commits", "emails"))
+SQL_HISTORY = f"""{SQL_OWN}{SQL_MINE}{SQL_JUDGED},
+w as (select repo_id, count(distinct committed_at::date) as active_days, greatest(1, (max(epoch_us(committed_at)) - min(epoch_us(committed_at))) // 86400000000) as span_days, count(*) as all_commits from commits group by all),
+c as (select repo_id, count(*) as commit_count, count(distinct lower(author_email)) as contributor_count, median(size) as median_commit_size, max(size) / greatest(1, sum(size)) as largest_share from own group by all),
+fs as (select repo_id, arg_min(size, {{'a': committed_at, 's': sha}}) as first_size, greatest(1, sum(size)) as total from own group by all),
+jm as (select repo_id, avg({SQL_MESSAGE}) as quality from judged group by all),
+k as (select repo_id, count(*) as k from mine group by all),
+dy as (select repo_id, committed_at::date as day, sum(size) as size from own group by all),
+bu as (select repo_id, count(*) as burst_days from dy join (select repo_id, median(size) as middle from dy group by all) using (repo_id) where middle > 0 and size > 8 * middle and size > 1500 group by all),
+ph as (select repo_id, list(distinct {SQL_INTENT}) as seen from own group by all),
+hs as (select w.*, coalesce(commit_count, 0) as commit_count, coalesce(contributor_count, 0) as contributor_count, coalesce(largest_share, 0) as largest_share, coalesce(first_size / total, 0) as first_share, coalesce(quality, 0) as quality, coalesce(k / commit_count, 0) as share, coalesce(burst_days, 0) as burst_days, seen
+  from w left join c using (repo_id) left join fs using (repo_id) left join jm using (repo_id) left join k using (repo_id) left join bu using (repo_id) left join ph using (repo_id))"""
+register("g14_history_signals", lambda t: rounded(history.history_signals(t("commits"), t("emails")).select("repo_id", "active_days", "span_days", "all_commits", "commit_count", "contributor_count", "largest_share", "first_share", "quality", "share", "burst_days"), "largest_share", "first_share", "quality", "share"),
+    f", {SQL_HISTORY} select repo_id, active_days, span_days, all_commits, commit_count, contributor_count, round(largest_share, 6) as largest_share, round(first_share, 6) as first_share, round(quality, 6) as quality, round(share, 6) as share, burst_days from hs", ("commits", "emails"))
+register("g14_history_score", lambda t: rounded(history.history_score(t("commits"), t("branches"), t("tags"), t("emails"), t("tags")), "score"),
+    f""", {SQL_HISTORY},
 b as (select repo_id, count(*) filter (not (regexp_extract(name, '[^/]*$') in ({listed(fixed.KNOWN_BRANCHES)}))) as nb from branches group by repo_id), g as (select repo_id, count(*) as nt from tags group by repo_id)
-select c.repo_id, round(0.18e0 * {sql_scale("n", 1, 60)} + 0.20e0 * (0.6e0 * {sql_scale("days", 1, 30)} + 0.4e0 * {sql_scale("days / greatest(span, 1)", 0, 0.35)}) + 0.22e0 * message * 100 + 0.15e0 * {sql_scale("largest", 0.95, 0.25)}
- + 0.12e0 * {sql_scale("coalesce(nb, 0)", 0, 4)} + 0.13e0 * {sql_scale("coalesce(nt, 0)", 0, 3)}, 6) as score, case when n >= 5 then 0.9 else 0.55 end::double as confidence from c left join b using (repo_id) left join g using (repo_id)""", ("commits", "branches", "tags"))
+select r.repo_id, case when commit_count is not null then round(greatest(0, least(100, 0.18e0 * {sql_scale("commit_count", 1, 60)} + 0.20e0 * (0.6e0 * {sql_scale("active_days", 1, 30)} + 0.4e0 * {sql_scale("active_days / span_days", 0, 0.35)}) + 0.22e0 * quality * 100 + 0.15e0 * {sql_scale("largest_share", 0.95, 0.25)}
+ + 0.12e0 * {sql_scale("coalesce(nb, 0)", 0, 4)} + 0.13e0 * {sql_scale("coalesce(nt, 0)", 0, 3)})), 6) end as score, case when commit_count >= 5 then 0.9 when commit_count is not null then 0.55 else 0 end::double as confidence
+from (select distinct repo_id from tags) r left join hs using (repo_id) left join b using (repo_id) left join g using (repo_id)""", ("commits", "branches", "tags", "emails"))
 register("g15_evolution", lambda t: history.evolution_score(t("commits")).select("repo_id", r6("score").alias("score"), F.array_join("phases", ",").alias("phases")),
-    ", i as (select repo_id, list(distinct " + SQL_INTENT + ") as seen from commits group by repo_id) select repo_id, round(" + " + ".join(f"case when list_has_any(seen, [{listed(n)}]) then {w * 100}e0 else 0 end" for _, n, w in history.PHASES) + ", 6) as score, array_to_string(list_filter([" + ", ".join(f"case when list_has_any(seen, [{listed(n)}]) then '{p}' end" for p, n, _ in history.PHASES) + "], lambda x: x is not null), ',') as phases from i", ("commits",))
+    f", {SQL_OWN}, i as (select repo_id, list(distinct " + SQL_INTENT + ") as seen from own group by repo_id) select repo_id, round(" + " + ".join(f"case when list_has_any(seen, [{listed(n)}]) then {w * 100}e0 else 0 end" for _, n, w in history.PHASES) + ", 6) as score, array_to_string(list_filter([" + ", ".join(f"case when list_has_any(seen, [{listed(n)}]) then '{p}' end" for p, n, _ in history.PHASES) + "], lambda x: x is not null), ',') as phases from i", ("commits",))
 register("g16_rework", lambda t: rounded(history.rework(t("commit_files")), "share", "strength"), ", p as (select repo_id, path, count(distinct sha) as n from commit_files group by all), s as (select repo_id, avg((n > 1)::int) as share from p group by repo_id) select repo_id, round(share, 6) as share, round(least(1.0, share / 0.5), 6) as strength from s", ("commit_files",))
 
 # -- similarity

@@ -1,5 +1,7 @@
 """Session for local runs; on a cluster the caller brings its own."""
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -11,6 +13,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="/tmp/spark-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
