@@ -16,7 +16,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import release, saved, small_batches
@@ -59,14 +59,15 @@ def band_keys(hashes: np.ndarray) -> list[int]:
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        digests, prints, keys = [], [], []
+        digests, sizes, prints, keys = [], [], [], []
         for x in batch.column(2):
             own = shingles(x.as_py())
             digests.append(xxhash.xxh128_digest(own.tobytes()))
+            sizes.append(len(own))
             prints.append(majority(own))
             keys.append(band_keys(own))
-        columns = [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "digest", "fp", "keys"])
+        columns = [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "digest", "size", "fp", "keys"])
     release()
 
 
@@ -89,30 +90,38 @@ def _confirmed(similarity: float):
 
 
 def _buckets(tables: DataFrame) -> DataFrame:
-    """tables: (node, v, key) with n, the size of the bucket, and centre, its least node; buckets of one are left out. Keys are grouped before they are joined."""
-    sizes = tables.groupBy("v", "key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("centre")).where("n > 1")
+    """tables: (node, size, v, key) with n, the size of the bucket, and centre, its least node, with its set's size; buckets of one are left out. Keys are
+    grouped before they are joined."""
+    sizes = tables.groupBy("v", "key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "size")).alias("centre")).where("n > 1")
     return tables.join(sizes, ["v", "key"])
 
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a > b, whose nodes are not in one class; roots: (node, root)."""
-    for side in ("a", "b"):
-        pairs = pairs.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
-    return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b").distinct()
+def _fits(a: str, b: str, similarity: float) -> Column:
+    """Whether sets of these sizes can reach the similarity."""
+    return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
 
 
-def _all_pairs(small: DataFrame) -> DataFrame:
-    """Pairs of the members of buckets whose size the caller bounds."""
-    return small.select("v", "key", F.col("node").alias("a")).join(small.select("v", "key", F.col("node").alias("b")), ["v", "key"]).where("a > b").select("a", "b")
+def _rooted(tables: DataFrame, roots: DataFrame) -> DataFrame:
+    """tables with root, only of buckets that hold several classes; largest: the class with most members there."""
+    own = tables.join(roots, "node", "left").select("v", "key", "node", "size", "n", F.coalesce("root", "node").alias("root"))
+    most = own.groupBy("v", "key", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("v", "key").agg(F.max_by("root", F.struct("m", "root")).alias("largest"), F.count(F.lit(1)).alias("classes"))
+    return own.join(most.where("classes > 1").drop("classes"), ["v", "key"])
 
 
-def _outsiders(large: DataFrame, roots: DataFrame) -> DataFrame:
+def _all_pairs(small: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of members of different classes, of buckets whose size the caller bounds."""
+    a = small.select("v", "key", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("root").alias("root_a"))
+    b = small.select("v", "key", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
+    met = (a["v"] == b["v"]) & (a["key"] == b["key"]) & (F.col("a") > F.col("b")) & (F.col("root_a") != F.col("root_b")) & _fits("size_a", "size_b", similarity)
+    return a.join(b, met).select("a", "b")
+
+
+def _outsiders(large: DataFrame, similarity: float) -> DataFrame:
     """In each bucket, pairs of a member outside the bucket's largest class with every member of another class."""
-    own = large.select("v", "key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    most = own.groupBy("v", "key", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("v", "key").agg(F.max_by("root", F.struct("m", "root")).alias("largest"))
-    outside = own.join(most, ["v", "key"]).where("root <> largest").select("v", "key", F.col("node").alias("x"), F.col("root").alias("root_x"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    met = own.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(outside, ["v", "key", "salt"]).where("root <> root_x")
-    return met.select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b"))
+    outside = large.where("root <> largest").select("v", "key", F.col("node").alias("x"), F.col("size").alias("size_x"), F.col("root").alias("root_x"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    own = large.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    met = (own["v"] == outside["v"]) & (own["key"] == outside["key"]) & (own["salt"] == outside["salt"]) & (F.col("root") != F.col("root_x")) & _fits("size", "size_x", similarity)
+    return own.join(outside, met).select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b"))
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
@@ -134,21 +143,21 @@ def confirmed(pairs: DataFrame, rows: DataFrame, similarity: float = SIMILARITY)
 
 def classes(rows: DataFrame, similarity: float = SIMILARITY, pairwise_limit: int = PAIRWISE_LIMIT) -> DataFrame:
     """rows: row (a long of its own for each), doc_id, text. (row, doc_id, root): rows of one class have one root. Texts without words are one class."""
-    own = saved(small_batches(rows).select("row", F.col("doc_id").cast("long"), "text").mapInArrow(_sketches, "row long, doc_id long, digest binary, fp long, keys array<long>"))
-    nodes = saved(own.groupBy("digest").agg(F.min("row").alias("node"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
-    tables = saved(_buckets(nodes.select("node", F.posexplode("keys").alias("v", "key"))))
+    own = saved(small_batches(rows).select("row", F.col("doc_id").cast("long"), "text").mapInArrow(_sketches, "row long, doc_id long, digest binary, size int, fp long, keys array<long>"))
+    nodes = saved(own.groupBy("digest").agg(F.min("row").alias("node"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    tables = saved(_buckets(nodes.select("node", "size", F.posexplode("keys").alias("v", "key"))))
     by_fp = nodes.groupBy("fp").agg(F.min("node").alias("first"))
     near = links(by_fp.select(F.col("first").alias("node"), "fp")).unionByName(nodes.join(by_fp, "fp").where("node > first").select(F.col("node").alias("a"), F.col("first").alias("b")))
-    stars = tables.where("node > centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
+    stars = tables.where(F.col("node") > F.col("centre.node")).where(_fits("size", "centre.size", similarity)).select(F.col("node").alias("a"), F.col("centre.node").alias("b"))
     edges = confirmed(stars.unionByName(near).distinct(), rows, similarity)
     roots = saved(components(edges))
     large = F.col("n") > pairwise_limit
     dense = nodes.join(tables.where(large).select("node").distinct(), "node", "left_semi")
     places, steps = F.sequence(F.lit(0), F.lit(BANDS - 1)), F.array(*[F.lit(s) for s in STEPS])
     twice = F.flatten(F.transform(steps, lambda s: F.transform(places, lambda v: F.xxhash64(F.get("keys", v), F.get("keys", (v + s) % BANDS)))))
-    finer = _buckets(dense.select("node", F.posexplode(twice).alias("v", "key")))
-    rest = [_all_pairs(tables.where(~large)), _all_pairs(finer.where(~large)), _outsiders(finer.where(large), roots)]
-    more = confirmed(_apart(reduce(DataFrame.unionByName, rest), roots), rows, similarity)
+    finer = _rooted(_buckets(dense.select("node", "size", F.posexplode(twice).alias("v", "key"))), roots)
+    rest = [_all_pairs(_rooted(tables.where(~large), roots), similarity), _all_pairs(finer.where(~large), similarity), _outsiders(finer.where(large), similarity)]
+    more = confirmed(reduce(DataFrame.unionByName, rest).distinct(), rows, similarity)
     if not more.isEmpty():
         roots = saved(components(edges.unionByName(more)))
     found = nodes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
