@@ -5,8 +5,8 @@ all that links join. Candidates are pairs whose fingerprints of these runs agree
 and pairs that agree on one of 24 bands of five minima: a pair at 0.8 has none with a chance of 0.00007. Each candidate is confirmed with the whole sets.
 SimHash alone can't reach 0.8: such pairs differ in about 10 of 64 bits, and a covering family for that radius has 2^11 - 1 masks of half the bits.
 
-Work is per distinct set. First each member of a bucket is held against the bucket's centre, its least member: that joins most of a class with a pair
-or two a text. Then pairs of a bucket that are still in different classes follow, so no pair of a bucket is left out:
+Work is per distinct set. First each set is held against one centre, the least member of the buckets that it shares most of: that joins most of a class
+with a pair a text. Then pairs of a bucket that are still in different classes follow, so no pair of a bucket is left out:
 those of small buckets, and in place of large ones those of buckets of two bands. There the members outside the largest class meet all others."""
 
 from collections.abc import Iterator
@@ -27,11 +27,13 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS, BAND_ROWS = 24, 5
 PAIRWISE_LIMIT = 32
-# A pair at 0.8 agrees on about eight bands; two of them are so many places apart, but for a chance below 0.0001.
-STEPS = (1, 2, 3, 5, 7, 11)
+# A pair at 0.8 agrees on about eight bands; two of them are so many places apart, but for a chance of about 0.0005.
+STEPS = (1, 2, 5, 7)
 # Pairs that one copy of a set is joined with.
 PAIRS_A_COPY = 64
 SALTS = 16
+# Row ids that go to every task together, to pick texts where they are read; more of them are joined by a shuffle.
+BROADCAST_IDS = 1 << 20
 
 _draw = np.random.default_rng(SEED)
 _FACTORS = _draw.integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -71,9 +73,22 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
 
 
+def _pack(hashes: np.ndarray) -> bytes:
+    """The upper 40 bits of each hash, in order: two sets of 20,000 runs agree in one by chance once in some 2,700 pairs."""
+    return np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, 3:]).tobytes()
+
+
+def _unpack(data: pa.Scalar) -> np.ndarray:
+    raw = np.frombuffer(data.as_buffer(), np.uint8).reshape(-1, 5)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, 3:] = raw
+    return out.view("<u8").ravel()
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(x.as_py()).tobytes() for x in batch.column(1)], pa.binary())], names=["node", "hashes"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_pack(shingles(x.as_py())) for x in batch.column(1)], pa.binary())], names=["node", "hashes"])
+    release()
 
 
 def _confirmed(similarity: float):
@@ -81,7 +96,7 @@ def _confirmed(similarity: float):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                p, q = _unpack(x), _unpack(y)
                 common = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(common >= similarity * (len(p) + len(q) - common) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -136,6 +151,8 @@ def confirmed(pairs: DataFrame, rows: DataFrame, similarity: float = SIMILARITY)
     """Those of pairs (a, b) of row keys whose sets reach the similarity."""
     pairs = saved(pairs)
     nodes = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
+    if nodes.count() <= BROADCAST_IDS:
+        nodes = F.broadcast(nodes)
     sets = saved(small_batches(rows).select("row", "text").join(nodes, "row", "left_semi").mapInArrow(_sets, "node long, hashes binary"))
     both = _with_sets(_with_sets(pairs, sets, "a"), sets, "b")
     return saved(both.select("a", "b", "hashes_a", "hashes_b").mapInArrow(_confirmed(similarity), "a long, b long"))
@@ -148,11 +165,14 @@ def classes(rows: DataFrame, similarity: float = SIMILARITY, pairwise_limit: int
     tables = saved(_buckets(nodes.select("node", "size", F.posexplode("keys").alias("v", "key"))))
     by_fp = nodes.groupBy("fp").agg(F.min("node").alias("first"))
     near = links(by_fp.select(F.col("first").alias("node"), "fp")).unionByName(nodes.join(by_fp, "fp").where("node > first").select(F.col("node").alias("a"), F.col("first").alias("b")))
-    stars = tables.where(F.col("node") > F.col("centre.node")).where(_fits("size", "centre.size", similarity)).select(F.col("node").alias("a"), F.col("centre.node").alias("b"))
+    # Of a node's centres that with which it shares most bands: one pair a node joins most of each class.
+    stars = tables.where(F.col("node") > F.col("centre.node")).where(_fits("size", "centre.size", similarity)).groupBy(F.col("node").alias("a"), F.col("centre.node").alias("c")).agg(F.count(F.lit(1)).alias("bands"))
+    stars = stars.groupBy("a").agg(F.max_by("c", F.struct("bands", (-F.col("c")).alias("less"))).alias("b"))
     edges = confirmed(stars.unionByName(near).distinct(), rows, similarity)
     roots = saved(components(edges))
     large = F.col("n") > pairwise_limit
-    dense = nodes.join(tables.where(large).select("node").distinct(), "node", "left_semi")
+    crowded = _rooted(tables.where(large), roots)  # without buckets that are of one class by now
+    dense = nodes.join(crowded.select("node").distinct(), "node", "left_semi")
     places, steps = F.sequence(F.lit(0), F.lit(BANDS - 1)), F.array(*[F.lit(s) for s in STEPS])
     twice = F.flatten(F.transform(steps, lambda s: F.transform(places, lambda v: F.xxhash64(F.get("keys", v), F.get("keys", (v + s) % BANDS)))))
     finer = _rooted(_buckets(dense.select("node", "size", F.posexplode(twice).alias("v", "key"))), roots)
