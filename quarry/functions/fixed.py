@@ -86,23 +86,23 @@ INSECURE = [
     ("sql_string_concat", "sql_injection", r"(?i)(execute|executemany|cursor\.execute|query|raw|db\.run)\s*\(\s*[fr]?['\"](?:[^'\"]*\b(?:select|insert|update|delete|drop)\b[^'\"]*)['\"]\s*(?:\+|%|\.format\()", "high", 0.8, ["python", "javascript", "typescript", "java"]),
     ("sql_fstring", "sql_injection", r"(?i)(?:execute|query|raw)\s*\(\s*(?:f['\"]|`)[^'\"`]*\b(?:select|insert|update|delete)\b[^'\"`]*(?:\{|\$\{)", "high", 0.85, ["python", "javascript", "typescript"]),
     ("shell_true", "command_injection", r"subprocess\.(?:run|call|Popen|check_output|check_call)\s*\([^)]*shell\s*=\s*True", "high", 0.75, ["python"]),
+    ("os_system", "command_injection", r"(?:os\.system|os\.popen)\s*\(\s*(?:f['\"]|[^'\")]*[+%]|.*\.format\()", "high", 0.8, ["python"]),
     ("node_exec", "command_injection", r"(?:child_process\.)?exec(?:Sync)?\s*\(\s*(?:`[^`]*\$\{|['\"][^'\"]*['\"]\s*\+)", "high", 0.8, ["javascript", "typescript"]),
     ("python_eval", "code_injection", r"\b(?:eval|exec)\s*\(\s*[a-zA-Z_][\w.\[\]]*\s*[,)]", "critical", 0.7, ["python"]),
     ("pickle_load", "unsafe_deserialization", r"\bpickle\.loads?\s*\(|\bcPickle\.loads?\s*\(|\byaml\.load\s*\(" + NO_LOADER, "high", 0.85, ["python"]),
     ("js_eval", "code_injection", r"\beval\s*\(\s*[a-zA-Z_$][\w$.]*\s*\)|new\s+Function\s*\(", "high", 0.7, ["javascript", "typescript", "tsx"]),
+    ("java_deserialize", "unsafe_deserialization", r"new\s+ObjectInputStream\s*\(", "high", 0.6, ["java"]),
     ("react_dangerous_html", "xss", r"dangerouslySetInnerHTML\s*=\s*\{\{\s*__html:(?:[^'\"]|$)", "high", 0.75, ["javascript", "typescript", "tsx"]),
     ("inner_html_assign", "xss", r"\.innerHTML\s*=\s*[a-zA-Z_$][\w$.\[\]]*", "medium", 0.6, ["javascript", "typescript", "tsx"]),
-    ("cors_wildcard_credentials", "misconfiguration", r"allow_origins\s*=\s*\[\s*['\"]\*['\"]\s*\][^)]*allow_credentials\s*=\s*True|origin\s*:\s*['\"]\*['\"][^}]*credentials\s*:\s*true", "high", 0.85, None),
-    ("path_traversal", "path_traversal", r"(?:open|readFile|readFileSync|sendFile)\s*\(\s*(?:os\.path\.join\s*\()?[^)]*\b(?:request|req)\.(?:args|params|query|body|GET|POST)\b", "high", 0.7, None),
-    ("os_system", "command_injection", r"(?:os\.system|os\.popen)\s*\(\s*(?:f['\"]|[^'\")]*[+%]|.*\.format\()", "high", 0.8, ["python"]),
-    ("java_deserialize", "unsafe_deserialization", r"new\s+ObjectInputStream\s*\(", "high", 0.6, ["java"]),
     ("jinja_autoescape_off", "xss", r"autoescape\s*=\s*False|\|\s*safe\b|mark_safe\s*\(", "medium", 0.55, ["python"]),
+    ("tls_verification_disabled", "insecure_transport", r"verify\s*=\s*False|rejectUnauthorized\s*:\s*false|CURLOPT_SSL_VERIFYPEER\s*,\s*(?:0|false)|NODE_TLS_REJECT_UNAUTHORIZED\s*=\s*['\"]?0", "high", 0.9, None),
     ("weak_hash", "weak_crypto", r"(?i)\b(?:hashlib\.)?(?:md5|sha1)\s*\(|createHash\s*\(\s*['\"](?:md5|sha1)['\"]", "medium", 0.5, None),
     ("plaintext_password_store", "auth", r"(?i)(?:password|passwd)\s*==\s*(?:request|req|body|data|form|params)|user\.password\s*==\s*", "high", 0.6, None),
     ("jwt_verify_disabled", "auth", r"verify_signature['\"]?\s*:\s*False|verify\s*:\s*false|jwt\.decode\([^)]*options\s*=\s*\{[^}]*verify[^}]*False", "critical", 0.85, None),
     ("debug_enabled", "misconfiguration", r"(?i)\b(?:debug|DEBUG)\s*[:=]\s*(?:True|true|1)\b", "low", 0.4, None),
+    ("cors_wildcard_credentials", "misconfiguration", r"allow_origins\s*=\s*\[\s*['\"]\*['\"]\s*\][^)]*allow_credentials\s*=\s*True|origin\s*:\s*['\"]\*['\"][^}]*credentials\s*:\s*true", "high", 0.85, None),
     ("bind_all_interfaces", "misconfiguration", r"0\.0\.0\.0['\"]?\s*[,:)]|host\s*=\s*['\"]0\.0\.0\.0['\"]", "low", 0.3, None),
-    ("tls_verification_disabled", "insecure_transport", r"verify\s*=\s*False|rejectUnauthorized\s*:\s*false|CURLOPT_SSL_VERIFYPEER\s*,\s*(?:0|false)|NODE_TLS_REJECT_UNAUTHORIZED\s*=\s*['\"]?0", "high", 0.9, None),
+    ("path_traversal", "path_traversal", r"(?:open|readFile|readFileSync|sendFile)\s*\(\s*(?:os\.path\.join\s*\()?[^)]*\b(?:request|req)\.(?:args|params|query|body|GET|POST)\b", "high", 0.7, None),
 ]
 CODE_CATEGORIES = ["candidate_code", "test_code", "configuration", "generated_code"]
 
@@ -141,59 +141,136 @@ ARTIFACTS = [
     ("apology_or_meta", r"(?im)^\s*(?://|#)\s*(?:as an ai|i cannot|i'?m sorry|certainly[,!]|of course[,!]|feel free to)"),
     ("emoji_section_comment", r"(?m)^\s*(?://|#)\s*[\x{1F300}-\x{1FAFF}\x{2700}-\x{27BF}]"),
 ]
+DOC_OPEN = "^\\s*[rRuU]?(\"\"\"|''')"
 HEADER = r"^(\s*)(?:async\s+)?(def|class|function)\s+([A-Za-z_]\w*)"
 DECISIONS = r"\b(if|elif|for|while|except|case|catch|and|or)\b|&&|\|\||\?"
 SHORT_NAMES = ["id", "ok", "db", "io"]
 GENERIC_NAMES = ["data", "data2", "temp", "tmp", "foo", "bar", "baz", "test1", "thing", "stuff", "obj", "val", "var", "res", "ret", "arr", "lst", "dict1"]
-# Skills: (key, dimension, terms, implied keys).
+# The skill taxonomy. Rows: (key, label, dimension, aliases, dependencies, imports, languages, path patterns, implied keys).
 SKILLS = [
-    ("python", "backend", ["python", "py"], []), ("javascript", "frontend", ["javascript", "js", "ecmascript"], []), ("typescript", "frontend", ["typescript", "ts"], []), ("java", "backend", ["java"], []),
-    ("go", "backend", ["golang"], []), ("rust", "systems", ["rust"], []), ("sql", "backend", ["sql"], []), ("bash", "devops", ["shell scripting", "shell", "bash"], []),
-    ("pytorch", "ai_ml", ["pytorch", "torch"], ["machine_learning", "python"]), ("tensorflow", "ai_ml", ["tensorflow", "tf", "keras"], ["machine_learning", "python"]),
-    ("machine_learning", "ai_ml", ["machine learning", "ml", "deep learning", "neural network"], []), ("llm", "ai_ml", ["large language model", "gpt", "generative ai"], []),
-    ("vector_database", "ai_ml", ["vector database", "pgvector", "vector store"], []), ("rag", "ai_ml", ["retrieval augmented generation", "vector search"], ["llm", "vector_database"]),
-    ("angular", "frontend", ["angular"], []),
-    ("c", "systems", ["c"], []),
-    ("ci_cd", "devops", ["ci cd", "continuous integration", "continuous deployment", "github actions"], []),
-    ("cloud", "devops", ["cloud", "cloud platforms", "aws", "gcp", "azure", "cloud infrastructure"], []),
-    ("computer_vision", "ai_ml", ["computer vision", "cv", "opencv", "image processing"], []),
-    ("cpp", "systems", ["cpp", "c++", "cplusplus"], []),
-    ("data_engineering", "ai_ml", ["data engineering", "etl", "data pipeline", "airflow", "spark"], []),
-    ("data_science", "ai_ml", ["data science", "data analysis", "analytics", "pandas"], []),
-    ("django", "backend", ["django"], ["python", "rest_api"]),
-    ("docker", "devops", ["docker", "containers", "containerization"], []),
-    ("express", "backend", ["express"], ["javascript", "rest_api"]),
-    ("fastapi", "backend", ["fastapi"], ["python", "rest_api"]),
-    ("flask", "backend", ["flask"], ["python", "rest_api"]),
-    ("git", "devops", ["git", "git version control", "version control", "source control"], []),
-    ("graphql", "backend", ["graphql"], []),
-    ("kubernetes", "devops", ["kubernetes", "k8s"], []),
-    ("message_queue", "devops", ["message queue", "message queues", "kafka", "rabbitmq", "celery", "pub sub"], []),
-    ("microservices", "backend", ["microservices", "service oriented", "distributed systems"], []),
-    ("mobile", "frontend", ["mobile", "mobile development", "react native", "android", "ios", "flutter"], []),
-    ("mongodb", "backend", ["mongodb", "mongo", "nosql"], []),
-    ("mysql", "backend", ["mysql"], ["sql"]),
-    ("nestjs", "backend", ["nestjs"], ["typescript", "rest_api"]),
-    ("nextjs", "frontend", ["nextjs", "next js"], ["react"]),
-    ("nlp", "ai_ml", ["nlp", "natural language processing"], []),
-    ("observability", "devops", ["observability", "monitoring", "logging", "tracing", "prometheus"], []),
-    ("open_source", "open_source", ["open source", "open source contribution", "oss"], []),
-    ("orm", "backend", ["orm", "orm data modelling", "sqlalchemy", "prisma", "typeorm", "hibernate"], []),
-    ("performance", "systems", ["performance", "performance engineering", "optimization", "scalability", "profiling", "load testing"], []),
-    ("postgresql", "backend", ["postgresql", "postgres", "psql"], ["sql"]),
-    ("react", "frontend", ["react"], ["javascript"]),
-    ("redis", "backend", ["redis", "caching"], []),
-    ("research", "research", ["research", "research experimentation", "paper", "experiment", "benchmark", "reproduction"], []),
-    ("rest_api", "backend", ["rest api", "rest api development", "api development", "rest", "restful", "api design"], []),
-    ("security", "security", ["security", "security engineering", "application security", "appsec", "authentication", "authorization", "oauth", "jwt"], []),
-    ("spring", "backend", ["spring", "spring boot", "springboot"], ["java", "rest_api"]),
-    ("tailwind", "frontend", ["tailwind", "tailwind css"], []),
-    ("terraform", "devops", ["terraform", "infrastructure as code", "iac", "pulumi", "ansible"], []),
-    ("testing", "testing", ["testing", "unit testing", "test automation", "tdd", "pytest", "jest"], []),
-    ("ui_engineering", "frontend", ["ui engineering", "frontend", "front end", "user interface"], []),
-    ("vue", "frontend", ["vue", "vuejs", "vue js"], []),
-    ("websockets", "backend", ["websockets", "realtime", "socket io"], []),
+    ("python", "Python", "backend", ["py"], [], [], ["python"], [], []),
+    ("javascript", "JavaScript", "frontend", ["js", "ecmascript"], [], [], ["javascript"], [], []),
+    ("typescript", "TypeScript", "frontend", ["ts"], [], [], ["typescript", "tsx"], [], []),
+    ("java", "Java", "backend", [], [], [], ["java"], [], []),
+    ("cpp", "C++", "systems", ["c++", "cplusplus"], [], [], ["cpp"], [], []),
+    ("c", "C", "systems", [], [], [], ["c"], [], []),
+    ("go", "Go", "backend", ["golang"], [], [], ["go"], [], []),
+    ("rust", "Rust", "systems", [], [], [], ["rust"], [], []),
+    ("sql", "SQL", "backend", [], ["sqlalchemy", "alembic", "psycopg", "psycopg2", "psycopg2-binary", "asyncpg", "mysqlclient", "pymysql", "prisma", "typeorm", "sequelize", "knex", "drizzle-orm", "pg", "mysql2", "sqlite3", "better-sqlite3"], [], ["sql"], [r"\.sql$"], []),
+    ("bash", "Shell scripting", "devops", ["shell", "bash scripting"], [], [], ["bash"], [], []),
+    ("pytorch", "PyTorch", "ai_ml", ["torch"], ["torch", "pytorch-lightning"], ["torch"], [], [], ["machine_learning", "python"]),
+    ("tensorflow", "TensorFlow", "ai_ml", ["tf", "keras"], ["tensorflow", "keras"], ["tensorflow", "keras"], [], [], ["machine_learning", "python"]),
+    ("machine_learning", "Machine Learning", "ai_ml", ["ml", "deep learning", "neural network"], ["scikit-learn", "sklearn", "xgboost", "lightgbm", "catboost"], ["sklearn", "xgboost", "lightgbm"], [], [], []),
+    ("nlp", "Natural Language Processing", "ai_ml", ["natural language processing"], ["spacy", "nltk", "transformers", "tokenizers"], ["spacy", "nltk"], [], [], []),
+    ("llm", "LLM integration", "ai_ml", ["large language model", "gpt", "generative ai", "genai"], ["openai", "anthropic", "transformers", "litellm", "ollama", "vllm"], ["openai", "anthropic", "transformers"], [], [], []),
+    ("rag", "Retrieval-Augmented Generation", "ai_ml", ["retrieval augmented generation", "retrieval-augmented", "vector search"], ["langchain", "llama-index", "llama_index", "haystack-ai"], ["langchain", "llama_index"], [], [], ["llm", "vector_database"]),
+    ("vector_database", "Vector database", "ai_ml", ["pgvector", "embeddings store", "vector store"], ["chromadb", "pinecone-client", "qdrant-client", "weaviate-client", "faiss-cpu", "faiss", "pgvector", "milvus"], [], [], [], []),
+    ("data_science", "Data science", "ai_ml", ["data analysis", "analytics", "pandas"], ["pandas", "numpy", "scipy", "polars", "matplotlib", "seaborn"], ["pandas", "numpy"], [], [], []),
+    ("computer_vision", "Computer vision", "ai_ml", ["cv", "opencv", "image processing"], ["opencv-python", "pillow", "torchvision", "albumentations"], ["cv2", "torchvision"], [], [], []),
+    ("fastapi", "FastAPI", "backend", [], ["fastapi", "uvicorn"], ["fastapi"], [], [], ["python", "rest_api"]),
+    ("flask", "Flask", "backend", [], ["flask"], ["flask"], [], [], ["python", "rest_api"]),
+    ("django", "Django", "backend", [], ["django", "djangorestframework"], ["django"], [], [], ["python", "rest_api"]),
+    ("express", "Express", "backend", [], ["express"], [], [], [], ["javascript", "rest_api"]),
+    ("nestjs", "NestJS", "backend", [], ["@nestjs/core", "@nestjs/common"], [], [], [], ["typescript", "rest_api"]),
+    ("spring", "Spring Boot", "backend", ["spring boot", "springboot"], ["spring-boot-starter", "spring-boot-starter-web"], [], [], [], ["java", "rest_api"]),
+    ("rest_api", "REST API development", "backend", ["api development", "rest", "restful", "api design"], [], [], [], [r"(^|/)(api|routes|routers|controllers|endpoints)(/|$)"], []),
+    ("graphql", "GraphQL", "backend", [], ["graphql", "strawberry-graphql", "apollo-server", "@apollo/client", "graphene"], [], [], [], []),
+    ("websockets", "WebSockets", "backend", ["realtime", "socket.io"], ["websockets", "socket.io", "python-socketio"], [], [], [], []),
+    ("microservices", "Microservices", "backend", ["service oriented", "distributed systems"], [], [], [], [], []),
+    ("react", "React", "frontend", [], ["react", "react-dom"], [], [], [], ["javascript"]),
+    ("nextjs", "Next.js", "frontend", ["next.js", "next js"], ["next"], [], [], [], ["react"]),
+    ("vue", "Vue", "frontend", ["vuejs", "vue.js"], ["vue", "nuxt"], [], [], [], []),
+    ("angular", "Angular", "frontend", [], ["@angular/core"], [], [], [], []),
+    ("tailwind", "Tailwind CSS", "frontend", [], ["tailwindcss"], [], [], [], []),
+    ("ui_engineering", "UI engineering", "frontend", ["frontend", "front-end", "user interface"], [], [], [], [r"(^|/)(components|pages|views|screens)(/|$)"], []),
+    ("mobile", "Mobile development", "frontend", ["react native", "android", "ios", "flutter"], ["react-native", "expo", "flutter"], [], [], [], []),
+    ("postgresql", "PostgreSQL", "backend", ["postgres", "psql"], ["psycopg", "psycopg2", "psycopg2-binary", "asyncpg", "pg"], [], [], [], ["sql"]),
+    ("mysql", "MySQL", "backend", [], ["mysqlclient", "pymysql", "mysql2"], [], [], [], ["sql"]),
+    ("mongodb", "MongoDB", "backend", ["mongo", "nosql"], ["pymongo", "mongoose", "motor"], [], [], [], []),
+    ("redis", "Redis", "backend", ["caching"], ["redis", "ioredis", "aioredis"], [], [], [], []),
+    ("orm", "ORM / data modelling", "backend", ["sqlalchemy", "prisma", "typeorm", "hibernate"], ["sqlalchemy", "prisma", "typeorm", "sequelize", "alembic", "drizzle-orm"], [], [], [], []),
+    ("data_engineering", "Data engineering", "ai_ml", ["etl", "data pipeline", "airflow", "spark"], ["apache-airflow", "pyspark", "dbt-core", "prefect", "dagster"], [], [], [], []),
+    ("docker", "Docker", "devops", ["containers", "containerization"], [], [], [], [r"(^|/)Dockerfile", r"docker-compose\.ya?ml$"], []),
+    ("kubernetes", "Kubernetes", "devops", ["k8s"], [], [], [], [r"(^|/)k8s(/|$)", r"helm"], []),
+    ("ci_cd", "CI/CD", "devops", ["continuous integration", "continuous deployment", "github actions"], [], [], [], [r"^\.github/workflows/", r"\.gitlab-ci\.yml$", r"Jenkinsfile$"], []),
+    ("cloud", "Cloud platforms", "devops", ["aws", "gcp", "azure", "cloud infrastructure"], ["boto3", "google-cloud-storage", "azure-identity", "aws-sdk"], [], [], [], []),
+    ("terraform", "Infrastructure as code", "devops", ["terraform", "iac", "pulumi", "ansible"], [], [], [], [r"\.tf$"], []),
+    ("observability", "Observability", "devops", ["monitoring", "logging", "tracing", "prometheus"], ["prometheus-client", "opentelemetry-api", "structlog", "sentry-sdk", "winston"], [], [], [], []),
+    ("message_queue", "Message queues", "devops", ["kafka", "rabbitmq", "celery", "pub/sub"], ["celery", "kafka-python", "pika", "aio-pika", "rq", "bullmq"], [], [], [], []),
+    ("testing", "Testing", "testing", ["unit testing", "test automation", "tdd", "pytest", "jest"], ["pytest", "jest", "vitest", "mocha", "junit", "playwright", "cypress"], [], [], [r"(^|/)tests?(/|$)", r"(^|/)__tests__(/|$)"], []),
+    ("security", "Security engineering", "security", ["application security", "appsec", "authentication", "authorization", "oauth", "jwt"], ["cryptography", "pyjwt", "passlib", "bcrypt", "authlib", "jsonwebtoken", "helmet"], [], [], [], []),
+    ("performance", "Performance engineering", "systems", ["optimization", "scalability", "profiling", "load testing"], ["locust", "k6", "py-spy"], [], [], [], []),
+    ("open_source", "Open-source contribution", "open_source", ["oss", "open source"], [], [], [], [r"(^|/)CONTRIBUTING", r"(^|/)CODE_OF_CONDUCT"], []),
+    ("research", "Research / experimentation", "research", ["paper", "experiment", "benchmark", "reproduction"], [], [], [], [r"(^|/)(notebooks?|experiments?|research)(/|$)", r"\.ipynb$"], []),
+    ("git", "Git / version control", "devops", ["version control", "source control"], [], [], [], [], []),
 ]
+# What each kind of evidence adds to a skill.
+EVIDENCE_WEIGHTS = {"dependency": 0.45, "import": 0.35, "path": 0.35, "signal": 0.50, "topic": 0.15, "readme": 0.10, "description": 0.08}
+
+# Headings and words of job descriptions.
+JOB_HEADINGS = {
+    "required": r"(?i)^\s*[#*\-\s]*\b(requirements?|must[- ]haves?|qualifications?|required skills?|what you.ll need|minimum qualifications?|essential)\b\s*:?\s*$",
+    "preferred": r"(?i)^\s*[#*\-\s]*\b(nice[- ]to[- ]haves?|preferred|bonus|plus(es)?|desirable|good to have|preferred qualifications?|optional)\b\s*:?\s*$",
+    "responsibilities": r"(?i)^\s*[#*\-\s]*\b(responsibilities|what you.ll do|the role|about the role|day to day|your impact|duties)\b\s*:?\s*$",
+}
+REQUIRED_WORDS = r"(?i)\b(must have|required|strong|solid|proven|essential|expert|deep (?:knowledge|experience)|proficien\w+)\b"
+PREFERRED_WORDS = r"(?i)\b(nice to have|preferred|bonus|a plus|desirable|familiarity|exposure|some experience|helpful|ideally)\b"
+YEARS = r"(?i)(\d+)\s*\+?\s*(?:-\s*\d+\s*)?years?"
+LEVELS = [
+    ("intern", r"(?i)\b(intern|internship|trainee|apprentice)\b"),
+    ("entry", r"(?i)\b(entry[- ]level|graduate|junior|new grad|fresher|associate)\b"),
+    ("senior", r"(?i)\b(senior|sr\.?|lead|principal|staff|architect)\b"),
+    ("mid", r"(?i)\b(mid[- ]level|intermediate|\b[3-5]\+?\s*years)\b"),
+]
+DOMAINS = [
+    ("ai_ml", r"(?i)\b(machine learning|ml engineer|ai engineer|deep learning|data scien\w+|nlp|llm|generative ai)\b"),
+    ("backend", r"(?i)\b(backend|back[- ]end|server[- ]side|api engineer|platform engineer)\b"),
+    ("frontend", r"(?i)\b(frontend|front[- ]end|ui engineer|web developer)\b"),
+    ("fullstack", r"(?i)\b(full[- ]?stack)\b"),
+    ("devops", r"(?i)\b(devops|sre|site reliability|platform|infrastructure engineer)\b"),
+    ("security", r"(?i)\b(security engineer|appsec|application security|cybersecurity)\b"),
+    ("mobile", r"(?i)\b(mobile engineer|ios engineer|android engineer)\b"),
+    ("data", r"(?i)\b(data engineer|analytics engineer|etl)\b"),
+]
+# résumés.
+PROFICIENCY = {"expert": 0.75, "advanced": 0.65, "proficient": 0.55, "strong": 0.55, "experienced": 0.45, "intermediate": 0.35, "working knowledge": 0.3, "familiar": 0.2, "basic": 0.15, "beginner": 0.1, "exposure": 0.1}
+UNKNOWN_FLOOR = 0.35
+RESUME_HEADINGS = r"(?i)^\s*(experience|work experience|employment|education|projects?|skills?|technical skills|achievements?|certifications?|publications?|internships?)\s*:?\s*$"
+
+# Code quality, testing, architecture, security hygiene.
+QUALITY_WEIGHTS = {"complexity": 0.24, "function_size": 0.16, "nesting": 0.12, "duplication": 0.16, "naming": 0.10, "comments": 0.08, "error_handling": 0.08, "modularity": 0.06}
+TEST_FRAMEWORKS = {
+    "pytest": ["import pytest", "from pytest", "@pytest.", "pytest.fixture"], "unittest": ["import unittest", "unittest.TestCase"],
+    "jest": ["@jest/globals", "jest.mock", "jest.fn(", "jest.spyOn", "from 'jest'"], "vitest": ["from 'vitest'", 'from "vitest"', "vi.mock", "vi.fn("],
+    "mocha": ["require('mocha')", "from 'mocha'", 'from "mocha"'], "testing-library": ["@testing-library/"],
+    "playwright": ["@playwright/test", "playwright.sync_api", "playwright.async_api"], "cypress": ["cypress/", "cy.visit(", "cy.get("],
+    "junit": ["org.junit", "@Test"], "go-test": ["testing.T"], "rspec": ["RSpec.describe"], "gtest": ["gtest/gtest.h", "TEST_F("],
+}
+INTEGRATION_HINTS = "integration|e2e|end_to_end|end-to-end|functional|api_test"
+E2E_HINTS = "e2e|playwright|cypress|selenium|puppeteer"
+CI_FILES = [".gitlab-ci.yml", ".circleci/config.yml", "azure-pipelines.yml", "Jenkinsfile", ".travis.yml"]
+CI_TEST_MARKERS = ["pytest", "npm test", "npm run test", "yarn test", "pnpm test", "go test", "mvn test", "gradle test", "vitest", "jest", "cargo test", "tox", "make test"]
+COVERAGE_FILES = [".coveragerc", "codecov.yml", ".codecov.yml", "jest.config", "vitest.config"]
+COVERAGE_MARKERS = ["--cov", "coverage run", "collectCoverage", "nyc ", "jacoco", "coverage:"]
+TESTING_WEIGHTS = {"presence": 0.30, "volume": 0.25, "breadth": 0.20, "ci": 0.15, "coverage_tracking": 0.10}
+ARCHITECTURE_WEIGHTS = {"layering": 0.32, "modularity": 0.24, "coupling": 0.22, "structure_depth": 0.12, "entry_points": 0.10}
+ENTRY_NAMES = ["main.py", "app.py", "manage.py", "index.js", "index.ts", "server.js", "server.ts", "main.go", "Main.java", "cli.py"]
+ENTRY_PATHS = ["docker-compose.yml", "Dockerfile", "Makefile"]
+ENV_FILES = [".env", ".env.local", ".env.production"]
+ENV_EXAMPLES = [".env.example", ".env.sample", ".env.template"]
+STRUCTURED_DOC = r"(?:Args?|Arguments|Parameters|Params|Returns?|Raises?|Yields?|Attributes)\s*:"
+KEYWORDS = (
+    "if elif else for while do switch case default break continue return yield try except catch finally raise throw with as import from export require "
+    "def function class struct interface enum extends implements new delete public private protected static final const let var abstract override "
+    "async await lambda pass and or not in is None True False null nil true false undefined this self super typeof instanceof void sizeof union namespace "
+    "template using typedef virtual inline package throws synchronized"
+).split()
+
+# Answers.
+ANSWER_WEIGHTS = {"technical_correctness": 0.30, "specificity": 0.22, "repository_consistency": 0.20, "depth_of_understanding": 0.18, "communication": 0.10}
+DEPTH_MARKERS = ["because", "trade-off", "tradeoff", "instead of", "alternative", "the reason", "otherwise", "which means", "so that", "in order to", "downside", "limitation", "we could", "i chose", "i decided", "considered", "compared"]
+STRUCTURE_MARKERS = ["first", "second", "then", "finally", "however", "therefore", "for example"]
+HEDGE_MARKERS = ["i don't know", "not sure", "no idea", "can't remember", "i forgot"]
 
 OWNERSHIP_WEIGHTS = {"incremental_development": 0.20, "iteration_evidence": 0.18, "test_evolution": 0.14, "project_specific_docs": 0.12, "commit_quality": 0.12, "style_consistency": 0.08, "attribution": 0.10, "candidate_explanation": 0.06}
 UTILIZATION_WEIGHTS = {"delivery": 0.15, "integration": 0.20, "verification": 0.22, "architectural_ownership": 0.18, "understanding": 0.15, "dependency_discipline": 0.10}

@@ -51,6 +51,11 @@ def identifier_words(s) -> Column:
     return F.filter(F.split(F.lower(F.trim(spaced)), " "), lambda w: w != "")
 
 
+def split_words(term: str) -> list[str]:
+    """The words of a fixed term, as texts are split: letters, digits, + # and underscores."""
+    return "".join(c if c.isalnum() or c in "+#_" else " " for c in term.lower()).split()
+
+
 def words(t) -> Column:
     return F.transform(F.regexp_extract_all(col(t), F.lit("([A-Za-z][A-Za-z0-9_]+)"), 1), F.lower)
 

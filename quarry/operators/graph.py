@@ -3,20 +3,45 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import module_key
+from ..functions import fixed
+from ..functions.scalars import module_key, normal_path
+from ..tables import saved
+
+
+PYTHON_IMPORT = r"^\s*(?:from\s+([\w.]+)|import\s+([\w.]+))"
+SCRIPT_IMPORT = r"""from\s+['"]([^'"]+)['"]|require\(\s*['"]([^'"]+)['"]"""
+
+
+def import_targets(files: DataFrame) -> DataFrame:
+    """files (repo_id, path, language, text): (repo_id, path, target): what each import statement names, with slashes between its parts. Paths that begin with a dot are
+    taken from the file's folder."""
+    rows = files.where(F.col("language").isin("python", "javascript", "typescript", "tsx")).select("repo_id", "path", "language", F.explode(F.split("text", "\n")).alias("line"))
+    both = lambda p: F.concat(F.regexp_extract("line", p, 1), F.regexp_extract("line", p, 2))
+    python = rows.where("language = 'python'").where(F.col("line").rlike(PYTHON_IMPORT)).select("repo_id", "path", F.replace(both(PYTHON_IMPORT), F.lit("."), F.lit("/")).alias("target"))
+    names = F.filter(F.concat(F.regexp_extract_all("line", F.lit(SCRIPT_IMPORT), 1), F.regexp_extract_all("line", F.lit(SCRIPT_IMPORT), 2)), lambda x: F.length(x) > 0)
+    script = rows.where("language <> 'python'").select("repo_id", "path", F.explode(names).alias("target"))
+    near = F.col("target").startswith(".")
+    script = script.withColumn("target", F.when(near, normal_path(F.concat(F.regexp_replace("path", "[^/]*$", ""), F.col("target")))).otherwise(F.col("target")))
+    return python.unionByName(script).select("repo_id", "path", F.regexp_replace(F.trim("target"), "^/+|/+$", "").alias("target")).where("target <> ''").distinct()
 
 
 def import_edges(imports: DataFrame, files: DataFrame, parts: int = 4) -> DataFrame:
-    """imports (repo_id, path, target) to files of the repository whose module path ends in the target (1 to `parts` segments).
+    """imports (repo_id, path, target) to files of the repository whose module path ends in the target (1 to `parts` segments) or, where none does, in its last segment.
 
-    Of several, paths outside tests come first, then shallow, short, and lexicographic. A file doesn't import itself."""
+    Of several, paths outside tests come first, then shallow, short, and lexicographic. A file doesn't import itself. Of the files of one ending only the best two
+    are kept before imports meet them, as just one of them can be the importer itself."""
     pieces = F.split(module_key("path"), "/")
     keys = files.select("repo_id", F.col("path").alias("dst"), F.explode(F.sequence(F.lit(1), F.least(F.size(pieces), F.lit(parts)))).alias("n"), pieces.alias("pieces"))
-    keys = keys.select("repo_id", "dst", F.array_join(F.slice("pieces", -F.col("n"), F.col("n")), "/").alias("key"), F.size("pieces").alias("depth"))
-    wanted = imports.select("repo_id", F.col("path").alias("src"), F.regexp_replace("target", r"\.", "/").alias("key"))
-    found = wanted.join(keys, ["repo_id", "key"]).where("src <> dst")
-    rank = F.struct(F.col("dst").rlike(r"(^|/)tests?/").cast("int").alias("t"), "depth", F.length("dst").alias("l"), "dst")
-    return found.groupBy("repo_id", "src", "key").agg(F.min(rank).alias("best")).select("repo_id", "src", F.col("best.dst").alias("dst")).distinct()
+    keys = keys.select("repo_id", "dst", F.array_join(F.slice("pieces", -F.col("n"), F.col("n")), "/").alias("key"), (F.size("pieces")).alias("depth"))
+    best = Window.partitionBy("repo_id", "key").orderBy(F.col("dst").rlike(fixed.TEST_PATH).cast("int"), "depth", F.length("dst"), "dst")
+    keys = keys.withColumn("place", F.row_number().over(best)).where("place <= 2").drop("depth")
+    slashed = F.when(F.col("target").contains("/"), F.col("target")).otherwise(F.replace(F.col("target"), F.lit("."), F.lit("/")))
+    wanted = imports.select("repo_id", F.col("path").alias("src"), slashed.alias("whole"))
+    tries = wanted.withColumn("try", F.explode(F.array(F.struct(F.lit(1).alias("turn"), F.col("whole").alias("key")), F.struct(F.lit(2).alias("turn"), F.element_at(F.split("whole", "/"), -1).alias("key"))))).select("repo_id", "src", "whole", "try.turn", "try.key")
+    met = tries.join(keys, ["repo_id", "key"])
+    first = met.groupBy("repo_id", "src", "whole").agg(F.min("turn").alias("turn"))  # the whole target, if any file has it
+    found = met.join(first, ["repo_id", "src", "whole", "turn"]).where("src <> dst")
+    return found.groupBy("repo_id", "src", "whole").agg(F.min_by("dst", "place").alias("dst")).select("repo_id", "src", "dst").distinct()
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -68,3 +93,46 @@ def import_cycles(edges: DataFrame, limit: int = 10) -> DataFrame:
         return pd.DataFrame({"repo_id": [edges["repo_id"].iloc[0]] * len(found), "cycle": found})
 
     return edges.groupBy("repo_id").applyInPandas(walk, "repo_id string, cycle string")
+
+
+def strong_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+    """(repo_id, node, component): the nodes that stand on cycles, with the smallest node of their strongly connected component. For graphs of any size: no
+    repository is brought to one task.
+
+    Nodes without edges in or out can't be on a cycle and go first. Then each node learns the smallest node that reaches it, and backwards, among nodes with one such
+    origin, which of them reach that origin: these are a component and leave. Tables are written at each round, so lineage stays short."""
+    left = saved(edges.select("repo_id", "src", "dst").distinct())
+    found = None
+    for _ in range(max_rounds):
+        while True:  # trim
+            entered, leaving = left.select("repo_id", F.col("dst").alias("src")).distinct(), left.select("repo_id", F.col("src").alias("dst")).distinct()
+            inner = saved(left.join(entered, ["repo_id", "src"], "left_semi").join(leaving, ["repo_id", "dst"], "left_semi").select("repo_id", "src", "dst"))
+            if inner.count() == left.count():
+                break
+            left = inner
+        if left.isEmpty():
+            break
+        nodes = left.select("repo_id", F.explode(F.array("src", "dst")).alias("node")).distinct()
+        origin = _spread(nodes.withColumn("value", F.col("node")), left.select("repo_id", F.col("src").alias("a"), F.col("dst").alias("b")), max_rounds)
+        inside = left.join(origin.select("repo_id", F.col("node").alias("src"), F.col("value").alias("o")), ["repo_id", "src"]).join(origin.select("repo_id", F.col("node").alias("dst"), F.col("value").alias("p")), ["repo_id", "dst"]).where("o = p").select("repo_id", F.col("dst").alias("a"), F.col("src").alias("b"))
+        roots = origin.select("repo_id", "node", F.when(F.col("node") == F.col("value"), F.col("node")).alias("value"))
+        part = _spread(roots, inside, max_rounds).where("value is not null").select("repo_id", "node", F.col("value").alias("component"))
+        found = part if found is None else found.unionByName(part)
+        gone = part.select("repo_id", "node")
+        left = saved(left.join(gone.withColumnRenamed("node", "src"), ["repo_id", "src"], "left_anti").join(gone.withColumnRenamed("node", "dst"), ["repo_id", "dst"], "left_anti").select("repo_id", "src", "dst"))
+    if found is None:
+        return edges.select("repo_id", F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+    sizes = found.groupBy("repo_id", "component").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return found.join(sizes, ["repo_id", "component"]).select("repo_id", "node", "component")
+
+
+def _spread(values: DataFrame, edges: DataFrame, max_rounds: int) -> DataFrame:
+    """values (repo_id, node, value), edges (repo_id, a, b): each node's least value among those of all nodes that reach it; nulls are no values."""
+    now = saved(values)
+    for _ in range(max_rounds):
+        sent = edges.join(now.select("repo_id", F.col("node").alias("a"), "value").where("value is not null"), ["repo_id", "a"]).select("repo_id", F.col("b").alias("node"), "value")
+        new = saved(now.select("repo_id", "node", "value").unionByName(sent).groupBy("repo_id", "node").agg(F.min("value").alias("value")))
+        if new.join(now.select("repo_id", "node", F.col("value").alias("old")), ["repo_id", "node"]).where(~F.col("value").eqNullSafe(F.col("old"))).isEmpty():
+            return new
+        now = new
+    raise RuntimeError(f"values did not settle in {max_rounds} rounds")

@@ -46,16 +46,32 @@ def duplicate_examples(lines: DataFrame, window: int = 6, min_chars: int = 60, m
     return shared.withColumn("place", place).where(F.col("place") <= most).select("repo_id", "place", F.col("at.path").alias("path"), F.col("at.line_no").alias("line_no"), "n")
 
 
-def style_profile(lines: DataFrame) -> DataFrame:
-    """Line lengths, indentation, quotes and trailing commas of each file."""
-    indented = F.col("line").rlike(r"^[ \t]+\S")
+STYLE_KEYS = ["indent_width", "uses_tabs", "avg_length", "comment_ratio", "doc_ratio", "snake_ratio", "camel_ratio", "avg_function_length", "annotation_ratio"]
+
+
+def style_profile(lines: DataFrame, found: DataFrame) -> DataFrame:
+    """lines, and found: their entities (repo_id, path, symbol, kind, start_line, end_line, has_doc). One row a file: commonest indentation (the smallest of equals; 4 without
+    any), tabs, line lengths, comments, trailing commas, preferred quotes, names in snake or camel case, length, documentation and annotations of functions."""
+    indent = F.regexp_extract("line", r"^([ \t]+)", 1)
     count = lambda p: F.sum(F.regexp_count("line", F.lit(p)))
-    return lines.groupBy("repo_id", "path").agg(
-        F.avg(F.length("line")).alias("avg_length"), F.max(F.length("line")).alias("max_length"),
-        F.count_if(indented & F.col("line").startswith("\t")).alias("tab_lines"), F.count_if(indented & F.col("line").startswith(" ")).alias("space_lines"),
-        F.coalesce(count("'"), F.lit(0)).alias("single_quotes"), F.coalesce(count('"'), F.lit(0)).alias("double_quotes"),
-        F.count_if(F.rtrim("line").endswith(",")).alias("trailing_commas"),
+    width = F.when((indent != "") & ~indent.contains("\t"), F.length(indent))
+    length = F.when(F.trim("line") != "", F.length("line"))
+    widths = lines.select("repo_id", "path", width.alias("w")).where("w > 0").groupBy("repo_id", "path", "w").agg(F.count(F.lit(1)).alias("n")).groupBy("repo_id", "path").agg(F.max_by("w", F.struct("n", (-F.col("w")).alias("less"))).alias("indent_width"))
+    annotated = count(r"\)\s*->|:\s*(?:str|int|float|bool|list|dict|[A-Z]\w+)\s*(?:[,)=]|$)")
+    by = lines.groupBy("repo_id", "path").agg(
+        F.max(F.when(indent.contains("\t"), 1).otherwise(0)).alias("uses_tabs"), F.coalesce(F.avg(length), F.lit(0.0)).alias("avg_length"), F.coalesce(F.max(length), F.lit(0)).alias("max_length"),
+        F.avg((F.col("line").rlike(fixed.COMMENT_LINE) & (F.trim("line") != "")).cast("int")).alias("comment_ratio"), count("'").alias("single"), count('"').alias("double"),
+        F.avg(F.col("line").endswith(",").cast("int")).alias("trailing_comma_ratio"), annotated.alias("annotated"),
+    )
+    function, size = F.col("kind") != "class", F.col("end_line") - F.col("start_line") + 1
+    share = lambda p: F.avg(F.col("symbol").rlike(p).cast("int"))
+    names = found.groupBy("repo_id", "path").agg(
+        share("^[a-z][a-z0-9_]*$").alias("snake_ratio"), share("^[a-z]+(?:[A-Z][a-z0-9]*)+$").alias("camel_ratio"), F.avg(F.when(function, size)).alias("avg_function_length"),
+        F.avg(F.when(function, F.col("has_doc").cast("int"))).alias("doc_ratio"), F.count_if(function).alias("functions"),
     )
+    wide = by.join(widths, ["repo_id", "path"], "left").join(names, ["repo_id", "path"], "left").fillna(0, ["snake_ratio", "camel_ratio", "avg_function_length", "doc_ratio", "functions"]).fillna(4, ["indent_width"])
+    quotes = F.when(F.col("single") > F.col("double") * 1.5, "single").when(F.col("double") > F.col("single") * 1.5, "double").otherwise("mixed")
+    return wide.withColumns({"quote_preference": quotes, "annotation_ratio": F.when(F.col("functions") > 0, F.least(F.lit(1.0), F.col("annotated") / F.col("functions"))).otherwise(0.0)}).drop("single", "double", "annotated", "functions")
 
 
 def style_discontinuity(profiles: DataFrame, keys: list[str], least_files: int = 3, outlier: float = 1.5) -> DataFrame:
@@ -63,7 +79,7 @@ def style_discontinuity(profiles: DataFrame, keys: list[str], least_files: int =
     share of files beyond `outlier`, doubled and at most 1. Null with fewer than least_files files."""
     long = profiles.select("repo_id", "path", F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("double").alias("v")) for k in keys])).alias("kv")).select("repo_id", "path", "kv.key", "kv.v")
     centre = long.groupBy("repo_id", "key").agg(F.median("v").alias("middle"), F.stddev_pop("v").alias("spread"))
-    away = long.join(centre, ["repo_id", "key"]).withColumn("z", F.when(F.col("spread") > 1e-9, F.abs(F.col("v") - F.col("middle")) / F.col("spread")).otherwise(0.0))
+    away = long.join(centre, ["repo_id", "key"]).withColumn("z", F.abs(F.col("v") - F.col("middle")) / F.when(F.col("spread") > 1e-9, F.col("spread")).otherwise(1.0))
     files = away.groupBy("repo_id", "path").agg(F.avg("z").alias("z"))
     return files.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_files"), F.count_if(F.col("z") > outlier).alias("n_outliers")).withColumn(
         "discontinuity", F.when(F.col("n_files") >= least_files, F.least(F.lit(1.0), 2.0 * F.col("n_outliers") / F.col("n_files")))

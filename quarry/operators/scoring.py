@@ -94,14 +94,14 @@ def assistance_class(likelihood: Column, ownership: Column) -> Column:
 
 def job_match(requirements: DataFrame, strengths: DataFrame, matched_from: float = 0.2) -> DataFrame:
     """requirements (job_id, skill, importance, required), strengths (repo_id, skill, strength): 100 * sum(strength * importance) / sum(importance)
-    for each job and repository that has any strength; matched and missing counts, coverage of required skills."""
-    repos = strengths.select("repo_id").distinct()
-    wanted = requirements.join(repos)  # every job against every repository is the question; requirements are few rows a job
-    both = wanted.join(strengths, ["repo_id", "skill"], "left").withColumn("strength", F.coalesce("strength", F.lit(0.0)))
+    for each job and repository that has any of its skills; matched and missing counts, coverage of required skills. Skills that a repository
+    lacks come from the job's totals, so only equal skills are joined."""
+    totals = requirements.groupBy("job_id").agg(F.sum("importance").alias("weight"), F.count_if("required").alias("n_required"), F.count(F.lit(1)).alias("n"))
     matched = F.col("strength") >= matched_from
-    return both.groupBy("job_id", "repo_id").agg(
-        (100 * F.sum(F.col("strength") * F.col("importance")) / F.sum("importance")).alias("score"), F.count_if(matched).alias("n_matched"), F.count_if(~matched & F.col("required")).alias("n_missing"),
-        F.avg(F.when(F.col("required"), matched.cast("int"))).alias("required_coverage"),
+    met = requirements.join(strengths, "skill").groupBy("job_id", "repo_id").agg(F.sum(F.col("strength") * F.col("importance")).alias("s"), F.count_if(matched).alias("n_matched"), F.count_if(matched & F.col("required")).alias("n_covered"))
+    return met.join(totals, "job_id").select(
+        "job_id", "repo_id", (100 * F.col("s") / F.col("weight")).alias("score"), "n_matched", (F.col("n_required") - F.col("n_covered")).alias("n_missing"),
+        F.when(F.col("n_required") > 0, F.col("n_covered") / F.col("n_required")).alias("required_coverage"),
     )
 
 

@@ -1,16 +1,19 @@
 """Fingerprints, hashed embeddings, near pairs and best matches of chunks.
 
-Pairs come from an inverted index of fingerprints. A fingerprint that very many chunks share would pair them all; such chunks are equal in
-it, so chunks with equal fingerprint sets are first brought down to one, and pairs are between these."""
+Chunks with equal fingerprint sets are first brought down to one. Pairs come from an inverted index of each set's rarest fingerprints: two sets of n and m
+fingerprints with Jaccard similarity t share one of the n - ceil(t n) + 1 rarest of the one with the m - ceil(t m) + 1 rarest of the other, so none is missed, and a
+fingerprint that very many chunks share pairs nobody who has rarer ones."""
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import col, dense_cosine, feature_hash, let, token_stream, words
+from ..functions.scalars import col, feature_hash, let, token_stream, words
+from ..tables import saved
+from .structure import sources, token_shape
 
 
-def winnowed(source, k: int = 12, window: int = 8) -> Column:
-    """Distinct minima over windows of hashed k-grams of the token stream; the least hash of a short text."""
+def winnowed(source, k: int = 12, window: int = 8, tokens=token_stream) -> Column:
+    """Distinct minima over windows of hashed k-grams of the token stream (or what tokens gives for a text); the least hash of a short text."""
     none = F.array().cast("array<string>")
 
     def grams(tokens: Column) -> Column:
@@ -21,7 +24,7 @@ def winnowed(source, k: int = 12, window: int = 8) -> Column:
         each = F.transform(F.sequence(F.lit(1), F.greatest(F.size(hashes) - window + 1, F.lit(1))), lambda i: F.array_min(F.slice(hashes, i, window)))
         return F.when(F.size(hashes) > window, each).when(F.size(hashes) > 0, F.array(F.array_min(hashes))).otherwise(none)
 
-    return F.coalesce(let(token_stream(source), lambda t: let(grams(t), lambda h: F.array_sort(F.array_distinct(minima(h))))), none)
+    return F.coalesce(let(tokens(source), lambda t: let(grams(t), lambda h: F.array_sort(F.array_distinct(minima(h))))), none)
 
 
 def chunks(files: DataFrame, k: int = 12, window: int = 8) -> DataFrame:
@@ -39,36 +42,92 @@ def containment(a, b) -> Column:
     return F.when(F.size(col(a)) > 0, F.size(F.array_intersect(col(a), col(b))) / F.size(col(a))).otherwise(0.0)
 
 
-def shared_counts(left: DataFrame, right: DataFrame, same: bool) -> DataFrame:
-    """(a, b, common, na, nb) of entries (id, fingerprints) that share a fingerprint; with same, each pair once."""
-    spread = lambda df, x: df.select(F.col("id").alias(x), F.size("fingerprints").alias(f"n{x}"), F.explode("fingerprints").alias("f"))
-    a, b = spread(left, "a"), spread(right, "b")
-    met = a.join(b, "f")
-    return (met.where("a < b") if same else met).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("common"))
+def build_chunks(found: DataFrame, lines: DataFrame, files: DataFrame, least_lines: int = 5, least_words: int = 40) -> DataFrame:
+    """found: entities, files (repo_id, path, category): (repo_id, id, path, symbol, start_line, end_line, signature, fingerprints, source) of the functions of source and test
+    files of at least least_lines lines. Those with fewer than two fingerprints and fewer than least_words words are left out."""
+    scope = files.where(F.col("category").isin("candidate_code", "test_code")).select("repo_id", "path")
+    eligible = found.where("kind <> 'class'").where(F.col("end_line") - F.col("start_line") + 1 >= least_lines).join(scope, ["repo_id", "path"], "left_semi")
+    shaped = sources(eligible, lines).withColumns({"fingerprints": winnowed("source", tokens=token_shape), "signature": F.md5(F.array_join(F.slice(token_shape("source"), 1, 400), "|").cast("binary"))})
+    n = F.size(F.filter(F.split("source", r"\s+"), lambda w: w != ""))
+    kept = shaped.where((F.size("fingerprints") >= 2) | (n >= least_words))
+    return kept.select("repo_id", F.concat_ws(":", "path", F.col("start_line").cast("string"), "symbol").alias("id"), "path", "symbol", "start_line", "end_line", "signature", "fingerprints", "source")
+
+
+def corpus_of(chunked: DataFrame, repositories: DataFrame) -> DataFrame:
+    """chunked with the names of their repositories (repo_id, full_name): what other repositories are compared with."""
+    return chunked.join(repositories, "repo_id").select("repo_id", "full_name", "id", "signature", "fingerprints")
+
+
+def _prefixes(sets: DataFrame, group: list[str], least: float) -> DataFrame:
+    """sets (group, id, fingerprints): a row for each of a set's rarest fingerprints, as many as two sets of similarity `least` can't both do without."""
+    spread = sets.select(*group, "id", F.size("fingerprints").alias("n"), F.explode("fingerprints").alias("f"))
+    common = spread.groupBy(*group, "f").agg(F.count(F.lit(1)).alias("df"))
+    place = F.row_number().over(Window.partitionBy(*group, "id").orderBy("df", "f"))
+    need = F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1
+    return spread.join(common, [*group, "f"]).withColumn("place", place).where(F.col("place") <= need).select(*group, "id", "n", "f")
 
 
 def near_duplicates(chunked: DataFrame, least: float = 0.55) -> tuple[DataFrame, DataFrame]:
     """(pairs, members) within repositories: pairs (repo_id, a, b, similarity) of distinct fingerprint sets, named by their first
     path; members (repo_id, path, id): which set each chunk has. Chunks with one id are equal in all fingerprints."""
+    chunked = saved(chunked)
     key = F.md5(F.array_join("fingerprints", ",").cast("binary"))
-    sets = chunked.withColumn("key", key).groupBy("repo_id", "key").agg(F.min("path").alias("first"), F.any_value("fingerprints").alias("fingerprints"))
-    members = chunked.select("repo_id", "path", key.alias("key")).join(sets.select("repo_id", "key", "first"), ["repo_id", "key"]).select("repo_id", "path", F.col("first").alias("id"))
-    spread = sets.select("repo_id", "first", F.size("fingerprints").alias("n"), F.explode("fingerprints").alias("f"))
-    a, b = spread.select("repo_id", "f", F.col("first").alias("a"), F.col("n").alias("na")), spread.select("repo_id", "f", F.col("first").alias("b"), F.col("n").alias("nb"))
-    # sets of very different sizes can't reach `least`: pruned before they are counted
+    sets = saved(chunked.withColumn("key", key).groupBy("repo_id", "key").agg(F.min("path").alias("id"), F.any_value("fingerprints").alias("fingerprints")))
+    members = chunked.select("repo_id", "path", key.alias("key")).join(sets.select("repo_id", "key", "id"), ["repo_id", "key"]).select("repo_id", "path", "id")
+    rare = _prefixes(sets.select("repo_id", "id", "fingerprints"), ["repo_id"], least)
+    a, b = rare.select("repo_id", "f", F.col("id").alias("a"), F.col("n").alias("na")), rare.select("repo_id", "f", F.col("id").alias("b"), F.col("n").alias("nb"))
     fits = (F.col("a") < F.col("b")) & (F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na"))
-    common = a.join(b, ["repo_id", "f"]).where(fits).groupBy("repo_id", "a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("common"))
-    score = F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
-    return common.withColumn("similarity", score).where(F.col("similarity") >= least).select("repo_id", "a", "b", "similarity"), members
-
-
-def best_matches(chunked: DataFrame, corpus: DataFrame, least: float = 0.45) -> DataFrame:
-    """chunked (id, fingerprints), corpus (id, fingerprints): for each chunk its best corpus entry by the larger of Jaccard and 0.9 of
-    containment, if at least `least`; ties to the smaller corpus id."""
-    found = shared_counts(chunked, corpus, False)
-    score = F.greatest(F.col("common") / (F.col("na") + F.col("nb") - F.col("common")), 0.9 * F.col("common") / F.col("na"))
-    best = found.withColumn("similarity", score).where(F.col("similarity") >= least).groupBy(F.col("a").alias("id")).agg(F.min(F.struct((-F.col("similarity")).alias("s"), "b")).alias("m"))
-    return best.select("id", F.col("m.b").alias("matched_id"), (-F.col("m.s")).alias("similarity"))
+    candidates = a.join(b, ["repo_id", "f"]).where(fits).select("repo_id", "a", "b").distinct()
+    side = lambda x: sets.select("repo_id", F.col("id").alias(x), F.col("fingerprints").alias(f"f{x}"))
+    scored = candidates.join(side("a"), ["repo_id", "a"]).join(side("b"), ["repo_id", "b"]).withColumn("similarity", jaccard("fa", "fb"))
+    return scored.where(F.col("similarity") >= least).select("repo_id", "a", "b", "similarity"), members
+
+
+def corpus_matches(chunked: DataFrame, corpus: DataFrame, least: float = 0.45) -> DataFrame:
+    """chunked, corpus (repo_id, id, signature, fingerprints): for each chunk its best entry of another repository, by the larger of Jaccard, 0.9 of containment and 0.7 for
+    the same signature, if at least `least`; ties to the smaller (repository, id). (repo_id, id, matched_repo, matched_id, similarity).
+
+    A match shares the signature, or, as containment must reach least / 0.9, one of the chunk's n - ceil(n least / 0.9) + 1 rarest fingerprints; so only these are looked up."""
+    own = saved(chunked.select("repo_id", "id", "signature", "fingerprints"))
+    other = corpus.select(F.col("repo_id").alias("matched_repo"), F.col("id").alias("matched_id"), F.col("signature").alias("matched_signature"), F.col("fingerprints").alias("matched_fingerprints"))
+    known = other.select("matched_repo", "matched_id", F.explode("matched_fingerprints").alias("f"))
+    common = known.groupBy("f").agg(F.count(F.lit(1)).alias("df"))
+    spread = own.select("repo_id", "id", F.size("fingerprints").alias("n"), F.explode("fingerprints").alias("f")).join(common, "f", "left")
+    place = F.row_number().over(Window.partitionBy("repo_id", "id").orderBy(F.coalesce("df", F.lit(0)), "f"))
+    rare = spread.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * (least / 0.9) - 1e-9) + 1).where("df is not null")
+    by_print = rare.select("repo_id", "id", "f").join(known, "f").where("repo_id <> matched_repo").select("repo_id", "id", "matched_repo", "matched_id")
+    # All entries of one signature score alike by it, so the first of another repository stands for them; ties go to it anyhow.
+    firsts = other.groupBy("matched_signature").agg(F.array_sort(F.collect_set(F.struct("matched_repo"))).alias("repos"), F.min(F.struct("matched_repo", "matched_id")).alias("one"))
+    second = other.join(firsts.select("matched_signature", F.col("one.matched_repo").alias("taken")), "matched_signature").where("matched_repo <> taken").groupBy("matched_signature").agg(F.min(F.struct("matched_repo", "matched_id")).alias("two"))
+    pairs = own.select("repo_id", "id", F.col("signature").alias("matched_signature")).join(firsts.drop("repos").join(second, "matched_signature", "left"), "matched_signature")
+    chosen = F.when(F.col("one.matched_repo") != F.col("repo_id"), F.col("one")).otherwise(F.col("two"))
+    by_shape = pairs.withColumn("m", chosen).where("m is not null").select("repo_id", "id", "m.matched_repo", "m.matched_id")
+    candidates = by_print.unionByName(by_shape).distinct()
+    both = candidates.join(own, ["repo_id", "id"]).join(other, ["matched_repo", "matched_id"])
+    score = F.greatest(jaccard("fingerprints", "matched_fingerprints"), 0.9 * containment("fingerprints", "matched_fingerprints"), F.when(F.col("signature") == F.col("matched_signature"), 0.7).otherwise(0.0))
+    best = both.withColumn("similarity", score).where(F.col("similarity") >= least).groupBy("repo_id", "id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "matched_repo", "matched_id")).alias("m"))
+    return best.select("repo_id", "id", "m.matched_repo", "m.matched_id", (-F.col("m.s")).alias("similarity"))
+
+
+def similarity_summary(chunked: DataFrame, internal: DataFrame, members: DataFrame, external: DataFrame, corpus_size: int) -> DataFrame:
+    """chunked (repo_id, id), internal pairs and members as of near_duplicates(), external as of corpus_matches(): one row a repository with the shares of chunks that have a near
+    duplicate inside and a match outside, the closest match, and a confidence: 0.75 with a corpus, else 0.45."""
+    sizes = members.groupBy("repo_id", "id").agg(F.count(F.lit(1)).alias("n"))
+    paired = internal.select("repo_id", F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("paired", F.lit(True))
+    doubled = sizes.join(paired, ["repo_id", "id"], "left").where("paired or n > 1").groupBy("repo_id").agg(F.sum("n").alias("duplicated"))
+    outside = external.groupBy("repo_id").agg(F.count(F.lit(1)).alias("matched"), F.max("similarity").alias("max_external"))
+    n = chunked.groupBy("repo_id").agg(F.count(F.lit(1)).alias("chunks"))
+    wide = n.join(doubled, "repo_id", "left").join(outside, "repo_id", "left").fillna(0, ["duplicated", "matched"])
+    return wide.select("repo_id", "chunks", (F.col("duplicated") / F.col("chunks")).alias("internal_ratio"), (F.col("matched") / F.col("chunks")).alias("external_ratio"), "max_external", F.lit(0.75 if corpus_size else 0.45).alias("confidence"))
+
+
+def sparse_cosine(a, b) -> Column:
+    """Cosine of two maps from key to number; 0 where either is empty or zero."""
+    x, y = col(a), col(b)
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
+    dot = total(F.transform(F.map_entries(x), lambda e: e.value.cast("double") * F.coalesce(F.try_element_at(y, e.key).cast("double"), F.lit(0.0))))
+    norm = lambda m: F.sqrt(total(F.transform(F.map_values(m), lambda v: v.cast("double") * v.cast("double"))))
+    return F.when(norm(x) * norm(y) > 0, dot / (norm(x) * norm(y))).otherwise(0.0)
 
 
 def hash_embedding(docs: DataFrame, dims: int = 256) -> DataFrame:
@@ -82,11 +141,40 @@ def hash_embedding(docs: DataFrame, dims: int = 256) -> DataFrame:
     return raw.withColumn("value", F.when(norm > 0, F.col("v") / norm).otherwise(0.0)).select("id", "dim", "value")
 
 
-def top_similar(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
-    """queries, vectors: (id, repo_id, embedding). For each query the k nearest by cosine among vectors of other repositories.
-
-    The queries are a stated set, sent to every task in one block; each task keeps k a query before anything is shuffled."""
-    q = queries.select(F.col("id").alias("query_id"), F.col("repo_id").alias("query_repo"), F.col("embedding").alias("q"))
-    scored = vectors.join(q, F.col("repo_id") != F.col("query_repo")).select("query_id", "id", dense_cosine("q", "embedding").alias("similarity"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
+def top_similar(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int = 1024) -> DataFrame:
+    """queries, vectors: (id, repo_id, embedding). (query_id, place, id, similarity): for each query the k nearest by cosine among vectors of other repositories; ties to the
+    smaller id. Zero vectors are near nothing: similarity 0.
+
+    The queries are a stated set: they go to tasks in blocks, and each batch of vectors meets a block as one product of matrices and keeps k a query."""
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pyarrow as pa
+
+    schema = "query_id long, id long, similarity double"
+    numbered = queries.select(F.col("id").cast("long"), F.col("repo_id").cast("string"), F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    asked = numbered.toArrow()
+    ids, repos = np.array(asked.column("id").to_pylist(), dtype=np.int64), np.array([str(x) for x in asked.column("repo_id").to_pylist()])
+    matrix = np.array(asked.column("e").to_pylist(), dtype=np.float64).reshape(len(ids), -1)
+    matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1), 1e-300)[:, None] if len(ids) else matrix
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows or not len(ids):
+                continue
+            own, places = np.array(batch.column(0).to_pylist(), dtype=np.int64), np.array([str(x) for x in batch.column(1).to_pylist()])
+            order = np.argsort(own, kind="stable")
+            own, places = own[order], places[order]
+            base = np.array(batch.column(2).to_pylist(), dtype=np.float64).reshape(len(own), -1)[order]
+            base = base / np.maximum(np.linalg.norm(base, axis=1), 1e-300)[:, None]
+            for at in range(0, len(ids), block):
+                near = np.where(repos[at : at + block, None] == places[None, :], -np.inf, matrix[at : at + block] @ base.T)
+                top = np.argsort(-near, axis=1, kind="stable")[:, :k]
+                score = np.take_along_axis(near, top, axis=1)
+                real = np.isfinite(score)
+                q = np.broadcast_to(ids[at : at + block, None], top.shape)[real]
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(own[top[real]]), pa.array(score[real])], names=["query_id", "id", "similarity"])
+
+    scored = vectors.select(F.col("id").cast("long"), F.col("repo_id").cast("string"), F.transform("embedding", lambda x: x.cast("double")).alias("e")).mapInArrow(search, schema)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 12)), "id"))
     return scored.withColumn("place", place).where(F.col("place") <= k)

@@ -2,32 +2,56 @@
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.scalars import clamp, identifier_words, scale
+from ..functions.scalars import clamp, dense_cosine, identifier_words, without_comments
 
 
-def _indented(lines: DataFrame) -> DataFrame:
-    return lines.where(F.trim("line") != "").withColumn("indent", F.length(F.regexp_extract("line", r"^(\s*)", 1)))
+def _levels(lines: DataFrame) -> DataFrame:
+    """Each line once for each indentation that a header of its file has: (repo_id, path, line_no, line, indent, level, is_head, at, at_head).
+
+    at: the last line so far that is indented no deeper than level, at_head: whether that line is a header at just that level; the line then is in its body.
+    Rows are lines times the few levels of headers, whatever the number of headers."""
+    rows = lines.withColumn("indent", F.when(F.trim("line") != "", F.length(F.regexp_extract("line", r"^(\s*)", 1))))
+    head = F.col("indent").isNotNull() & F.col("line").rlike(fixed.HEADER)
+    rows = rows.withColumn("is_head", head)
+    levels = rows.where("is_head").groupBy("repo_id", "path").agg(F.collect_set("indent").alias("levels"))
+    spread = rows.join(levels, ["repo_id", "path"]).withColumn("level", F.explode("levels")).drop("levels")
+    so_far = Window.partitionBy("repo_id", "path", "level").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    stop = F.when(F.col("indent") <= F.col("level"), F.struct(F.col("line_no").alias("at"), (F.col("is_head") & (F.col("indent") == F.col("level"))).alias("head")))
+    return spread.withColumn("last", F.last(stop, ignorenulls=True).over(so_far)).withColumns({"at": F.col("last.at"), "at_head": F.coalesce("last.head", F.lit(False))}).drop("last")
+
+
+def bodies(lines: DataFrame) -> DataFrame:
+    """(repo_id, path, start_line, line_no, line, indent): the lines of each entity, its header among them. A header line opens an entity; it ends before the next
+    line that is indented no deeper, or with the file's last line that isn't blank."""
+    last = F.max(F.when(F.trim("line") != "", F.col("line_no"))).over(Window.partitionBy("repo_id", "path"))
+    within = lines.withColumn("last_line", last).where("line_no <= last_line").drop("last_line")
+    return _levels(within).where("at_head").select("repo_id", "path", F.col("at").alias("start_line"), "line_no", "line", "indent")
 
 
 def entities(lines: DataFrame) -> DataFrame:
-    """(repo_id, path, symbol, kind, start_line, end_line): a header line opens an entity; it ends before the next line that is indented no
-    deeper, or with the file. Lines and headers of a file meet by equi-join; a file bounds both."""
-    rows = _indented(lines)
-    heads = rows.where(F.col("line").rlike(fixed.HEADER)).select("repo_id", "path", F.col("line_no").alias("start_line"), F.col("indent").alias("own"), F.regexp_extract("line", fixed.HEADER, 2).alias("kind"), F.regexp_extract("line", fixed.HEADER, 3).alias("symbol"))
-    last = rows.groupBy("repo_id", "path").agg(F.max("line_no").alias("last_line"))
-    later = rows.select("repo_id", "path", "line_no", "indent")
-    stops = heads.join(later, ["repo_id", "path"]).where((F.col("line_no") > F.col("start_line")) & (F.col("indent") <= F.col("own"))).groupBy("repo_id", "path", "start_line").agg(F.min("line_no").alias("stop"))
-    whole = heads.join(stops, ["repo_id", "path", "start_line"], "left").join(last, ["repo_id", "path"])
-    return whole.select("repo_id", "path", "symbol", "kind", "start_line", F.coalesce(F.col("stop") - 1, F.col("last_line")).alias("end_line"))
+    """(repo_id, path, symbol, kind, start_line, end_line, n_params, has_doc, parent): see bodies(). n_params: names between the brackets of the header line, self left
+    out; has_doc: the first line after the header that isn't blank opens a text in three quotes, or a comment line stands right above the header;
+    parent: the innermost entity around it, by its first line."""
+    body = bodies(lines)
+    text = F.col("line")
+    above = F.lag("line").over(Window.partitionBy("repo_id", "path").orderBy("line_no"))
+    heads = lines.withColumn("above", above).where(text.rlike(fixed.HEADER)).select("repo_id", "path", F.col("line_no").alias("start_line"), F.regexp_extract(text, fixed.HEADER, 2).alias("kind"), F.regexp_extract(text, fixed.HEADER, 3).alias("symbol"), F.regexp_extract(text, r"\(([^)]*)\)?", 1).alias("params"), F.coalesce(F.col("above").rlike(fixed.COMMENT_LINE), F.lit(False)).alias("commented"))
+    first = F.min_by("line", F.when((F.col("line_no") > F.col("start_line")) & F.col("indent").isNotNull(), F.col("line_no")))
+    ends = body.groupBy("repo_id", "path", "start_line").agg(F.max("line_no").alias("end_line"), first.alias("first"))
+    around = body.where("line_no > start_line").groupBy("repo_id", "path", "line_no").agg(F.max("start_line").alias("parent")).withColumnRenamed("line_no", "start_line")
+    names = F.filter(F.transform(F.split("params", ","), F.trim), lambda x: (x != "") & ~x.isin("self", "cls", "this"))
+    doc = F.coalesce(F.col("first").rlike(fixed.DOC_OPEN), F.lit(False)) | F.col("commented")
+    whole = heads.join(ends, ["repo_id", "path", "start_line"]).join(around, ["repo_id", "path", "start_line"], "left")
+    return whole.select("repo_id", "path", "symbol", "kind", "start_line", "end_line", F.size(names).alias("n_params"), doc.alias("has_doc"), "parent")
 
 
 def _bodies(found: DataFrame, lines: DataFrame) -> DataFrame:
-    rows = lines.select("repo_id", "path", "line_no", "line")
-    return found.join(rows, ["repo_id", "path"]).where((F.col("line_no") >= F.col("start_line")) & (F.col("line_no") <= F.col("end_line")))
+    """The lines of found entities, by file and first line."""
+    return found.join(bodies(lines), ["repo_id", "path", "start_line"])
 
 
 def entity_complexity(found: DataFrame, lines: DataFrame) -> DataFrame:
@@ -37,9 +61,60 @@ def entity_complexity(found: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def entity_nesting(found: DataFrame, lines: DataFrame) -> DataFrame:
-    """Distinct indentations below the header in an entity's lines that aren't blank."""
-    inside = _indented(_bodies(found, lines)).where(F.col("line_no") > F.col("start_line"))
-    return inside.groupBy("repo_id", "path", "symbol", "start_line").agg(F.countDistinct("indent").alias("nesting"))
+    """The deepest block below the header: lines that aren't blank are walked in order with a stack of indentations, and the largest stack counts."""
+    inside = _bodies(found, lines).where((F.col("line_no") > F.col("start_line")) & F.col("indent").isNotNull())
+    walked = inside.groupBy("repo_id", "path", "symbol", "start_line").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "indent"))), lambda x: x.indent).alias("widths"))
+    none = F.filter("widths", lambda x: F.lit(False))
+    step = lambda stack, x: F.array_append(F.filter(stack, lambda y: y < x), x)
+    both = F.aggregate("widths", F.struct(none.alias("stack"), F.lit(0).alias("most")), lambda s, x: F.struct(step(s.stack, x).alias("stack"), F.greatest(s.most, F.size(step(s.stack, x))).alias("most")), lambda s: s.most)
+    return walked.select("repo_id", "path", "symbol", "start_line", both.alias("nesting"))
+
+
+def token_shape(source) -> Column:
+    """The token stream of a text with V for each identifier that is no keyword, and L for strings and numbers."""
+    strings = r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|`(?:[^`\\]|\\.)*`"
+    bare = F.regexp_replace(F.regexp_replace(without_comments(source), strings, " L "), r"\b\d+(?:\.\d+)?\b", " L ")
+    tokens = F.regexp_extract_all(bare, F.lit(r"([A-Za-z_][A-Za-z0-9_]*|[^\sA-Za-z0-9_])"), 1)
+    plain = F.array(*[F.lit(k) for k in [*fixed.KEYWORDS, "L"]])
+    return F.transform(tokens, lambda t: F.when(t.rlike("^[A-Za-z_]") & ~F.array_contains(plain, t), "V").otherwise(t))
+
+
+def sources(found: DataFrame, lines: DataFrame) -> DataFrame:
+    """found with source: the text of each entity. A file bounds it."""
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x.line), "\n")
+    texts = bodies(lines).groupBy("repo_id", "path", "start_line").agg(body.alias("source"))
+    return found.join(texts, ["repo_id", "path", "start_line"])
+
+
+def structure_signatures(found: DataFrame, lines: DataFrame, max_tokens: int = 400) -> DataFrame:
+    """found with signature: a hash of the first max_tokens of each entity's token_shape()."""
+    shape = F.array_join(F.slice(token_shape("source"), 1, max_tokens), "|")
+    return sources(found, lines).withColumn("signature", F.md5(shape.cast("binary"))).drop("source")
+
+
+def shape_counts(files: DataFrame) -> DataFrame:
+    """(repo_id, path, token, n): how often each shape token stands in a file."""
+    return files.select("repo_id", "path", F.explode(token_shape("text")).alias("token")).groupBy("repo_id", "path", "token").agg(F.count(F.lit(1)).alias("n"))
+
+
+def shape_similarity(counts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """counts as of shape_counts(), pairs (repo_id, a, b) of paths: cosine of their 1 + ln(n) histograms; 0 where a file has no token."""
+    weighed = counts.select("repo_id", "path", "token", (1 + F.log(F.col("n").cast("double"))).alias("w"))
+    norms = weighed.groupBy("repo_id", "path").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    side = lambda df, x, **names: df.select("repo_id", F.col("path").alias(x), *[F.col(k).alias(v) for k, v in names.items()])
+    met = pairs.join(side(weighed, "a", token="token", w="wa"), ["repo_id", "a"]).join(side(weighed, "b", token="token", w="wb"), ["repo_id", "b", "token"])
+    dots = met.groupBy("repo_id", "a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
+    wide = pairs.join(dots, ["repo_id", "a", "b"], "left").join(side(norms, "a", norm="na"), ["repo_id", "a"], "left").join(side(norms, "b", norm="nb"), ["repo_id", "b"], "left")
+    return wide.select("repo_id", "a", "b", F.coalesce(F.col("dot") / (F.col("na") * F.col("nb")), F.lit(0.0)).alias("similarity"))
+
+
+def profile_similarity(profiles: DataFrame, pairs: DataFrame) -> DataFrame:
+    """profiles (id, signature, complexity, nesting, n_params, n_lines), pairs (a, b) of ids: 1 for equal signatures, else the cosine of the four measures."""
+    keys = ["complexity", "nesting", "n_params", "n_lines"]
+    vector = F.array(*[F.coalesce(F.col(k), F.lit(0)).cast("double") for k in keys])
+    side = lambda x: profiles.select(F.col("id").alias(x), F.col("signature").alias(f"s{x}"), vector.alias(f"v{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", F.when(F.col("sa") == F.col("sb"), 1.0).otherwise(dense_cosine("va", "vb")).alias("similarity"))
 
 
 def naming_quality(found: DataFrame) -> DataFrame:
@@ -51,7 +126,7 @@ def naming_quality(found: DataFrame) -> DataFrame:
 
 def error_handling(files: DataFrame, found: DataFrame) -> DataFrame:
     words = files.groupBy("repo_id").agg(F.sum(F.regexp_count("text", F.lit(r"\b(try|catch|except|rescue|recover|finally)\b"))).alias("n_words"))
-    functions = found.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_functions"))
+    functions = found.where("kind <> 'class'").groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_functions"))
     return words.join(functions, "repo_id").select("repo_id", (F.col("n_words") / F.col("n_functions")).alias("ratio"))
 
 
@@ -77,6 +152,14 @@ def readmes(files: DataFrame) -> DataFrame:
     return files.where(name.isin(fixed.README_NAMES)).withColumn("at", F.row_number().over(order)).where("at = 1").select("repo_id", "path", "text")
 
 
+def readme_facts(readme: DataFrame) -> DataFrame:
+    """readme (repo_id, path, text): its words, how many of the features it shows, whether the architecture is among them, and whether scaffold text remains."""
+    t = F.col("text")
+    shown = {key: F.coalesce(t.rlike(p), F.lit(False)) for key, _, p in fixed.DOC_FEATURES}
+    n = F.size(F.filter(F.split(t, r"\s+"), lambda w: w != ""))
+    return readme.select("repo_id", "path", n.alias("readme_words"), reduce(lambda a, b: a + b, [x.cast("int") for x in shown.values()]).alias("readme_features"), shown["architecture"].alias("shows_architecture"), F.coalesce(t.rlike(fixed.PLACEHOLDER_README), F.lit(False)).alias("readme_is_placeholder"))
+
+
 def documentation_score(repositories: DataFrame, readme: DataFrame, extra: DataFrame) -> DataFrame:
     """readme (repo_id, text), extra (repo_id, n_docs, documented): feature weights by README patterns, times a gate by length, less for a
     placeholder, plus a little for further documents and documented functions; 0 without README."""
@@ -90,41 +173,55 @@ def documentation_score(repositories: DataFrame, readme: DataFrame, extra: DataF
     return wide.select("repo_id", F.when(t.isNull(), 0.0).otherwise(clamp(base + more)).alias("score"))
 
 
-def testing_score(files: DataFrame) -> DataFrame:
-    """files with category: presence, volume and breadth of tests, by weights 0.30, 0.25, 0.20 (CI and coverage are measured from their own files)."""
-    lower = F.lower("path")
-    test, code = F.col("category") == "test_code", F.col("category") == "candidate_code"
-    wide = files.groupBy("repo_id").agg(
-        F.count_if(test).alias("n_tests"), F.count_if(code).alias("n_code"), F.coalesce(F.bool_or(test & lower.rlike("integration|e2e|end_to_end|end-to-end|functional|api_test")), F.lit(False)).alias("integration"),
-        F.coalesce(F.bool_or(test & lower.rlike("e2e|playwright|cypress|selenium|puppeteer")), F.lit(False)).alias("e2e"),
-    )
-    ratio = F.least(F.lit(0.6), F.col("n_tests") / F.greatest(F.lit(1), F.col("n_code")))
-    presence = F.when(F.col("n_tests") >= 3, 100.0).when(F.col("n_tests") > 0, 40.0).otherwise(0.0)
-    breadth = 100 * (F.when(F.col("n_tests") > 0, 0.45).otherwise(0.0) + F.when(F.col("integration"), 0.35).otherwise(0.0) + F.when(F.col("e2e"), 0.20).otherwise(0.0))
-    return wide.select("repo_id", "n_tests", (0.30 * presence + 0.25 * scale(ratio, 0, 0.35) + 0.20 * breadth).alias("score"))
+WELL_KNOWN = ["index", "__init__", "main", "app", "types", "constants"]
+
+
+def _stem(path) -> Column:
+    return F.lower(F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]+$", ""))
 
 
-def untested_modules(files: DataFrame) -> DataFrame:
-    """Source files whose stem stands in no test path of the repository; well-known stems are left out."""
-    stem = F.lower(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]+$", ""))
-    source = files.where(F.col("category") == "candidate_code").select("repo_id", "path", stem.alias("stem")).where(~F.col("stem").isin("index", "__init__", "main", "app", "types", "constants"))
-    tests = files.where(F.col("category") == "test_code").groupBy("repo_id").agg(F.concat_ws("\n", F.collect_list(F.lower("path"))).alias("all_tests"))
-    return source.join(tests, "repo_id", "left").where(~F.coalesce(F.col("all_tests").contains(F.col("stem")), F.lit(False))).select("repo_id", "path")
+def untested_modules(files: DataFrame, salts: int = 32) -> DataFrame:
+    """Source files whose stem stands in no test path of the repository; well-known stems are left out.
+
+    A path holds a stem just if one of its pieces of that length is the stem. So paths are cut at the lengths that the repository's stems have, and pieces and
+    stems meet by equality: rows are paths times their length times lengths, and no path meets every stem."""
+    source = files.where(F.col("category") == "candidate_code").select("repo_id", "path", _stem(F.col("path")).alias("stem")).where(~F.col("stem").isin(WELL_KNOWN))
+    stems = source.where("stem <> ''").select("repo_id", "stem").distinct()
+    lengths = stems.groupBy("repo_id").agg(F.collect_set(F.length("stem")).alias("lengths"))
+    tests = files.where(F.col("category") == "test_code").select("repo_id", F.lower("path").alias("test")).distinct()
+    cut = tests.join(lengths, "repo_id").select("repo_id", "test", F.explode("lengths").alias("n")).where(F.length("test") >= F.col("n"))
+    pieces = cut.select("repo_id", F.explode(F.transform(F.sequence(F.lit(1), F.length("test") - F.col("n") + 1), lambda i: F.substring("test", i, F.col("n")))).alias("stem")).distinct()
+    covered = stems.join(pieces, ["repo_id", "stem"], "left_semi")
+    tested = tests.select("repo_id").distinct()
+    empty = source.where("stem = ''").join(tested, "repo_id", "left_semi").select("repo_id", "stem").distinct()  # every path holds an empty stem
+    return source.join(covered.unionByName(empty), ["repo_id", "stem"], "left_anti").select("repo_id", "path")
+
+
+def own_references(files: DataFrame, least: int = 4) -> DataFrame:
+    """(repo_id, references_own): whether any word of a test's text is the stem of a source file of the repository, of at least `least` characters."""
+    stems = files.where(F.col("category") == "candidate_code").select("repo_id", _stem(F.col("path")).alias("word")).where(F.length("word") >= least).distinct()
+    words = files.where(F.col("category") == "test_code").select("repo_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z0-9_\-]+)"), 1))).alias("word")).distinct()
+    hit = words.join(stems, ["repo_id", "word"], "left_semi").select("repo_id").distinct().withColumn("references_own", F.lit(True))
+    return files.select("repo_id").distinct().join(hit, "repo_id", "left").select("repo_id", F.coalesce("references_own", F.lit(False)).alias("references_own"))
 
 
 def assistant_artifacts(files: DataFrame) -> DataFrame:
-    """Comment shapes that assistants leave, at most two a file and rule: hits, and hits a file over 0.8."""
+    """files with category: comment shapes that assistants leave in source and test files, at most two a file and rule: hits, and hits a source file over 0.8."""
     hits = reduce(lambda a, b: a + b, [F.least(F.lit(2), F.regexp_count("text", F.lit(p))) for _, p in fixed.ARTIFACTS])
-    by = files.groupBy("repo_id").agg(F.sum(hits).alias("n_hits"), F.count(F.lit(1)).alias("n_files"))
+    code = F.col("category").isin("candidate_code", "test_code")
+    by = files.groupBy("repo_id").agg(F.coalesce(F.sum(F.when(code, hits)), F.lit(0)).alias("n_hits"), F.greatest(F.lit(1), F.count_if(F.col("category") == "candidate_code")).alias("n_files"))
     return by.select("repo_id", "n_hits", clamp(F.col("n_hits") / F.col("n_files") / 0.8, 0.0, 1.0).alias("strength"))
 
 
-def clone_groups(found: DataFrame, lines: DataFrame, least_lines: int = 6) -> DataFrame:
-    """Entities of a repository with the same identifier-free token stream: (repo_id, signature, n, symbols)."""
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x.line), "\n")
-    shape = F.regexp_replace(F.regexp_replace(body, r"[A-Za-z_][A-Za-z0-9_]*", "V"), r"\s+|\d+", "")
-    texts = _bodies(found.where("kind <> 'class'").where(F.col("end_line") - F.col("start_line") + 1 >= least_lines), lines).groupBy("repo_id", "path", "symbol", "start_line").agg(F.md5(shape.cast("binary")).alias("signature"))
-    return texts.groupBy("repo_id", "signature").agg(F.count(F.lit(1)).alias("n"), F.min("symbol").alias("first_symbol")).where("n > 1")
+def clone_groups(found: DataFrame, lines: DataFrame, least_lines: int = 6, most: int = 10) -> DataFrame:
+    """Entities of a repository, classes left out, with the same structure signature and at least least_lines lines:
+    (repo_id, signature, n, members: the first `most`, sorted)."""
+    some = found.where("kind <> 'class'").where(F.col("end_line") - F.col("start_line") + 1 >= least_lines)
+    signed = structure_signatures(some, lines).withColumn("member", F.concat("path", F.lit(":"), F.col("start_line").cast("string"), F.lit(" "), "symbol"))
+    place = F.row_number().over(Window.partitionBy("repo_id", "signature").orderBy("member"))
+    few = signed.withColumn("place", place).where(F.col("place") <= most).groupBy("repo_id", "signature").agg(F.array_join(F.array_sort(F.collect_list("member")), ",").alias("members"))
+    sizes = signed.groupBy("repo_id", "signature").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return sizes.join(few, ["repo_id", "signature"])
 
 
 def tutorial_signals(files: DataFrame) -> DataFrame:
@@ -135,18 +232,3 @@ def tutorial_signals(files: DataFrame) -> DataFrame:
     verdict = F.when(F.col("weight") >= 0.45, "STRONG_TUTORIAL_SIMILARITY").when(F.col("weight") >= 0.2, "POSSIBLY_TUTORIAL_DERIVED").otherwise("ORIGINAL")
     names = F.array_join(F.array_compact(F.array(*[F.when(F.col(n), n) for n, *_ in fixed.TUTORIAL_SIGNALS])), ",")
     return seen.withColumn("weight", total).select("repo_id", "weight", verdict.alias("verdict"), names.alias("signals"))
-
-
-def architecture_score(files: DataFrame, edges: DataFrame, cycles: DataFrame) -> DataFrame:
-    """files (repo_id, path), edges (repo_id, src, dst), cycles (repo_id, n): layering, modularity, coupling, depth and entry points."""
-    name = F.element_at(F.split("path", "/"), -1)
-    entry = name.isin("main.py", "app.py", "manage.py", "index.js", "index.ts", "server.js", "server.ts", "main.go", "Main.java", "cli.py")
-    depth = F.length("path") - F.length(F.replace(F.col("path"), F.lit("/")))
-    wide = files.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"), F.avg(depth).alias("depth"), F.avg((depth == 0).cast("int")).alias("at_root"), F.bool_or(entry).alias("entry"))
-    core = layers(files).where(F.col("layer").isin("api_layer", "service_layer", "data_layer", "presentation")).groupBy("repo_id").agg(F.count(F.lit(1)).alias("core"))
-    fan = edges.distinct().groupBy("repo_id").agg((F.count(F.lit(1)) / F.countDistinct("src")).alias("fan"))
-    w = wide.join(core, "repo_id", "left").join(fan, "repo_id", "left").join(cycles, "repo_id", "left").na.fill({"core": 0, "fan": 0.0})
-    modularity = F.when(F.col("n") <= 3, 55.0).otherwise(scale(F.col("at_root"), 0.9, 0.15))
-    coupling = clamp(100 - 12 * F.greatest(F.lit(0.0), F.col("fan") - 4) - 10 * F.coalesce(F.col("n_cycles"), F.lit(0)))
-    score = 0.32 * scale(F.col("core"), 0, 4) + 0.24 * modularity + 0.22 * coupling + 0.12 * F.when(F.col("depth") > 0, scale(F.col("depth"), 0, 2)).otherwise(20.0) + 0.10 * F.when(F.col("entry"), 100.0).otherwise(40.0)
-    return w.select("repo_id", score.alias("score"))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed, scalars
-from ..operators import classify, dependencies, graph, history, lines, scoring, security, serving, similarity, skills, structure
+from ..operators import classify, dependencies, graph, history, jobs, lines, measures, ownership, scoring, security, serving, similarity, skills, structure
+from . import project
 from .domain import view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,14 +114,6 @@ blocks as (select repo_id, path, line_no, md5(array_to_string(parts, chr(10))) a
 register("f1_duplicate_blocks", lambda t: lines.duplicate_blocks(lines.lines_of(t("files"))), f", {SQL_BLOCKS} select * from blocks", ("files",))
 register("g9_duplication_ratio", lambda t: rounded(lines.duplication_ratio(lines.lines_of(t("files"))), "ratio"), f", {SQL_BLOCKS} select repo_id, count(*)::bigint as n_blocks, count(distinct block) as n_distinct, round(1 - count(distinct block) / count(*), 6) as ratio from blocks group by repo_id", ("files",))
 register("f2_duplicate_examples", lambda t: lines.duplicate_examples(lines.lines_of(t("files"))), f", {SQL_BLOCKS}, g as (select repo_id, block, min({{'path': path, 'line_no': line_no}}) as spot, count(*) as n, max(path) as last_path from blocks group by all), r as (select repo_id, row_number() over (partition by repo_id order by n desc, spot.path, spot.line_no, block) as place, spot.path as path, spot.line_no as line_no, n from g where last_path > spot.path) select * from r where place <= 8", ("files",))
-STYLE = ["avg_length", "max_length", "tab_lines", "single_quotes", "trailing_commas"]
-SQL_STYLE = f"""{SQL_LINES}, profiles as (select repo_id, path, avg(length(line)) as avg_length, max(length(line))::int as max_length, count(*) filter (regexp_matches(line, '^[ \\t]+\\S') and starts_with(line, chr(9))) as tab_lines,
-  count(*) filter (regexp_matches(line, '^[ \\t]+\\S') and starts_with(line, ' ')) as space_lines, sum(len(regexp_extract_all(line, '''')))::bigint as single_quotes, sum(len(regexp_extract_all(line, '"')))::bigint as double_quotes,
-  count(*) filter (ends_with(rtrim(line, ' '), ',')) as trailing_commas from all_lines group by all)"""
-register("g43_style_profile", lambda t: rounded(lines.style_profile(lines.lines_of(t("files"))), "avg_length"), f", {SQL_STYLE} select repo_id, path, round(avg_length, 6) as avg_length, max_length, tab_lines, space_lines, single_quotes, double_quotes, trailing_commas from profiles", ("files",))
-register("g44_style_discontinuity", lambda t: rounded(lines.style_discontinuity(lines.style_profile(lines.lines_of(t("files"))), STYLE), "discontinuity"),
-    f", {SQL_STYLE}, long as (select repo_id, path, unnest([{', '.join(repr(s) for s in STYLE)}]) as key, unnest([{', '.join(s + '::double' for s in STYLE)}]) as v from profiles), centre as (select repo_id, key, median(v) as middle, stddev_pop(v) as spread from long group by all), f as (select repo_id, path, avg(case when spread > 1e-9 then abs(v - middle) / spread else 0.0 end) as z from long join centre using (repo_id, key) group by all) select repo_id, count(*) as n_files, count(*) filter (z > 1.5) as n_outliers, round(case when count(*) >= 3 then least(1.0, 2.0 * count(*) filter (z > 1.5) / count(*)) end, 6) as discontinuity from f group by repo_id", ("files",))
-
 # -- history
 
 SQL_OWN = "own as (select *, insertions + deletions as size from commits where not is_merge)"
@@ -170,7 +163,11 @@ kept as (select repo_id, path, array_to_string(list_sort(list(distinct h)), ',')
 small as (select repo_id, path, min(h) as h, count(*) as n from gram where n = 12 group by all)
 select f.repo_id, f.path, case when small.n <= 8 then small.h else coalesce(kept.fingerprints, '') end as fingerprints from files f left join kept on f.repo_id = kept.repo_id and f.path = kept.path left join small on f.repo_id = small.repo_id and f.path = small.path""", ("files",))
 register("g39_near_duplicates", lambda t: rounded(similarity.near_duplicates(similarity.chunks(t("files")))[0], "similarity"))
+SQL_CHUNKS = f"""{ORACLES["f3_winnowing"].split("select f.repo_id, f.path")[0]}, ch as (select f.repo_id, f.path, string_split(case when small.n <= 8 then small.h else kept.fingerprints end, ',') as fp from files f left join kept on f.repo_id = kept.repo_id and f.path = kept.path left join small on f.repo_id = small.repo_id and f.path = small.path where coalesce(small.h, kept.fingerprints) is not null),
+st as (select repo_id, min(path) as id, fp from ch group by repo_id, fp)"""
 register("g39_members", lambda t: similarity.near_duplicates(similarity.chunks(t("files")))[1])
+ORACLES["g39_members"] = f"{SQL_CHUNKS} select ch.repo_id, ch.path, st.id from ch join st on ch.repo_id = st.repo_id and ch.fp = st.fp"
+ORACLES["g39_near_duplicates"] = f"{SQL_CHUNKS} select a.repo_id, a.id as a, b.id as b, round(len(list_intersect(a.fp, b.fp)) / len(list_distinct(a.fp || b.fp)), 6) as similarity from st a join st b on a.repo_id = b.repo_id and a.id < b.id where len(list_intersect(a.fp, b.fp)) >= 0.55 * len(list_distinct(a.fp || b.fp))"
 register("g38_hash_embedding", lambda t: rounded(similarity.hash_embedding(t("part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"))), "value"),
     """with w as (select p_partkey as id, list_transform(regexp_extract_all(concat_ws(' ', p_name, p_type, p_brand), '[A-Za-z][A-Za-z0-9_]+'), lambda x: lower(x)) as w from part),
 f as (select id, unnest(w) as feature from w union all select id, w[i] || ' ' || w[i + 1] from (select id, w, unnest(generate_series(1, len(w) - 1)) as i from w where len(w) > 1)),
@@ -179,18 +176,9 @@ r as (select id, ('0x' || substr(md5(feature), 1, 8))::bigint % 256 as dim, sum(
 select id, dim, round(case when sqrt(sum(v * v) over (partition by id)) > 0 then v / sqrt(sum(v * v) over (partition by id)) else 0 end, 6) as value from r""")
 register("h4_top_similar", lambda t: rounded(similarity.top_similar(t("vectors").where("id % 100 = 0"), t("vectors")).select("query_id", "place", "id", "similarity"), "similarity"),
     "select * from (select q.id as query_id, row_number() over (partition by q.id order by list_cosine_similarity(q.embedding::double[], v.embedding::double[]) desc, v.id) as place, v.id as id, round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 6) as similarity from vectors q join vectors v on q.repo_id <> v.repo_id where q.id % 100 = 0) where place <= 5", ("vectors",))
-register("g40_corpus_matches", lambda t: rounded(similarity.best_matches(
-        similarity.chunks(t("files").where(F.col("repo_id").isNotNull())).select(F.concat_ws(":", "repo_id", "path").alias("id"), "fingerprints"),
-        similarity.chunks(t("benchmark").select(F.lit("b").alias("repo_id"), F.col("item_id").cast("string").alias("path"), "text")).select(F.col("path").alias("id"), "fingerprints"), 0.01), "similarity"))
-
 # -- security
 
 register("g33_secrets", lambda t: rounded(security.dedupe_findings(security.scan_secrets(lines.lines_of(t("files")))).drop("value_hash"), "confidence"))
-register("g35_security_score", lambda t: rounded(security.security_score(security.dedupe_findings(security.scan_secrets(lines.lines_of(t("files")))), t("files").select("repo_id").distinct()), "score"))
-register("g32_patterns", lambda t: rounded(security.scan_patterns(lines.lines_of(t("files")), classify.classified(t("files"))), "confidence"),
-    f", {SQL_LINES}, {SQL_CLASSIFIED}, k as (select a.repo_id, a.path, line_no, line, language from all_lines a join classified c on a.repo_id = c.repo_id and a.path = c.path where category in ({listed(fixed.CODE_CATEGORIES)}) and length(line) <= 4000 and not regexp_matches(line, '^\\s*(#|//|\\*)')) "
-    + " union all ".join(f"select repo_id, path, line_no, '{r}' as rule_id, '{c}' as category, '{s}' as severity, round({conf}e0 * case when regexp_matches(path, {quoted(fixed.TEST_PATH)}) then 0.6e0 else 1.0e0 end, 6) as confidence from k where regexp_matches(line, {quoted(p)})" + (f" and language in ({listed(langs)})" if langs else "") for r, c, p, s, conf, langs in fixed.INSECURE), ("files",))
-
 # -- graphs
 
 register("g28_degrees", lambda t: graph.degrees(t("edges").distinct()), ", d as (select distinct repo_id, src, dst from edges), e as (select repo_id, src as node, 1 as o, 0 as i from d union all select repo_id, dst, 0, 1 from d) select repo_id, node, sum(o)::bigint as fan_out, sum(i)::bigint as fan_in from e group by all", ("edges",))
@@ -224,21 +212,6 @@ register("c30_assistance_class", lambda t: t("evaluations").groupBy(scoring.assi
 register("c32_disclosure", lambda t: t("evaluations").select("evaluation_id", scoring.disclosure_alignment(F.col("evaluation_id") % 3 == 0, F.col("likelihood")).alias("alignment")), "select evaluation_id, case when evaluation_id % 3 = 0 and likelihood >= 45 then 'consistent' when evaluation_id % 3 = 0 then 'declared_more_than_observed' when likelihood >= 65 then 'signals_above_declaration' else 'consistent' end as alignment from evaluations", ("evaluations",))
 
 
-def _factors(t, weights: dict[str, float]) -> DataFrame:
-    names = F.array(*[F.lit(n) for n in sorted(weights)])
-    e = t("category_scores").select(F.col("evaluation_id").alias("id"), F.element_at(names, (F.col("score_id") % len(weights) + 1).cast("int")).alias("factor"), (F.col("score") / 100).alias("value"))
-    return scoring.weighted_factors(e, weights)
-
-
-def _factors_sql(weights: dict[str, float]) -> str:
-    return f"wt(factor, weight) as (values {', '.join(f'({quoted(k)}, {v}e0)' for k, v in sorted(weights.items()))}), fv as (select evaluation_id as id, [{listed(sorted(weights))}][score_id % {len(weights)} + 1] as factor, max(score / 100) as value from category_scores group by all), fs as (select id, sum(value * weight) as s, sum(case when value is not null then weight end) as w from fv join wt using (factor) group by id), sc as (select id, 100 * s / w as score, least(0.95e0, 0.3e0 + 0.7e0 * coalesce(w, 0) / {sum(weights.values())}e0) as confidence from fs)"
-
-
-for _name, _weights in (("g48_ownership", fixed.OWNERSHIP_WEIGHTS), ("g47_likelihood", fixed.ASSISTANCE_WEIGHTS)):
-    register(_name, lambda t, w=_weights: rounded(_factors(t, w), "score", "confidence"), f", {_factors_sql(_weights)} select id, round(score, 6) as score, round(confidence, 6) as confidence from sc", ("category_scores",))
-register("g49_utilization", lambda t: rounded(scoring.utilization(_factors(t, fixed.UTILIZATION_WEIGHTS), t("evaluations").groupBy(F.col("candidate_id").alias("id")).agg(F.max("likelihood").alias("likelihood"), F.max("ownership").alias("ownership"))), "score"),
-    f", {_factors_sql(fixed.UTILIZATION_WEIGHTS)}, cx as (select candidate_id as id, max(likelihood) as likelihood, max(ownership) as ownership from evaluations group by 1), u as (select id, least(100, score + case when likelihood >= 45 and ownership >= 65 and score >= 55 then 6 else 0 end) as score from sc join cx using (id)) select id, round(score, 6) as score, case when score >= 75 then 'Effective AI Augmentation' when score >= 55 then 'Productive, With Gaps' when score >= 35 then 'Verification Recommended' else 'Insufficient Evidence of Productive Use' end as class from u", ("category_scores", "evaluations"))
-register("g65_recommendations", lambda t: rounded(scoring.recommendations(serving.latest(t("category_scores"), ["evaluation_id", "category"], [F.desc("created_at"), F.desc("score_id")]), t("policies").where("policy_key = 'Brand#1'").groupBy("category").agg((F.sum("weight") / 100).alias("weight")), 3), "gain"), f", {SQL_LATEST}, w as (select category, sum(weight) / 100 as weight from policies where policy_key = 'Brand#1' group by category), g as (select evaluation_id, category, greatest(0, 85.0e0 - score) * weight as gain from last join w using (category) where score is not null) select evaluation_id, place, category, round(gain, 6) as gain from (select *, row_number() over (partition by evaluation_id order by gain desc, category) as place from g where gain > 0) where place <= 3", ("category_scores", "policies"))
 SQL_STRENGTH = "st as (select repo_id, skill, least(1.0, max(value)) as strength from strengths group by all)"
 
 
@@ -250,8 +223,7 @@ def _requirements(t) -> DataFrame:
     return t("part").select((F.col("p_partkey") % 25).alias("job_id"), F.concat(F.lit("skill"), (F.col("p_partkey") % 60).cast("string")).alias("skill"), F.col("p_size").alias("importance"), (F.col("p_partkey") % 3 == 0).alias("required")).groupBy("job_id", "skill").agg(F.sum("importance").cast("double").alias("importance"), F.bool_or("required").alias("required"))
 
 
-register("g56_job_match", lambda t: rounded(scoring.job_match(_requirements(t), _strengths(t)), "score", "required_coverage"), f", {SQL_STRENGTH}, rq as (select p_partkey % 25 as job_id, 'skill' || (p_partkey % 60) as skill, sum(p_size)::double as importance, bool_or(p_partkey % 3 = 0) as required from part group by all), b as (select rq.job_id, r.repo_id, importance, required, coalesce(strength, 0) as strength from rq cross join (select distinct repo_id from st) r left join st on st.repo_id = r.repo_id and st.skill = rq.skill) select job_id, repo_id, round(100 * sum(strength * importance) / sum(importance), 6) as score, count(*) filter (strength >= 0.2) as n_matched, count(*) filter (strength < 0.2 and required) as n_missing, round(avg(case when required then (strength >= 0.2)::int end), 6) as required_coverage from b group by all", ("strengths",))
-register("g57_engineering_dna", lambda t: rounded(scoring.engineering_dna(_strengths(t), _strengths(t).select("skill").distinct().withColumn("dimension", F.concat(F.lit("dim"), (F.length("skill") % 2).cast("string")))), "value"), f", {SQL_STRENGTH}, k as (select repo_id, 'dim' || (length(skill) % 2) as dimension, strength, row_number() over (partition by repo_id, 'dim' || (length(skill) % 2) order by strength desc, skill) as place from st) select repo_id, dimension, round(least(1.0, sum(strength) / 2.0), 6) as value from k where place <= 4 group by all", ("strengths",))
+register("g56_job_match", lambda t: rounded(scoring.job_match(_requirements(t), _strengths(t)), "score", "required_coverage"), f", {SQL_STRENGTH}, rq as (select p_partkey % 25 as job_id, 'skill' || (p_partkey % 60) as skill, sum(p_size)::double as importance, bool_or(p_partkey % 3 = 0) as required from part group by all), b as (select rq.job_id, r.repo_id, importance, required, coalesce(strength, 0) as strength, strength is not null as met from rq cross join (select distinct repo_id from st) r left join st on st.repo_id = r.repo_id and st.skill = rq.skill) select job_id, repo_id, round(100 * sum(strength * importance) / sum(importance), 6) as score, count(*) filter (strength >= 0.2) as n_matched, count(*) filter (strength < 0.2 and required) as n_missing, round(avg(case when required then (strength >= 0.2)::int end), 6) as required_coverage from b group by all having bool_or(met)", ("strengths",))
 register("e13_best_strength", lambda t: rounded(_strengths(t).groupBy("skill").agg(F.max("strength").alias("strength"), F.count(F.lit(1)).alias("n_repositories")), "strength"), f", {SQL_STRENGTH} select skill, round(max(strength), 6) as strength, count(*) as n_repositories from st group by skill", ("strengths",))
 register("e11_weighted_portfolio", lambda t: rounded(scoring.weighted_over_repositories(t("category_scores").select((F.col("evaluation_id") % 30).alias("owner_id"), "category", "score", (F.col("score_id") % 200).alias("n_files"))), "score"), "select evaluation_id % 30 as owner_id, category, round(sum(score * least(3.0, 0.5 + (score_id % 200) / 60.0)) / sum(least(3.0, 0.5 + (score_id % 200) / 60.0)), 6) as score from category_scores where score is not null group by all", ("category_scores",))
 register("f10_policy_versions", lambda t: scoring.policy_versions(t("overrides").select(F.col("category").alias("policy_key"), (F.col("evaluation_id") % 50).alias("organization_id"), "created_at", F.concat_ws("-", "evaluation_id", "override_id").alias("event_id")).distinct()).select("policy_key", "organization_id", "event_id", "version", "is_current"), ", e as (select distinct category as policy_key, evaluation_id % 50 as organization_id, created_at, evaluation_id || '-' || override_id as event_id from overrides) select policy_key, organization_id, event_id, row_number() over w as version, lead(event_id) over w is null as is_current from e window w as (partition by organization_id, policy_key order by created_at, event_id)", ("overrides",))
@@ -273,87 +245,31 @@ register("d9_semi_join", lambda t: t("evaluations").join(t("emails").select(F.re
 register("d10_anti_join", lambda t: t("category_scores").select("evaluation_id", "category").distinct().join(t("overrides").select("evaluation_id", "category"), ["evaluation_id", "category"], "left_anti"), "select distinct evaluation_id, category from category_scores where (evaluation_id, category) not in (select evaluation_id, category from overrides)", ("category_scores", "overrides"))
 register("b15_visible", lambda t: serving.visible(t("customer").select("c_custkey", F.col("c_nationkey").alias("organization_id"), (F.col("c_custkey") % 50).alias("owner_id")), t("supplier").select(F.col("s_nationkey").alias("organization_id"), (F.col("s_suppkey") % 10).alias("user_id")), 7).select("c_custkey"), "select c_custkey from customer where c_custkey % 50 = 7 or c_nationkey in (select s_nationkey from supplier where s_suppkey % 10 = 7)")
 register("c36_answer_features", lambda t: rounded(serving.answer_features(t("answers")), "avg_sentence"), "select session_id, question_id, len(regexp_extract_all(answer_text, '[^.!?]+'))::int as n_sentences, len(regexp_extract_all(answer_text, '[^ \\t\\n\\x0B\\f\\r]+'))::int as n_words, round(len(regexp_extract_all(answer_text, '[^ \\t\\n\\x0B\\f\\r]+')) / greatest(1, len(regexp_extract_all(answer_text, '[^.!?]+'))), 6) as avg_sentence, len(regexp_extract_all(answer_text, '(?i)\\b(because|therefore|trade-?off|instead|measured)\\b'))::int as n_markers from answers where role = 'user'", ("answers",))
-register("e12_dna_max", lambda t: rounded(_strengths(t).withColumn("dimension", F.concat(F.lit("dim"), (F.length("skill") % 2).cast("string"))).groupBy("dimension").agg(F.max("strength").alias("strength")), "strength"), f", {SQL_STRENGTH} select 'dim' || (length(skill) % 2) as dimension, round(max(strength), 6) as strength from st group by all", ("strengths",))
 register("i5_distinct_first", lambda t: serving.latest(t("commits"), ["repo_id", "author_email"], [F.asc("committed_at"), F.asc("sha")]).select("repo_id", "author_email", "sha"), "select repo_id, author_email, sha from commits qualify row_number() over (partition by repo_id, author_email order by committed_at, sha) = 1", ("commits",))
 register("e16_totals", lambda t: serving.totals({n: t(n) for n in ("files", "commits", "evaluations", "audit")}), "select 'files' as name, count(*) as n from files union all select 'commits', count(*) from commits union all select 'evaluations', count(*) from evaluations union all select 'audit', count(*) from audit", ("files", "commits", "evaluations", "audit"))
-register("e17_durations", lambda t: rounded(t("audit").groupBy("action").agg(F.avg("value").alias("mean_value"), F.max("value").alias("max_value"), F.median("value").alias("median_value"), F.stddev_pop("value").alias("spread")), "mean_value", "median_value", "spread"), "select action, round(avg(value), 6) as mean_value, max(value) as max_value, round(median(value), 6) as median_value, round(stddev_pop(value), 6) as spread from audit group by action", ("audit",))
-
-
-# -- structure
-
-SQL_CODE_LINES = "all_lines as (select repo_id, path, cast(unnest(generate_series(1, len(string_split(text, chr(10))))) as int) as line_no, unnest(string_split(text, chr(10))) as line from code where text is not null)"
-SQL_ENTITIES = f"""{SQL_CODE_LINES},
-ind as (select *, length(regexp_extract(line, '^(\\s*)', 1)) as indent from all_lines where trim(line) <> ''),
-heads as (select repo_id, path, line_no as start_line, indent as own, regexp_extract(line, {quoted(fixed.HEADER)}, 2) as kind, regexp_extract(line, {quoted(fixed.HEADER)}, 3) as symbol from ind where regexp_matches(line, {quoted(fixed.HEADER)})),
-stops as (select h.repo_id, h.path, start_line, min(line_no) as stop from heads h join ind i on h.repo_id = i.repo_id and h.path = i.path and line_no > start_line and indent <= own group by all),
-ends as (select repo_id, path, max(line_no) as last_line from ind group by all),
-found as (select h.repo_id, h.path, symbol, kind, h.start_line, coalesce(stop - 1, last_line)::int as end_line from heads h join ends e on h.repo_id = e.repo_id and h.path = e.path left join stops s on h.repo_id = s.repo_id and h.path = s.path and h.start_line = s.start_line),
-bodies as (select f.*, line_no, line from found f join all_lines a on f.repo_id = a.repo_id and f.path = a.path and line_no between start_line and end_line)"""
-
 
-def _code(t) -> DataFrame:
-    """Files of the view `code`; each document has a path of its own."""
-    return t("code")
-
-
-def _found(t) -> DataFrame:
-    return structure.entities(lines.lines_of(_code(t)))
-
-
-def register_code(name: str, run, sql: str) -> None:
-    """sql reads the view code, one row for each path."""
-    from .domain import VIEWS
-
-    base, columns = VIEWS["code"]
-    body = ", ".join(f"{e} as {c}" for c, e in columns.items())
-    register(name, run, None)
-    ORACLES[name] = f"with raw as (select {body} from {base}), code as (select repo_id, path, min(text) as text from raw group by all),\n{sql}"
-
-
-register_code("g2_entities", lambda t: _found(t), f"{SQL_ENTITIES} select repo_id, path, symbol, kind, start_line, end_line from found")
-register_code("g3_complexity", lambda t: structure.entity_complexity(_found(t), lines.lines_of(_code(t))).select("repo_id", "path", "symbol", "start_line", "complexity"), f"{SQL_ENTITIES} select repo_id, path, symbol, start_line, 1 + sum(case when regexp_matches(line, {quoted(fixed.COMMENT_LINE)}) then 0 else len(regexp_extract_all(line, {quoted(fixed.DECISIONS)})) end)::bigint as complexity from bodies group by all")
-register_code("g4_nesting", lambda t: structure.entity_nesting(_found(t), lines.lines_of(_code(t))), f"{SQL_ENTITIES} select repo_id, path, symbol, start_line, count(distinct length(regexp_extract(line, '^(\\s*)', 1))) as nesting from bodies where trim(line) <> '' and line_no > start_line group by all")
-register_code("g8_clone_groups", lambda t: structure.clone_groups(_found(t), lines.lines_of(_code(t))), f"{SQL_ENTITIES}, sig as (select repo_id, path, symbol, start_line, md5(regexp_replace(regexp_replace(string_agg(line, chr(10) order by line_no), '[A-Za-z_][A-Za-z0-9_]*', 'V', 'g'), '\\s+|\\d+', '', 'g')) as signature from bodies where kind <> 'class' and end_line - start_line + 1 >= 6 group by all) select repo_id, signature, count(*) as n, min(symbol) as first_symbol from sig group by all having count(*) > 1")
-register_code("g10_naming", lambda t: rounded(structure.naming_quality(_found(t)), "share"), f"{SQL_ENTITIES} select repo_id, round(avg((not ((length(symbol) <= 2 and lower(symbol) not in ({listed(fixed.SHORT_NAMES)})) or lower(symbol) in ({listed(fixed.GENERIC_NAMES)}) or (len(list_filter(string_split(lower(trim(regexp_replace(regexp_replace(symbol, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[_\\-\\s]+', ' ', 'g'))), ' '), lambda x: x <> '')) = 1 and length(symbol) <= 3 and lower(symbol) not in ({listed(fixed.SHORT_NAMES)}))))::int), 6) as share, count(*) as n from found group by repo_id")
-register_code("g11_error_handling", lambda t: rounded(structure.error_handling(_code(t), _found(t)), "ratio"), f"{SQL_ENTITIES}, w as (select repo_id, sum(len(regexp_extract_all(text, '\\b(try|catch|except|rescue|recover|finally)\\b'))) as n from code group by repo_id), k as (select repo_id, count(*) as m from found group by repo_id) select repo_id, round(n / m, 6) as ratio from w join k using (repo_id)")
-SQL_FOLDERS = "fo as (select repo_id, list_transform(string_split(path, '/')[:-2], lambda x: lower(x)) as d from code)"
-register_code("g30_layers", lambda t: structure.layers(_code(t)), f"{SQL_FOLDERS} " + " union all ".join(f"select repo_id, '{n}' as layer, count(*) as n_files from fo where list_has_any(d, [{listed(m.split())}]) group by repo_id" for n, m in fixed.LAYERS.items()))
-register_code("g20_frameworks", lambda t: structure.frameworks(_code(t)), "x as (select repo_id, " + ", ".join("coalesce(bool_or(" + " or ".join(f"contains(text, {quoted(m)})" for m in ms) + f"), false) as {n}" for n, ms in fixed.FRAMEWORKS.items()) + " from code group by repo_id) select repo_id, array_to_string(list_sort(list_filter([" + ", ".join(f"case when {n} then '{n}' end" for n in fixed.FRAMEWORKS) + "], lambda x: x is not null)), ',') as frameworks from x")
-SQL_README = f"rd as (select repo_id, path, text from code where lower(regexp_extract(path, '[^/]*$')) in ({listed(fixed.README_NAMES)}) qualify row_number() over (partition by repo_id order by len(string_split(path, '/')) > 1, list_position([{listed(fixed.README_NAMES)}], lower(regexp_extract(path, '[^/]*$'))), len(string_split(path, '/')), path) = 1)"
-register_code("g22_readme", lambda t: structure.readmes(_code(t)).select("repo_id", "path"), f"{SQL_README} select repo_id, path from rd")
 
+# -- skills
 
-def _documentation(t) -> DataFrame:
-    code = _code(t)
-    extra = code.where(F.col("path").startswith("docs/")).groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_docs"), F.lit(0.1).alias("documented"))
-    return rounded(structure.documentation_score(code.select("repo_id").distinct(), structure.readmes(code), extra), "score")
+SQL_TERMS = "terms(term, skill, size, rank, words) as (values " + ", ".join(f"({quoted(t)}, '{k}', {size}, {rank}, {n})" for t, k, size, rank, n in skills.skill_terms()) + ")"
+LONGEST_TERM = max(x[4] for x in skills.skill_terms())
 
 
-register_code("g23_documentation", _documentation, f"{SQL_README}, ex as (select repo_id, count(*) as n from code where starts_with(path, 'docs/') group by repo_id), s as (select repo_id, text, " + " + ".join(f"case when regexp_matches(text, {quoted(p)}) then {w}e0 else 0 end" for _, w, p in fixed.DOC_FEATURES) + f" as f, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) as n, regexp_matches(text, {quoted(fixed.PLACEHOLDER_README)}) as ph from rd) select r.repo_id, round(case when s.text is null then 0 else greatest(0, least(100, 100 * f * case when s.n < 60 then 0.35e0 when s.n < 150 then 0.6e0 when s.n < 400 then 0.85e0 else 1.0e0 end * case when ph then 0.55e0 else 1.0e0 end + least(8, 2 * coalesce(ex.n, 0)) + least(10, 20 * case when ex.n is null then 0 else 0.1e0 end))) end, 6) as score from (select distinct repo_id from code) r left join s using (repo_id) left join ex using (repo_id)")
-register_code("g18_testing", lambda t: rounded(structure.testing_score(classify.classified(_code(t).withColumn("size_bytes", F.length("text").cast("long")))), "score"), f"named as (select *, {SQL_LANGUAGE} as language, {SQL_REASON} as skipped_reason from code), cl as (select *, {SQL_CATEGORY} as category from named), w as (select repo_id, count(*) filter (category = 'test_code') as n_tests, count(*) filter (category = 'candidate_code') as n_code, coalesce(bool_or(category = 'test_code' and regexp_matches(lower(path), 'integration|e2e|end_to_end|end-to-end|functional|api_test')), false) as i, coalesce(bool_or(category = 'test_code' and regexp_matches(lower(path), 'e2e|playwright|cypress|selenium|puppeteer')), false) as e from cl group by repo_id) select repo_id, n_tests, round(0.30e0 * case when n_tests >= 3 then 100 when n_tests > 0 then 40 else 0 end + 0.25e0 * {sql_scale('least(0.6e0, n_tests / greatest(1, n_code))', 0, 0.35)} + 0.20e0 * 100 * (case when n_tests > 0 then 0.45e0 else 0 end + case when i then 0.35e0 else 0 end + case when e then 0.20e0 else 0 end), 6) as score from w")
-register_code("g21_untested", lambda t: structure.untested_modules(classify.classified(_code(t).withColumn("size_bytes", F.length("text").cast("long")))), f"named as (select *, {SQL_LANGUAGE} as language, {SQL_REASON} as skipped_reason from code), cl as (select *, {SQL_CATEGORY} as category, lower(regexp_replace(regexp_extract(path, '[^/]*$'), '\\.[^.]+$', '')) as stem from named) select repo_id, path from cl a where category = 'candidate_code' and stem not in ('index', '__init__', 'main', 'app', 'types', 'constants') and not exists (select 1 from cl b where b.repo_id = a.repo_id and b.category = 'test_code' and contains(lower(b.path), a.stem))")
-register_code("g45_artifacts", lambda t: rounded(structure.assistant_artifacts(_code(t)), "strength"), "h as (select repo_id, " + " + ".join(f"least(2, len(regexp_extract_all(text, {quoted(p)})))" for _, p in fixed.ARTIFACTS) + " as n from code) select repo_id, sum(n)::bigint as n_hits, round(least(1.0, sum(n) / count(*) / 0.8), 6) as strength from h group by repo_id")
+def sql_skills(source: str) -> str:
+    """mentions of the table source (id, text): hits in order of size, each kept if it touches none that was kept before."""
+    return f"""{SQL_TERMS}, ws as (select id, list_filter(string_split(lower(regexp_replace(text, '[^A-Za-z0-9+#_]+', ' ', 'g')), ' '), lambda x: x <> '') as w from {source}),
+runs as (select id, i as spot, n, array_to_string(w[i:i + n - 1], ' ') as term from (select id, w, unnest(generate_series(1, len(w))) as i from ws where len(w) > 0), generate_series(1, {LONGEST_TERM}) g(n) where i + n - 1 <= len(w)),
+hits as (select id, list_sort(list({{'less': -size, 'rank': rank, 'spot': spot, 'n': n, 'term': term, 'skill': skill}})) as h from runs join terms using (term) group by id),
+kept as (select id, unnest(list_reduce(h, lambda taken, x: case when len(list_filter(taken, lambda y: y.spot < x.spot + x.n and x.spot < y.spot + y.n)) = 0 then list_append(taken, x) else taken end, list_filter(h, lambda x: false))) as m from hits),
+skills as (select id, m.skill as skill, count(*) as n_mentions, array_to_string(list_sort(list(distinct m.term)), ',') as terms from kept group by all)"""
 
-# -- skills
 
-SQL_TERMS = "terms(term, skill) as (values " + ", ".join(f"('{t}', '{k}')" for k, _, ts, _ in fixed.SKILLS for t in ts) + ")"
-SQL_SKILLS = f"""{SQL_TERMS}, ws as (select id, list_filter(string_split(lower(regexp_replace(text, '[^A-Za-z0-9+#]+', ' ', 'g')), ' '), lambda x: x <> '') as w from notes),
-runs as (select id, i as pos, n, array_to_string(w[i:i + n - 1], ' ') as term from (select id, w, unnest(generate_series(1, len(w))) as i from ws where len(w) > 0), generate_series(1, {max(len(t.split()) for _, _, ts, _ in fixed.SKILLS for t in ts)}) g(n) where i + n - 1 <= len(w)),
-hits as (select id, pos, n, term, skill from runs join terms using (term)),
-kept as (select * from hits h where not exists (select 1 from hits o where o.id = h.id and o.n > h.n and o.pos < h.pos + h.n and h.pos < o.pos + o.n)),
-skills as (select id, skill, count(*) as n_mentions from kept group by all)"""
-register("g50_skills", lambda t: skills.extract(t("notes")), f", {SQL_SKILLS} select * from skills", ("notes",))
-register("g51_implied_skills", lambda t: skills.with_implied(skills.extract(t("notes"))), f", {SQL_SKILLS}, cl(skill, implied) as (values " + ", ".join(f"('{a}', '{b}')" for a, bs in skills.closure().items() for b in bs) + ") select id, implied as skill, bool_or(skills.skill = implied) as direct from skills join cl using (skill) group by all", ("notes",))
+SQL_CLOSURE = "cl(skill, implied) as (values " + ", ".join(f"('{a}', '{b}')" for a, bs in skills.closure().items() for b in bs) + ")"
+register("g50_skills", lambda t: skills.extract(t("notes")).withColumn("terms", F.array_join("terms", ",")), f", {sql_skills('notes')} select * from skills", ("notes",))
+register("g51_implied_skills", lambda t: skills.with_implied(skills.extract(t("notes"))), f", {sql_skills('notes')}, {SQL_CLOSURE} select id, implied as skill, bool_or(skills.skill = implied) as direct from skills join cl using (skill) group by all", ("notes",))
 register("g64_resume_consistency", lambda t: rounded(skills.resume_consistency(_requirements(t).select(F.concat(F.lit("repo"), F.col("job_id").cast("string")).alias("candidate_id"), "skill", F.least(F.lit(1.0), F.col("importance") / 60).alias("expected")), _strengths(t).withColumnRenamed("repo_id", "candidate_id")), "strength"),
     f", {SQL_STRENGTH}, cm as (select 'repo' || (p_partkey % 25) as candidate_id, 'skill' || (p_partkey % 60) as skill, least(1.0, sum(p_size) / 60) as expected from part group by all), j as (select candidate_id, cm.skill, expected, coalesce(strength, 0) as strength from cm left join st on st.repo_id = candidate_id and st.skill = cm.skill), u as (select repo_id as candidate_id, skill, strength from st where strength >= 0.5 and not exists (select 1 from cm where cm.candidate_id = st.repo_id and cm.skill = st.skill) qualify row_number() over (partition by repo_id order by strength desc, skill) <= 10) select candidate_id, skill, round(strength, 6) as strength, case when strength >= expected then 'supported' when strength >= expected / 2 then 'partial' else 'verify' end as state from j union all select candidate_id, skill, round(strength, 6), 'unclaimed' from u", ("strengths",))
 register("k2_sliding_activity", lambda t: t("audit").groupBy(F.window("created_at", "24 hours", "12 hours").alias("w"), "action").agg(F.count(F.lit(1)).alias("n")).select(F.unix_micros("w.start").alias("start_us"), "action", "n"), ", s as (select action, (epoch_us(created_at) // 43200000000 - k) * 43200000000 as start_us from audit, generate_series(0, 1) g(k)) select start_us, action, count(*) as n from s group by all", ("audit",))
-register("g27_import_edges", lambda t: graph.import_edges(t("edges").select("repo_id", F.concat(F.lit("src/"), F.col("src"), F.lit(".py")).alias("path"), F.concat(F.lit("src."), F.col("dst")).alias("target")).distinct(), t("edges").select("repo_id", F.concat(F.lit("src/"), F.col("dst"), F.lit(".py")).alias("path")).distinct()), "select distinct repo_id, 'src/' || src || '.py' as src, 'src/' || dst || '.py' as dst from edges where src <> dst", ("edges",))
 register("b13_pinned", lambda t: t("dependencies").groupBy("repo_id").agg(F.count_if(dependencies.is_pinned()).alias("n_pinned"), F.count(F.lit(1)).alias("n")), "select repo_id, count(*) filter (version_spec <> '' and not regexp_matches(version_spec, '^[~^>*]|^latest$')) as n_pinned, count(*) as n from dependencies group by repo_id", ("dependencies",))
-register("g26_dependency_score", lambda t: rounded(dependencies.dependency_score(t("dependencies"), t("dependencies").where("name = 'numpy'")), "score"), ", b as (select repo_id, avg((version_spec <> '' and not regexp_matches(version_spec, '^[~^>*]|^latest$'))::int) as pinned, count(*) filter (not dev) as runtime, count(*) as n, bool_or(name = 'numpy') as locked from dependencies group by repo_id) select repo_id, n, round(40 * pinned + 0.35e0 * case when locked then 100 else 35 end + 0.25e0 * case when runtime <= 40 then 100 else greatest(0, 100 - 0.8e0 * (runtime - 40)) end, 6) as score from b", ("dependencies",))
 register("g25_dependency_categories", lambda t: dependencies.categories(t("dependencies")), ", d as (select distinct repo_id, name, regexp_extract(name, '[^/]*$') as last from dependencies) " + " union all ".join(f"select repo_id, '{c}' as category, name from d where " + " or ".join(f"name = '{m}' or starts_with(name, '{m}-') or starts_with(name, '@{m}/') or contains(last, '{m}')" for m in ms.split()) for c, ms in fixed.DEPENDENCY_CATEGORIES.items()), ("dependencies",))
-register_code("g42_tutorial_signals", lambda t: rounded(structure.tutorial_signals(_code(t)), "weight"), "s as (select repo_id, " + ", ".join("bool_or(" + " or ".join([f"coalesce(regexp_matches(text, {quoted(p)}), false)" for p in ps] + [f"path = '{x}'" for x in paths]) + f") as {n}" for n, _, ps, paths in fixed.TUTORIAL_SIGNALS) + " from code group by repo_id), w as (select *, " + " + ".join(f"case when {n} then {w}e0 else 0 end" for n, w, _, _ in fixed.TUTORIAL_SIGNALS) + " as weight from s) select repo_id, round(weight, 6) as weight, case when weight >= 0.45 then 'STRONG_TUTORIAL_SIMILARITY' when weight >= 0.2 then 'POSSIBLY_TUTORIAL_DERIVED' else 'ORIGINAL' end as verdict, array_to_string(list_filter([" + ", ".join(f"case when {n} then '{n}' end" for n, *_ in fixed.TUTORIAL_SIGNALS) + "], lambda x: x is not null), ',') as signals from w")
-register("g68_session_scores", lambda t: rounded(t("answers").groupBy("session_id").agg(F.avg(F.coalesce(F.when(F.col("question_id") % 3 == 0, F.length("answer_text") % 100), F.lit(50))).alias("score"), F.count(F.lit(1)).alias("n")), "score"), "select session_id, round(avg(coalesce(case when question_id % 3 = 0 then length(answer_text) % 100 end, 50)), 6) as score, count(*) as n from answers group by session_id", ("answers",))
-register("j24_job_monitor", lambda t: t("audit").where("action in ('error', 'view')").join(t("customer").select(F.col("c_custkey").alias("actor_id"), "c_name"), "actor_id", "left").select("event_id", "action", "c_name"), "select event_id, action, c_name from audit left join customer on c_custkey = actor_id where action in ('error', 'view')", ("audit",))
-register("j9_evaluation_detail", lambda t: t("evaluations").join(t("customer").select(F.col("c_custkey").alias("candidate_id"), "c_name"), "candidate_id", "left").join(t("category_scores").groupBy(F.col("evaluation_id").alias("candidate_id")).agg(F.count("score").alias("n_scores"), F.max("score").alias("best")), "candidate_id", "left").select("evaluation_id", "c_name", "n_scores", "best"), ", c as (select evaluation_id as candidate_id, count(score) as n_scores, max(score) as best from category_scores group by 1) select evaluation_id, c_name, n_scores, best from evaluations left join customer on c_custkey = candidate_id left join c using (candidate_id)", ("evaluations", "category_scores"))
 register("j14_disclosure_latest", lambda t: serving.latest(t("evaluations"), ["candidate_id"], [F.desc("created_at"), F.desc("evaluation_id")]).select("candidate_id", "evaluation_id", scoring.disclosure_alignment(F.col("candidate_id") % 2 == 0, F.col("likelihood")).alias("alignment")), "select candidate_id, evaluation_id, case when candidate_id % 2 = 0 and likelihood >= 45 then 'consistent' when candidate_id % 2 = 0 then 'declared_more_than_observed' when likelihood >= 65 then 'signals_above_declaration' else 'consistent' end as alignment from evaluations qualify row_number() over (partition by candidate_id order by created_at desc, evaluation_id desc) = 1", ("evaluations",))
-register("e5_variation", lambda t: rounded(t("commit_files").groupBy("repo_id", "path").agg(F.avg("added").alias("m")).groupBy("repo_id").agg((F.stddev_pop("m") / F.avg("m")).alias("variation")), "variation"), ", p as (select repo_id, path, avg(added) as m from commit_files group by all) select repo_id, round(stddev_pop(m) / avg(m), 6) as variation from p group by repo_id", ("commit_files",))
