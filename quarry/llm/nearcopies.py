@@ -1,8 +1,8 @@
-"""Near copies by exact Jaccard similarity of word shingles, found with covering masks of SimHash fingerprints and with bands of minima.
+"""Near copies by exact Jaccard similarity of word shingles, found with equal SimHash fingerprints and with bands of minima.
 
 A text's set is the 64-bit hashes of its runs of five words. Two texts are linked if their sets' Jaccard similarity is 0.8 or more, and a class is
-all that links join. Candidates are pairs whose fingerprints of these runs agree on a covering mask and differ in at most two bits (op4's tables),
-and pairs that agree on one of 24 bands of five minima: a pair at 0.8 has none with a chance of 0.00007. Each candidate is confirmed with the whole sets.
+all that links join. Candidates are pairs with equal fingerprints of these runs, and pairs that agree on one of 24 bands of five minima: a pair at 0.8
+has none with a chance of 0.00007. Each candidate is confirmed with the whole sets.
 SimHash alone can't reach 0.8: such pairs differ in about 10 of 64 bits, and a covering family for that radius has 2^11 - 1 masks of half the bits.
 
 Work is per distinct set. First each set is held against one centre, the least member of the buckets that it shares most of: that joins most of a class
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import release, saved, small_batches
-from .simhash import components, links, majority
+from .simhash import components, majority
 
 SEED = 42
 SHINGLE_WORDS = 5
@@ -164,7 +164,7 @@ def classes(rows: DataFrame, similarity: float = SIMILARITY, pairwise_limit: int
     nodes = saved(own.groupBy("digest").agg(F.min("row").alias("node"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
     tables = saved(_buckets(nodes.select("node", "size", F.posexplode("keys").alias("v", "key"))))
     by_fp = nodes.groupBy("fp").agg(F.min("node").alias("first"))
-    near = links(by_fp.select(F.col("first").alias("node"), "fp")).unionByName(nodes.join(by_fp, "fp").where("node > first").select(F.col("node").alias("a"), F.col("first").alias("b")))
+    near = nodes.join(by_fp, "fp").where("node > first").select(F.col("node").alias("a"), F.col("first").alias("b"))
     # Of a node's centres that with which it shares most bands: one pair a node joins most of each class.
     stars = tables.where(F.col("node") > F.col("centre.node")).where(_fits("size", "centre.size", similarity)).groupBy(F.col("node").alias("a"), F.col("centre.node").alias("c")).agg(F.count(F.lit(1)).alias("bands"))
     stars = stars.groupBy("a").agg(F.max_by("c", F.struct("bands", (-F.col("c")).alias("less"))).alias("b"))
