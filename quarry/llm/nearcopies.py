@@ -10,7 +10,6 @@ with a pair a text. Then pairs of a bucket that are still in different classes f
 those of small buckets, and in place of large ones those of buckets of two bands. There the members outside the largest class meet all others."""
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -108,7 +107,7 @@ def _buckets(tables: DataFrame) -> DataFrame:
     """tables: (node, size, v, key) with n, the size of the bucket, and centre, its least node, with its set's size; buckets of one are left out. Keys are
     grouped before they are joined."""
     sizes = tables.groupBy("v", "key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "size")).alias("centre")).where("n > 1")
-    return tables.join(sizes, ["v", "key"])
+    return tables.join(sizes.hint("merge"), ["v", "key"])
 
 
 def _fits(a: str, b: str, similarity: float) -> Column:
@@ -118,9 +117,9 @@ def _fits(a: str, b: str, similarity: float) -> Column:
 
 def _rooted(tables: DataFrame, roots: DataFrame) -> DataFrame:
     """tables with root, only of buckets that hold several classes; largest: the class with most members there."""
-    own = tables.join(roots, "node", "left").select("v", "key", "node", "size", "n", F.coalesce("root", "node").alias("root"))
+    own = tables.join(roots.hint("merge"), "node", "left").select("v", "key", "node", "size", "n", F.coalesce("root", "node").alias("root"))
     most = own.groupBy("v", "key", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("v", "key").agg(F.max_by("root", F.struct("m", "root")).alias("largest"), F.count(F.lit(1)).alias("classes"))
-    return own.join(most.where("classes > 1").drop("classes"), ["v", "key"])
+    return own.join(most.where("classes > 1").drop("classes").hint("merge"), ["v", "key"])
 
 
 def _all_pairs(small: DataFrame, similarity: float) -> DataFrame:
@@ -128,7 +127,7 @@ def _all_pairs(small: DataFrame, similarity: float) -> DataFrame:
     a = small.select("v", "key", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("root").alias("root_a"))
     b = small.select("v", "key", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
     met = (a["v"] == b["v"]) & (a["key"] == b["key"]) & (F.col("a") > F.col("b")) & (F.col("root_a") != F.col("root_b")) & _fits("size_a", "size_b", similarity)
-    return a.join(b, met).select("a", "b")
+    return a.join(b.hint("merge"), met).select("a", "b")
 
 
 def _outsiders(large: DataFrame, similarity: float) -> DataFrame:
@@ -136,22 +135,22 @@ def _outsiders(large: DataFrame, similarity: float) -> DataFrame:
     outside = large.where("root <> largest").select("v", "key", F.col("node").alias("x"), F.col("size").alias("size_x"), F.col("root").alias("root_x"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     own = large.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
     met = (own["v"] == outside["v"]) & (own["key"] == outside["key"]) & (own["salt"] == outside["salt"]) & (F.col("root") != F.col("root_x")) & _fits("size", "size_x", similarity)
-    return own.join(outside, met).select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b"))
+    return own.join(outside.hint("merge"), met).select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b"))
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
     """pairs with the set of one side; sets that stand in many pairs are repeated, so that no key is larger than the others."""
     copies = pairs.groupBy(F.col(side).alias("node")).agg(F.ceil(F.count(F.lit(1)) / PAIRS_A_COPY).cast("int").alias("copies"))
-    dealt = sets.join(copies, "node").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).select(F.col("node").alias(side), "salt", F.col("hashes").alias(f"hashes_{side}"))
-    salted = pairs.join(copies.where("copies > 1").withColumnRenamed("node", side), side, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("a", "b"), F.col("copies")), F.lit(0)).cast("int")).drop("copies")
-    return salted.join(dealt, [side, "salt"]).drop("salt")
+    dealt = sets.join(copies.hint("merge"), "node").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).select(F.col("node").alias(side), "salt", F.col("hashes").alias(f"hashes_{side}"))
+    salted = pairs.join(copies.where("copies > 1").withColumnRenamed("node", side).hint("merge"), side, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("a", "b"), F.col("copies")), F.lit(0)).cast("int")).drop("copies")
+    return salted.join(dealt.hint("merge"), [side, "salt"]).drop("salt")
 
 
 def confirmed(pairs: DataFrame, rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Those of pairs (a, b) of row keys whose sets reach the similarity."""
     pairs = saved(pairs)
     nodes = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
-    if nodes.count() <= BROADCAST_IDS:
+    if 2 * pairs.count() <= BROADCAST_IDS:
         nodes = F.broadcast(nodes)
     sets = saved(small_batches(rows).select("row", "text").join(nodes, "row", "left_semi").mapInArrow(_sets, "node long, hashes binary"))
     both = _with_sets(_with_sets(pairs, sets, "a"), sets, "b")
@@ -164,21 +163,27 @@ def classes(rows: DataFrame, similarity: float = SIMILARITY, pairwise_limit: int
     nodes = saved(own.groupBy("digest").agg(F.min("row").alias("node"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
     tables = saved(_buckets(nodes.select("node", "size", F.posexplode("keys").alias("v", "key"))))
     by_fp = nodes.groupBy("fp").agg(F.min("node").alias("first"))
-    near = nodes.join(by_fp, "fp").where("node > first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    near = nodes.join(by_fp.hint("merge"), "fp").where("node > first").select(F.col("node").alias("a"), F.col("first").alias("b"))
     # Of a node's centres that with which it shares most bands: one pair a node joins most of each class.
     stars = tables.where(F.col("node") > F.col("centre.node")).where(_fits("size", "centre.size", similarity)).groupBy(F.col("node").alias("a"), F.col("centre.node").alias("c")).agg(F.count(F.lit(1)).alias("bands"))
     stars = stars.groupBy("a").agg(F.max_by("c", F.struct("bands", (-F.col("c")).alias("less"))).alias("b"))
     edges = confirmed(stars.unionByName(near).distinct(), rows, similarity)
     roots = saved(components(edges))
     large = F.col("n") > pairwise_limit
-    crowded = _rooted(tables.where(large), roots)  # without buckets that are of one class by now
-    dense = nodes.join(crowded.select("node").distinct(), "node", "left_semi")
-    places, steps = F.sequence(F.lit(0), F.lit(BANDS - 1)), F.array(*[F.lit(s) for s in STEPS])
-    twice = F.flatten(F.transform(steps, lambda s: F.transform(places, lambda v: F.xxhash64(F.get("keys", v), F.get("keys", (v + s) % BANDS)))))
-    finer = _rooted(_buckets(dense.select("node", "size", F.posexplode(twice).alias("v", "key"))), roots)
-    rest = [_all_pairs(_rooted(tables.where(~large), roots), similarity), _all_pairs(finer.where(~large), similarity), _outsiders(finer.where(large), similarity)]
-    more = confirmed(reduce(DataFrame.unionByName, rest).distinct(), rows, similarity)
+    rest = _all_pairs(_rooted(tables.where(~large), roots), similarity)
+    crowded = saved(_rooted(tables.where(large), roots).select("node").distinct())  # without buckets that are of one class by now
+    if not crowded.isEmpty():
+        dense = nodes.join(crowded.hint("merge"), "node", "left_semi")
+        places, steps = F.sequence(F.lit(0), F.lit(BANDS - 1)), F.array(*[F.lit(s) for s in STEPS])
+        twice = F.flatten(F.transform(steps, lambda s: F.transform(places, lambda v: F.xxhash64(F.get("keys", v), F.get("keys", (v + s) % BANDS)))))
+        finer = saved(_rooted(_buckets(dense.select("node", "size", F.posexplode(twice).alias("v", "key"))), roots))
+        rest = rest.unionByName(_all_pairs(finer.where(~large), similarity)).unionByName(_outsiders(finer.where(large), similarity))
+    more = confirmed(rest.distinct(), rows, similarity)
     if not more.isEmpty():
-        roots = saved(components(edges.unionByName(more)))
-    found = nodes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
-    return own.join(found, "digest").select("row", "doc_id", "root")
+        for side in ("a", "b"):  # between classes, by their roots
+            more = more.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")).hint("merge"), side, "left").withColumn(side, F.coalesce(f"root_{side}", side)).select("a", "b")
+        upper = components(more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        every = nodes.select("node").join(roots.hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+        roots = every.join(upper.hint("merge"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    found = nodes.join(roots.hint("merge"), "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
+    return own.join(found.hint("merge"), "digest").select("row", "doc_id", "root")
