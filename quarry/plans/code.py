@@ -50,14 +50,14 @@ PROFILE = ["repo_id", "path", "symbol", "kind", "start_line", "end_line", "n_par
 
 
 def _profiled(t) -> DataFrame:
-    rows, found = lines.lines_of(t("code")), project.found(t)
+    rows, found = project.rows(t), project.found(t)
     return found.join(structure.entity_complexity(found, rows).select("repo_id", "path", "start_line", "complexity"), ["repo_id", "path", "start_line"])
 
 
 register_code("g2_entities", project.found, f"{SQL_ENTITIES} select {', '.join(PROFILE)} from found")
 register_code("g3_complexity", lambda t: _profiled(t).select("repo_id", "path", "symbol", "start_line", "complexity"), f"{SQL_ENTITIES}, {SQL_COMPLEXITY} select repo_id, path, symbol, start_line, complexity from cx")
-register_code("g4_nesting", lambda t: structure.entity_nesting(project.found(t), lines.lines_of(t("code"))), f"{SQL_ENTITIES}, {SQL_NESTING} select * from ne")
-register_code("g5_signatures", lambda t: structure.structure_signatures(project.found(t), lines.lines_of(t("code"))).select("repo_id", "path", "start_line", "signature"), f"{SQL_ENTITIES}, {SQL_SIGNED} select repo_id, path, start_line, signature from signed")
+register_code("g4_nesting", lambda t: structure.entity_nesting(project.found(t), project.rows(t)), f"{SQL_ENTITIES}, {SQL_NESTING} select * from ne")
+register_code("g5_signatures", lambda t: structure.structure_signatures(project.found(t), project.rows(t)).select("repo_id", "path", "start_line", "signature"), f"{SQL_ENTITIES}, {SQL_SIGNED} select repo_id, path, start_line, signature from signed")
 SQL_SHAPES = f"tk as (select repo_id, path, unnest({sql_shape('text')}) as token from code), sh as (select repo_id, path, token, 1 + ln(count(*)) as w from tk group by all), nm as (select repo_id, path, sqrt(sum(w * w)) as norm from sh group by all)"
 
 
@@ -66,15 +66,15 @@ def _path_pairs(t) -> DataFrame:
     from pyspark.sql import Window
 
     after = F.lead("path").over(Window.partitionBy("repo_id").orderBy("path"))
-    return t("code").select("repo_id", F.col("path").alias("a"), after.alias("b")).where("b is not null")
+    return project.code(t).select("repo_id", F.col("path").alias("a"), after.alias("b")).where("b is not null")
 
 
-register_code("g6_shape_similarity", lambda t: rounded(structure.shape_similarity(structure.shape_counts(t("code")), _path_pairs(t)), "similarity"),
+register_code("g6_shape_similarity", lambda t: rounded(structure.shape_similarity(structure.shape_counts(project.code(t)), _path_pairs(t)), "similarity"),
     f"{SQL_SHAPES}, pr as (select repo_id, path as a, lead(path) over (partition by repo_id order by path) as b from code qualify b is not null), dt as (select pr.repo_id, a, b, sum(x.w * y.w) as dot from pr join sh x on x.repo_id = pr.repo_id and x.path = a join sh y on y.repo_id = pr.repo_id and y.path = b and x.token = y.token group by all) select pr.repo_id, pr.a, pr.b, round(coalesce(dot / (n.norm * m.norm), 0), 6) as similarity from pr left join dt on dt.repo_id = pr.repo_id and dt.a = pr.a and dt.b = pr.b left join nm n on n.repo_id = pr.repo_id and n.path = pr.a left join nm m on m.repo_id = pr.repo_id and m.path = pr.b")
 
 
 def _profile_pairs(t) -> DataFrame:
-    rows, found = lines.lines_of(t("code")), project.found(t).where("kind <> 'class'")
+    rows, found = project.rows(t), project.found(t).where("kind <> 'class'")
     signed = structure.structure_signatures(found, rows)
     wide = signed.join(structure.entity_complexity(found, rows).select("repo_id", "path", "start_line", "complexity"), ["repo_id", "path", "start_line"]).join(structure.entity_nesting(found, rows).select("repo_id", "path", "start_line", "nesting"), ["repo_id", "path", "start_line"], "left")
     profiles = wide.select(F.concat_ws(":", "repo_id", "path", F.col("start_line").cast("string")).alias("id"), "signature", "complexity", "nesting", "n_params", (F.col("end_line") - F.col("start_line") + 1).alias("n_lines"), "repo_id", "path", "start_line")
@@ -83,10 +83,10 @@ def _profile_pairs(t) -> DataFrame:
 
 
 register_code("g7_profile_similarity", _profile_pairs)
-register_code("g8_clone_groups", lambda t: structure.clone_groups(project.found(t), lines.lines_of(t("code"))), f"{SQL_ENTITIES}, {SQL_SIGNED}, m as (select repo_id, signature, path || ':' || start_line || ' ' || symbol as member from signed where kind <> 'class' and end_line - start_line + 1 >= 6) select repo_id, signature, count(*) as n, array_to_string(list_sort(list(member))[:10], ',') as members from m group by all having count(*) > 1")
+register_code("g8_clone_groups", lambda t: structure.clone_groups(project.found(t), project.rows(t)), f"{SQL_ENTITIES}, {SQL_SIGNED}, m as (select repo_id, signature, path || ':' || start_line || ' ' || symbol as member from signed where kind <> 'class' and end_line - start_line + 1 >= 6) select repo_id, signature, count(*) as n, array_to_string(list_sort(list(member))[:10], ',') as members from m group by all having count(*) > 1")
 SQL_POOR = f"((length(symbol) <= 2 and lower(symbol) not in ({listed(fixed.SHORT_NAMES)})) or lower(symbol) in ({listed(fixed.GENERIC_NAMES)}) or (len(list_filter(string_split(lower(trim(regexp_replace(regexp_replace(symbol, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[_\\-\\s]+', ' ', 'g'))), ' '), lambda x: x <> '')) = 1 and length(symbol) <= 3 and lower(symbol) not in ({listed(fixed.SHORT_NAMES)})))"
 register_code("g10_naming", lambda t: rounded(structure.naming_quality(project.found(t)), "share"), f"{SQL_ENTITIES} select repo_id, round(avg((not {SQL_POOR})::int), 6) as share, count(*) as n from found group by repo_id")
-register_code("g11_error_handling", lambda t: rounded(structure.error_handling(t("code"), project.found(t)), "ratio"), f"{SQL_ENTITIES}, w as (select repo_id, sum(len(regexp_extract_all(text, '\\b(try|catch|except|rescue|recover|finally)\\b'))) as n from code group by repo_id), k as (select repo_id, count(*) as m from found where kind <> 'class' group by repo_id) select repo_id, round(n / m, 6) as ratio from w join k using (repo_id)")
+register_code("g11_error_handling", lambda t: rounded(structure.error_handling(project.code(t), project.found(t)), "ratio"), f"{SQL_ENTITIES}, w as (select repo_id, sum(len(regexp_extract_all(text, '\\b(try|catch|except|rescue|recover|finally)\\b'))) as n from code group by repo_id), k as (select repo_id, count(*) as m from found where kind <> 'class' group by repo_id) select repo_id, round(n / m, 6) as ratio from w join k using (repo_id)")
 SQL_BLOCKS = """norms as (select repo_id, path, line_no, regexp_replace(regexp_replace(regexp_replace(line, '(#|//).*$', '', 'g'), '"[^"]*"|''[^'']*''', '""', 'g'), '\\s+', '', 'g') as norm from all_lines),
 rr as (select repo_id, path, line_no, list(norm) over w as parts, count(*) over w as n from norms where length(norm) > 3 window w as (partition by repo_id, path order by line_no rows between current row and 5 following)),
 dup as (select repo_id, 1 - count(distinct array_to_string(parts, chr(10))) / count(*) as duplication from rr where n = 6 and length(array_to_string(parts, chr(10))) >= 60 group by repo_id)"""
@@ -113,17 +113,17 @@ register_code("e5_variation", lambda t: rounded(ownership.complexity_variation(_
 
 # -- style
 
-register_code("g43_style_profile", lambda t: rounded(lines.style_profile(lines.lines_of(t("code")), project.found(t)), "avg_length", "comment_ratio", "trailing_comma_ratio", "snake_ratio", "camel_ratio", "avg_function_length", "doc_ratio", "annotation_ratio"))
-register_code("g44_style_discontinuity", lambda t: rounded(lines.style_discontinuity(lines.style_profile(lines.lines_of(t("code")), project.found(t)), lines.STYLE_KEYS), "discontinuity"))
+register_code("g43_style_profile", lambda t: rounded(lines.style_profile(project.rows(t), project.found(t)), "avg_length", "comment_ratio", "trailing_comma_ratio", "snake_ratio", "camel_ratio", "avg_function_length", "doc_ratio", "annotation_ratio"))
+register_code("g44_style_discontinuity", lambda t: rounded(lines.style_discontinuity(lines.style_profile(project.rows(t), project.found(t)), lines.STYLE_KEYS), "discontinuity"))
 
 # -- files, tests, documentation, architecture
 
 SQL_FOLDERS = "fo as (select repo_id, list_transform(string_split(path, '/')[:-2], lambda x: lower(x)) as d from code)"
-register_code("g30_layers", lambda t: structure.layers(t("code")), f"{SQL_FOLDERS} " + " union all ".join(f"select repo_id, '{n}' as layer, count(*) as n_files from fo where list_has_any(d, [{listed(m.split())}]) group by repo_id" for n, m in fixed.LAYERS.items()))
-register_code("g20_frameworks", lambda t: structure.frameworks(t("code")), "x as (select repo_id, " + ", ".join("coalesce(bool_or(" + " or ".join(f"contains(text, {quoted(m)})" for m in ms) + f"), false) as {n}" for n, ms in fixed.FRAMEWORKS.items()) + " from code group by repo_id) select repo_id, array_to_string(list_sort(list_filter([" + ", ".join(f"case when {n} then '{n}' end" for n in fixed.FRAMEWORKS) + "], lambda x: x is not null)), ',') as frameworks from x")
+register_code("g30_layers", lambda t: structure.layers(project.code(t)), f"{SQL_FOLDERS} " + " union all ".join(f"select repo_id, '{n}' as layer, count(*) as n_files from fo where list_has_any(d, [{listed(m.split())}]) group by repo_id" for n, m in fixed.LAYERS.items()))
+register_code("g20_frameworks", lambda t: structure.frameworks(project.code(t)), "x as (select repo_id, " + ", ".join("coalesce(bool_or(" + " or ".join(f"contains(text, {quoted(m)})" for m in ms) + f"), false) as {n}" for n, ms in fixed.FRAMEWORKS.items()) + " from code group by repo_id) select repo_id, array_to_string(list_sort(list_filter([" + ", ".join(f"case when {n} then '{n}' end" for n in fixed.FRAMEWORKS) + "], lambda x: x is not null)), ',') as frameworks from x")
 register_code("g19_test_frameworks", lambda t: measures.test_frameworks(project.files(t)), f"{SQL_FILES}, c as (" + " union all ".join(f"select repo_id, '{n}' as framework, sum({' + '.join(f'(len(string_split(text, {quoted(m)})) - 1)' for m in ms)})::bigint as n from fl where category = 'test_code' group by repo_id" for n, ms in fixed.TEST_FRAMEWORKS.items()) + ") select * from c where n > 0")
 SQL_README = f"rd as (select repo_id, path, text from code where lower(regexp_extract(path, '[^/]*$')) in ({listed(fixed.README_NAMES)}) qualify row_number() over (partition by repo_id order by len(string_split(path, '/')) > 1, list_position([{listed(fixed.README_NAMES)}], lower(regexp_extract(path, '[^/]*$'))), len(string_split(path, '/')), path) = 1)"
-register_code("g22_readme", lambda t: structure.readmes(t("code")).select("repo_id", "path"), f"{SQL_README} select repo_id, path from rd")
+register_code("g22_readme", lambda t: structure.readmes(project.code(t)).select("repo_id", "path"), f"{SQL_README} select repo_id, path from rd")
 SQL_DOCUMENTED = f"{SQL_METRICS}, {SQL_README}, ex as (select repo_id, count(*) as n from code where starts_with(path, 'docs/') group by repo_id), rs as (select repo_id, text, " + " + ".join(f"case when regexp_matches(text, {quoted(p)}) then {w}e0 else 0 end" for _, w, p in fixed.DOC_FEATURES) + f" as f, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) as n, regexp_matches(text, {quoted(fixed.PLACEHOLDER_README)}) as ph from rd)"
 SQL_DOCUMENTATION = "case when rs.text is null then 0 else greatest(0, least(100, 100 * f * case when rs.n < 60 then 0.35e0 when rs.n < 150 then 0.6e0 when rs.n < 400 then 0.85e0 else 1.0e0 end * case when ph then 0.55e0 else 1.0e0 end + least(8, 2 * coalesce(ex.n, 0)) + least(10, 20 * coalesce(documented_ratio, 0)))) end"
 register_code("g23_documentation", lambda t: rounded(project.documentation(t), "score"), f"{SQL_DOCUMENTED} select r.repo_id, round({SQL_DOCUMENTATION}, 6) as score from (select distinct repo_id from code) r left join rs using (repo_id) left join ex using (repo_id) left join cm using (repo_id)")
@@ -168,4 +168,4 @@ register_code("g35_security_metrics", lambda t: rounded(project.security_metrics
 register_code("g35_security_score", lambda t: rounded(measures.security_score(project.security_metrics(t)), "score"))
 register_code("g45_artifacts", lambda t: rounded(structure.assistant_artifacts(project.files(t)), "strength"), f"{SQL_FILES}, h as (select repo_id, category, " + " + ".join(f"least(2, len(regexp_extract_all(text, {quoted(p)})))" for _, p in fixed.ARTIFACTS) + " as n from fl) select repo_id, coalesce(sum(n) filter (category in ('candidate_code', 'test_code')), 0)::bigint as n_hits, round(least(1.0, coalesce(sum(n) filter (category in ('candidate_code', 'test_code')), 0) / greatest(1, count(*) filter (category = 'candidate_code')) / 0.8), 6) as strength from h group by repo_id")
 register_code("g26_dependency_score", lambda t: rounded(dependencies.dependency_score(t("packages"), t("files").where(classify.is_lock_file("path"))), "score"), f"b as (select repo_id, avg((version_spec <> '' and not regexp_matches(version_spec, '^[~^>*]|^latest$'))::int) as pinned, count(*) filter (not dev) as runtime, count(*) as n from packages group by repo_id), lk as (select distinct repo_id from files where lower(regexp_extract(path, '[^/]*$')) in ({listed(fixed.LOCK_FILES)})) select repo_id, n, round(40 * pinned + 0.35e0 * case when repo_id in (select repo_id from lk) then 100 else 35 end + 0.25e0 * case when runtime <= 40 then 100 else greatest(0, 100 - 0.8e0 * (runtime - 40)) end, 6) as score from b", ("packages", "files"))
-register_code("g42_tutorial_signals", lambda t: rounded(structure.tutorial_signals(t("code")), "weight"), "s as (select repo_id, " + ", ".join("bool_or(" + " or ".join([f"coalesce(regexp_matches(text, {quoted(p)}), false)" for p in ps] + [f"path = '{x}'" for x in paths]) + f") as {n}" for n, _, ps, paths in fixed.TUTORIAL_SIGNALS) + " from code group by repo_id), w as (select *, " + " + ".join(f"case when {n} then {w}e0 else 0 end" for n, w, _, _ in fixed.TUTORIAL_SIGNALS) + " as weight from s) select repo_id, round(weight, 6) as weight, case when weight >= 0.45 then 'STRONG_TUTORIAL_SIMILARITY' when weight >= 0.2 then 'POSSIBLY_TUTORIAL_DERIVED' else 'ORIGINAL' end as verdict, array_to_string(list_filter([" + ", ".join(f"case when {n} then '{n}' end" for n, *_ in fixed.TUTORIAL_SIGNALS) + "], lambda x: x is not null), ',') as signals from w")
+register_code("g42_tutorial_signals", lambda t: rounded(structure.tutorial_signals(project.code(t)), "weight"), "s as (select repo_id, " + ", ".join("bool_or(" + " or ".join([f"coalesce(regexp_matches(text, {quoted(p)}), false)" for p in ps] + [f"path = '{x}'" for x in paths]) + f") as {n}" for n, _, ps, paths in fixed.TUTORIAL_SIGNALS) + " from code group by repo_id), w as (select *, " + " + ".join(f"case when {n} then {w}e0 else 0 end" for n, w, _, _ in fixed.TUTORIAL_SIGNALS) + " as weight from s) select repo_id, round(weight, 6) as weight, case when weight >= 0.45 then 'STRONG_TUTORIAL_SIMILARITY' when weight >= 0.2 then 'POSSIBLY_TUTORIAL_DERIVED' else 'ORIGINAL' end as verdict, array_to_string(list_filter([" + ", ".join(f"case when {n} then '{n}' end" for n, *_ in fixed.TUTORIAL_SIGNALS) + "], lambda x: x is not null), ',') as signals from w")

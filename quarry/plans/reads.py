@@ -45,7 +45,7 @@ register("g55_skill_strength", lambda t: rounded(skills.skill_strength(project.e
 register("g56_measured_match", lambda t: rounded(scoring.job_match(jobs.requirements(t("jobs")), skills.skill_strength(project.evidence(t))), "score", "required_coverage"))
 register("e15_dimension_coverage", lambda t: rounded(jobs.dimension_coverage(_wanted(t).withColumn("dimension", F.concat(F.lit("d"), F.expr("cast(substring(skill, 6) as int) % 5"))), t("strengths").groupBy("repo_id", "skill").agg(F.least(F.lit(1.0), F.max("value")).alias("strength"))), "coverage"),
     ", st as (select repo_id, skill, least(1.0, max(value)) as strength from strengths group by all), w as (select distinct p_partkey % 25 as job_id, 'skill' || (p_partkey % 60) as skill, 'd' || (p_partkey % 60 % 5) as dimension from part), n as (select job_id, dimension, count(*) as n from w group by all) select w.job_id, st.repo_id, w.dimension, round(100 * sum(strength) / any_value(n), 6) as coverage from w join st using (skill) join n on n.job_id = w.job_id and n.dimension = w.dimension group by all", ("strengths",))
-register("g57_engineering_dna", lambda t: rounded(scoring.engineering_dna(skills.skill_strength(project.evidence(t)), F.broadcast(skills.catalogue(t("code").sparkSession))), "value"))
+register("g57_engineering_dna", lambda t: rounded(scoring.engineering_dna(skills.skill_strength(project.evidence(t)), F.broadcast(skills.catalogue(project.code(t).sparkSession))), "value"))
 register("j16_taxonomy", lambda t: serving.taxonomy_listing(t("region").sparkSession).crossJoin(t("region").agg(F.count(F.lit(1)).alias("n_regions"))), "select * from (values " + ", ".join(f"('{r[0]}', {quoted(r[1])}, '{r[2]}', '{','.join(n for i, n in [(4, 'dependencies'), (5, 'imports'), (6, 'languages'), (7, 'paths')] if r[i])}')" for r in fixed.SKILLS) + ") s(skill, label, dimension, sources), (select count(*) as n_regions from region)")
 
 # -- ownership, scores, evidence
@@ -89,6 +89,7 @@ register("g70_limitations", lambda t: evidence.limitations(_results(t), _failure
 register("g70_failed_categories", lambda t: rounded(evidence.with_failures(evidence.category_scores(_results(t), CATEGORIES), _failures(t), CATEGORIES).select("repo_id", "category", "score", "available", "reason"), "score"), f", {SQL_MERGED}, {SQL_FAILED}, lost as (select repo_id, case analyzer when 'a0' then 'c0' when 'a1' then 'c0' when 'a2' then 'c1' else 'c2' end as category, min(reason) as reason from fa group by all) select repo_id, category, round(case when reason is null then score end, 6) as score, available and reason is null as available, reason from cs left join lost using (repo_id, category)", ("category_scores", "runs"))
 
 
+@project.once
 def _measures(t) -> DataFrame:
     owned = scoring.weighted_factors(ownership.ownership_factors(project.facts(t)).withColumnRenamed("repo_id", "id"), fixed.OWNERSHIP_WEIGHTS).select(F.col("id").alias("repo_id"), F.col("score").alias("ownership"))
     return project.facts(t).join(project.security_metrics(t).select("repo_id", "secret_findings", "pattern_findings", "env_files", "locked"), "repo_id", "left").join(owned, "repo_id", "left")
@@ -126,8 +127,9 @@ register("i1_jaccard_containment", lambda t: t("documents").alias("a").join(t("d
     "with w as (select doc_id, list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_]+'), lambda x: lower(x))) as w from documents), p as (select a.doc_id, a.w as x, b.w as y from w a join w b on a.doc_id + 1 = b.doc_id) select doc_id, round(case when len(x) > 0 and len(y) > 0 then len(list_intersect(x, y)) / len(list_distinct(x || y)) else 0 end, 6) as jaccard, round(case when len(x) > 0 then len(list_intersect(x, y)) / len(x) else 0 end, 6) as containment, len(list_intersect(x, y))::int as shared from p")
 
 
+@project.once
 def _chunks(t) -> DataFrame:
-    return similarity.build_chunks(project.found(t), lines.lines_of(t("code")), project.files(t))
+    return similarity.build_chunks(project.found(t), project.rows(t), project.files(t))
 
 
 register_code("g37_chunks", lambda t: _chunks(t).select("repo_id", "id", "signature", F.size("fingerprints").alias("n_fingerprints")))
@@ -159,7 +161,7 @@ register("f11_resume_sections", lambda t: people.resume_sections(t("resumes")),
 
 
 def _questions(t) -> DataFrame:
-    found, rows = project.found(t), lines.lines_of(t("code"))
+    found, rows = project.found(t), project.rows(t)
     deepest = structure.entity_complexity(found.where("kind <> 'class'"), rows).groupBy("repo_id").agg(F.max("complexity").alias("max_complexity"), F.max_by(F.struct("symbol", "path"), F.struct("complexity", "path", "start_line")).alias("c")).select("repo_id", "max_complexity", F.col("c.symbol").alias("complex_symbol"), F.col("c.path").alias("complex_path"))
     hub = graph.hubs(project.edges(t), 1).select("repo_id", F.col("node").alias("hub"), F.col("fan_in").alias("hub_fan_in"))
     return people.interview_questions(_measures(t).join(deepest, "repo_id", "left").join(hub, "repo_id", "left"))
@@ -211,7 +213,7 @@ SQL_VERSIONS = "ve as (select distinct case when category = 'cat0' then 'default
 register("j17_policies", lambda t: serving.policy_listing(_versions(t), 3, True).select("policy_key", "organization_id", "version", "place"), f", {SQL_VERSIONS} select policy_key, organization_id, version, row_number() over (partition by policy_key, organization_id order by version desc) as place from vs where organization_id is null or organization_id = 3", ("overrides",))
 register("g62_resolved_policy", lambda t: serving.resolved_policy(_versions(t), t("evaluations").select(F.col("evaluation_id").alias("request_id"), F.when(F.col("evaluation_id") % 3 == 0, F.lit("none-such")).alias("event_id"), F.when(F.col("evaluation_id") % 2 == 0, F.col("evaluation_id") % 60).alias("organization_id"))), f", {SQL_VERSIONS}, o as (select organization_id, arg_max(event_id, {{'a': created_at, 'b': event_id}}) as e from vs where is_current and organization_id is not null group by all) select evaluation_id as request_id, coalesce(e, (select arg_max(event_id, {{'a': created_at, 'b': event_id}}) from vs where is_current and policy_key = 'default')) as event_id from evaluations left join o on organization_id = case when evaluation_id % 2 = 0 then evaluation_id % 60 end", ("overrides", "evaluations"))
 register("j18_best_categories", lambda t: rounded(serving.best_categories(t("category_scores").groupBy((F.col("evaluation_id") % 30).alias("owner_id"), "category").agg(F.max("score").alias("score"))).select("owner_id", "category", "score", "side", "place"), "score"), ", s as (select evaluation_id % 30 as owner_id, category, max(score) as score from category_scores group by all), k as (select *, case when score >= 75 then 'strength' when score < 55 then 'gap' end as side from s) select owner_id, category, round(score, 6) as score, side, row_number() over (partition by owner_id, side order by case when side = 'strength' then -score else score end, category) as place from k where side is not null", ("category_scores",))
-register("e12_portfolio_dna", lambda t: rounded(serving.portfolio_dna(scoring.engineering_dna(skills.skill_strength(project.evidence(t)), F.broadcast(skills.catalogue(t("code").sparkSession))), t("owners")), "value"))
+register("e12_portfolio_dna", lambda t: rounded(serving.portfolio_dna(scoring.engineering_dna(skills.skill_strength(project.evidence(t)), F.broadcast(skills.catalogue(project.code(t).sparkSession))), t("owners")), "value"))
 
 
 def _strengths(t) -> DataFrame:
