@@ -35,18 +35,26 @@ def _sections(files: DataFrame, manifest: str) -> DataFrame:
 
 
 def cargo(files: DataFrame) -> DataFrame:
-    rows = _sections(files, "Cargo.toml").where(F.col("section").isin("dependencies", "dev-dependencies"))
-    name = F.regexp_extract("line", r"^\s*([A-Za-z0-9_-]+)\s*=", 1)
+    """[dependencies] and [dev-dependencies], and tables of their own such as [dependencies.name]."""
+    every = _sections(files, "Cargo.toml")
     spec = F.regexp_extract("line", r'"([^"]*)"', 1)
-    return rows.select("repo_id", "manifest", F.lit("cargo").alias("ecosystem"), name.alias("name"), spec.alias("version_spec"), (F.col("section") == "dev-dependencies").alias("dev")).where("name <> ''")
+    rows = every.where(F.col("section").isin("dependencies", "dev-dependencies")).select("repo_id", "manifest", F.regexp_extract("line", r"^\s*([A-Za-z0-9_-]+)\s*=", 1).alias("name"), spec.alias("version_spec"), (F.col("section") == "dev-dependencies").alias("dev"))
+    own = r"^(dev-)?dependencies\.([A-Za-z0-9_-]+)$"
+    tables = every.where(F.col("section").rlike(own)).groupBy("repo_id", "manifest", "section").agg(F.coalesce(F.max(F.when(F.col("line").rlike(r"^\s*version\s*="), spec)), F.lit("")).alias("version_spec"))
+    tables = tables.select("repo_id", "manifest", F.regexp_extract("section", own, 2).alias("name"), "version_spec", F.col("section").startswith("dev-").alias("dev"))
+    return rows.unionByName(tables).where("name <> ''").select("repo_id", "manifest", F.lit("cargo").alias("ecosystem"), "name", "version_spec", "dev")
 
 
 def pyproject(files: DataFrame) -> DataFrame:
+    """project.dependencies and optional groups, as lists on one line or several (groups for dev, test and lint count as such), and poetry's tables without python."""
     rows = _sections(files, "pyproject.toml")
-    listed = rows.where("section = 'project'").where(F.col("line").rlike(r"^\s*[\"'][A-Za-z0-9]"))
-    item = F.regexp_extract("line", r"[\"']([^\"']+)[\"']", 1)
+    key = F.when(F.col("line").rlike(r"^\s*[A-Za-z0-9_-]+\s*="), F.regexp_extract("line", r"^\s*([A-Za-z0-9_-]+)\s*=", 1))
+    keyed = rows.withColumn("key", F.last(key, ignorenulls=True).over(Window.partitionBy("repo_id", "manifest", "section").orderBy("at")))
+    some = keyed.where("(section = 'project' and key = 'dependencies') or section = 'project.optional-dependencies'")
+    items = F.regexp_extract_all(F.regexp_replace("line", r"^\s*[A-Za-z0-9_-]+\s*=\s*", ""), F.lit("[\"']([^\"']+)[\"']"), 1)
+    listed = some.select("repo_id", "manifest", F.coalesce((F.col("section") != "project") & F.lower("key").rlike("dev|test|lint"), F.lit(False)).alias("dev"), F.explode(items).alias("item"))
     pattern = r"^([A-Za-z0-9][A-Za-z0-9._-]*)(?:\[[^\]]*\])?\s*(.*)$"
-    project = listed.select("repo_id", "manifest", F.lit("pypi").alias("ecosystem"), F.regexp_extract(item, pattern, 1).alias("name"), F.trim(F.regexp_extract(item, pattern, 2)).alias("version_spec"), F.lit(False).alias("dev"))
+    project = listed.select("repo_id", "manifest", F.lit("pypi").alias("ecosystem"), F.regexp_extract("item", pattern, 1).alias("name"), F.trim(F.regexp_extract("item", pattern, 2)).alias("version_spec"), "dev").where("name <> ''")
     poetry = rows.where(F.col("section").rlike(r"^tool\.poetry(\..*)?\.?dependencies$|^tool\.poetry\.group\..*\.dependencies$"))
     name = F.regexp_extract("line", r"^\s*([A-Za-z0-9_.-]+)\s*=", 1)
     poetry = poetry.select("repo_id", "manifest", F.lit("pypi").alias("ecosystem"), name.alias("name"), F.regexp_extract("line", r'"([^"]*)"', 1).alias("version_spec"), F.col("section").rlike(r"dev|test|lint").alias("dev")).where("name <> '' and name <> 'python'")
