@@ -240,6 +240,8 @@ def stretches(batches: DataFrame, codes: DataFrame, buckets: int, span: int, pie
                 if not at:
                     continue
                 at, count, key = np.concatenate(at), np.concatenate(count), np.concatenate(key)
+                if not len(at):
+                    continue
                 doc = np.searchsorted(batch.starts + batch.lengths, at, side="right")
                 whole = batch.data.tobytes()
                 got, gone = [], np.zeros(len(at), bool)

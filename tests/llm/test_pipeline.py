@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from quarry.llm import mixing
 from quarry.llm.common import DOCUMENT_COLUMNS
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -59,3 +60,25 @@ def test_run_and_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.mode("overwrite").parquet(str(tmp_path / "none" / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "none" / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_repeated_and_missing_ids_and_clashing_columns(spark, tmp_path):
+    rng = random.Random(3)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    same, rows = prose(50), []
+    rows += [(7, prose(40), "en", f"s{i % 3}", 1) for i in range(6)] + [(None, prose(40), "de", "s1", 1) for _ in range(5)] + [(8, same, "en", "s0", 1)] * 3 + [(9, "word " * 150_000, "en", "s2", 1), (10, None, None, None, None), (11, "", "en", "s0", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as row", "2 as times", "3 as time", "'x' as batch", "4 as domain", "'y' as taken")
+    near = corpus_pipeline.near_duplicates_out(spark, docs, str(tmp_path)).collect()
+    assert len(near) == 6 + 5 + 1 + 1 + 1  # copies of 8 and the two texts without words are one each
+    cut = corpus_pipeline.repeats_out(spark, docs, str(tmp_path))
+    assert cut.count() == len(rows)
+    mixed = corpus_pipeline.mixed(spark, docs, str(tmp_path)).collect()
+    words = lambda t: len((t or "").split())
+    total, longest = sum(words(r[1]) for r in rows), max(words(r[1]) for r in rows)
+    assert total * 0.9 <= sum(words(r.text) for r in mixed) <= total + 12 * longest
+    counts = {}
+    for r in mixed:
+        counts[r.doc_id, r.text] = counts.get((r.doc_id, r.text), 0) + 1
+    assert max(n for (i, _), n in counts.items() if i != 8) <= mixing.MAX_EPOCHS + 1
+    encoded = corpus_pipeline.encoded(spark, docs, str(tmp_path)).collect()
+    assert len(encoded) == len(rows) and sum(r.n_tokens == 0 for r in encoded) == 2

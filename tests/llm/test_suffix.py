@@ -111,3 +111,9 @@ def test_a_common_text_is_one_entry_a_batch(spark):
     sent = suffix.stretches(batches, codes, 4, 50, 20).collect()
     opened = [suffix._opened(r.data) for r in sent]
     assert all(len(own) == len(texts) for texts, own, *_ in opened) and sum(r.local is not None for r in sent) == batches.count()
+
+
+def test_a_batch_without_repeats(spark):
+    rng = random.Random(6)
+    df = spark.createDataFrame([(i, "".join(rng.choice("abcdefgh") for _ in range(120))) for i in range(6)], "doc_id long, text string").repartition(2)
+    assert [r.n_removed for r in suffix.dedup(df).collect()] == [0] * 6
