@@ -24,7 +24,7 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies (Jaccard of five-word shingles 0.8 or more, see nearcopies) one row stays: that with the smallest id, a row without an id
     only if the class has no other. Texts without words are one class."""
-    rows = saved(docs.withColumn("row", F.monotonically_increasing_id()))
+    rows = saved(docs.select(*DOCUMENT_COLUMNS).withColumn("row", F.monotonically_increasing_id()))
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
     first = nearcopies.classes(rows).groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.row").alias("row"))
     return rows.join(first, "row", "left_semi").select(*DOCUMENT_COLUMNS)
@@ -49,7 +49,7 @@ def repeats_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents, as often as the mixture takes them: as many tokens as there are, so sources above their weight lose documents and those below come
     up to mixing.MAX_EPOCHS times. Each row counts by itself, whatever its id. A document in which a budget ends comes whole."""
-    rows = saved(docs.withColumn("row", F.monotonically_increasing_id()))
+    rows = saved(docs.select(*DOCUMENT_COLUMNS).withColumn("row", F.monotonically_increasing_id()))
     taken = mixing.mix(rows.drop("doc_id").withColumnRenamed("row", "doc_id").withColumn("domain", mixing.domain_of(F.col("source"))))
     times = taken.groupBy(F.col("doc_id").alias("row")).agg(F.countDistinct("epoch").alias("times"))
     return rows.join(times, "row").withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*DOCUMENT_COLUMNS)
