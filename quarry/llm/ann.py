@@ -183,13 +183,14 @@ def _placed(keyed: DataFrame, cuts: list[np.ndarray]) -> DataFrame:
 
 
 def _parted(dealt: DataFrame, visits: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Both sides with part: the vectors and queries of a range that has many of either meet in several parts, each pair in just one."""
+    """Both sides with part: the vectors and queries of a range that has many of either meet in several parts, each pair in just one. Vectors of ranges that no
+    query visits are left out."""
     sizes = dealt.groupBy("curve", "block").agg(F.count(F.lit(1)).alias("n")).join(visits.groupBy("curve", "block").agg(F.count(F.lit(1)).alias("m")), ["curve", "block"])
     parts = sizes.select("curve", "block", F.ceil(F.col("n") / (2 * block_rows)).cast("int").alias("across"), F.ceil(F.col("m") / QUERY_ROWS).cast("int").alias("down"))
-    many = saved(parts.where("across > 1 or down > 1"))  # at most CURVES * MAX_RANGES rows
+    visited = saved(parts)  # at most CURVES * MAX_RANGES rows
 
     def split(df: DataFrame, own: str, other: str, number) -> DataFrame:
-        wide = df.join(F.broadcast(many), ["curve", "block"], "left").fillna(1, ["across", "down"])
+        wide = df.join(F.broadcast(visited), ["curve", "block"])
         spread = wide.withColumn("mine", F.pmod(F.xxhash64("entry"), F.col(own)).cast("int")).withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
         return spread.withColumn("part", number).select("entry", "embedding", "curve", "block", "part")
 
