@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 # One of these lines stands in each file of the view code: what rules of security, artefacts, tutorials, tests and frameworks look for, and lines that only look alike.
 SAMPLES = [
-    "cursor.execute('select * from t where id = ' + x)", "db.execute(f'select * from {t}')", "subprocess.run(cmd, shell=True)", "os.system('rm ' + name)", "exec(`ls ${dir}`)", "eval(user_input)", "pickle.loads(data)", "eval(body.code)",
+    "cursor.execute('select * from t where id = ' + x)", "db.execute(f'select * from {t}')", "subprocess.run(cmd, shell=True)", "os.system('rm ' + name)", "exec('ls ' + dir)", "eval(user_input)", "pickle.loads(data)", "eval(body.code)",
     "new ObjectInputStream(in)", "dangerouslySetInnerHTML={{ __html: body }}", "box.innerHTML = value;", "mark_safe(text)", "requests.get(url, verify=False)", "hashlib.md5(x)", "if user.password == given:", "jwt.decode(t, options={'verify_signature': False})",
     "DEBUG = True", "f(allow_origins=['*'], allow_credentials=True)", "app.run(host='0.0.0.0')", "open(os.path.join(root, request.args['f']))", "yaml.load(stream, Loader=Safe)", "# step 1: load the rows", "# here's how it works", "# your code here", "# example usage:",
     "```", "# as an AI I cannot", "# 🎉 setup", "This project was bootstrapped with [Create React App]", "Get started by editing app/page", "Django settings for shop project.", "your_api_key_here", "# following this tutorial", "import pytest", "import unittest",
