@@ -71,6 +71,25 @@ def gathered(encoded: DataFrame, max_bytes: int = MAX_FIT_BYTES):
     return own.join(F.broadcast(few), "doc_id").toArrow().sort_by("doc_id")
 
 
+def placed(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """rows, saved in order of group and order (nulls first), with place (from 0 within its group) and total (rows of the group).
+
+    Rows are dealt out by ranges of all these columns, so a group that holds most rows takes many partitions; what joins the partitions are counts of rows
+    by group and partition. Rows that tie in all columns come in any order."""
+    keys = [F.col(c) for c in (*group, *order)]
+    numbered = saved(rows).withColumn("_row", F.monotonically_increasing_id())  # so that many equal rows can be told apart
+    laid = saved(numbered.repartitionByRange(*keys, F.col("_row")).sortWithinPartitions(*keys, "_row").drop("_row"))
+    laid = laid.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33))
+    parts = laid.groupBy(*group, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))  # a row for each partition that the group is in
+    earlier = F.coalesce(F.sum("_n").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(*[F.col(c).alias(f"_{c}") for c in group], F.col("_part").alias("_of"), (earlier - F.col("_first")).alias("_shift"), F.sum("_n").over(whole).alias("total"))
+    met = F.col("_part") == F.col("_of")
+    for c in group:
+        met = met & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return laid.join(parts, met).withColumn("place", F.col("_at") + F.col("_shift")).drop("_at", "_part", "_of", "_shift", *[f"_{c}" for c in group])
+
+
 def release() -> None:
     """Give freed memory of a worker back to the system, where the C library can: workers outlive their tasks."""
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

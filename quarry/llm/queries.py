@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, licenses, media, mixing, quality, simhash, suffix, toxicity, urlfilter
+from . import ann, bpe, importance, licenses, manifest, media, mixing, quality, simhash, suffix, toxicity, urlfilter
 from .common import table
 
 
@@ -57,6 +57,14 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_licenses": op2_licenses,
@@ -68,5 +76,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_suffix": op9_suffix,
     "op10_ann": op10_ann,
+    "op11_importance": op11_importance,
+    "op13_manifest": op13_manifest,
 }
-ORACLES = {"op2_licenses": licenses.ORACLE_SQL, "op3_mixing": mixing.ORACLE_SQL, "op6_urlfilter": urlfilter.ORACLE_SQL}
+ORACLES = {"op2_licenses": licenses.ORACLE_SQL, "op3_mixing": mixing.ORACLE_SQL, "op6_urlfilter": urlfilter.ORACLE_SQL, "op11_importance": importance.ORACLE_SQL, "op13_manifest": manifest.ORACLE_SQL}
