@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, importance, licenses, manifest, media, mixing, quality, simhash, suffix, toxicity, urlfilter
+from . import ann, bpe, importance, jaccard, licenses, manifest, media, mixing, quality, simhash, suffix, toxicity, urlfilter
 from .common import table
 
 
@@ -61,6 +61,10 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_copies(table(spark, sf_dir, "documents"))
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(table(spark, sf_dir, "documents"))
 
@@ -77,6 +81,7 @@ QUERIES = {
     "op9_suffix": op9_suffix,
     "op10_ann": op10_ann,
     "op11_importance": op11_importance,
+    "op12_jaccard": op12_jaccard,
     "op13_manifest": op13_manifest,
 }
-ORACLES = {"op2_licenses": licenses.ORACLE_SQL, "op3_mixing": mixing.ORACLE_SQL, "op6_urlfilter": urlfilter.ORACLE_SQL, "op11_importance": importance.ORACLE_SQL, "op13_manifest": manifest.ORACLE_SQL}
+ORACLES = {"op2_licenses": licenses.ORACLE_SQL, "op3_mixing": mixing.ORACLE_SQL, "op6_urlfilter": urlfilter.ORACLE_SQL, "op11_importance": importance.ORACLE_SQL, "op12_jaccard": jaccard.ORACLE_SQL, "op13_manifest": manifest.ORACLE_SQL}
