@@ -7,9 +7,9 @@ so it decides the work and never the result. Pairs of a neighbourhood must also
 
 Neighbourhoods of more than DIRECT sets, as groups of near copies make them, are joined recursively. A region draws pivots, which are measured against all its members; links among them join classes.
 Members go to the pivot they are nearest to (its Voronoi region), and by the triangle inequality to every pivot that is at most twice the linking distance farther: a linked
-partner may be at home there. Pairs meet in regions where one of them is at home, if their distances from the pivot differ by at most the linking distance. Regions of one class are done, small
-ones are compared directly, others draw twice as many pivots as before, from members outside their largest class; pivots leave their region as all their distances are known. A region whose windows cover it
-isn't divided. So the recursion ends, is exact, and has no limit beyond which pairs are left out.
+partner may be at home there. Pivots leave their region, as all their distances are known. Regions of one class are done; large ones draw pivots again, outside their largest class. In small ones, and in those that don't fall
+apart because their windows cover them, pairs of different classes are compared if one of both is at home and their distances from the pivot differ by at most the linking distance; only
+those that pass the bounds are rows. So the recursion ends, is exact, and has no limit beyond which pairs are left out.
 
 Copies are one set from the start; links within a class aren't looked for, as the result is classes.
 """
@@ -136,8 +136,12 @@ def _sets(words: int):
 
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n = [len(np.intersect1d(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), assume_unique=True)) for x, y in zip(batch.column(2), batch.column(3))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int32())], names=["a", "b", "common"])
+        n = []
+        for x, y in zip(batch.column(2), batch.column(3)):
+            p, q = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+            n.append((len(p), len(q), len(np.intersect1d(p, q, assume_unique=True))))
+        counts = [pa.array([c[i] for c in n], pa.int32()) for i in range(3)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *counts], names=["a", "b", "size_a", "size_b", "common"])
 
 
 class Join:
@@ -145,7 +149,7 @@ class Join:
     beyond BROADCAST_IDS of them."""
 
     def __init__(self, rows: DataFrame, words: int = WORDS, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, direct: int = DIRECT):
-        self.words, self.numerator, self.denominator, self.direct = words, numerator, denominator, direct
+        self.words, self.numerator, self.denominator, self.direct, self.eps = words, numerator, denominator, direct, 1 - numerator / denominator
         self.rows = rows.select("row", F.xxhash64("text").alias("source"), "text")
         sketch = _sketches(words, numerator, denominator, *frequencies(rows, words, numerator, denominator))
         self.own = saved(small_batches(self.rows).mapInArrow(sketch, "row long, source long, digest binary, size int, bits array<long>, keys array<long>"))
@@ -188,11 +192,8 @@ class Join:
 
     def measured(self, pairs: DataFrame) -> DataFrame:
         """(a, b, distance, linked) of pairs of sets."""
-        both = self._with_sets(self._with_sets(pairs, "a"), "b").select("a", "b", "hashes_a", "hashes_b", *[(F.length(f"hashes_{s}") / 8).cast("int").alias(f"size_{s}") for s in "ab"])
-        found = small_batches(both.select("a", "b", "hashes_a", "hashes_b")).mapInArrow(_common, "a long, b long, common int")
-        sizes = self.nodes.select("node", "size")
-        for side in "ab":
-            found = found.join(sizes.select(F.col("node").alias(side), F.col("size").alias(f"size_{side}")).hint("merge"), side)
+        both = small_batches(self._with_sets(self._with_sets(pairs, "a"), "b").select("a", "b", "hashes_a", "hashes_b"))
+        found = both.mapInArrow(_common, "a long, b long, size_a int, size_b int, common int")
         distance = 1 - F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))
         return saved(found.select("a", "b", distance.alias("distance"), self._reaches(F.col("common"), "size_a", "size_b").alias("linked")))
 
@@ -206,57 +207,56 @@ class Join:
         sets = sets.groupBy("digest").agg(F.first("hashes").alias("hashes"))
         self.sets = saved(sets.join(picked.select("digest", "node").hint("merge"), "digest").select("node", "hashes"))
 
-    def _rooted(self, members: DataFrame, roots: DataFrame) -> DataFrame:
-        return members.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-
-    def _mixed(self, members: DataFrame) -> DataFrame:
-        """members (region, node, root, ...) of regions of several classes, with n, the region's size, and largest, its class with most members."""
-        by_class = members.groupBy("region", "root").agg(F.count(F.lit(1)).alias("m"))
+    def _mixed(self, members: DataFrame, roots: DataFrame) -> DataFrame:
+        """members (region, node, ...) of regions of several classes, with root, their class, n, the region's size, and largest, its class with most members."""
+        own = members.drop("root", "n", "largest").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        by_class = own.groupBy("region", "root").agg(F.count(F.lit(1)).alias("m"))
         most = by_class.groupBy("region").agg(F.max_by("root", F.struct("m", "root")).alias("largest"), F.count(F.lit(1)).alias("classes"), F.sum("m").alias("n")).where("classes > 1")
-        return members.drop("n", "largest").join(most.drop("classes").hint("merge"), "region")
-
-    def _round(self, members: DataFrame, pivots: int) -> tuple[DataFrame, DataFrame]:
-        """One step of the recursion for large mixed regions: (measured pairs of members and pivots, members of the regions that come of it)."""
-        eps = 1 - self.numerator / self.denominator
-        outside = members.where("root <> largest")
-        drawn = outside.groupBy("region", F.pmod(F.xxhash64("node"), F.lit(pivots)).alias("slot")).agg(F.min("node").alias("pivot")).select("region", "pivot")
-        drawn = saved(drawn)
-        met = members.select("region", "node").join(drawn.hint("merge"), "region").where("node <> pivot")
-        seen = self.measured(met.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct())
+        return own.join(most.drop("classes").hint("merge"), "region")
+
+    def _direct(self, members: DataFrame) -> DataFrame:
+        """Pairs of different classes that the bounds let through, one of each at home in the region."""
+        near = F.abs(F.col("distance_a") - F.col("distance_b")) <= self.eps + 1e-9
+        return self._pairs(members.drop("n", "largest", "divided"), (F.col("home_a") | F.col("home_b")) & (F.col("root_a") != F.col("root_b")) & near)
+
+    def _divided(self, members: DataFrame, drawn: DataFrame, seen: DataFrame) -> DataFrame:
+        """members by Voronoi regions of the pivots drawn (region, pivot), given the measured distances; whole where windows would double a region. Pivots are left out."""
         both = seen.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "distance").unionByName(seen.select(F.col("b").alias("node"), F.col("a").alias("pivot"), "distance"))
-        rest = members.join(drawn.withColumnRenamed("pivot", "node").hint("merge"), ["region", "node"], "left_anti").drop("home", "distance", "reached")
+        rest = members.join(drawn.withColumnRenamed("pivot", "node").hint("merge"), ["region", "node"], "left_anti").drop("home", "distance", "divided")
         away = rest.select("region", "node").join(drawn.hint("merge"), "region").join(both.hint("merge"), ["node", "pivot"])
-        home = away.groupBy("region", "node").agg(F.min(F.struct("distance", "pivot")).alias("home"))
-        reached = saved(away.join(home.hint("merge"), ["region", "node"]).where(F.col("distance") <= F.col("home.distance") + 2 * eps + 1e-9))
-        crowd = reached.groupBy("region").agg(F.count(F.lit(1)).alias("copies"), F.sum((F.col("pivot") == F.col("home.pivot")).cast("long")).alias("single"))
-        divided = crowd.where("copies <= 2 * single").select("region")
-        parts = rest.join(reached.select("region", "node", "pivot", "distance", (F.col("pivot") == F.col("home.pivot")).alias("home")).join(divided.hint("merge"), "region", "left_semi").hint("merge"), ["region", "node"])
-        parts = parts.withColumn("region", F.xxhash64("region", "pivot")).drop("pivot")
-        whole = rest.join(divided.hint("merge"), "region", "left_anti").withColumns({"distance": F.lit(0.0), "home": F.lit(True)})
-        return seen, parts.unionByName(whole.select(*parts.columns))
+        to = F.sort_array(F.collect_list(F.struct("distance", "pivot"))).alias("to")  # at most PIVOTS
+        reached = away.groupBy("region", "node").agg(to).withColumn("to", F.filter("to", lambda p: p["distance"] <= F.get("to", F.lit(0))["distance"] + 2 * self.eps + 1e-9))
+        reached = saved(rest.join(reached.hint("merge"), ["region", "node"]))
+        crowd = reached.groupBy("region").agg((F.sum(F.size("to")) <= 2 * F.count(F.lit(1))).alias("divided"))
+        placed = reached.join(crowd.hint("merge"), "region")
+        parts = placed.where("divided").select("*", F.posexplode("to").alias("place", "pivot")).withColumns({"region": F.xxhash64("region", "pivot.pivot"), "distance": F.col("pivot.distance"), "home": F.col("place") == 0}).drop("to", "place", "pivot")
+        return parts.unionByName(placed.where(~F.col("divided")).withColumns({"distance": F.lit(0.0), "home": F.lit(True)}).drop("to").select(*parts.columns))
 
     def roots(self) -> DataFrame:
         """(node, root) of all sets that are linked with another."""
-        eps = 1 - self.numerator / self.denominator
         regions = self.neighbourhoods()
         large = F.col("n") > self.direct
-        pairs = saved(self._pairs(regions.where(~large).drop("n"), F.lit(True)))
+        start = regions.withColumns({"root": F.col("node"), "largest": F.lit(-1).cast("long"), "distance": F.lit(0.0), "home": F.lit(True), "divided": F.lit(True)})
+        pairs, members, roots = saved(self._direct(start.where(~large))), start.where(large), None
         ends = [pairs.select(F.col(side).alias("node")) for side in "ab"]
-        self._gather(ends[0].unionByName(ends[1]).unionByName(regions.where(large).select("node")).distinct())
-        edges = saved(self.measured(pairs).where("linked").select("a", "b"))
-        roots = saved(components(edges))
-        members, pivots = regions.where(large).withColumns({"distance": F.lit(0.0), "home": F.lit(True)}), PIVOTS
+        self._gather(ends[0].unionByName(ends[1]).unionByName(members.select("node")).distinct())
         while True:
-            mixed = saved(self._mixed(self._rooted(members.drop("root"), roots)))
-            if mixed.isEmpty():
+            dense = not members.isEmpty()
+            if dense:
+                slot = F.pmod(F.xxhash64("node"), F.lit(PIVOTS))
+                drawn = saved(members.where("root <> largest").groupBy("region", slot.alias("slot")).agg(F.min("node").alias("pivot")).select("region", "pivot"))
+                met = members.select("region", "node").join(drawn.hint("merge"), "region").where("node <> pivot")
+                pairs = pairs.unionByName(met.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b"))).distinct()
+            seen = self.measured(saved(pairs))
+            edges = seen.where("linked").select("a", "b")
+            if roots is not None:
+                edges = edges.unionByName(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+            roots = saved(components(edges))
+            if not dense:
                 return roots
-            near = F.col("home_a") | F.col("home_b")
-            near = near & (F.col("root_a") != F.col("root_b")) & (F.abs(F.col("distance_a") - F.col("distance_b")) <= eps + 1e-9)
-            few = self.measured(self._pairs(mixed.where(~large).drop("n", "largest"), near))
-            seen, members = self._round(mixed.where(large), pivots)
-            found = seen.unionByName(few).where("linked").select("a", "b")
-            edges = saved(edges.unionByName(found))
-            roots, pivots, members = saved(components(edges)), 2 * pivots, saved(members)
+            mixed = saved(self._mixed(self._divided(members, drawn, seen), roots))
+            again = large & F.col("divided")
+            pairs, members = saved(self._direct(mixed.where(~again))), mixed.where(again)
 
     def classes(self) -> DataFrame:
         """(row, n_shingles, root): rows of one class have one root; rows without words have none."""
