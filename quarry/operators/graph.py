@@ -95,6 +95,30 @@ def import_cycles(edges: DataFrame, limit: int = 10) -> DataFrame:
     return edges.groupBy("repo_id").applyInPandas(walk, "repo_id string, cycle string")
 
 
+def short_cycles(edges: DataFrame, limit: int = 10, longest: int = 8) -> DataFrame:
+    """(repo_id, place, cycle): the `limit` shortest simple cycles of each repository, of at most `longest` edges, as paths joined by ' -> '; equally long ones in order of their text.
+
+    For graphs of any size: paths grow by an edge a round, as rows, only inside strongly connected components and only over nodes behind their first, so each
+    cycle is found once, from its smallest node. A repository leaves as soon as it has enough, so crowded components, which have many short ones, don't go on."""
+    own = edges.select("repo_id", "src", "dst").distinct()
+    part = strong_components(own)
+    ends = [part.select("repo_id", F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in ("src", "dst")]
+    inner = saved(own.where("src <> dst").join(ends[0], ["repo_id", "src"]).join(ends[1], ["repo_id", "dst"]).where("of_src = of_dst").select("repo_id", "src", "dst"))
+    text = lambda nodes: F.array_join(nodes, " -> ")
+    found = saved(own.where("src = dst").select("repo_id", F.lit(1).alias("n"), text(F.array("src", "dst")).alias("cycle")))
+    paths = inner.where("dst > src").select("repo_id", F.array("src", "dst").alias("path"))
+    for n in range(2, longest + 1):
+        full = found.groupBy("repo_id").agg(F.count(F.lit(1)).alias("have")).where(F.col("have") >= limit)
+        paths = paths.join(full, "repo_id", "left_anti")
+        grown = saved(paths.withColumn("src", F.element_at("path", -1)).join(inner, ["repo_id", "src"]).where((F.col("dst") >= F.col("path")[0])).drop("src"))
+        found = saved(found.unionByName(grown.where(F.col("dst") == F.col("path")[0]).select("repo_id", F.lit(n).alias("n"), text(F.array_append("path", F.col("dst"))).alias("cycle"))))
+        paths = grown.where(~F.array_contains("path", F.col("dst"))).select("repo_id", F.array_append("path", F.col("dst")).alias("path"))
+        if n == longest or paths.isEmpty():
+            break
+    place = F.row_number().over(Window.partitionBy("repo_id").orderBy("n", "cycle"))
+    return found.withColumn("place", place).where(F.col("place") <= limit).select("repo_id", "place", "cycle")
+
+
 def strong_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(repo_id, node, component): the nodes that stand on cycles, with the smallest node of their strongly connected component. For graphs of any size: no
     repository is brought to one task.

@@ -132,7 +132,8 @@ def history_signals(commits: DataFrame, emails: DataFrame | None = None) -> Data
 def history_score(commits: DataFrame, branches: DataFrame, tags: DataFrame, emails: DataFrame | None = None, repositories: DataFrame | None = None) -> DataFrame:
     """Weighted sum of volume, cadence, messages, commit size, branching and releases; confidence by the number of commits.
 
-    With repositories (repo_id), those without commits have a null score and no confidence: not measured is not zero."""
+    A row for each of repositories (repo_id), or else for each repository that has commits, branches or tags; those without commits have a null score and no
+    confidence: not measured is not zero."""
     feature = ~F.element_at(F.split("name", "/"), -1).isin(fixed.KNOWN_BRANCHES)
     b = branches.groupBy("repo_id").agg(F.count_if(feature).alias("n_branches"))
     t = tags.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_tags"))
@@ -142,7 +143,7 @@ def history_score(commits: DataFrame, branches: DataFrame, tags: DataFrame, emai
     total = reduce(lambda x, y: x + y, [w * parts[k] for k, w in fixed.HISTORY_WEIGHTS.items()])
     scored = wide.select("repo_id", clamp(total).alias("score"), F.when(F.col("commit_count") >= 5, 0.9).otherwise(0.55).alias("confidence"))
     if repositories is None:
-        return scored
+        repositories = reduce(DataFrame.unionByName, [x.select("repo_id").distinct() for x in (commits, branches, tags)])
     return repositories.select("repo_id").distinct().join(scored, "repo_id", "left").fillna(0.0, ["confidence"])
 
 

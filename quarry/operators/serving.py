@@ -246,8 +246,8 @@ def readiness(requirements: DataFrame, strengths: DataFrame, owners: DataFrame,
 
 
 def best_repositories(matches: DataFrame, owners: DataFrame, most: int = 5) -> DataFrame:
-    """matches (job_id, repo_id, score): each owner's best repositories for a job."""
-    place = F.row_number().over(Window.partitionBy("job_id", "owner_id").orderBy(F.desc("score"), "repo_id"))
+    """matches (job_id, repo_id, score): each owner's best repositories for a job. Scores that are equal to six places are ties, as sums come in any order."""
+    place = F.row_number().over(Window.partitionBy("job_id", "owner_id").orderBy(F.desc(F.round("score", 6)), "repo_id"))
     return matches.join(owners, "repo_id").withColumn("place", place).where(F.col("place") <= most).select("job_id", "owner_id", "place", "repo_id", "score")
 
 

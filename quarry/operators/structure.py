@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.scalars import clamp, dense_cosine, identifier_words, without_comments
+from ..tables import saved
 
 
 def _levels(lines: DataFrame) -> DataFrame:
@@ -198,10 +199,19 @@ def untested_modules(files: DataFrame, salts: int = 32) -> DataFrame:
 
 
 def own_references(files: DataFrame, least: int = 4) -> DataFrame:
-    """(repo_id, references_own): whether any word of a test's text is the stem of a source file of the repository, of at least `least` characters."""
-    stems = files.where(F.col("category") == "candidate_code").select("repo_id", _stem(F.col("path")).alias("word")).where(F.length("word") >= least).distinct()
-    words = files.where(F.col("category") == "test_code").select("repo_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z0-9_\-]+)"), 1))).alias("word")).distinct()
-    hit = words.join(stems, ["repo_id", "word"], "left_semi").select("repo_id").distinct().withColumn("references_own", F.lit(True))
+    """(repo_id, references_own): whether the stem of a source file, of at least `least` characters, stands anywhere in the lower-cased text of a test of the repository, inside a longer word too.
+
+    Stems and texts meet by pieces of `least` characters: a text is cut into those pieces that any stem of its repository has, each stem takes the piece that fewest texts have, and
+    only texts with that piece are searched. A stem with a piece that no text has is in none."""
+    pieces = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - least + 1), lambda i: F.substring(c, i, F.lit(least))))
+    stems = files.where(F.col("category") == "candidate_code").select("repo_id", _stem(F.col("path")).alias("stem")).where(F.length("stem") >= least).distinct()
+    tests = files.where(F.col("category") == "test_code").select("repo_id", "path", F.lower("text").alias("text")).where(F.length("text") >= least)
+    wanted = stems.select("repo_id", "stem", F.explode(pieces("stem")).alias("piece"))
+    there = saved(tests.select("repo_id", "path", F.explode(pieces("text")).alias("piece")).join(wanted.select("repo_id", "piece").distinct(), ["repo_id", "piece"], "left_semi"))
+    spread = there.groupBy("repo_id", "piece").agg(F.count(F.lit(1)).alias("n"))
+    rarest = wanted.join(spread, ["repo_id", "piece"], "left").groupBy("repo_id", "stem").agg(F.min_by("piece", F.struct("n", "piece")).alias("piece"), F.count_if(F.col("n").isNull()).alias("absent")).where("absent = 0")
+    met = there.join(rarest.select("repo_id", "stem", "piece"), ["repo_id", "piece"]).select("repo_id", "path", "stem")
+    hit = met.join(tests, ["repo_id", "path"]).where(F.contains("text", "stem")).select("repo_id").distinct().withColumn("references_own", F.lit(True))
     return files.select("repo_id").distinct().join(hit, "repo_id", "left").select("repo_id", F.coalesce("references_own", F.lit(False)).alias("references_own"))
 
 

@@ -144,7 +144,7 @@ register_code("g18_testing_metrics", lambda t: measures.testing_metrics(project.
 register_code("g18_testing", lambda t: rounded(measures.testing_score(measures.testing_metrics(project.files(t))), "score"), f"{SQL_TESTING} select repo_id, round(0.30e0 * case when test_cases > 0 then 100 when test_files > 0 then 40 else 0 end + 0.25e0 * {sql_scale('least(0.6e0, ratio)', 0, 0.35)} + 20e0 * (case when test_cases > 0 then 0.45e0 else 0 end + case when has_integration then 0.35e0 else 0 end + case when has_e2e then 0.2e0 else 0 end) + 0.15e0 * case when ci_runs_tests then 100 when has_ci then 45 else 0 end + 0.10e0 * case when coverage_tracked then 100 else 0 end, 6) as score, case when source_files > 0 then 0.9e0 else 0.5e0 end as confidence from ts")
 register_code("c22_test_cases", lambda t: measures.testing_metrics(project.files(t)).select("repo_id", "test_cases"), f"{SQL_TESTING} select repo_id, test_cases from ts")
 register_code("g21_untested", lambda t: structure.untested_modules(project.files(t)), f"{SQL_FILES}, cl as (select *, lower(regexp_replace(regexp_extract(path, '[^/]*$'), '\\.[^.]+$', '')) as stem from fl) select repo_id, path from cl a where category = 'candidate_code' and stem not in ({listed(structure.WELL_KNOWN)}) and not exists (select 1 from cl b where b.repo_id = a.repo_id and b.category = 'test_code' and contains(lower(b.path), a.stem))")
-register_code("d14_own_references", lambda t: structure.own_references(project.files(t)), f"{SQL_FILES}, sm as (select distinct repo_id, lower(regexp_replace(regexp_extract(path, '[^/]*$'), '\\.[^.]+$', '')) as word from fl where category = 'candidate_code'), wd as (select distinct repo_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_\\-]+')) as word from fl where category = 'test_code') select repo_id, repo_id in (select wd.repo_id from wd join sm using (repo_id, word) where length(word) >= 4) as references_own from (select distinct repo_id from fl)")
+register_code("d14_own_references", lambda t: structure.own_references(project.files(t)), f"{SQL_FILES}, sm as (select distinct repo_id, lower(regexp_replace(regexp_extract(path, '[^/]*$'), '\\.[^.]+$', '')) as stem from fl where category = 'candidate_code') select repo_id, repo_id in (select t.repo_id from fl t join sm on t.repo_id = sm.repo_id where t.category = 'test_code' and length(stem) > 3 and contains(lower(t.text), stem)) as references_own from (select distinct repo_id from fl)")
 SQL_IMPORTS = """il as (select repo_id, path, language, unnest(string_split(text, chr(10))) as line from fl where language in ('python', 'javascript', 'typescript', 'tsx')),
 it as (select repo_id, path, replace(regexp_extract(line, '^\\s*(?:from\\s+([\\w.]+)|import\\s+([\\w.]+))', 1) || regexp_extract(line, '^\\s*(?:from\\s+([\\w.]+)|import\\s+([\\w.]+))', 2), '.', '/') as target from il where language = 'python' and regexp_matches(line, '^\\s*(?:from\\s+([\\w.]+)|import\\s+([\\w.]+))')
   union select repo_id, path, case when starts_with(t, './') then regexp_replace(path, '[^/]*$', '') || substr(t, 3) else t end from (select repo_id, path, unnest(regexp_extract_all(line, 'from\\s+[''"]([^''"]+)[''"]', 1) || regexp_extract_all(line, 'require\\(\\s*[''"]([^''"]+)[''"]', 1)) as t from il where language <> 'python'))"""

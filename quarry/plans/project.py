@@ -60,7 +60,7 @@ def edges(t: Tables) -> DataFrame:
 @once
 def architecture_metrics(t: Tables) -> DataFrame:
     links = edges(t)
-    return measures.architecture_metrics(files(t), links, graph.mutual_imports(links))
+    return measures.architecture_metrics(files(t), links, graph.short_cycles(links))
 
 
 @once

@@ -141,12 +141,12 @@ hs as (select w.*, coalesce(commit_count, 0) as commit_count, coalesce(contribut
   from w left join c using (repo_id) left join fs using (repo_id) left join jm using (repo_id) left join k using (repo_id) left join bu using (repo_id) left join ph using (repo_id))"""
 register("g14_history_signals", lambda t: rounded(history.history_signals(t("commits"), t("emails")).select("repo_id", "active_days", "span_days", "all_commits", "commit_count", "contributor_count", "largest_share", "first_share", "quality", "share", "burst_days"), "largest_share", "first_share", "quality", "share"),
     f", {SQL_HISTORY} select repo_id, active_days, span_days, all_commits, commit_count, contributor_count, round(largest_share, 6) as largest_share, round(first_share, 6) as first_share, round(quality, 6) as quality, round(share, 6) as share, burst_days from hs", ("commits", "emails"))
-register("g14_history_score", lambda t: rounded(history.history_score(t("commits"), t("branches"), t("tags"), t("emails"), t("tags")), "score"),
+register("g14_history_score", lambda t: rounded(history.history_score(t("commits"), t("branches"), t("tags"), t("emails")), "score"),
     f""", {SQL_HISTORY},
 b as (select repo_id, count(*) filter (not (regexp_extract(name, '[^/]*$') in ({listed(fixed.KNOWN_BRANCHES)}))) as nb from branches group by repo_id), g as (select repo_id, count(*) as nt from tags group by repo_id)
 select r.repo_id, case when commit_count is not null then round(greatest(0, least(100, 0.18e0 * {sql_scale("commit_count", 1, 60)} + 0.20e0 * (0.6e0 * {sql_scale("active_days", 1, 30)} + 0.4e0 * {sql_scale("active_days / span_days", 0, 0.35)}) + 0.22e0 * quality * 100 + 0.15e0 * {sql_scale("largest_share", 0.95, 0.25)}
  + 0.12e0 * {sql_scale("coalesce(nb, 0)", 0, 4)} + 0.13e0 * {sql_scale("coalesce(nt, 0)", 0, 3)})), 6) end as score, case when commit_count >= 5 then 0.9 when commit_count is not null then 0.55 else 0 end::double as confidence
-from (select distinct repo_id from tags) r left join hs using (repo_id) left join b using (repo_id) left join g using (repo_id)""", ("commits", "branches", "tags", "emails"))
+from (select repo_id from commits union select repo_id from branches union select repo_id from tags) r left join hs using (repo_id) left join b using (repo_id) left join g using (repo_id)""", ("commits", "branches", "tags", "emails"))
 register("g15_evolution", lambda t: history.evolution_score(t("commits")).select("repo_id", r6("score").alias("score"), F.array_join("phases", ",").alias("phases")),
     f", {SQL_OWN}, i as (select repo_id, list(distinct " + SQL_INTENT + ") as seen from own group by repo_id) select repo_id, round(" + " + ".join(f"case when list_has_any(seen, [{listed(n)}]) then {w * 100}e0 else 0 end" for _, n, w in history.PHASES) + ", 6) as score, array_to_string(list_filter([" + ", ".join(f"case when list_has_any(seen, [{listed(n)}]) then '{p}' end" for p, n, _ in history.PHASES) + "], lambda x: x is not null), ',') as phases from i", ("commits",))
 register("g16_rework", lambda t: rounded(history.rework(t("commit_files")), "share", "strength"), ", p as (select repo_id, path, count(distinct sha) as n from commit_files group by all), s as (select repo_id, avg((n > 1)::int) as share from p group by repo_id) select repo_id, round(share, 6) as share, round(least(1.0, share / 0.5), 6) as strength from s", ("commit_files",))

@@ -151,7 +151,13 @@ register_code("g41_similarity_summary", _summary)
 
 # -- graphs
 
-register("g29_strong_components", lambda t: graph.strong_components(t("edges").where("src < 'm3'").distinct()))
+register("g29_strong_components", lambda t: graph.strong_components(t("edges").distinct()))
+
+SQL_SHORT = """, e as (select distinct repo_id, src, dst from edges), p2 as (select repo_id, src as a, dst as b from e where dst > src),
+cy as (select repo_id, 1 as n, src || ' -> ' || dst as cycle from e where src = dst union all select p2.repo_id, 2, a || ' -> ' || b || ' -> ' || a from p2 join e on e.repo_id = p2.repo_id and e.src = b and e.dst = a
+  union all select p2.repo_id, 3, a || ' -> ' || b || ' -> ' || m.dst || ' -> ' || a from p2 join e m on m.repo_id = p2.repo_id and m.src = b and m.dst > a and m.dst <> b join e z on z.repo_id = p2.repo_id and z.src = m.dst and z.dst = a)
+select repo_id, row_number() over (partition by repo_id order by n, cycle) as place, cycle from cy qualify place <= 10"""
+register("g29_short_cycles", lambda t: graph.short_cycles(t("edges"), longest=3), SQL_SHORT, ("edges",))
 
 # -- people
 
@@ -227,7 +233,7 @@ def _holders(t) -> DataFrame:
 SQL_PORTFOLIO = "st as (select repo_id, skill, least(1.0, max(value)) as strength from strengths group by all), ho as (select repo_id, min(id) % 6 as owner_id from repositories group by all), wa as (select p_partkey % 25 as job_id, 'skill' || (p_partkey % 60) as skill, sum(p_size)::double as importance, bool_or(p_partkey % 3 = 0) as required from part group by all), be as (select owner_id, skill, max(strength) as strength, count(*) as n_repositories from st join ho using (repo_id) group by all)"
 register("e13_owner_strength", lambda t: rounded(serving.best_strengths(_strengths(t), _holders(t)), "strength"), f", {SQL_PORTFOLIO} select owner_id, skill, round(strength, 6) as strength, n_repositories from be", ("strengths", "repositories"))
 register("j19_readiness", lambda t: rounded(serving.readiness(_wanted(t), _strengths(t), _holders(t)), "score"), f", {SQL_PORTFOLIO}, me as (select job_id, owner_id, sum(importance * strength) as s, list(distinct wa.skill) filter (strength >= 0.2) as have from wa join be using (skill) group by all), tt as (select job_id, sum(importance) as w, list_sort(list(distinct skill) filter (required)) as rq from wa group by all) select job_id, owner_id, round(100 * s / w, 6) as score, array_to_string(list_filter(rq, lambda x: not list_contains(coalesce(have, []), x)), ',') as missing from me join tt using (job_id)", ("strengths", "repositories"))
-register("j19_best_repositories", lambda t: rounded(serving.best_repositories(scoring.job_match(_wanted(t), _strengths(t)), _holders(t)), "score"), f", {SQL_PORTFOLIO}, jt as (select job_id, sum(importance) as w from wa group by all), m as (select job_id, repo_id, 100 * sum(importance * strength) / any_value(w) as score from wa join st using (skill) join jt using (job_id) group by job_id, repo_id) select job_id, owner_id, row_number() over (partition by job_id, owner_id order by score desc, repo_id) as place, repo_id, round(score, 6) as score from m join ho using (repo_id) qualify place <= 5", ("strengths", "repositories"))
+register("j19_best_repositories", lambda t: rounded(serving.best_repositories(scoring.job_match(_wanted(t), _strengths(t)), _holders(t)), "score"), f", {SQL_PORTFOLIO}, jt as (select job_id, sum(importance) as w from wa group by all), m as (select job_id, repo_id, 100 * sum(importance * strength) / any_value(w) as score from wa join st using (skill) join jt using (job_id) group by job_id, repo_id) select job_id, owner_id, row_number() over (partition by job_id, owner_id order by round(score, 6) desc, repo_id) as place, repo_id, round(score, 6) as score from m join ho using (repo_id) qualify place <= 5", ("strengths", "repositories"))
 register("j20_recommendations", lambda t: rounded(evidence.distinct_recommendations(t("category_scores").select(F.col("evaluation_id").alias("repo_id"), "category", F.col("category").alias("title"), F.lit("high").alias("impact"), F.col("score").alias("gain")), t("category_scores").select(F.col("evaluation_id").alias("repo_id"), (F.col("evaluation_id") % 20).alias("owner_id")).distinct(), 4).select("owner_id", "place", "repo_id", "title", "gain"), "gain"), ", b as (select evaluation_id as repo_id, category as title, max(score) as gain, evaluation_id % 20 as owner_id from category_scores group by all) select owner_id, row_number() over (partition by owner_id order by gain desc nulls last, repo_id, title) as place, repo_id, title, round(gain, 6) as gain from b qualify place <= 4", ("category_scores",))
 register("j21_interviews", lambda t: serving.interview_list(t("answers").select("session_id").distinct(), t("answers").where("role = 'assistant'").select("session_id", "question_id", F.substring("answer_text", 1, 40).alias("question")), t("answers").where("role = 'user'").select("session_id")), ", q as (select session_id, count(*) as n_questions, arg_max(substr(answer_text, 1, 40), question_id) as last_question from answers where role = 'assistant' group by all), u as (select session_id, count(*) as n_answers from answers where role = 'user' group by all) select session_id, coalesce(n_questions, 0) as n_questions, last_question, coalesce(n_answers, 0) as n_answers from (select distinct session_id from answers) left join q using (session_id) left join u using (session_id)", ("answers",))
 register("e17_durations", lambda t: rounded(serving.job_durations(t("runs")), "mean_duration"), ", m as (select max(created_at) as m from runs) select status, count(*) as n, round(avg(duration), 6) as mean_duration, max(duration) as longest from runs, m where created_at > m - interval 24 hour group by status", ("runs",))

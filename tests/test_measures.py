@@ -1,7 +1,7 @@
 """Jobs, skills, people, structure and scores on small literal rows."""
 
 
-from quarry.operators import classify, dependencies, evidence, graph, jobs, lines, measures, people, scoring, serving, similarity, skills, structure
+from quarry.operators import classify, dependencies, evidence, graph, history, jobs, lines, measures, people, scoring, serving, similarity, skills, structure
 
 JOB = """About the role
 We build assistants.
@@ -134,3 +134,25 @@ def test_filters_and_policies(spark):
     rows = spark.createDataFrame([(1, "a", 5.0), (2, "b", None), (3, "a", 9.0)], "id int, kind string, score double")
     assert [r.id for r in serving.filtered(rows, {"kind": "a"}, {"score": 6.0}).collect()] == [3] and serving.filtered(rows, {"kind": None}).count() == 3
     assert scoring.job_match(spark.createDataFrame([], "job_id int, skill string, importance double, required boolean"), spark.createDataFrame([("r", "x", 1.0)], "repo_id string, skill string, strength double")).count() == 0
+
+
+def test_short_cycles_and_substring_references(spark):
+    pairs = [("r", a, b) for a, b in ["ab", "bc", "ca", "cd", "dc", "ee", "xy", "yz", "bd"]] + [("ring", f"n{i}", f"n{(i + 1) % 6}") for i in range(6)]
+    pairs += [("dense", a, b) for a in "abcdefgh" for b in "abcdefgh" if a != b]
+    edges = spark.createDataFrame(pairs, "repo_id string, src string, dst string")
+    got = {}
+    for r in graph.short_cycles(edges).orderBy("repo_id", "place").collect():
+        got.setdefault(r.repo_id, []).append(r.cycle)
+    assert got["r"] == ["e -> e", "c -> d -> c", "a -> b -> c -> a", "a -> b -> d -> c -> a"]
+    assert got["ring"] == ["n0 -> n1 -> n2 -> n3 -> n4 -> n5 -> n0"] and len(got["dense"]) == 10 and got["dense"][0] == "a -> b -> a"
+    assert graph.short_cycles(edges.where("repo_id = 'ring'"), longest=5).count() == 0 and graph.short_cycles(edges.limit(0)).count() == 0
+    rows = [("r", "src/utils.py", "candidate_code", ""), ("r", "t/a.py", "test_code", "def mod_UTILS_test(): pass"), ("s", "src/util.py", "candidate_code", ""), ("s", "t/a.py", "test_code", "uti tils"), ("q", "src/abc.py", "candidate_code", ""), ("q", "t/a.py", "test_code", "abc"), ("n", "x.py", "test_code", None)]
+    files = spark.createDataFrame(rows, "repo_id string, path string, category string, text string")
+    assert {r.repo_id: r.references_own for r in structure.own_references(files).collect()} == {"r": True, "s": False, "q": False, "n": False}
+
+
+def test_every_repository_has_a_history_row(spark):
+    commits = spark.createDataFrame([("a", "s1", "x@y", "2020-01-01 00:00:00", "fix: it", 3, 1, False)], "repo_id string, sha string, author_email string, committed_at string, message string, insertions long, deletions long, is_merge boolean")
+    branches, tags = (spark.createDataFrame([(r, "v")], "repo_id string, name string") for r in ("b", "c"))
+    got = {r.repo_id: (r.score is None, r.confidence) for r in history.history_score(commits, branches, tags).collect()}
+    assert got == {"a": (False, 0.55), "b": (True, 0.0), "c": (True, 0.0)}
