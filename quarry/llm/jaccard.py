@@ -5,7 +5,7 @@ the neighbourhoods of rare shingles: of its shingles, rarest first, each set tak
 a neighbourhood. What is rare is told by one count of shingles over all documents, of which the most frequent FREQUENT are sent to each task; the count only orders,
 so it decides the work and never the result. Pairs of a neighbourhood must also fit by size, by place of the shared shingle and by the parities of their sets (below).
 
-Neighbourhoods of more than DIRECT sets, as groups of near copies make them, are joined recursively. A region draws pivots, which are measured against all its members; links among them join classes.
+First each set is held against the first of its neighbourhoods. Neighbourhoods of more than DIRECT sets, as groups of near copies make them, are joined recursively. A region draws pivots, which are measured against all its members; links among them join classes.
 Members go to the pivot they are nearest to (its Voronoi region), and by the triangle inequality to every pivot that is at most twice the linking distance farther: a linked
 partner may be at home there. Pivots leave their region, as all their distances are known. Regions of one class are done; large ones draw pivots again, outside their largest class. In small ones, and in those that don't fall
 apart because their windows cover them, pairs of different classes are compared if one of both is at home and their distances from the pivot differ by at most the linking distance; only
@@ -163,25 +163,31 @@ class Join:
     def _reaches(self, common: Column, a: str, b: str) -> Column:
         return common * (self.numerator + self.denominator) >= (F.col(a) + F.col(b)) * self.numerator
 
-    def _can_link(self) -> Column:
-        """For a pair with size, at (place of the shared shingle) and bits of a and b: sizes fit, enough shingles follow the shared one if it is their first, parities are near enough."""
-        differ = sum((F.bit_count(F.get("bits_a", i).bitwiseXOR(F.get("bits_b", i))) for i in range(PARITIES)), F.lit(0))
+    def _bounded(self) -> Column:
+        """For a pair with size and at (place of the shared shingle) of a and b: sizes fit, and enough shingles follow the shared one if it is their first."""
         behind = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
-        return self._fits("size_a", "size_b") & self._reaches(behind, "size_a", "size_b") & self._reaches((F.col("size_a") + F.col("size_b") - differ) / 2, "size_a", "size_b")
+        return self._fits("size_a", "size_b") & self._reaches(behind, "size_a", "size_b")
+
+    def _even(self) -> Column:
+        """For a pair with size and bits of a and b: their parities are near enough."""
+        differ = sum((F.bit_count(F.get("bits_a", i).bitwiseXOR(F.get("bits_b", i))) for i in range(PARITIES)), F.lit(0))
+        return self._reaches((F.col("size_a") + F.col("size_b") - differ) / 2, "size_a", "size_b")
 
     def neighbourhoods(self) -> DataFrame:
-        """(region, node, size, at, bits, n): sets by shared rare shingle, those that are alone there left out."""
-        keyed = self.nodes.select("node", F.posexplode("keys").alias("at", "region"))
+        """(region, node, size, at, n): sets by shared rare shingle, those that are alone there left out."""
+        keyed = self.nodes.select("node", "size", F.posexplode("keys").alias("at", "region"))
         sizes = keyed.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        shared = keyed.join(sizes.hint("merge"), "region")
-        return saved(shared.join(self.nodes.select("node", "size", "bits").hint("merge"), "node").select("region", "node", "size", "at", "bits", "n"))
-
-    def _pairs(self, members: DataFrame, apart: Column) -> DataFrame:
-        """Distinct pairs (a, b), a > b, of a region's members that can be linked; apart: more conditions on the columns of both."""
-        names = [c for c in members.columns if c != "region"]
-        left, right = (members.select("region", *[F.col(c).alias(f"{c}_{side}") for c in names]) for side in "ab")
-        met = left.join(right.hint("merge"), "region").where((F.col("node_a") > F.col("node_b")) & apart & self._can_link())
-        return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+        return saved(keyed.join(sizes.hint("merge"), "region").select("region", "node", "size", "at", "n"))
+
+    def _stars(self, members: DataFrame) -> DataFrame:
+        """Distinct pairs (a, b) of the first set of each region and every other that the bounds let through."""
+        least = members.groupBy("region").agg(F.min(F.struct("node", "size", "at")).alias("least"))
+        met = members.join(least.hint("merge"), "region").where("node > least.node")
+        met = met.select(F.col("node").alias("a"), F.col("least.node").alias("b"), F.col("size").alias("size_a"), F.col("least.size").alias("size_b"), F.col("at").alias("at_a"), F.col("least.at").alias("at_b"))
+        pairs = met.where(self._bounded()).select("a", "b", "size_a", "size_b").distinct()
+        for side in "ab":
+            pairs = pairs.join(self.nodes.select(F.col("node").alias(side), F.col("bits").alias(f"bits_{side}")).hint("merge"), side)
+        return pairs.where(self._even()).select("a", "b")
 
     def _with_sets(self, pairs: DataFrame, side: str) -> DataFrame:
         """pairs with the set of one side; sets that stand in many pairs are repeated, so that no key is larger than the others."""
@@ -192,20 +198,22 @@ class Join:
 
     def measured(self, pairs: DataFrame) -> DataFrame:
         """(a, b, distance, linked) of pairs of sets."""
+        pairs = saved(pairs)
+        self.sets = self._gathered(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
         both = small_batches(self._with_sets(self._with_sets(pairs, "a"), "b").select("a", "b", "hashes_a", "hashes_b"))
         found = both.mapInArrow(_common, "a long, b long, size_a int, size_b int, common int")
         distance = 1 - F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))
         return saved(found.select("a", "b", distance.alias("distance"), self._reaches(F.col("common"), "size_a", "size_b").alias("linked")))
 
-    def _gather(self, needed: DataFrame) -> None:
-        """The sets of the given nodes, from their texts, picked by hash where they are read."""
+    def _gathered(self, needed: DataFrame) -> DataFrame:
+        """(node, hashes) of the given nodes, from their texts, picked by hash where they are read."""
         picked = saved(self.nodes.select("node", "digest", "source").join(needed.hint("merge"), "node", "left_semi"))
         sources = picked.select("source").distinct()
         if picked.count() <= BROADCAST_IDS:
             sources = F.broadcast(sources)
         sets = small_batches(self.rows.join(sources, "source", "left_semi").select("text")).mapInArrow(_sets(self.words), "digest binary, hashes binary")
         sets = sets.groupBy("digest").agg(F.first("hashes").alias("hashes"))
-        self.sets = saved(sets.join(picked.select("digest", "node").hint("merge"), "digest").select("node", "hashes"))
+        return saved(sets.join(picked.select("digest", "node").hint("merge"), "digest").select("node", "hashes"))
 
     def _mixed(self, members: DataFrame, roots: DataFrame) -> DataFrame:
         """members (region, node, ...) of regions of several classes, with root, their class, n, the region's size, and largest, its class with most members."""
@@ -215,14 +223,17 @@ class Join:
         return own.join(most.drop("classes").hint("merge"), "region")
 
     def _direct(self, members: DataFrame) -> DataFrame:
-        """Pairs of different classes that the bounds let through, one of each at home in the region."""
-        near = F.abs(F.col("distance_a") - F.col("distance_b")) <= self.eps + 1e-9
-        return self._pairs(members.drop("n", "largest", "divided"), (F.col("home_a") | F.col("home_b")) & (F.col("root_a") != F.col("root_b")) & near)
+        """Distinct pairs (a, b), a > b, of different classes in a region that the bounds let through, one of both at home."""
+        own = members.select("region", "node", "size", "at", "root", "distance", "home").join(self.nodes.select("node", "bits").hint("merge"), "node")
+        left, right = (own.select("region", *[F.col(c).alias(f"{c}_{side}") for c in own.columns if c != "region"]) for side in "ab")
+        apart = (F.col("root_a") != F.col("root_b")) & (F.col("home_a") | F.col("home_b")) & (F.abs(F.col("distance_a") - F.col("distance_b")) <= self.eps + 1e-9)
+        met = left.join(right.hint("merge"), "region").where((F.col("node_a") > F.col("node_b")) & apart & self._bounded() & self._even())
+        return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
     def _divided(self, members: DataFrame, drawn: DataFrame, seen: DataFrame) -> DataFrame:
         """members by Voronoi regions of the pivots drawn (region, pivot), given the measured distances; whole where windows would double a region. Pivots are left out."""
         both = seen.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "distance").unionByName(seen.select(F.col("b").alias("node"), F.col("a").alias("pivot"), "distance"))
-        rest = members.join(drawn.withColumnRenamed("pivot", "node").hint("merge"), ["region", "node"], "left_anti").drop("home", "distance", "divided")
+        rest = members.join(drawn.withColumnRenamed("pivot", "node").hint("merge"), ["region", "node"], "left_anti").drop("home", "distance", "divided", "root", "largest")
         away = rest.select("region", "node").join(drawn.hint("merge"), "region").join(both.hint("merge"), ["node", "pivot"])
         to = F.sort_array(F.collect_list(F.struct("distance", "pivot"))).alias("to")  # at most PIVOTS
         reached = away.groupBy("region", "node").agg(to).withColumn("to", F.filter("to", lambda p: p["distance"] <= F.get("to", F.lit(0))["distance"] + 2 * self.eps + 1e-9))
@@ -234,12 +245,11 @@ class Join:
 
     def roots(self) -> DataFrame:
         """(node, root) of all sets that are linked with another."""
+        large, whole = F.col("n") > self.direct, {"distance": F.lit(0.0), "home": F.lit(True)}
         regions = self.neighbourhoods()
-        large = F.col("n") > self.direct
-        start = regions.withColumns({"root": F.col("node"), "largest": F.lit(-1).cast("long"), "distance": F.lit(0.0), "home": F.lit(True), "divided": F.lit(True)})
-        pairs, members, roots = saved(self._direct(start.where(~large))), start.where(large), None
-        ends = [pairs.select(F.col(side).alias("node")) for side in "ab"]
-        self._gather(ends[0].unionByName(ends[1]).unionByName(members.select("node")).distinct())
+        pairs, roots = self._stars(regions.where(~large)), None
+        rest = regions.where(~large & (F.col("n") > 2)).withColumns(whole | {"divided": F.lit(False)})
+        members = regions.where(large).withColumns(whole | {"divided": F.lit(True), "root": F.col("node"), "largest": F.lit(-1).cast("long")})
         while True:
             dense = not members.isEmpty()
             if dense:
@@ -247,16 +257,21 @@ class Join:
                 drawn = saved(members.where("root <> largest").groupBy("region", slot.alias("slot")).agg(F.min("node").alias("pivot")).select("region", "pivot"))
                 met = members.select("region", "node").join(drawn.hint("merge"), "region").where("node <> pivot")
                 pairs = pairs.unionByName(met.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b"))).distinct()
-            seen = self.measured(saved(pairs))
+            seen = self.measured(pairs)
             edges = seen.where("linked").select("a", "b")
             if roots is not None:
                 edges = edges.unionByName(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
             roots = saved(components(edges))
-            if not dense:
+            if dense:
+                parts = self._divided(members, drawn, seen)
+                rest = parts if rest is None else rest.unionByName(parts.select(*rest.columns))
+            if rest is None:
                 return roots
-            mixed = saved(self._mixed(self._divided(members, drawn, seen), roots))
+            mixed = saved(self._mixed(rest, roots))
             again = large & F.col("divided")
-            pairs, members = saved(self._direct(mixed.where(~again))), mixed.where(again)
+            pairs, members, rest = saved(self._direct(mixed.where(~again))), mixed.where(again), None
+            if pairs.isEmpty() and members.isEmpty():
+                return roots
 
     def classes(self) -> DataFrame:
         """(row, n_shingles, root): rows of one class have one root; rows without words have none."""
