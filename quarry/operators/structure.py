@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.scalars import clamp, dense_cosine, identifier_words, without_comments
 from ..tables import saved
+from . import braces
 
 
 def _levels(lines: DataFrame) -> DataFrame:
@@ -50,9 +51,24 @@ def entities(lines: DataFrame) -> DataFrame:
     return whole.select("repo_id", "path", "symbol", "kind", "start_line", "end_line", F.size(names).alias("n_params"), doc.alias("has_doc"), "parent")
 
 
+def parsed_entities(files: DataFrame, lines: DataFrame) -> DataFrame:
+    """entities() of Python files and braces.entities() of the other parsed languages; other files, whatever they look like, have none. files: repo_id, path, language, text."""
+    python = entities(lines.join(files.where("language = 'python'").select("repo_id", "path").distinct(), ["repo_id", "path"], "left_semi"))
+    other = braces.entities(files.where(braces.is_brace(F.col("language"))))
+    around = _within(other).groupBy("repo_id", "path", "start_line").agg(F.max("parent").alias("parent"))
+    return python.unionByName(other.join(around, ["repo_id", "path", "start_line"], "left"))
+
+
+def _within(found: DataFrame) -> DataFrame:
+    """(repo_id, path, parent, start_line): the lines behind the first of each entity, whose first line is parent."""
+    return found.where("end_line > start_line").select("repo_id", "path", F.col("start_line").alias("parent"), F.explode(F.sequence(F.col("start_line") + 1, F.col("end_line"))).alias("start_line"))
+
+
 def _bodies(found: DataFrame, lines: DataFrame) -> DataFrame:
-    """The lines of found entities, by file and first line."""
-    return found.join(bodies(lines), ["repo_id", "path", "start_line"])
+    """The lines of found entities, by file and first line, with the indentation of those that aren't blank."""
+    each = found.withColumn("line_no", F.explode(F.sequence("start_line", "end_line")))
+    indent = F.when(F.trim("line") != "", F.length(F.regexp_extract("line", r"^(\s*)", 1)))
+    return each.join(lines.select("repo_id", "path", "line_no", "line", indent.alias("indent")), ["repo_id", "path", "line_no"])
 
 
 def entity_complexity(found: DataFrame, lines: DataFrame) -> DataFrame:
@@ -83,7 +99,7 @@ def token_shape(source) -> Column:
 def sources(found: DataFrame, lines: DataFrame) -> DataFrame:
     """found with source: the text of each entity. A file bounds it."""
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x.line), "\n")
-    texts = bodies(lines).groupBy("repo_id", "path", "start_line").agg(body.alias("source"))
+    texts = _bodies(found.select("repo_id", "path", "start_line", "end_line"), lines).groupBy("repo_id", "path", "start_line").agg(body.alias("source"))
     return found.join(texts, ["repo_id", "path", "start_line"])
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..operators import classify, dependencies, graph, history, lines, measures, ownership, scoring, security, similarity, skills, structure
+from ..operators import braces, classify, dependencies, graph, history, lines, measures, ownership, scoring, security, similarity, skills, structure
 from . import project
 from .domain import VIEWS
 from .queries import ORACLES, SQL_CATEGORY, SQL_LANGUAGE, SQL_REASON, listed, quoted, r6, register, rounded, sql_scale
@@ -22,9 +22,25 @@ def register_code(name: str, run, sql: str | None = None, views: tuple[str, ...]
 
 
 SQL_LINES = "all_lines as (select repo_id, path, cast(unnest(generate_series(1, len(string_split(text, chr(10))))) as int) as line_no, unnest(string_split(text, chr(10))) as line from code where text is not null)"
+def _nonempty(pattern: str) -> str:
+    return f"nullif(regexp_extract(header, {quoted(pattern)}, 1), '')"
+
+
+SQL_BRACES = f"""bt as (select repo_id, path, unnest(regexp_extract_all(text, {quoted(braces.TOKEN)})) as tok, unnest(range(len(regexp_extract_all(text, {quoted(braces.TOKEN)})))) as pos from (select *, {SQL_LANGUAGE} as language from code) where language in ({listed([x for x in fixed.PARSED if x != 'python'])})),
+bl as (select *, 1 + coalesce(sum(length(tok) - length(replace(tok, chr(10), ''))) over (partition by repo_id, path order by pos rows between unbounded preceding and 1 preceding), 0)::int as line_no from bt),
+bc as (select *, coalesce(lag(regexp_matches(tok, '{braces.COMMENT}')) over (partition by repo_id, path order by pos), false) as commented from bl where tok <> chr(10)),
+bd as (select *, sum(case tok when '{{' then 1 when '}}' then -1 else 0 end) over (partition by repo_id, path order by pos) as depth, coalesce(sum((tok in ('{{', '}}', ';'))::int) over (partition by repo_id, path order by pos rows between unbounded preceding and 1 preceding), 0) as statement, max(line_no) over (partition by repo_id, path) as last from bc where not regexp_matches(tok, '{braces.COMMENT}')),
+bh as (select repo_id, path, max(pos) filter (tok = '{{') as pos, coalesce(string_agg(tok, ' ' order by pos) filter (tok <> '{{'), '') as header, arg_min(line_no, pos) as start_line, arg_min(commented, pos) as has_doc from bd group by repo_id, path, statement having count(*) filter (tok = '{{') > 0),
+be as (select *, depth - (tok = '{{')::int as level from bd where tok in ('{{', '}}')),
+bo as (select repo_id, path, pos, tok, case when lead(tok) over w = '}}' then lead(line_no) over w else last end as end_line from be window w as (partition by repo_id, path, level order by pos)),
+bn as (select bh.*, end_line, regexp_matches(header, {quoted(braces.CLASS)}) as is_class, {_nonempty(braces.FUNCTIONS[2])} as method, coalesce({', '.join(_nonempty(p) for p in (braces.CLASS, *braces.FUNCTIONS[:2]))}, case when regexp_matches(header, {quoted(braces.ANONYMOUS)}) then 'anonymous' end) as named,
+  len(list_filter(list_transform(string_split(regexp_extract(regexp_replace(header, '\\{{[^{{}}]*\\}}', 'o', 'g'), {quoted(braces.PARAMS)}, 1), ','), lambda x: trim(x, ' ')), lambda x: x <> ''))::int as given from bh join bo using (repo_id, path, pos) where bo.tok = '{{'),
+bs as (select *, coalesce(named, case when method not in ({listed(braces.CONTROL)}) and string_split(header, ' ')[1] not in ({listed(braces.CONTROL)}) then method end) as symbol from bn),
+bf as (select repo_id, path, symbol, case when is_class then 'class' else 'function' end as kind, start_line, end_line, case when is_class then 0 when regexp_matches(header, '[A-Za-z0-9_$] =>$') then 1 else given end as n_params, has_doc from bs where symbol is not null qualify row_number() over (partition by repo_id, path, start_line order by pos) = 1)"""
 SQL_ENTITIES = f"""{SQL_LINES},
+{SQL_BRACES},
 ind as (select *, length(regexp_extract(line, '^(\\s*)', 1)) as indent from all_lines where trim(line, ' ') <> ''),
-heads as (select repo_id, path, line_no as start_line, indent as own, regexp_extract(line, {quoted(fixed.HEADER)}, 2) as kind, regexp_extract(line, {quoted(fixed.HEADER)}, 3) as symbol, regexp_extract(line, '\\(([^)]*)\\)?', 1) as params from ind where regexp_matches(line, {quoted(fixed.HEADER)})),
+heads as (select repo_id, path, line_no as start_line, indent as own, regexp_extract(line, {quoted(fixed.HEADER)}, 2) as kind, regexp_extract(line, {quoted(fixed.HEADER)}, 3) as symbol, regexp_extract(line, '\\(([^)]*)\\)?', 1) as params from ind where regexp_matches(line, {quoted(fixed.HEADER)}) and path in (select path from (select path, {SQL_LANGUAGE} as language from code) where language = 'python')),
 stops as (select h.repo_id, h.path, start_line, min(line_no) as stop from heads h join ind i on h.repo_id = i.repo_id and h.path = i.path and line_no > start_line and indent <= own group by all),
 ends as (select repo_id, path, max(line_no) as last_line from ind group by all),
 outer_found as (select h.repo_id, h.path, symbol, kind, params, h.start_line, coalesce(stop - 1, last_line)::int as end_line from heads h join ends e on h.repo_id = e.repo_id and h.path = e.path left join stops s on h.repo_id = s.repo_id and h.path = s.path and h.start_line = s.start_line),
@@ -33,7 +49,8 @@ ups as (select repo_id, path, line_no + 1 as start_line, line as above from all_
 parents as (select a.repo_id, a.path, a.start_line, max(b.start_line) as parent from outer_found a join outer_found b on a.repo_id = b.repo_id and a.path = b.path and b.start_line < a.start_line and a.start_line <= b.end_line group by all),
 found as (select o.repo_id, o.path, symbol, kind, o.start_line, end_line, len(list_filter(list_transform(string_split(params, ','), lambda x: trim(x, ' ')), lambda x: x <> '' and x not in ('self', 'cls', 'this')))::int as n_params,
   coalesce(regexp_matches(first, {quoted(fixed.DOC_OPEN)}), false) or coalesce(regexp_matches(above, {quoted(fixed.COMMENT_LINE)}), false) as has_doc, parent
-  from outer_found o left join nexts n on o.repo_id = n.repo_id and o.path = n.path and o.start_line = n.start_line left join ups u on o.repo_id = u.repo_id and o.path = u.path and o.start_line = u.start_line left join parents p on o.repo_id = p.repo_id and o.path = p.path and o.start_line = p.start_line),
+  from outer_found o left join nexts n on o.repo_id = n.repo_id and o.path = n.path and o.start_line = n.start_line left join ups u on o.repo_id = u.repo_id and o.path = u.path and o.start_line = u.start_line left join parents p on o.repo_id = p.repo_id and o.path = p.path and o.start_line = p.start_line
+  union all select bf.*, (select max(b.start_line) from bf b where b.repo_id = bf.repo_id and b.path = bf.path and b.start_line < bf.start_line and bf.start_line <= b.end_line) as parent from bf),
 bodies as (select f.*, line_no, line from found f join all_lines a on f.repo_id = a.repo_id and f.path = a.path and line_no between start_line and end_line)"""
 SQL_COMPLEXITY = f"cx as (select repo_id, path, symbol, start_line, kind, end_line, has_doc, 1 + sum(case when regexp_matches(line, {quoted(fixed.COMMENT_LINE)}) then 0 else len(regexp_extract_all(line, {quoted(fixed.DECISIONS)})) end)::bigint as complexity from bodies group by all)"
 SQL_NESTING = """nl as (select repo_id, path, symbol, start_line, list(length(regexp_extract(line, '^(\\s*)', 1)) order by line_no) as w from bodies where trim(line, ' ') <> '' and line_no > start_line group by all),

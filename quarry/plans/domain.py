@@ -19,6 +19,17 @@ def _sampled() -> str:
     return f"case (doc_id * 17) % {len(SAMPLES)} " + " ".join(f"when {i} then '        {x.replace(chr(39), chr(39) * 2)}'" for i, x in enumerate(SAMPLES)) + " end"
 
 
+def _braced() -> str:
+    """A file of a brace language around a text and a sample line; braces in comments, strings and destructured names among the real ones."""
+    name = "case doc_id % 5 when 0 then 'tmp' when 1 then 'x1' when 2 then 'load_rows' else 'run' || doc_id end"
+    lines = [
+        "'// Setup and usage of ' || doc_id", "case doc_id % 14 when 13 then 'import p from \"./c' || (doc_id - 140) || '\"' else 'const x = 1;' end", "case doc_id % 4 when 0 then '/** Args: { a, b }. */' else '' end", f"'export async function ' || {name} || '(a, b) {{'", "'  try {'", "'    if (a && b) {'",
+        "'      ' || replace(text, chr(10), chr(10) || '      ')", _sampled(), "'    }'", "'  } catch (e) { return `}} ' || doc_id || '`; }'", "'}'", "'class Store' || (doc_id % 11) || ' extends Base {'", "'  // here is the step {'", "'  save({ item, deep }, more) {'", "'    const go = (x) => {'", "'      return x ? \"{\" : \"}\";'",
+        "'    };'", "'    return go(item) || more;'", "'  }'", "'}'", "'const test_case_' || (doc_id % 3) || ' = function (rows, size) {'", "'  let total = 0;'", "'  for (let i = 0; i < rows.length; i++) { total += size * ' || (doc_id % 9) || '; }'", "'  if (total > 3) {'", "'    return total;'", "'  }'", "'  return null;'", "'};'",
+    ]
+    return " || chr(10) || ".join(lines)
+
+
 VIEWS = {
     "files": (
         "documents",
@@ -39,10 +50,10 @@ VIEWS = {
                 when 4 then 'tests/e2e/test_mod' || (doc_id + 40) || '.py' when 5 then 'tests/test_x' || doc_id || '.py' when 6 then 'web/pages/p' || doc_id || '.ts' when 7 then 'src/models/store' || doc_id || '.py'
                 when 8 then '.github/workflows/ci' || doc_id || '.yml' when 9 then 'config/' || doc_id || '/pyproject.toml' when 10 then 'app' || doc_id || '.py' when 11 then 'notebooks/n' || doc_id || '.ipynb' when 12 then 'p' || doc_id || '/.env'
                 else 'web/components/c' || doc_id || '.js' end""",
-            "text": f"""'# Setup and usage of ' || doc_id || chr(10) || case doc_id % 14 when 2 then 'from src.api.mod' || (doc_id + case when doc_id % 280 < 140 then 140 else -140 end) || ' import run' when 3 then 'import src.services.jobs.run' || (doc_id - 140) when 4 then 'import mod' || (doc_id + 40) when 7 then 'from src.models.store' || (doc_id + 140) || ' import x' when 13 then 'import p from "./c' || (doc_id - 140) || '"' else 'x = 1' end || chr(10)
+            "text": f"""case when doc_id % 14 in (6, 13) then {_braced()} else '# Setup and usage of ' || doc_id || chr(10) || case doc_id % 14 when 2 then 'from src.api.mod' || (doc_id + case when doc_id % 280 < 140 then 140 else -140 end) || ' import run' when 3 then 'import src.services.jobs.run' || (doc_id - 140) when 4 then 'import mod' || (doc_id + 40) when 7 then 'from src.models.store' || (doc_id + 140) || ' import x' when 13 then 'import p from "./c' || (doc_id - 140) || '"' else 'x = 1' end || chr(10)
                 || 'def ' || case doc_id % 5 when 0 then 'tmp' when 1 then 'x1' when 2 then 'load_rows' else 'run' || doc_id end || '(a, b):' || chr(10) || case doc_id % 4 when 0 then '    \"\"\"Args: a, b.\"\"\"' || chr(10) else '' end || '    try:' || chr(10) || '        if a and b:' || chr(10)
                 || '            ' || replace(text, chr(10), chr(10) || '            ') || chr(10) || {_sampled()} || chr(10) || 'class Store' || (doc_id % 11) || ':' || chr(10) || '    # here is the step' || chr(10) || '    def save(self):' || chr(10) || '        return self' || chr(10)
-                || 'def test_case_' || (doc_id % 3) || '(rows, size):' || chr(10) || '    # checks' || chr(10) || '    total = 0' || chr(10) || '    for r in rows:' || chr(10) || '        total = total + size * ' || (doc_id % 9) || chr(10) || '    if total > 3:' || chr(10) || '        return total' || chr(10) || '    return None'""",
+                || 'def test_case_' || (doc_id % 3) || '(rows, size):' || chr(10) || '    # checks' || chr(10) || '    total = 0' || chr(10) || '    for r in rows:' || chr(10) || '        total = total + size * ' || (doc_id % 9) || chr(10) || '    if total > 3:' || chr(10) || '        return total' || chr(10) || '    return None' end""",
         },
     ),
     "packages": ("documents", {"repo_id": "source", "name": "case doc_id % 9 when 0 then 'fastapi' when 1 then 'react-dom' when 2 then '@nestjs/core' when 3 then 'psycopg2-binary' when 4 then 'numpy' when 5 then 'left-pad' || doc_id when 6 then 'torch' when 7 then 'pytest' else 'github.com/redis/redis' end", "version_spec": "case doc_id % 5 when 0 then '^1.2' when 1 then '1.0' when 2 then '' when 3 then '==2.1' else '~3' end", "dev": "doc_id % 4 = 0"}),

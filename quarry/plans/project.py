@@ -43,7 +43,7 @@ def files(t: Tables) -> DataFrame:
 
 @once
 def found(t: Tables) -> DataFrame:
-    return structure.entities(rows(t))
+    return structure.parsed_entities(files(t), rows(t))
 
 
 @once

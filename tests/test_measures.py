@@ -156,3 +156,51 @@ def test_every_repository_has_a_history_row(spark):
     branches, tags = (spark.createDataFrame([(r, "v")], "repo_id string, name string") for r in ("b", "c"))
     got = {r.repo_id: (r.score is None, r.confidence) for r in history.history_score(commits, branches, tags).collect()}
     assert got == {"a": (False, 0.55), "b": (True, 0.0), "c": (True, 0.0)}
+
+
+def test_brace_languages(spark):
+    script = """// top {
+/** doc */
+export default class Shop extends Base<T> {
+  constructor({ a, b }) { this.a = "}"; }
+  async load({ id, deep = 1 }, more) {
+    const one = async (x) => {
+      return `${x} }`;
+    };
+    if (a && b) { go(); } else if (c) { x(); }
+    for (let i = 0; i < 3; i++) { y(); }
+    items.forEach(function (z) { w(z); });
+  }
+}
+const f = function* (p) { yield 1; };
+obj = { run: (q) => {
+  return 1;
+} };
+function last(a,
+  b) {
+  while (true) { break; }
+"""
+    java = """package x;
+public class Foo<T> implements Bar {
+  private final int[] z = { 1, 2 };
+  // says
+  public static List<String> names(int a, String b) throws IOException, Bad {
+    return new ArrayList<>() {{ add("x"); }};
+  }
+  enum Kind { A, B }
+}
+struct node make(int v) {
+  switch (v) { case 1: return n; }
+}
+"""
+    rows = [("r", "a.js", "javascript", script), ("r", "b.java", "java", java), ("r", "e.ts", "typescript", ""), ("r", "n.ts", "typescript", None), ("r", "x.toml", "toml", "def f(a):\n    return 1"), ("r", "p.py", "python", "def f(a):\n    if a:\n        return 1"), ("r", "m.md", None, "class X:\n    def y(self): pass")]
+    files = spark.createDataFrame(rows, "repo_id string, path string, language string, text string")
+    found = structure.parsed_entities(files, lines.lines_of(files))
+    got = {(r.path, r.symbol, r.kind, r.start_line, r.end_line, r.n_params, r.has_doc, r.parent) for r in found.collect()}
+    assert got == {
+        ("a.js", "Shop", "class", 3, 13, 0, True, None), ("a.js", "constructor", "function", 4, 4, 1, False, 3), ("a.js", "load", "function", 5, 12, 2, False, 3), ("a.js", "one", "function", 6, 8, 1, False, 5),
+        ("a.js", "anonymous", "function", 11, 11, 1, False, 5), ("a.js", "f", "function", 14, 14, 1, False, None), ("a.js", "run", "function", 15, 17, 1, False, None), ("a.js", "last", "function", 18, 20, 2, False, None),
+        ("b.java", "Foo", "class", 2, 9, 0, False, None), ("b.java", "names", "function", 5, 7, 2, True, 2), ("b.java", "Kind", "class", 8, 8, 0, False, 2), ("b.java", "make", "function", 10, 12, 1, False, None), ("p.py", "f", "def", 1, 3, 1, False, None),
+    }
+    complexity = {r.symbol: r.complexity for r in structure.entity_complexity(found.where("path = 'a.js'"), lines.lines_of(files)).collect()}
+    assert complexity["load"] == 5 and complexity["last"] == 2 and complexity["run"] == 1
