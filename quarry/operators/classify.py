@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.scalars import col, line_count
+from ..tables import running
 
 
 def base_name(path) -> Column:
@@ -88,10 +89,11 @@ def scan_summary(files: DataFrame) -> DataFrame:
     return files.groupBy("repo_id", "category").agg(F.count(F.lit(1)).alias("n_files"), F.sum("size_bytes").alias("n_bytes"))
 
 
-def within_budget(files: DataFrame, max_files: int = 12_000, max_bytes: int = 1 << 20) -> DataFrame:
-    """Files small enough, the first max_files of each repository by path; `kept` tells which."""
-    place = F.row_number().over(Window.partitionBy("repo_id").orderBy("path"))
-    return files.where(F.col("size_bytes") <= max_bytes).withColumn("kept", place <= max_files)
+def within_budget(files: DataFrame, max_files: int = 12_000, max_bytes: int = 1 << 20, max_total: int = 256 << 20) -> DataFrame:
+    """Files small enough, by path; `kept` tells which are within the repository's budget of files and of bytes together, `exceeded` that the file is the first beyond its bytes or follows it."""
+    laid = running(files.where(F.col("size_bytes") <= max_bytes), "repo_id", ["path"], F.col("size_bytes"))
+    beyond = F.col("before") + F.col("size_bytes") > max_total
+    return laid.withColumns({"exceeded": beyond, "kept": (F.col("place") < max_files) & ~beyond}).drop("place", "before")
 
 
 def language_share(files: DataFrame) -> DataFrame:

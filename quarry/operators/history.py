@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.scalars import clamp, intent, message_quality, scale
+from ..tables import running
 
 EPOCH_DAYS = 86_400.0
 
@@ -115,6 +116,14 @@ def candidate_share(commits: DataFrame, emails: DataFrame | None = None) -> Data
     return every.join(mine, "repo_id", "left").select("repo_id", (F.coalesce("mine", F.lit(0)) / F.col("n")).alias("share"))
 
 
+def newest_commits(commits: DataFrame, most: int = 5_000) -> DataFrame:
+    """The newest `most` commits of each repository, ties by sha; `truncated` tells that it has as many or more."""
+    aged = commits.withColumn("age", -F.unix_micros(F.col("committed_at").cast("timestamp")))
+    laid = running(aged, "repo_id", ["age", "sha"], F.lit(1))
+    counts = commits.groupBy("repo_id").agg((F.count(F.lit(1)) >= most).alias("truncated"))
+    return laid.where(F.col("place") < most).drop("age", "place", "before").join(counts, "repo_id")
+
+
 def history_signals(commits: DataFrame, emails: DataFrame | None = None) -> DataFrame:
     """One wide row a repository with commits: counts, days, shares, messages, phases, bursts. Days and span take merges in, the rest leaves them out."""
     at = F.col("committed_at").cast("timestamp")

@@ -83,7 +83,8 @@ register("b4_path_predicates", lambda t: t("files").select("repo_id", "path", cl
     f"select repo_id, path, lower(regexp_extract(path, '[^/]*$')) in ({listed(fixed.LOCK_FILES)}) as lock, regexp_extract(path, '[^/]*$') in ({listed(fixed.MANIFESTS)}) as manifest, regexp_matches(path, {quoted(fixed.TEST_PATH)}) as test, regexp_matches(path, {quoted(fixed.GENERATED_PATH)}) or regexp_matches(substr(text, 1, 800), {quoted(fixed.GENERATED_BANNER)}) as generated from files", ("files",))
 register("b5_category", lambda t: classify.classified(t("files")).select("repo_id", "path", "language", "category", "line_count", "content_hash"), f", {SQL_CLASSIFIED} select repo_id, path, language, category, line_count, sha256(text) as content_hash from classified", ("files",))
 register("a4_scan_summary", lambda t: classify.scan_summary(classify.classified(t("files"))), f", {SQL_CLASSIFIED} select repo_id, category, count(*) as n_files, sum(size_bytes)::bigint as n_bytes from classified group by all", ("files",))
-register("a5_budget", lambda t: classify.within_budget(t("files"), 30, 20_000).select("repo_id", "path", "kept"), "select repo_id, path, row_number() over (partition by repo_id order by path) <= 30 as kept from files where size_bytes <= 20000", ("files",))
+register("a5_budget", lambda t: classify.within_budget(t("files"), 30, 20_000, 90_000).select("repo_id", "path", "kept", "exceeded"), "select repo_id, path, row_number() over w <= 30 and sum(size_bytes) over w <= 90000 as kept, sum(size_bytes) over w > 90000 as exceeded from files where size_bytes <= 20000 window w as (partition by repo_id order by path)", ("files",))
+register("a5_commit_budget", lambda t: history.newest_commits(t("commits"), 200).select("repo_id", "sha", "truncated"), ", n as (select repo_id, count(*) >= 200 as truncated from commits group by repo_id) select repo_id, sha, truncated from (select *, row_number() over (partition by repo_id order by committed_at desc, sha) as place from commits) join n using (repo_id) where place <= 200", ("commits",))
 register("e3_language_share", lambda t: rounded(classify.language_share(classify.classified(t("files"))), "share"), f", {SQL_CLASSIFIED}, b as (select repo_id, language, sum(greatest(1, size_bytes))::bigint as n_bytes from classified where category in ('candidate_code', 'test_code') group by all) select *, round(n_bytes / sum(n_bytes) over (partition by repo_id), 6) as share from b", ("files",))
 register("h3_largest_files", lambda t: serving.top_per_group(t("files"), ["repo_id"], [F.desc("size_bytes"), F.asc("path")], 5).select("repo_id", "place", "path", "size_bytes"), "select * from (select repo_id, row_number() over (partition by repo_id order by size_bytes desc, path) as place, path, size_bytes from files) where place <= 5", ("files",))
 

@@ -1,24 +1,42 @@
 """Readers of checked-out trees, commit-log dumps, hosting exports and résumés."""
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .trees import TreeSource
+
 RECORD, FIELD = "\x1e", "\x1f"
 NUMSTAT = r"^(\d+|-)\t(\d+|-)\t(.+)$"
 
 
+def other_encoding(content: pd.Series) -> pd.Series:
+    """Text of files that aren't valid UTF-8: UTF-16 by its byte-order mark, or little-endian without one, if all of it is valid; else Latin-1. Nulls stay."""
+
+    def one(data: bytes | None) -> str | None:
+        if data is None:
+            return None
+        try:
+            return data.decode("utf-16") if data[:2] in (b"\xff\xfe", b"\xfe\xff") else data.decode("utf-16-le")
+        except UnicodeDecodeError:
+            return data.decode("latin-1")
+
+    return content.map(one)
+
+
 def decoded(content: Column) -> Column:
-    """Text of a file: null where the first 8192 bytes hold a zero byte; else UTF-8, or Latin-1 where it isn't valid UTF-8."""
+    """Text of a file: null where the first 8192 bytes hold a zero byte; else UTF-8, or other_encoding() where it isn't valid. Only files that aren't UTF-8 go to Python."""
     binary = F.hex(F.substring(content, 1, 8192)).rlike("^(..)*00")
     utf8 = F.try_validate_utf8(content.cast("string"))
-    return F.when(~binary, F.coalesce(utf8, F.decode(content, "ISO-8859-1")))
+    rest = F.pandas_udf(other_encoding, "string")(F.when(~binary & utf8.isNull(), content))
+    return F.when(~binary, F.coalesce(utf8, rest))
 
 
 def read_files(spark: SparkSession, root: str, max_bytes: int = 1 << 20) -> DataFrame:
-    """(repo_id, path, text, size_bytes, content_hash) of the trees root/<repo_id>/...: larger files are left out at the listing."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= max_bytes)
-    inner = F.regexp_replace("path", "^.*?" + root.rstrip("/").replace("\\", "\\\\") + "/", "")
-    return found.select(F.regexp_extract(inner, "^([^/]+)/(.*)$", 1).alias("repo_id"), F.regexp_extract(inner, "^([^/]+)/(.*)$", 2).alias("path"), decoded(F.col("content")).alias("text"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("content_hash"))
+    """(repo_id, path, text, size_bytes, content_hash) of the trees root/<repo_id>/...: ignored folders and larger files are left out at the listing."""
+    spark.dataSource.register(TreeSource)
+    found = spark.read.format("trees").option("path", root).option("maxbytes", max_bytes).load()
+    return found.select("repo_id", "path", decoded(F.col("content")).alias("text"), "size_bytes", F.sha2("content", 256).alias("content_hash"))
 
 
 def read_commit_log(spark: SparkSession, path: str) -> DataFrame:

@@ -1,12 +1,38 @@
 """Sinks: snapshots replaced by repository, tables that only grow, reports."""
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+
+VERSION = "repo_id string, version string, committed_at timestamp"
+
+
+def _manifest(path: str, spark: SparkSession) -> DataFrame:
+    """(repo_id, version): the version of each repository that holds. Of the manifest's rows, which only grow, the last counts."""
+    rows = spark.read.schema(VERSION).parquet(f"{path}/manifest")
+    return rows.groupBy("repo_id").agg(F.max_by("version", F.struct("committed_at", "version")).alias("version"))
+
+
+def replace_snapshot(df: DataFrame, path: str, repositories: DataFrame | None = None) -> str:
+    """Write df (repo_id, ...) as the new state of the given repositories (repo_id), or else of those that df has; other repositories keep theirs. One of the given that has no rows in df is empty from then on.
+
+    Rows go to a folder of their own version first; then one file of the manifest, which Spark's committer shows whole or not at all, names that version for the repositories. Readers never see a state in
+    between, and a run that is lost before leaves nothing that counts. Gives the version."""
+    spark, version = df.sparkSession, uuid.uuid4().hex
+    df.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(f"{path}/rows")
+    named = repositories if repositories is not None else df
+    named.select("repo_id").distinct().withColumns({"version": F.lit(version), "committed_at": F.current_timestamp()}).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    return version
 
 
-def replace_snapshot(df: DataFrame, path: str) -> None:
-    """Write df (repo_id, ...) so that the repositories in it replace their earlier rows and others stay."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo_id").parquet(path)
+def read_snapshot(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """The rows of replace_snapshot() that hold: each repository's in the version that the manifest names last. schema: that of the rows."""
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    rows = spark.read.schema(StructType([*schema.fields, StructField("version", StringType())])).parquet(f"{path}/rows")
+    return rows.join(_manifest(path, spark), ["repo_id", "version"], "left_semi").select(*schema.names)
 
 
 def append_run(df: DataFrame, path: str, run_id: str, version: str = "1") -> None:

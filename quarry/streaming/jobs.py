@@ -31,15 +31,21 @@ def job_states(updates: DataFrame) -> DataFrame:
     return updates.groupBy("job_id").agg(F.max_by("status", "at").alias("status"), F.max("at").alias("at"))
 
 
-def into_snapshot(files: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append each micro-batch's files that the snapshot doesn't have yet."""
+def into_snapshot(files: DataFrame, path: str, checkpoint: str, parts: int = 256) -> StreamingQuery:
+    """Append each micro-batch's files that the snapshot doesn't have yet: a path with a content that it had before isn't new.
+
+    The snapshot is an index by hash of (repo_id, path) in `parts` folders, and a batch reads only the keys of the folders that it touches. A batch that is run again after a loss finds what it has written
+    and adds the rest. Which folders those are, `parts` numbers at most, is all that comes to the driver."""
+    key = ["repo_id", "path", "content_hash"]
+    schema = files.withColumn("part", F.lit(0)).schema
+    files.sparkSession.createDataFrame([], schema).write.mode("ignore").partitionBy("part").parquet(path)
 
     def merge(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.dropDuplicates(["repo_id", "path", "content_hash"])
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-            rows = rows.join(spark.read.parquet(path).select("repo_id", "path", "content_hash"), ["repo_id", "path", "content_hash"], "left_anti")
-        rows.write.mode("append").parquet(path)
+        rows = batch.dropDuplicates(key).withColumn("part", F.pmod(F.xxhash64("repo_id", "path"), F.lit(parts)).cast("int")).persist()
+        touched = [r.part for r in rows.select("part").distinct().collect()]
+        if touched:
+            known = batch.sparkSession.read.schema(schema).parquet(path).where(F.col("part").isin(touched)).select("part", *key)
+            rows.join(known, ["part", *key], "left_anti").repartition("part", F.pmod(F.xxhash64("path"), F.lit(8))).select(*schema.names).write.mode("append").partitionBy("part").parquet(path)
+        rows.unpersist()
 
     return files.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

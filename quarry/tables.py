@@ -3,7 +3,8 @@
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -14,3 +15,20 @@ def saved(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="/tmp/spark-"))
     return df.checkpoint()
+
+
+def running(rows: DataFrame, group: str, order: list[str], value: Column) -> DataFrame:
+    """rows with place (from 0, in order, nulls first) and before, the sum of value over the rows of the group that come earlier.
+
+    A prefix sum on two levels: rows are dealt out by ranges of group and order, each range sums its own, and the sums of ranges (a row for each group and range) are added up. No group
+    comes to one task, whatever share of the rows it has."""
+    numbered = saved(rows).withColumn("_row", F.monotonically_increasing_id())
+    keys = [F.col(c) for c in (group, *order, "_row")]
+    laid = saved(numbered.repartitionByRange(*keys).withColumns({"_value": value, "_range": F.spark_partition_id()}))
+    sums = laid.groupBy(group, "_range").agg(F.sum("_value").alias("_sum"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col(group).alias("_group"), F.col("_range").alias("_of"), *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("_sum", "_n")])
+    inside = Window.partitionBy(group, "_range").orderBy(*order, "_row")
+    own = laid.withColumns({"_at": F.row_number().over(inside) - 1, "_own": F.coalesce(F.sum("_value").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    whole = own.join(sums, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_of")))
+    return whole.select(*rows.columns, (F.col("_n_before") + F.col("_at")).alias("place"), (F.col("_sum_before") + F.col("_own")).alias("before"))

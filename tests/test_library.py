@@ -159,7 +159,12 @@ def test_sinks_and_streams(spark, tmp_path):
     out = str(tmp_path / "snapshot")
     sinks.replace_snapshot(a, out)
     sinks.replace_snapshot(a.where("repo_id = 'r1'").withColumn("n", F.lit(9)), out)
-    assert {(r.repo_id, r.n) for r in spark.read.parquet(out).collect()} == {("r1", 9), ("r2", 2)}
+    held = lambda: {(r.repo_id, r.n) for r in sinks.read_snapshot(spark, out, a.schema).collect()}
+    assert held() == {("r1", 9), ("r2", 2)}
+    sinks.replace_snapshot(a.limit(0), out, repositories=spark.createDataFrame([("r2",)], "repo_id string"))
+    assert held() == {("r1", 9)}
+    a.withColumns({"n": F.lit(7), "version": F.lit("lost")}).write.mode("append").partitionBy("version").parquet(f"{out}/rows")  # a run that was lost before its manifest
+    assert held() == {("r1", 9)}
     events = spark.createDataFrame([(i, "click" if i % 2 else "view", i % 3) for i in range(20)], "i int, action string, actor_id int").withColumn("created_at", F.timestamp_seconds(F.col("i") * 10))
     events.write.parquet(str(tmp_path / "events"))
     stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "events")).schema).parquet(str(tmp_path / "events"))
@@ -170,6 +175,44 @@ def test_sinks_and_streams(spark, tmp_path):
     assert {r.n for r in spark.table("off").collect()} == {2}
 
 
+def test_ingest_reads_what_it_touches(spark, tmp_path):
+    schema = "repo_id string, path string, content_hash string, n int"
+    batches = [[("r", "a", "h1", 1), ("r", "b", "h2", 1), ("r", "a", "h1", 1)], [("r", "a", "h1", 2), ("r", "a", "h3", 2), ("s", "a", "h1", 2)], [("s", "a", "h1", 3)]]
+    out, source = str(tmp_path / "index"), str(tmp_path / "in")
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        jobs.into_snapshot(spark.readStream.schema(schema).parquet(source), out, str(tmp_path / "mark"), parts=4).awaitTermination(60)
+    assert sorted((r.repo_id, r.path, r.content_hash, r.n) for r in spark.read.parquet(out).collect()) == [("r", "a", "h1", 1), ("r", "a", "h3", 2), ("r", "b", "h2", 1), ("s", "a", "h1", 2)]
+    lost = jobs.into_snapshot(spark.readStream.schema(schema).parquet(source), out, str(tmp_path / "other mark"), parts=4)  # all again, by a query that knows of nothing
+    lost.awaitTermination(60)
+    assert lost.exception() is None and spark.read.parquet(out).count() == 4
+
+
+def test_trees_are_pruned_and_decoded(spark, tmp_path):
+    files = {"one/src/a.py": "x = 'é'\n".encode(), "one/top.md": b"# hi", "one/node_modules/p/index.js": b"no", "one/src/deep/__pycache__/a.pyc": b"no", "two/a/b/c/d.txt": "höher!".encode("utf-16-le"), "two/latin.txt": "é1x".encode("latin-1"), "two/bom.txt": b"\xff\xfe" + "żłćą".encode("utf-16-le"), "two/large.txt": b"x" * 3000, "two/zero.bin": b"a\0b"}
+    for name, data in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    (tmp_path / "two/link.txt").symlink_to(tmp_path / "one/top.md")
+    got = {f"{r.repo_id}/{r.path}": r.text for r in readers.read_files(spark, str(tmp_path), 2000).collect()}
+    assert got == {"one/src/a.py": "x = 'é'\n", "one/top.md": "# hi", "two/latin.txt": "é1x", "two/bom.txt": "żłćą", "two/zero.bin": None, "two/a/b/c/d.txt": None}
+    assert readers.read_files(spark, str(tmp_path / "one/src/deep")).count() == 0
+
+
+def test_budgets(spark):
+    sizes = [("r", f"p{i:03}", 10 + i % 3) for i in range(300)] + [("s", "a", 5), ("s", "b", 500), (None, "c", 7)]
+    rows = spark.createDataFrame(sizes, "repo_id string, path string, size_bytes long").repartition(7)
+    got, want, before, place = {(r.repo_id, r.path): (r.kept, r.exceeded) for r in classify.within_budget(rows, 200, 400, 1000).collect()}, {}, {}, {}
+    for repo, path, size in sorted(sizes, key=str):
+        if size <= 400:
+            before[repo], place[repo] = before.get(repo, 0) + size, place.get(repo, 0) + 1
+            want[repo, path] = (place[repo] <= 200 and before[repo] <= 1000, before[repo] > 1000)
+    assert got == want
+    commits = spark.createDataFrame([("r", f"s{i:02}", f"2024-01-{1 + i // 2:02} 00:00:00") for i in range(20)] + [("q", "x", "2024-01-01 00:00:00")], "repo_id string, sha string, committed_at string")
+    kept = {(r.repo_id, r.sha, r.truncated) for r in history.newest_commits(commits, 5).collect()}
+    assert kept == {("r", "s18", True), ("r", "s19", True), ("r", "s16", True), ("r", "s17", True), ("r", "s14", True), ("q", "x", False)}
+
+
 def test_visibility_and_pages(spark):
     rows = spark.createDataFrame([(i, i % 3, i % 2) for i in range(12)], "id int, owner_id int, organization_id int")
     members = spark.createDataFrame([(1, 5), (1, 5)], "organization_id int, user_id int")
