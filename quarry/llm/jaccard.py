@@ -5,7 +5,7 @@ the neighbourhoods of rare shingles: of its shingles, rarest first, each set tak
 a neighbourhood. What is rare is told by one count of shingles over all documents, of which the most frequent FREQUENT are sent to each task; the count only orders,
 so it decides the work and never the result. Pairs of a neighbourhood must also fit by size, by place of the shared shingle and by the parities of their sets (below).
 
-First each set is held against the first of its neighbourhoods. Neighbourhoods of more than DIRECT sets, as groups of near copies make them, are joined recursively. A region draws pivots, which are measured against all its members; links among them join classes.
+First each set is held against the first of its neighbourhoods, which joins most classes. Neighbourhoods of more than DIRECT sets outside their largest class are joined recursively. A region draws pivots, which are measured against all its members; links among them join classes.
 Members go to the pivot they are nearest to (its Voronoi region), and by the triangle inequality to every pivot that is at most twice the linking distance farther: a linked
 partner may be at home there. Pivots leave their region, as all their distances are known. Regions of one class are done; large ones draw pivots again, outside their largest class. In small ones, and in those that don't fall
 apart because their windows cover them, pairs of different classes are compared if one of both is at home and their distances from the pivot differ by at most the linking distance; only
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import release, saved, small_batches
-from .simhash import components
+from .simhash import components, majority
 
 SEED = 42
 WORDS, NUMERATOR, DENOMINATOR = 4, 85, 100
@@ -107,18 +107,19 @@ def frequencies(docs: DataFrame, words: int, numerator: int, denominator: int) -
     return keys[order], found.column("rank").to_numpy()[order].astype(np.uint8)
 
 
-def _sketches(words: int, numerator: int, denominator: int, frequent: np.ndarray, ranks: np.ndarray):
+def _sketches(words: int, numerator: int, denominator: int, frequent: np.ndarray, ranks: np.ndarray, prints: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, sizes, bits, keys = [], [], [], []
+            digests, sizes, bits, fps, keys = [], [], [], [], []
             for x in batch.column(2):
                 own = shingles(x.as_py(), words)
                 digests.append(xxhash.xxh128_digest(own.tobytes()))
                 sizes.append(len(own))
                 bits.append(parities(own))
+                fps.append(majority(own) if prints else None)
                 keys.append(rarest_first(own, frequent, ranks)[: prefix_length(len(own), numerator, denominator) if len(own) else 0].view(np.int64))
-            columns = [*batch.columns[:2], pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bits, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "source", "digest", "size", "bits", "keys"])
+            columns = [*batch.columns[:2], pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bits, pa.list_(pa.int64())), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "source", "digest", "size", "bits", "fp", "keys"])
         release()
 
     return run
@@ -127,8 +128,15 @@ def _sketches(words: int, numerator: int, denominator: int, frequent: np.ndarray
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [shingles(x.as_py(), words).tobytes() for x in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh128_digest(x) for x in own], pa.binary()), pa.array(own, pa.binary())], names=["digest", "hashes"])
+            nodes, sets, done = [], [], set()
+            for node, digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if node not in done:
+                    own = shingles(text.as_py(), words).tobytes()
+                    if xxhash.xxh128_digest(own) == digest:
+                        done.add(node)
+                        nodes.append(node)
+                        sets.append(own)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "hashes"])
         release()
 
     return run
@@ -145,15 +153,16 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Join:
-    """The classes of a table of texts. rows: row (a long, given back), text. Texts are read three times and never stored or shuffled whole, but those in pairs
+    """The classes of a table of texts. rows: row (anything, given back), text. Texts are read three times and never stored or shuffled whole, but those in pairs
     beyond BROADCAST_IDS of them."""
 
-    def __init__(self, rows: DataFrame, words: int = WORDS, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, direct: int = DIRECT):
+    def __init__(self, rows: DataFrame, words: int = WORDS, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, direct: int = DIRECT, prints: bool = False):
+        """prints: whether sets get a SimHash fingerprint, fp."""
         self.words, self.numerator, self.denominator, self.direct, self.eps = words, numerator, denominator, direct, 1 - numerator / denominator
         self.rows = rows.select("row", F.xxhash64("text").alias("source"), "text")
-        sketch = _sketches(words, numerator, denominator, *frequencies(rows, words, numerator, denominator))
-        self.own = saved(small_batches(self.rows).mapInArrow(sketch, "row long, source long, digest binary, size int, bits array<long>, keys array<long>"))
-        picked = [F.first(c).alias(c) for c in ("source", "size", "bits", "keys")]
+        sketch = _sketches(words, numerator, denominator, *frequencies(rows, words, numerator, denominator), prints)
+        self.own = saved(small_batches(self.rows).mapInArrow(sketch, f"row {rows.schema['row'].dataType.simpleString()}, source long, digest binary, size int, bits array<long>, fp long, keys array<long>"))
+        picked = [F.first(c).alias(c) for c in ("source", "size", "bits", "fp", "keys")]
         self.nodes = saved(self.own.where("size > 0").groupBy("digest").agg(*picked)).withColumn("node", F.monotonically_increasing_id())
         self.sets: DataFrame | None = None
 
@@ -206,20 +215,17 @@ class Join:
         return saved(found.select("a", "b", distance.alias("distance"), self._reaches(F.col("common"), "size_a", "size_b").alias("linked")))
 
     def _gathered(self, needed: DataFrame) -> DataFrame:
-        """(node, hashes) of the given nodes, from their texts, picked by hash where they are read."""
+        """(node, hashes) of the given nodes, from their texts, picked by hash where they are read; a text of equal hash and another set is passed over."""
         picked = saved(self.nodes.select("node", "digest", "source").join(needed.hint("merge"), "node", "left_semi"))
-        sources = picked.select("source").distinct()
-        if picked.count() <= BROADCAST_IDS:
-            sources = F.broadcast(sources)
-        sets = small_batches(self.rows.join(sources, "source", "left_semi").select("text")).mapInArrow(_sets(self.words), "digest binary, hashes binary")
-        sets = sets.groupBy("digest").agg(F.first("hashes").alias("hashes"))
-        return saved(sets.join(picked.select("digest", "node").hint("merge"), "digest").select("node", "hashes"))
+        few = picked.count() <= BROADCAST_IDS
+        texts = self.rows.select("source", "text").join(F.broadcast(picked) if few else picked, "source").select("node", "digest", "text")
+        return saved(small_batches(texts).mapInArrow(_sets(self.words), "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes")))
 
     def _mixed(self, members: DataFrame, roots: DataFrame) -> DataFrame:
-        """members (region, node, ...) of regions of several classes, with root, their class, n, the region's size, and largest, its class with most members."""
-        own = members.drop("root", "n", "largest").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        """members (region, node, ...) of regions of several classes, with root, their class, n, the region's size, largest, its class with most members, and outside, how many aren't of it."""
+        own = members.drop("root", "n", "largest", "outside").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
         by_class = own.groupBy("region", "root").agg(F.count(F.lit(1)).alias("m"))
-        most = by_class.groupBy("region").agg(F.max_by("root", F.struct("m", "root")).alias("largest"), F.count(F.lit(1)).alias("classes"), F.sum("m").alias("n")).where("classes > 1")
+        most = by_class.groupBy("region").agg(F.max_by("root", F.struct("m", "root")).alias("largest"), F.count(F.lit(1)).alias("classes"), F.sum("m").alias("n"), (F.sum("m") - F.max("m")).alias("outside")).where("classes > 1")
         return own.join(most.drop("classes").hint("merge"), "region")
 
     def _direct(self, members: DataFrame) -> DataFrame:
@@ -233,7 +239,7 @@ class Join:
     def _divided(self, members: DataFrame, drawn: DataFrame, seen: DataFrame) -> DataFrame:
         """members by Voronoi regions of the pivots drawn (region, pivot), given the measured distances; whole where windows would double a region. Pivots are left out."""
         both = seen.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "distance").unionByName(seen.select(F.col("b").alias("node"), F.col("a").alias("pivot"), "distance"))
-        rest = members.join(drawn.withColumnRenamed("pivot", "node").hint("merge"), ["region", "node"], "left_anti").drop("home", "distance", "divided", "root", "largest")
+        rest = members.join(drawn.withColumnRenamed("pivot", "node").hint("merge"), ["region", "node"], "left_anti").drop("home", "distance", "divided", "root", "n", "largest", "outside")
         away = rest.select("region", "node").join(drawn.hint("merge"), "region").join(both.hint("merge"), ["node", "pivot"])
         to = F.sort_array(F.collect_list(F.struct("distance", "pivot"))).alias("to")  # at most PIVOTS
         reached = away.groupBy("region", "node").agg(to).withColumn("to", F.filter("to", lambda p: p["distance"] <= F.get("to", F.lit(0))["distance"] + 2 * self.eps + 1e-9))
@@ -245,14 +251,11 @@ class Join:
 
     def roots(self) -> DataFrame:
         """(node, root) of all sets that are linked with another."""
-        large, whole = F.col("n") > self.direct, {"distance": F.lit(0.0), "home": F.lit(True)}
-        regions = self.neighbourhoods()
-        pairs, roots = self._stars(regions.where(~large)), None
-        rest = regions.where(~large & (F.col("n") > 2)).withColumns(whole | {"divided": F.lit(False)})
-        members = regions.where(large).withColumns(whole | {"divided": F.lit(True), "root": F.col("node"), "largest": F.lit(-1).cast("long")})
+        regions, members, roots = self.neighbourhoods(), None, None
+        pairs = self._stars(regions)
+        rest = regions.where("n > 2").withColumns({"distance": F.lit(0.0), "home": F.lit(True), "divided": F.lit(True)})
         while True:
-            dense = not members.isEmpty()
-            if dense:
+            if members is not None:
                 slot = F.pmod(F.xxhash64("node"), F.lit(PIVOTS))
                 drawn = saved(members.where("root <> largest").groupBy("region", slot.alias("slot")).agg(F.min("node").alias("pivot")).select("region", "pivot"))
                 met = members.select("region", "node").join(drawn.hint("merge"), "region").where("node <> pivot")
@@ -262,16 +265,17 @@ class Join:
             if roots is not None:
                 edges = edges.unionByName(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
             roots = saved(components(edges))
-            if dense:
-                parts = self._divided(members, drawn, seen)
-                rest = parts if rest is None else rest.unionByName(parts.select(*rest.columns))
+            if members is not None:
+                rest = self._divided(members, drawn, seen)
             if rest is None:
                 return roots
             mixed = saved(self._mixed(rest, roots))
-            again = large & F.col("divided")
+            again = F.col("divided") & (F.col("n") > self.direct) & (F.col("outside") > self.direct)
             pairs, members, rest = saved(self._direct(mixed.where(~again))), mixed.where(again), None
-            if pairs.isEmpty() and members.isEmpty():
-                return roots
+            if members.isEmpty():
+                members = None
+                if pairs.isEmpty():
+                    return roots
 
     def classes(self) -> DataFrame:
         """(row, n_shingles, root): rows of one class have one root; rows without words have none."""

@@ -1,189 +1,31 @@
-"""Near copies by exact Jaccard similarity of word shingles, found with equal SimHash fingerprints and with bands of minima.
+"""Near copies of a corpus: SimHash fingerprints through the covering masks of simhash, then the exact join of jaccard for what fingerprints can't reach.
 
-A text's set is the 64-bit hashes of its runs of five words. Two texts are linked if their sets' Jaccard similarity is 0.8 or more, and a class is
-all that links join. Candidates are pairs with equal fingerprints of these runs, and pairs that agree on one of 24 bands of five minima: a pair at 0.8
-has none with a chance of 0.00007. Each candidate is confirmed with the whole sets.
-SimHash alone can't reach 0.8: such pairs differ in about 10 of 64 bits, and a covering family for that radius has 2^11 - 1 masks of half the bits.
+Two texts are near copies if the Jaccard similarity of their sets of five-word runs is 0.8 or more; a class is all that such links join. Pairs of fingerprints within the radius of the covering family are
+candidates, and each is confirmed with the whole sets: they join most copies at once. At 0.8, though, fingerprints differ in about 10 of 64 bits, for which a covering family has 2^11 - 1 masks. So the
+pairs that are left come from the join in a metric space, which misses none: what is found doesn't hang on a limit or on chance."""
 
-Work is per distinct set. First each set is held against one centre, the least member of the buckets that it shares most of: that joins most of a class
-with a pair a text. Then pairs of a bucket that are still in different classes follow, so no pair of a bucket is left out:
-those of small buckets, and in place of large ones those of buckets of two bands. There the members outside the largest class meet all others."""
-
-from collections.abc import Iterator
-from itertools import repeat
-
-import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, saved, small_batches
-from .simhash import components, majority
+from . import jaccard, simhash
 
-SEED = 42
 SHINGLE_WORDS = 5
-SIMILARITY = 0.8
-BANDS, BAND_ROWS = 24, 5
-PAIRWISE_LIMIT = 32
-# A pair at 0.8 agrees on about eight bands; two of them are so many places apart, but for a chance of about 0.0005.
-STEPS = (1, 2, 5, 7)
-# Pairs that one copy of a set is joined with.
-PAIRS_A_COPY = 64
-SALTS = 16
-# Row ids that go to every task together, to pick texts where they are read; more of them are joined by a shuffle.
-BROADCAST_IDS = 1 << 20
-
-_draw = np.random.default_rng(SEED)
-_FACTORS = _draw.integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SHIFTS = _draw.integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64)
-_FOLD = _draw.integers(0, 2**63, BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def shingles(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED) -> np.ndarray:
-    """Sorted distinct hashes of the runs of words; a shorter text is one run, a text without words has none."""
-    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not tokens:
-        return np.empty(0, dtype="<u8")
-    runs = (b" ".join(tokens[i : i + words]) for i in range(max(1, len(tokens) - words + 1)))
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(seed)), dtype="<u8"))
-
-
-def band_keys(hashes: np.ndarray) -> list[int]:
-    if not len(hashes):
-        return []
-    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(hashes), 1024):
-        np.minimum(least, (hashes[at : at + 1024, None] * _FACTORS + _SHIFTS).min(axis=0), out=least)
-    return (least.reshape(BANDS, BAND_ROWS) * _FOLD).sum(axis=1, dtype=np.uint64).view(np.int64).tolist()
-
-
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        digests, sizes, prints, keys = [], [], [], []
-        for x in batch.column(2):
-            own = shingles(x.as_py())
-            digests.append(xxhash.xxh128_digest(own.tobytes()))
-            sizes.append(len(own))
-            prints.append(majority(own))
-            keys.append(band_keys(own))
-        columns = [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "digest", "size", "fp", "keys"])
-    release()
-
-
-def _pack(hashes: np.ndarray) -> bytes:
-    """The upper 40 bits of each hash, in order: two sets of 20,000 runs agree in one by chance once in some 2,700 pairs."""
-    return np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, 3:]).tobytes()
-
-
-def _unpack(data: pa.Scalar) -> np.ndarray:
-    raw = np.frombuffer(data.as_buffer(), np.uint8).reshape(-1, 5)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, 3:] = raw
-    return out.view("<u8").ravel()
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_pack(shingles(x.as_py())) for x in batch.column(1)], pa.binary())], names=["node", "hashes"])
-    release()
-
-
-def _confirmed(similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = _unpack(x), _unpack(y)
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(common >= similarity * (len(p) + len(q) - common) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
-def _buckets(tables: DataFrame) -> DataFrame:
-    """tables: (node, size, v, key) with n, the size of the bucket, and centre, its least node, with its set's size; buckets of one are left out. Keys are
-    grouped before they are joined."""
-    sizes = tables.groupBy("v", "key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "size")).alias("centre")).where("n > 1")
-    return tables.join(sizes.hint("merge"), ["v", "key"])
-
-
-def _fits(a: str, b: str, similarity: float) -> Column:
-    """Whether sets of these sizes can reach the similarity."""
-    return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
-
-
-def _rooted(tables: DataFrame, roots: DataFrame) -> DataFrame:
-    """tables with root, only of buckets that hold several classes; largest: the class with most members there."""
-    own = tables.join(roots.hint("merge"), "node", "left").select("v", "key", "node", "size", "n", F.coalesce("root", "node").alias("root"))
-    most = own.groupBy("v", "key", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("v", "key").agg(F.max_by("root", F.struct("m", "root")).alias("largest"), F.count(F.lit(1)).alias("classes"))
-    return own.join(most.where("classes > 1").drop("classes").hint("merge"), ["v", "key"])
-
-
-def _all_pairs(small: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of members of different classes, of buckets whose size the caller bounds."""
-    a = small.select("v", "key", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("root").alias("root_a"))
-    b = small.select("v", "key", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
-    met = (a["v"] == b["v"]) & (a["key"] == b["key"]) & (F.col("a") > F.col("b")) & (F.col("root_a") != F.col("root_b")) & _fits("size_a", "size_b", similarity)
-    return a.join(b.hint("merge"), met).select("a", "b")
-
-
-def _outsiders(large: DataFrame, similarity: float) -> DataFrame:
-    """In each bucket, pairs of a member outside the bucket's largest class with every member of another class."""
-    outside = large.where("root <> largest").select("v", "key", F.col("node").alias("x"), F.col("size").alias("size_x"), F.col("root").alias("root_x"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    own = large.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-    met = (own["v"] == outside["v"]) & (own["key"] == outside["key"]) & (own["salt"] == outside["salt"]) & (F.col("root") != F.col("root_x")) & _fits("size", "size_x", similarity)
-    return own.join(outside.hint("merge"), met).select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b"))
-
-
-def _with_sets(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
-    """pairs with the set of one side; sets that stand in many pairs are repeated, so that no key is larger than the others."""
-    copies = pairs.groupBy(F.col(side).alias("node")).agg(F.ceil(F.count(F.lit(1)) / PAIRS_A_COPY).cast("int").alias("copies"))
-    dealt = sets.join(copies.hint("merge"), "node").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).select(F.col("node").alias(side), "salt", F.col("hashes").alias(f"hashes_{side}"))
-    salted = pairs.join(copies.where("copies > 1").withColumnRenamed("node", side).hint("merge"), side, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("a", "b"), F.col("copies")), F.lit(0)).cast("int")).drop("copies")
-    return salted.join(dealt.hint("merge"), [side, "salt"]).drop("salt")
+NUMERATOR, DENOMINATOR = 80, 100
+# The root of texts without words, which are one class.
+WORDLESS = -1
 
 
-def confirmed(pairs: DataFrame, rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Those of pairs (a, b) of row keys whose sets reach the similarity."""
-    pairs = saved(pairs)
-    nodes = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
-    if 2 * pairs.count() <= BROADCAST_IDS:
-        nodes = F.broadcast(nodes)
-    sets = saved(small_batches(rows).select("row", "text").join(nodes, "row", "left_semi").mapInArrow(_sets, "node long, hashes binary"))
-    both = _with_sets(_with_sets(pairs, sets, "a"), sets, "b")
-    return saved(both.select("a", "b", "hashes_a", "hashes_b").mapInArrow(_confirmed(similarity), "a long, b long"))
+class Copies(jaccard.Join):
+    def _stars(self, members: DataFrame) -> DataFrame:
+        """Candidates of the first round: those of the covering masks beside those of the neighbourhoods."""
+        prints = self.nodes.groupBy("fp").agg(F.min("node").alias("first"))
+        equal = self.nodes.select("node", "fp").join(prints.hint("merge"), "fp").where("node > first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+        near = simhash.links(prints.select(F.col("first").alias("node"), "fp"))
+        return super()._stars(members).unionByName(equal).unionByName(near).distinct()
 
 
-def classes(rows: DataFrame, similarity: float = SIMILARITY, pairwise_limit: int = PAIRWISE_LIMIT) -> DataFrame:
-    """rows: row (a long of its own for each), doc_id, text. (row, doc_id, root): rows of one class have one root. Texts without words are one class."""
-    own = saved(small_batches(rows).select("row", F.col("doc_id").cast("long"), "text").mapInArrow(_sketches, "row long, doc_id long, digest binary, size int, fp long, keys array<long>"))
-    nodes = saved(own.groupBy("digest").agg(F.min("row").alias("node"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
-    tables = saved(_buckets(nodes.select("node", "size", F.posexplode("keys").alias("v", "key"))))
-    by_fp = nodes.groupBy("fp").agg(F.min("node").alias("first"))
-    near = nodes.join(by_fp.hint("merge"), "fp").where("node > first").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    # Of a node's centres that with which it shares most bands: one pair a node joins most of each class.
-    stars = tables.where(F.col("node") > F.col("centre.node")).where(_fits("size", "centre.size", similarity)).groupBy(F.col("node").alias("a"), F.col("centre.node").alias("c")).agg(F.count(F.lit(1)).alias("bands"))
-    stars = stars.groupBy("a").agg(F.max_by("c", F.struct("bands", (-F.col("c")).alias("less"))).alias("b"))
-    edges = confirmed(stars.unionByName(near).distinct(), rows, similarity)
-    roots = saved(components(edges))
-    large = F.col("n") > pairwise_limit
-    rest = _all_pairs(_rooted(tables.where(~large), roots), similarity)
-    crowded = saved(_rooted(tables.where(large), roots).select("node").distinct())  # without buckets that are of one class by now
-    if not crowded.isEmpty():
-        dense = nodes.join(crowded.hint("merge"), "node", "left_semi")
-        places, steps = F.sequence(F.lit(0), F.lit(BANDS - 1)), F.array(*[F.lit(s) for s in STEPS])
-        twice = F.flatten(F.transform(steps, lambda s: F.transform(places, lambda v: F.xxhash64(F.get("keys", v), F.get("keys", (v + s) % BANDS)))))
-        finer = saved(_rooted(_buckets(dense.select("node", "size", F.posexplode(twice).alias("v", "key"))), roots))
-        rest = rest.unionByName(_all_pairs(finer.where(~large), similarity)).unionByName(_outsiders(finer.where(large), similarity))
-    more = confirmed(rest.distinct(), rows, similarity)
-    if not more.isEmpty():
-        for side in ("a", "b"):  # between classes, by their roots
-            more = more.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")).hint("merge"), side, "left").withColumn(side, F.coalesce(f"root_{side}", side)).select("a", "b")
-        upper = components(more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()).select(F.col("node").alias("root"), F.col("root").alias("top"))
-        every = nodes.select("node").join(roots.hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-        roots = every.join(upper.hint("merge"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    found = nodes.join(roots.hint("merge"), "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
-    return own.join(found.hint("merge"), "digest").select("row", "doc_id", "root")
+def classes(rows: DataFrame, pairwise_limit: int = jaccard.DIRECT) -> DataFrame:
+    """rows: row (anything that tells rows apart), text. (row, root): rows of one class have one root. Texts without words are one class. pairwise_limit decides
+    the way, not the result: smaller regions are compared directly."""
+    found = Copies(rows.select("row", "text"), SHINGLE_WORDS, NUMERATOR, DENOMINATOR, pairwise_limit, prints=True).classes()
+    return found.select("row", F.coalesce("root", F.lit(WORDLESS)).alias("root"))
