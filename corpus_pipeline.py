@@ -23,11 +23,12 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies (Jaccard of five-word shingles 0.8 or more, see nearcopies) one row stays: that with the smallest id, a row without an id
-    only if the class has no other. Texts without words are one class."""
-    rows = saved(docs.select(*DOCUMENT_COLUMNS).withColumn("row", F.monotonically_increasing_id()))
-    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
-    first = nearcopies.classes(rows).groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.row").alias("row"))
-    return rows.join(first, "row", "left_semi").select(*DOCUMENT_COLUMNS)
+    only if the class has no other. Texts without words are one class. Rows are told apart by 128 bits of hash over all their columns; rows that are equal in all of them are copies."""
+    columns = [F.col(c) for c in DOCUMENT_COLUMNS]
+    named = docs.select(*DOCUMENT_COLUMNS, F.xxhash64(*columns).alias("h1"), F.xxhash64(F.lit("other"), *columns).alias("h2"))
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h1", "h2")
+    first = nearcopies.classes(named.select(row.alias("row"), "text")).groupBy("root").agg(F.min("row").alias("first")).select("first.h1", "first.h2")
+    return named.join(first.hint("merge"), ["h1", "h2"]).dropDuplicates(["h1", "h2"]).select(*DOCUMENT_COLUMNS)
 
 
 def repeats_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
