@@ -4,27 +4,41 @@ Chunks with equal fingerprint sets are first brought down to one. Pairs come fro
 fingerprints with Jaccard similarity t share one of the n - ceil(t n) + 1 rarest of the one with the m - ceil(t m) + 1 rarest of the other, so none is missed, and a
 fingerprint that very many chunks share pairs nobody who has rarer ones."""
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import col, feature_hash, let, token_stream, words
+from ..functions.scalars import col, feature_hash, token_stream, words
 from ..tables import saved
 from .structure import sources, token_shape
 
 
-def winnowed(source, k: int = 12, window: int = 8, tokens=token_stream) -> Column:
-    """Distinct minima over windows of hashed k-grams of the token stream (or what tokens gives for a text); the least hash of a short text."""
-    none = F.array().cast("array<string>")
+def _minima(k: int, window: int):
+    """Lists of tokens to lists of fingerprints, a batch at a time: a k-gram is hashed once, and the least of each window is taken over numbers."""
 
-    def grams(tokens: Column) -> Column:
-        hashed = lambda i: F.substring(F.md5(F.array_join(F.slice(tokens, i, k), " ").cast("binary")), 1, 16)
-        return F.when(F.size(tokens) >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - k + 1, F.lit(1))), hashed)).otherwise(none)
+    def run(tokens: pa.Array) -> pa.Array:
+        words, ends, out = tokens.values.to_pylist(), tokens.offsets.to_pylist(), []
+        for start, end, there in zip(ends, ends[1:], tokens.is_valid().to_pylist()):
+            own = words[start:end] if there else []
+            if len(own) < k:
+                out.append([])
+                continue
+            digests = b"".join([hashlib.md5(" ".join(own[i : i + k]).encode()).digest()[:8] for i in range(len(own) - k + 1)])
+            hashes = np.frombuffer(digests, ">u8").astype(np.uint64)
+            least = np.lib.stride_tricks.sliding_window_view(hashes, window).min(axis=1) if len(hashes) > window else hashes.min(keepdims=True)
+            out.append([f"{x:016x}" for x in np.unique(least).tolist()])
+        return pa.array(out, pa.list_(pa.string()))
 
-    def minima(hashes: Column) -> Column:
-        each = F.transform(F.sequence(F.lit(1), F.greatest(F.size(hashes) - window + 1, F.lit(1))), lambda i: F.array_min(F.slice(hashes, i, window)))
-        return F.when(F.size(hashes) > window, each).when(F.size(hashes) > 0, F.array(F.array_min(hashes))).otherwise(none)
+    return F.arrow_udf(run, "array<string>")
 
-    return F.coalesce(let(tokens(source), lambda t: let(grams(t), lambda h: F.array_sort(F.array_distinct(minima(h))))), none)
+
+def winnowed(source, k: int = 12, window: int = 8, tokens=token_stream) -> Column:
+    """Distinct minima over windows of hashed k-grams of the token stream (or what tokens gives for a text), sorted; the least hash of a short text, none where there is no k-gram. Texts become tokens in expressions;
+    only tokens go to Python, in batches."""
+    return _minima(k, window)(tokens(source))
 
 
 def chunks(files: DataFrame, k: int = 12, window: int = 8) -> DataFrame:
