@@ -4,6 +4,8 @@ VIEWS: name -> (base table, {column: expression}). `view` gives the DataFrame, `
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..tables import spread
+
 # One of these lines stands in each file of the view code: what rules of security, artefacts, tutorials, tests and frameworks look for, and lines that only look alike.
 SAMPLES = [
     "cursor.execute('select * from t where id = ' + x)", "db.execute(f'select * from {t}')", "subprocess.run(cmd, shell=True)", "os.system('rm ' + name)", "exec('ls ' + dir)", "eval(user_input)", "pickle.loads(data)", "eval(body.code)",
@@ -116,7 +118,10 @@ for _name in ("commits", "branches", "tags", "commit_files"):
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     base, columns = VIEWS[name]
-    return spark.read.parquet(f"{sf_dir}/{base}.parquet").selectExpr(*[f"{e} as {c}" for c, e in columns.items()])
+    table = spark.read.parquet(f"{sf_dir}/{base}.parquet")
+    if base == "documents":  # what is done with texts takes much longer than to deal them out
+        table = spread(table)
+    return table.selectExpr(*[f"{e} as {c}" for c, e in columns.items()])
 
 
 def with_views(*names: str) -> str:

@@ -17,6 +17,12 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table read from files, dealt out over all cores where its files come in fewer parts than there are cores (few files of one row group); else as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def running(rows: DataFrame, group: str, order: list[str], value: Column) -> DataFrame:
     """rows with place (from 0, in order, nulls first) and before, the sum of value over the rows of the group that come earlier.
 
