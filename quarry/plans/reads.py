@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, scalars
 from ..operators import classify, evidence, graph, history, jobs, lines, measures, ownership, people, scoring, serving, similarity, skills, structure
+from ..sources import reports
 from . import project
 from .code import SQL_CODE, SQL_ENTITIES, SQL_FILES, register_code
 from .queries import ORACLES, SQL_CLOSURE, SQL_LATEST, listed, quoted, r6, register, rounded, sql_skills
@@ -241,3 +242,32 @@ register("j22_operations", lambda t: serving.recent_counts(t("runs").where("stat
 register("j24_job_monitor", lambda t: serving.job_monitor(t("runs"), t("repositories").groupBy("repo_id").agg(F.min("full_name").alias("full_name")), 50, 10, "FAILED").select("run_id", "full_name", "total"), ", r as (select repo_id, min(full_name) as full_name from repositories group by all) select run_id, full_name, (select count(*) from runs where status = 'FAILED') as total from runs left join r using (repo_id) where status = 'FAILED' order by created_at desc, run_id desc limit 50 offset 10", ("runs", "repositories"))
 register("j25_failures", lambda t: serving.failure_list(t("runs").where("status = 'FAILED'").withColumn("failure_id", F.col("run_id")), 100).select("failure_id", "repo_id"), "select run_id as failure_id, repo_id from runs where status = 'FAILED' order by created_at desc, run_id desc limit 100", ("runs",))
 register("e4_statistics", lambda t: rounded(t("audit").groupBy("action").agg(F.avg("value").alias("mean_value"), F.max("value").alias("max_value"), F.median("value").alias("median_value"), F.stddev_pop("value").alias("spread")), "mean_value", "median_value", "spread").join(serving.commonest(t("audit"), "action", "actor_id").withColumnRenamed("actor_id", "commonest"), "action"), ", n as (select action, actor_id, count(*) as n from audit group by all), c as (select action, actor_id as commonest from n qualify row_number() over (partition by action order by n desc, actor_id) = 1), s as (select action, round(avg(value), 6) as mean_value, max(value) as max_value, round(median(value), 6) as median_value, round(stddev_pop(value), 6) as spread from audit group by action) select s.*, commonest from s join c using (action)", ("audit",))
+
+
+# -- the whole report
+
+
+def _report(t) -> DataFrame:
+    """Reports of all evaluations, an analysis standing for the repository; findings and similar rows by its id."""
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    tables = {
+        "scores": t("category_scores").groupBy("evaluation_id", "category").agg(F.max("score").alias("score"), F.max("confidence").alias("weight"), F.min("confidence").alias("confidence")),
+        "findings": t("findings").select(F.col("analysis_id").alias("repo_id"), name("f", "finding_id").alias("title"), "severity", F.lit("a.py").alias("path"), F.lit(1).alias("line_no"), F.round("confidence", 6).alias("confidence")),
+        "similarity": t("similar_rows").select(F.col("analysis_id").alias("repo_id"), "scope", name("s", "row_id").alias("source"), F.lit("m").alias("matched"), F.round("similarity", 6).alias("similarity")),
+        "notes": t("notes_on").select("evaluation_id", name("n", "note_id").alias("author"), F.lit("").alias("body"), "created_at", "visible_to_candidate"),
+        "overrides": t("overrides").groupBy("evaluation_id", "category").agg(F.max("new_score").alias("new_score"), F.max("created_at").alias("created_at")),
+        "candidates": t("candidates").select("candidate_id", "display_name"),
+    }
+    e = reports.full_report(t("evaluations").withColumn("repo_id", F.col("evaluation_id")), tables)
+    joined = lambda c, f: F.array_join(F.transform(c, lambda x: x[f]), ",").alias(c)
+    return e.select("evaluation_id", F.col("candidate.display_name").alias("candidate"), joined("scores", "category"), joined("security", "title"), joined("external_matches", "source"), joined("notes", "author"), joined("overrides", "category"), F.size("questions").alias("n_questions"))
+
+
+SQL_REPORT = """, sc as (select evaluation_id as k, category as x, row_number() over (partition by evaluation_id order by w desc, category) as p from (select evaluation_id, category, max(confidence) as w from category_scores group by all)),
+fi as (select analysis_id as k, 'f' || finding_id as x, row_number() over (partition by analysis_id order by round(confidence, 6) desc, 'f' || finding_id) as p from findings),
+si as (select analysis_id as k, 's' || row_id as x, row_number() over (partition by analysis_id order by round(similarity, 6) desc, 's' || row_id) as p from similar_rows where scope = 'external'),
+no as (select evaluation_id as k, 'n' || note_id as x, row_number() over (partition by evaluation_id order by created_at desc, 'n' || note_id) as p from notes_on where visible_to_candidate),
+ov as (select evaluation_id as k, category as x, row_number() over (partition by evaluation_id order by c desc, category) as p from (select evaluation_id, category, max(created_at) as c from overrides group by all))
+select e.evaluation_id, c.display_name as candidate, """ + ", ".join(f"coalesce((select string_agg(x, ',' order by p) from {t} where k = e.evaluation_id and p <= {n}), '') as {name}" for t, name, n in [("sc", "scores", 20), ("fi", "security", 25), ("si", "external_matches", 10), ("no", "notes", 50), ("ov", "overrides", 50)]) + """, 0 as n_questions
+from evaluations e left join candidates c using (candidate_id)"""
+register("j26_full_report", _report, SQL_REPORT, ("evaluations", "category_scores", "findings", "similar_rows", "notes_on", "overrides", "candidates"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quarry.functions import scalars
 from quarry.operators import classify, dependencies, graph, history, lines, scoring, security, serving, similarity
 from quarry.plans.queries import ORACLES, QUERIES
-from quarry.sources import readers, sinks
+from quarry.sources import readers, reports, sinks
 from quarry.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
@@ -221,3 +221,25 @@ def test_visibility_and_pages(spark):
     commits = spark.createDataFrame([("r", "s1", "1+ann@x.org", False), ("r", "s2", "ann@x.org", False), ("r", "s3", "bob@x.org", False), ("r", "s4", "ann@x.org", True)], "repo_id string, sha string, author_email string, is_merge boolean")
     emails = spark.createDataFrame([("Ann@x.org",)], "email string")
     assert {r.sha for r in history.candidate_commits(commits, emails).collect()} == {"s1", "s2"}
+
+
+def test_full_report(spark):
+    e = spark.createDataFrame([(1, "r1", 5, 7, 71.5, "verified"), (2, "r2", 6, 8, None, None)], "evaluation_id int, repo_id string, candidate_id int, job_id int, overall double, verification_status string")
+    tables = {
+        "repositories": spark.createDataFrame([("r1", "org/one"), (None, "none")], "repo_id string, full_name string"),
+        "scores": spark.createDataFrame([(1, "a", 50.0, 0.2, 0.9), (1, "b", None, 0.8, 0.4)], "evaluation_id int, category string, score double, weight double, confidence double"),
+        "evidence": spark.createDataFrame([(1, "tested well", "testing", "strength", 0.9), (1, "no readme", "documentation", "weakness", 0.5), (1, "own work", "ownership", "strength", 0.95)], "evaluation_id int, claim string, category string, supports string, confidence double"),
+        "findings": spark.createDataFrame([("r1", f"f{i:03}", "high", "a.py", i, 0.5) for i in range(400)], "repo_id string, title string, severity string, path string, line_no int, confidence double"),
+        "similarity": spark.createDataFrame([("r1", "internal", "x", "y", 0.9), ("r1", "external", "x", "z", 0.7)], "repo_id string, scope string, source string, matched string, similarity double"),
+        "notes": spark.createDataFrame([(1, "ann", "fine", "2024-01-01", True), (1, "bob", "secret", "2024-01-02", False)], "evaluation_id int, author string, body string, created_at string, visible_to_candidate boolean"),
+    }
+    got = {r.evaluation_id: r for r in reports.full_report(e, tables).collect()}
+    one = got[1]
+    assert one.repository.full_name == "org/one" and [s.category for s in one.scores] == ["b", "a"] and [s.claim for s in one.strengths] == ["own work", "tested well"]
+    assert len(one.security) == 25 and one.security[0].line_no == 0 and [m.matched for m in one.external_matches] == ["z"] and [n.author for n in one.notes] == ["ann"] and one.questions == [] and got[2].scores == [] and got[2].repository is None
+    assert [len(r.notes) for r in reports.full_report(e, tables, private=True).orderBy("evaluation_id").collect()] == [2, 0]
+    text = {r.evaluation_id: r.report for r in reports.as_markdown(reports.full_report(e, tables)).collect()}
+    assert "- overall: 71.5" in text[1] and "| b | not measured | 80% | 40% |" in text[1] and "- **no readme** (confidence 50%)" in text[1] and "secret" not in text[1] and "None recorded." in text[2]
+    loaded = {r.evaluation_id: json.loads(r.report) for r in reports.as_json(reports.full_report(e, tables)).collect()}
+    assert loaded[1]["security"][24]["title"] == "f024" and loaded[2]["scores"] == []
+    assert reports.full_report(e.limit(0), {}).count() == 0
