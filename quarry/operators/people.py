@@ -54,13 +54,13 @@ def resume_skills(resumes: DataFrame, taxonomy=fixed.SKILLS) -> DataFrame:
 _n = lambda name: F.coalesce(F.col(name), F.lit(0))
 QUESTIONS = [
     ("code_specific", lambda: _n("max_complexity") > 1, lambda: F.format_string("`%s` in `%s` is the most complex function here, with a complexity of %d. What does it do, and why has it this shape?", "complex_symbol", "complex_path", _n("max_complexity").cast("int")), "medium", ["what the function is responsible for", "why the branching is necessary", "how it is tested or verified"]),
-    ("code_specific", lambda: _n("duplication") > 0.1, lambda: F.format_string("About %.0f%% of the code blocks are duplicated. Where does that come from, and which would you factor out first?", _n("duplication") * 100.0), "medium", ["explains the origin of the duplication", "distinguishes incidental from intentional repetition", "proposes a concrete abstraction"]),
-    ("architecture", lambda: _n("hub_fan_in") > 0, lambda: F.format_string("`%s` is imported by %d other modules, more than anything else. How would you change its interface without breaking its callers?", "hub", _n("hub_fan_in").cast("int")), "hard", ["states a single clear responsibility", "recognises the blast radius of a change", "describes a migration or deprecation path"]),
-    ("architecture", lambda: _n("core_layers") == 0, lambda: F.lit("No conventional layers were found. How is the code organised, and how would you restructure it if it doubled?"), "medium", ["explains the current organisation", "proposes a structure that scales", "identifies what would break first"]),
-    ("architecture", lambda: _n("core_layers") > 0, lambda: F.format_string("The repository tells %d layers apart. What rule decides where a new piece of logic goes?", _n("core_layers").cast("int")), "medium", ["articulates the boundary rule", "gives a concrete example", "acknowledges where the codebase breaks the rule"]),
-    ("debugging", lambda: _n("handling") < 0.05, lambda: F.lit("There is almost no error handling. Pick the operation most likely to fail: what happens today when it does?"), "medium", ["names a specific operation", "traces the current failure path", "proposes handling with a visible consequence"]),
+    ("code_specific", lambda: _n("duplication") > 0.1, lambda: F.format_string("About %.0f%% of the code blocks are duplicated. Where does that come from, and which would you factor out first?", _n("duplication") * 100.0), "medium", ["explains the origin of the duplication", "tells repetition by chance from repetition on purpose", "proposes a concrete abstraction"]),
+    ("architecture", lambda: _n("hub_fan_in") > 0, lambda: F.format_string("`%s` is imported by %d other modules, more than anything else. How would you change its interface without breaking its callers?", "hub", _n("hub_fan_in").cast("int")), "hard", ["states a single clear responsibility", "sees how far a change of the interface reaches", "describes a migration or deprecation path"]),
+    ("architecture", lambda: _n("core_layers") == 0, lambda: F.lit("No conventional layers were found. How is the code organised, and how would you restructure it if it doubled?"), "medium", ["explains the current organisation", "proposes a structure that scales", "says which caller fails first"]),
+    ("architecture", lambda: _n("core_layers") > 0, lambda: F.format_string("The repository tells %d layers apart. What rule decides where a new piece of logic goes?", _n("core_layers").cast("int")), "medium", ["states which logic belongs where", "gives a concrete example", "acknowledges where the codebase breaks the rule"]),
+    ("debugging", lambda: _n("handling") < 0.05, lambda: F.lit("There is almost no error handling. Pick the operation most likely to fail: what happens today when it does?"), "medium", ["picks one call that can fail", "traces the current failure path", "proposes handling with a visible consequence"]),
     ("security", lambda: _n("pattern_findings") > 0, lambda: F.format_string("%d insecure pattern(s) were flagged. Which would you fix first, and how would you show that it is fixed?", _n("pattern_findings").cast("int")), "medium", ["explains how it could be exploited", "names a concrete fix", "verifies the fix"]),
-    ("system_design", lambda: _n("source_files") > 0, lambda: F.format_string("With %d source files today, what would you change first for a hundred times the load?", _n("source_files").cast("int")), "hard", ["identifies the bottleneck", "proposes a measurable change", "considers the trade-offs"]),
+    ("system_design", lambda: _n("source_files") > 0, lambda: F.format_string("With %d source files today, what would you change first for a hundred times the load?", _n("source_files").cast("int")), "hard", ["finds what is full first", "proposes a measurable change", "considers the trade-offs"]),
     ("testing", lambda: _n("test_cases") == 0, lambda: F.lit("No tests were detected. Which module would you test first, and what would the first test assert?"), "medium", ["names a module and a behaviour", "states an assertion", "explains the choice"]),
     ("testing", lambda: _n("test_cases") > 0, lambda: F.format_string("There are %d test cases. Which behaviour that matters is not covered by them?", _n("test_cases").cast("int")), "medium", ["names an uncovered behaviour", "explains the risk", "sketches the test"]),
     ("ownership", lambda: _n("commit_count") > 0, lambda: F.format_string("The history has %d commits on %d days. Which change taught you most, and what did it replace?", _n("commit_count").cast("int"), _n("active_days").cast("int")), "easy", ["refers to a real change", "compares before and after", "reflects on the decision"]),

@@ -198,6 +198,12 @@ def taxonomy_listing(spark, skills=fixed.SKILLS) -> DataFrame:
     return spark.createDataFrame([(r[0], r[1], r[2], ",".join(n for i, n in kinds if r[i])) for r in skills], "skill string, label string, dimension string, sources string")
 
 
+def taxonomy_usage(spark, mentions: DataFrame, skills=fixed.SKILLS) -> DataFrame:
+    """taxonomy_listing() with how many texts name each skill and how often; mentions: (id, skill, n_mentions). Skills that no text names have zeros."""
+    used = mentions.groupBy("skill").agg(F.count(F.lit(1)).alias("n_texts"), F.sum("n_mentions").cast("long").alias("n_mentions"))
+    return taxonomy_listing(spark, skills).join(used, "skill", "left").fillna(0, ["n_texts", "n_mentions"])
+
+
 def policy_listing(versions: DataFrame, organization_id=None, history: bool = False) -> DataFrame:
     """versions (policy_key, organization_id, version, is_current): an organisation's and the shared ones; only current ones unless history is asked for; newest version first."""
     some = versions if organization_id is None else versions.where(F.col("organization_id").isNull() | (F.col("organization_id") == organization_id))

@@ -47,7 +47,8 @@ register("g56_measured_match", lambda t: rounded(scoring.job_match(jobs.requirem
 register("e15_dimension_coverage", lambda t: rounded(jobs.dimension_coverage(_wanted(t).withColumn("dimension", F.concat(F.lit("d"), F.expr("cast(substring(skill, 6) as int) % 5"))), t("strengths").groupBy("repo_id", "skill").agg(F.least(F.lit(1.0), F.max("value")).alias("strength"))), "coverage"),
     ", st as (select repo_id, skill, least(1.0, max(value)) as strength from strengths group by all), w as (select distinct p_partkey % 25 as job_id, 'skill' || (p_partkey % 60) as skill, 'd' || (p_partkey % 60 % 5) as dimension from part), n as (select job_id, dimension, count(*) as n from w group by all) select w.job_id, st.repo_id, w.dimension, round(100 * sum(strength) / any_value(n), 6) as coverage from w join st using (skill) join n on n.job_id = w.job_id and n.dimension = w.dimension group by all", ("strengths",))
 register("g57_engineering_dna", lambda t: rounded(scoring.engineering_dna(skills.skill_strength(project.evidence(t)), F.broadcast(skills.catalogue(project.code(t).sparkSession))), "value"))
-register("j16_taxonomy", lambda t: serving.taxonomy_listing(t("region").sparkSession).crossJoin(t("region").agg(F.count(F.lit(1)).alias("n_regions"))), "select * from (values " + ", ".join(f"('{r[0]}', {quoted(r[1])}, '{r[2]}', '{','.join(n for i, n in [(4, 'dependencies'), (5, 'imports'), (6, 'languages'), (7, 'paths')] if r[i])}')" for r in fixed.SKILLS) + ") s(skill, label, dimension, sources), (select count(*) as n_regions from region)")
+register("j16_taxonomy", lambda t: serving.taxonomy_usage(t("notes").sparkSession, skills.extract(t("notes"))),
+    f", {sql_skills('notes')}, lx as (select * from (values " + ", ".join(f"('{r[0]}', {quoted(r[1])}, '{r[2]}', '{','.join(n for i, n in [(4, 'dependencies'), (5, 'imports'), (6, 'languages'), (7, 'paths')] if r[i])}')" for r in fixed.SKILLS) + ") s(skill, label, dimension, sources)), us as (select skill, count(*) as n_texts, sum(n_mentions)::bigint as n_mentions from skills group by skill) select lx.*, coalesce(n_texts, 0) as n_texts, coalesce(n_mentions, 0) as n_mentions from lx left join us using (skill)", ("notes",))
 
 # -- ownership, scores, evidence
 
