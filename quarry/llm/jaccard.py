@@ -5,11 +5,11 @@ the neighbourhoods of rare shingles: of its shingles, rarest first, each set tak
 a neighbourhood. What is rare is told by one count of shingles over all documents, of which the most frequent FREQUENT are sent to each task; the count only orders,
 so it decides the work and never the result. Pairs of a neighbourhood must also fit by size, by place of the shared shingle and by the parities of their sets (below).
 
-First each set is held against the first of its neighbourhoods, which joins most classes. Neighbourhoods of more than DIRECT sets outside their largest class are joined recursively. A region draws pivots, which are measured against all its members; links among them join classes.
-Members go to the pivot they are nearest to (its Voronoi region), and by the triangle inequality to every pivot that is at most twice the linking distance farther: a linked
-partner may be at home there. Pivots leave their region, as all their distances are known. Regions of one class are done; large ones draw pivots again, outside their largest class. In small ones, and in those that don't fall
-apart because their windows cover them, pairs of different classes are compared if one of both is at home and their distances from the pivot differ by at most the linking distance; only
-those that pass the bounds are rows. So the recursion ends, is exact, and has no limit beyond which pairs are left out.
+First each set is held against the first of its neighbourhoods, which joins most classes. Neighbourhoods of more than DIRECT sets outside their largest class draw pivots, which are measured against
+all members that can be within twice the linking distance. Members within the linking distance of a pivot go to the nearest, its Voronoi region. By the triangle inequality whatever links with one of them is within
+twice that distance of the pivot: so many boundary sets are repeated there, as a window. Pairs of a region's home and its window are compared if their distances from the pivot differ by at most the linking distance.
+Pivots leave, as all that they link with is known, and what is near no pivot is joined recursively, or directly if few have left. Regions of one class are done. Direct comparisons make rows only of pairs of different
+classes that pass the bounds. So the recursion ends, is exact, and has no limit beyond which pairs are left out.
 
 Copies are one set from the start; links within a class aren't looked for, as the result is classes.
 """
@@ -34,6 +34,8 @@ FREQUENT = 1 << 18
 DIRECT = 32
 PIVOTS = 8
 PARITIES = 8
+# Of the pairs of a crowded region so many are tried first, as most of its links join what is joined already.
+THIN = 16
 # Pairs that one copy of a set is joined with.
 PAIRS_A_COPY = 64
 # Keys that go to every task together, to pick texts where they are read; more of them are joined by a shuffle.
@@ -166,21 +168,21 @@ class Join:
         self.nodes = saved(self.own.where("size > 0").groupBy("digest").agg(*picked)).withColumn("node", F.monotonically_increasing_id())
         self.sets: DataFrame | None = None
 
-    def _fits(self, a: str, b: str) -> Column:
-        return F.least(a, b) * self.denominator >= F.greatest(a, b) * self.numerator
+    def _fits(self, a: str, b: str, numerator: int) -> Column:
+        return F.least(a, b) * self.denominator >= F.greatest(a, b) * numerator
 
-    def _reaches(self, common: Column, a: str, b: str) -> Column:
-        return common * (self.numerator + self.denominator) >= (F.col(a) + F.col(b)) * self.numerator
+    def _reaches(self, common: Column, a: str, b: str, numerator: int) -> Column:
+        return common * (numerator + self.denominator) >= (F.col(a) + F.col(b)) * numerator
 
     def _bounded(self) -> Column:
         """For a pair with size and at (place of the shared shingle) of a and b: sizes fit, and enough shingles follow the shared one if it is their first."""
         behind = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
-        return self._fits("size_a", "size_b") & self._reaches(behind, "size_a", "size_b")
+        return self._fits("size_a", "size_b", self.numerator) & self._reaches(behind, "size_a", "size_b", self.numerator)
 
-    def _even(self) -> Column:
-        """For a pair with size and bits of a and b: their parities are near enough."""
+    def _even(self, numerator: int) -> Column:
+        """For a pair with size and bits of a and b: their parities are near enough for that similarity."""
         differ = sum((F.bit_count(F.get("bits_a", i).bitwiseXOR(F.get("bits_b", i))) for i in range(PARITIES)), F.lit(0))
-        return self._reaches((F.col("size_a") + F.col("size_b") - differ) / 2, "size_a", "size_b")
+        return self._reaches((F.col("size_a") + F.col("size_b") - differ) / 2, "size_a", "size_b", numerator)
 
     def neighbourhoods(self) -> DataFrame:
         """(region, node, size, at, n): sets by shared rare shingle, those that are alone there left out."""
@@ -196,23 +198,26 @@ class Join:
         pairs = met.where(self._bounded()).select("a", "b", "size_a", "size_b").distinct()
         for side in "ab":
             pairs = pairs.join(self.nodes.select(F.col("node").alias(side), F.col("bits").alias(f"bits_{side}")).hint("merge"), side)
-        return pairs.where(self._even()).select("a", "b")
+        return pairs.where(self._even(self.numerator)).select("a", "b")
 
-    def _with_sets(self, pairs: DataFrame, side: str) -> DataFrame:
-        """pairs with the set of one side; sets that stand in many pairs are repeated, so that no key is larger than the others."""
-        copies = pairs.groupBy(F.col(side).alias("node")).agg(F.ceil(F.count(F.lit(1)) / PAIRS_A_COPY).cast("int").alias("copies"))
-        dealt = self.sets.join(copies.hint("merge"), "node").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).select(F.col("node").alias(side), "salt", F.col("hashes").alias(f"hashes_{side}"))
-        salted = pairs.join(copies.where("copies > 1").withColumnRenamed("node", side).hint("merge"), side, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("a", "b"), F.col("copies")), F.lit(0)).cast("int")).drop("copies")
-        return salted.join(dealt.hint("merge"), [side, "salt"]).drop("salt")
+    def _with_sets(self, pairs: DataFrame) -> DataFrame:
+        """pairs with the sets of both sides. Sets that stand in many pairs are repeated, so that no key is larger than the others; a pair carries one set through one shuffle."""
+        dealt = {}
+        for side in "ab":
+            copies = pairs.groupBy(F.col(side).alias("node")).agg(F.ceil(F.count(F.lit(1)) / PAIRS_A_COPY).cast("int").alias("copies"))
+            dealt[side] = self.sets.join(copies.hint("merge"), "node").withColumn(f"salt_{side}", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).select(F.col("node").alias(side), f"salt_{side}", F.col("hashes").alias(f"hashes_{side}"))
+            pairs = pairs.join(copies.where("copies > 1").withColumnRenamed("node", side).hint("merge"), side, "left").withColumn(f"salt_{side}", F.coalesce(F.pmod(F.xxhash64("a", "b"), F.col("copies")), F.lit(0)).cast("int")).drop("copies")
+        pairs = saved(pairs)
+        return pairs.join(dealt["a"].hint("merge"), ["a", "salt_a"]).join(dealt["b"].hint("merge"), ["b", "salt_b"]).select("a", "b", "hashes_a", "hashes_b")
 
     def measured(self, pairs: DataFrame) -> DataFrame:
         """(a, b, distance, linked) of pairs of sets."""
         pairs = saved(pairs)
         self.sets = self._gathered(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
-        both = small_batches(self._with_sets(self._with_sets(pairs, "a"), "b").select("a", "b", "hashes_a", "hashes_b"))
+        both = small_batches(self._with_sets(pairs))
         found = both.mapInArrow(_common, "a long, b long, size_a int, size_b int, common int")
         distance = 1 - F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))
-        return saved(found.select("a", "b", distance.alias("distance"), self._reaches(F.col("common"), "size_a", "size_b").alias("linked")))
+        return saved(found.select("a", "b", distance.alias("distance"), self._reaches(F.col("common"), "size_a", "size_b", self.numerator).alias("linked")))
 
     def _gathered(self, needed: DataFrame) -> DataFrame:
         """(node, hashes) of the given nodes, from their texts, picked by hash where they are read; a text of equal hash and another set is passed over."""
@@ -228,26 +233,40 @@ class Join:
         most = by_class.groupBy("region").agg(F.max_by("root", F.struct("m", "root")).alias("largest"), F.count(F.lit(1)).alias("classes"), F.sum("m").alias("n"), (F.sum("m") - F.max("m")).alias("outside")).where("classes > 1")
         return own.join(most.drop("classes").hint("merge"), "region")
 
-    def _direct(self, members: DataFrame) -> DataFrame:
-        """Distinct pairs (a, b), a > b, of different classes in a region that the bounds let through, one of both at home."""
-        own = members.select("region", "node", "size", "at", "root", "distance", "home").join(self.nodes.select("node", "bits").hint("merge"), "node")
-        left, right = (own.select("region", *[F.col(c).alias(f"{c}_{side}") for c in own.columns if c != "region"]) for side in "ab")
+    def _sketched(self, members: DataFrame) -> DataFrame:
+        return members.join(self.nodes.select("node", "bits").hint("merge"), "node")
+
+    def _direct(self, members: DataFrame, thin: int = 1) -> DataFrame:
+        """Distinct pairs (a, b), a > b, of different classes in a region that the bounds let through, one of both at home. thin: only one of so many pairs, those whose hashes agree."""
+        own = self._sketched(members.select("region", "node", "size", "at", "root", "distance", "home")).withColumn("part", F.pmod(F.xxhash64("node"), F.lit(thin)))
+        left, right = (own.select("region", "part", *[F.col(c).alias(f"{c}_{side}") for c in own.columns if c not in ("region", "part")]) for side in "ab")
         apart = (F.col("root_a") != F.col("root_b")) & (F.col("home_a") | F.col("home_b")) & (F.abs(F.col("distance_a") - F.col("distance_b")) <= self.eps + 1e-9)
-        met = left.join(right.hint("merge"), "region").where((F.col("node_a") > F.col("node_b")) & apart & self._bounded() & self._even())
+        met = left.join(right.hint("merge"), ["region", "part"]).where((F.col("node_a") > F.col("node_b")) & apart & self._bounded() & self._even(self.numerator))
         return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
+    def _to_pivots(self, members: DataFrame, drawn: DataFrame) -> DataFrame:
+        """Pairs (a, b) of members and the pivots (region, pivot) of their region that can be within twice the linking distance."""
+        loose = 2 * self.numerator - self.denominator
+        far = self._sketched(self.nodes.select("node", "size").join(drawn.select(F.col("pivot").alias("node"), "region").hint("merge"), "node")).select("region", *[F.col(c).alias(f"{c}_b") for c in ("node", "size", "bits")])
+        own = self._sketched(members.select("region", "node", "size")).select("region", *[F.col(c).alias(f"{c}_a") for c in ("node", "size", "bits")])
+        met = own.join(far.hint("merge"), "region").where((F.col("node_a") != F.col("node_b")) & self._fits("size_a", "size_b", loose) & self._even(loose))
+        return met.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct()
+
     def _divided(self, members: DataFrame, drawn: DataFrame, seen: DataFrame) -> DataFrame:
-        """members by Voronoi regions of the pivots drawn (region, pivot), given the measured distances; whole where windows would double a region. Pivots are left out."""
+        """members of regions, given their pivots (region, pivot) and the measured distances, as the Voronoi regions of those that are within the linking distance of their nearest pivot, each with its window: all
+        within twice that distance; and what no pivot is near to, as the old region, which is divided again if a quarter of it has left. Pivots are left out, as all that they link with is known."""
         both = seen.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "distance").unionByName(seen.select(F.col("b").alias("node"), F.col("a").alias("pivot"), "distance"))
-        rest = members.join(drawn.withColumnRenamed("pivot", "node").hint("merge"), ["region", "node"], "left_anti").drop("home", "distance", "divided", "root", "n", "largest", "outside")
-        away = rest.select("region", "node").join(drawn.hint("merge"), "region").join(both.hint("merge"), ["node", "pivot"])
-        to = F.sort_array(F.collect_list(F.struct("distance", "pivot"))).alias("to")  # at most PIVOTS
-        reached = away.groupBy("region", "node").agg(to).withColumn("to", F.filter("to", lambda p: p["distance"] <= F.get("to", F.lit(0))["distance"] + 2 * self.eps + 1e-9))
-        reached = saved(rest.join(reached.hint("merge"), ["region", "node"]))
-        crowd = reached.groupBy("region").agg((F.sum(F.size("to")) <= 2 * F.count(F.lit(1))).alias("divided"))
-        placed = reached.join(crowd.hint("merge"), "region")
-        parts = placed.where("divided").select("*", F.posexplode("to").alias("place", "pivot")).withColumns({"region": F.xxhash64("region", "pivot.pivot"), "distance": F.col("pivot.distance"), "home": F.col("place") == 0}).drop("to", "place", "pivot")
-        return parts.unionByName(placed.where(~F.col("divided")).withColumns({"distance": F.lit(0.0), "home": F.lit(True)}).drop("to").select(*parts.columns))
+        rest = members.join(drawn.withColumnRenamed("pivot", "node").hint("merge"), ["region", "node"], "left_anti").select("region", "node", "size", "at", "n")
+        away = rest.join(drawn.hint("merge"), "region").join(both.where(F.col("distance") <= 2 * self.eps + 1e-9).hint("merge"), ["node", "pivot"])
+        nearest = away.groupBy("region", "node").agg(F.min(F.struct("distance", "pivot")).alias("nearest"))
+        away = saved(away.join(nearest.hint("merge"), ["region", "node"]).withColumn("caught", F.col("nearest.distance") <= self.eps + 1e-9))
+        parts = away.withColumns({"home": F.col("caught") & (F.col("pivot") == F.col("nearest.pivot")), "region": F.xxhash64("region", "pivot"), "divided": F.lit(False)})
+        caught = away.where("caught").select("region", "node").distinct()
+        gone = caught.groupBy("region").agg(F.count(F.lit(1)).alias("gone"))
+        left = rest.join(caught.hint("merge"), ["region", "node"], "left_anti").join(gone.hint("merge"), "region", "left")
+        left = left.withColumns({"distance": F.lit(0.0), "home": F.lit(True), "divided": F.coalesce(F.col("gone") * 4 >= F.col("n"), F.lit(False))})
+        columns = ["region", "node", "size", "at", "distance", "home", "divided"]
+        return parts.select(*columns).unionByName(left.select(*columns))
 
     def roots(self) -> DataFrame:
         """(node, root) of all sets that are linked with another."""
@@ -258,8 +277,7 @@ class Join:
             if members is not None:
                 slot = F.pmod(F.xxhash64("node"), F.lit(PIVOTS))
                 drawn = saved(members.where("root <> largest").groupBy("region", slot.alias("slot")).agg(F.min("node").alias("pivot")).select("region", "pivot"))
-                met = members.select("region", "node").join(drawn.hint("merge"), "region").where("node <> pivot")
-                pairs = pairs.unionByName(met.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b"))).distinct()
+                pairs = pairs.unionByName(self._to_pivots(members, drawn)).unionByName(self._direct(members, THIN)).distinct()
             seen = self.measured(pairs)
             edges = seen.where("linked").select("a", "b")
             if roots is not None:
