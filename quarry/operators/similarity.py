@@ -5,6 +5,7 @@ fingerprints with Jaccard similarity t share one of the n - ceil(t n) + 1 rarest
 fingerprint that very many chunks share pairs nobody who has rarer ones."""
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -155,18 +156,24 @@ def hash_embedding(docs: DataFrame, dims: int = 256) -> DataFrame:
     return raw.withColumn("value", F.when(norm > 0, F.col("v") / norm).otherwise(0.0)).select("id", "dim", "value")
 
 
-def top_similar(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int = 1024) -> DataFrame:
+def top_similar(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int = 1024, most: int = 1 << 15) -> DataFrame:
     """queries, vectors: (id, repo_id, embedding). (query_id, place, id, similarity): for each query the k nearest by cosine among vectors of other repositories; ties to the
     smaller id. Zero vectors are near nothing: similarity 0.
 
-    The queries are a stated set: they go to tasks in blocks, and each batch of vectors meets a block as one product of matrices and keeps k a query."""
-    from collections.abc import Iterator
+    The queries are a stated set, which is dealt by hash into passes of about `most`, whatever their number: only one pass's queries, 64 MB at 256 dimensions, are ever sent to tasks together. Each batch of vectors
+    meets them in blocks as products of matrices and keeps k a query."""
+    numbered = saved(queries.select(F.col("id").cast("long"), F.col("repo_id").cast("string"), F.transform("embedding", lambda x: x.cast("double")).alias("e")))
+    passes = max(1, -(-numbered.count() // most))
+    found = [_scanned(numbered.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == i), vectors, k, block) for i in range(passes)]
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 12)), "id"))
+    return reduce(DataFrame.unionByName, found).withColumn("place", place).where(F.col("place") <= k)
 
-    import numpy as np
-    import pyarrow as pa
+
+def _scanned(numbered: DataFrame, vectors: DataFrame, k: int, block: int) -> DataFrame:
+    """(query_id, id, similarity): of each batch of vectors the k nearest to each of the queries, which a caller bounds."""
+    from collections.abc import Iterator
 
     schema = "query_id long, id long, similarity double"
-    numbered = queries.select(F.col("id").cast("long"), F.col("repo_id").cast("string"), F.transform("embedding", lambda x: x.cast("double")).alias("e"))
     asked = numbered.toArrow()
     ids, repos = np.array(asked.column("id").to_pylist(), dtype=np.int64), np.array([str(x) for x in asked.column("repo_id").to_pylist()])
     matrix = np.array(asked.column("e").to_pylist(), dtype=np.float64).reshape(len(ids), -1)
@@ -189,6 +196,4 @@ def top_similar(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int =
                 q = np.broadcast_to(ids[at : at + block, None], top.shape)[real]
                 yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(own[top[real]]), pa.array(score[real])], names=["query_id", "id", "similarity"])
 
-    scored = vectors.select(F.col("id").cast("long"), F.col("repo_id").cast("string"), F.transform("embedding", lambda x: x.cast("double")).alias("e")).mapInArrow(search, schema)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 12)), "id"))
-    return scored.withColumn("place", place).where(F.col("place") <= k)
+    return vectors.select(F.col("id").cast("long"), F.col("repo_id").cast("string"), F.transform("embedding", lambda x: x.cast("double")).alias("e")).mapInArrow(search, schema)

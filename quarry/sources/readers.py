@@ -71,6 +71,15 @@ def read_hosting_repositories(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("id", "full_name", "description", F.coalesce("fork", F.lit(False)).alias("is_fork"), F.coalesce("archived", F.lit(False)).alias("is_archived"), F.coalesce("stargazers_count", F.lit(0)).alias("stars"), F.coalesce("forks_count", F.lit(0)).alias("forks"), "default_branch", F.coalesce("topics", F.array().cast("array<string>")).alias("topics"), F.col("license.name").alias("license"), F.to_timestamp("pushed_at").alias("pushed_at"), F.to_timestamp("created_at").alias("created_at"))
 
 
+def read_hosting_users(spark: SparkSession, path: str) -> DataFrame:
+    """User payloads of a hosting API, exported as JSON lines: who they are and the counts that the API gives. Blank names and addresses are null."""
+    schema = "id long, login string, name string, email string, bio string, company string, location string, blog string, avatar_url string, html_url string, public_repos long, followers long, following long, created_at string"
+    raw = spark.read.schema(schema).json(path)
+    text = lambda c: F.nullif(F.trim(c), F.lit("")).alias(c)
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("public_repos", "followers", "following")]
+    return raw.select("id", "login", text("name"), F.lower(F.nullif(F.trim("email"), F.lit(""))).alias("email"), *[text(c) for c in ("bio", "company", "location", "blog")], "avatar_url", "html_url", *counts, F.try_to_timestamp("created_at").alias("created_at"))
+
+
 def read_issues(spark: SparkSession, path: str) -> DataFrame:
     """Issues of an export without its pull requests."""
     return spark.read.schema("number long, title string, state string, pull_request struct<url:string>").json(path).where("pull_request is null").drop("pull_request")
@@ -78,7 +87,7 @@ def read_issues(spark: SparkSession, path: str) -> DataFrame:
 
 def read_resumes(spark: SparkSession, path: str) -> DataFrame:
     """(candidate_id: the file's name, text) of plain or markdown résumés."""
-    return spark.read.option("wholetext", True).text(path).select(F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("candidate_id"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("candidate_id"), F.col("value").alias("text"))
 
 
 def new_rows(now: DataFrame, before: DataFrame) -> DataFrame:

@@ -243,3 +243,21 @@ def test_full_report(spark):
     loaded = {r.evaluation_id: json.loads(r.report) for r in reports.as_json(reports.full_report(e, tables)).collect()}
     assert loaded[1]["security"][24]["title"] == "f024" and loaded[2]["scores"] == []
     assert reports.full_report(e.limit(0), {}).count() == 0
+
+
+def test_hosting_exports(spark, tmp_path):
+    (tmp_path / "users.json").write_text('{"id": 1, "login": "ann", "name": " ", "email": "Ann@X.org", "followers": 3, "created_at": "2020-01-02T03:04:05Z"}\n{"id": 2, "login": "bob"}\n')
+    one, two = readers.read_hosting_users(spark, str(tmp_path / "users.json")).orderBy("id").collect()
+    assert (one.login, one.name, one.email, one.followers, one.public_repos, one.created_at.year) == ("ann", None, "ann@x.org", 3, 0, 2020) and (two.email, two.created_at) == (None, None)
+    (tmp_path / "issues.json").write_text('{"number": 1, "title": "a", "state": "open"}\n{"number": 2, "title": "b", "state": "open", "pull_request": {"url": "u"}}\n')
+    assert [r.number for r in readers.read_issues(spark, str(tmp_path / "issues.json")).collect()] == [1]
+    (tmp_path / "cv").mkdir()
+    (tmp_path / "cv/ann.md").write_text("# Ann\nSkills")
+    assert [tuple(r) for r in readers.read_resumes(spark, str(tmp_path / "cv")).collect()] == [("ann", "# Ann\nSkills")]
+
+
+def test_queries_in_passes(spark):
+    rows = [(i, f"r{i % 3}", [float((i * 7 + d * 3) % 11 - 5) for d in range(6)]) for i in range(60)]
+    vectors = spark.createDataFrame(rows, "id long, repo_id string, embedding array<double>")
+    got = [sorted(tuple(r) for r in similarity.top_similar(vectors.where("id % 3 < 2"), vectors, 4, most=n).select("query_id", "place", "id", "similarity").collect()) for n in (1 << 15, 9)]
+    assert got[0] == got[1] and len(got[0]) == 160
