@@ -5,6 +5,8 @@ fingerprints with Jaccard similarity t share one of the n - ceil(t n) + 1 rarest
 fingerprint that very many chunks share pairs nobody who has rarer ones."""
 
 import hashlib
+import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -98,9 +100,54 @@ def near_duplicates(chunked: DataFrame, least: float = 0.55) -> tuple[DataFrame,
     return scored.where(F.col("similarity") >= least).select("repo_id", "a", "b", "similarity"), members
 
 
+def dense_embedding(docs: DataFrame, dims: int = 256) -> DataFrame:
+    """hash_embedding() of docs (id, text) as one array a document: (id, embedding); a text without words has zeros."""
+    entries = hash_embedding(docs, dims).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("dim").cast("int"), "value"))).alias("m"))
+    full = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i.cast("int")), F.lit(0.0)))
+    return docs.select("id").distinct().join(entries, "id", "left").select("id", full.alias("embedding"))
+
+
+def hyperplane_keys(vectors: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
+    """vectors (n, embedding): (n, keys): for each table the sides of its random hyperplanes that the vector is on. Two vectors at an angle agree on a side with a chance of one minus angle / 180 degrees."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            matrix = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            planes = np.random.default_rng(seed).standard_normal((matrix.shape[1], bits * tables))
+            keys = ((matrix @ planes > 0).reshape(len(matrix), tables, bits) * (1 << np.arange(bits, dtype=np.int64))).sum(axis=2)
+            offsets = pa.array(np.arange(0, keys.size + 1, tables, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))], names=["n", "keys"])
+
+    return vectors.select("n", "embedding").mapInArrow(run, "n long, keys array<long>")
+
+
+def near_in_meaning(own: DataFrame, other: DataFrame, least: float = 0.6, bits: int = 12, recall: float = 0.9, seed: int = 7) -> DataFrame:
+    """own, other (repo_id, id, embedding of length one or zero): (repo_id, id, matched_repo, matched_id, cosine): for each entry of own, of each different vector in other with a cosine of at least `least` the
+    first entry of another repository. Zero vectors are near nothing.
+
+    Candidates agree on all planes of some table and are reranked with the whole vectors; of pairs just at `least` so many tables find a share of `recall`, of nearer ones more. More bits suit larger corpora: unlike vectors
+    meet in one of 2^bits buckets, at the price of more tables. Work is per different vector, so copies meet only where results are handed back."""
+    chance = (1 - math.acos(least) / math.pi) ** bits
+    tables = math.ceil(math.log(1 - recall) / math.log(1 - chance))
+    real = F.exists("embedding", lambda x: x != 0)
+    a = saved(own.where(real).select("embedding").distinct()).withColumn("n", F.monotonically_increasing_id())
+    first = other.where(real).groupBy("embedding").agg(F.min(F.struct(F.col("repo_id").alias("matched_repo"), F.col("id").alias("matched_id"))).alias("one"))
+    second = other.join(first, "embedding").where(F.col("repo_id") != F.col("one.matched_repo")).groupBy("embedding").agg(F.min(F.struct(F.col("repo_id").alias("matched_repo"), F.col("id").alias("matched_id"))).alias("two"))
+    b = saved(first.join(second, "embedding", "left")).withColumn("m", F.monotonically_increasing_id())
+    left = hyperplane_keys(a, bits, tables, seed).select("n", F.posexplode("keys").alias("table", "key"))
+    right = hyperplane_keys(b.withColumnRenamed("m", "n"), bits, tables, seed).select(F.col("n").alias("m"), F.posexplode("keys").alias("table", "key"))
+    pairs = left.join(right, ["table", "key"]).select("n", "m").distinct()
+    cosine = F.aggregate(F.zip_with("embedding", "other", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    near = pairs.join(a, "n").join(b.withColumnRenamed("embedding", "other"), "m").withColumn("cosine", cosine).where(F.col("cosine") >= least).drop("other", "n", "m")
+    met = own.join(near, "embedding").withColumn("chosen", F.when(F.col("one.matched_repo") != F.col("repo_id"), F.col("one")).otherwise(F.col("two"))).where("chosen is not null")
+    return met.select("repo_id", "id", "chosen.matched_repo", "chosen.matched_id", "cosine")
+
+
 def corpus_matches(chunked: DataFrame, corpus: DataFrame, least: float = 0.45) -> DataFrame:
-    """chunked, corpus (repo_id, id, signature, fingerprints): for each chunk its best entry of another repository, by the larger of Jaccard, 0.9 of containment and 0.7 for
-    the same signature, if at least `least`; ties to the smaller (repository, id). (repo_id, id, matched_repo, matched_id, similarity).
+    """chunked, corpus (repo_id, id, signature, fingerprints, embedding): for each chunk its best entry of another repository, by the larger of Jaccard, 0.9 of containment, 0.7 for
+    the same signature and 0.75 of the embeddings' cosine, if at least `least`; ties to the smaller (repository, id). (repo_id, id, matched_repo, matched_id, similarity). Embeddings may be absent.
 
     A match shares the signature, or, as containment must reach least / 0.9, one of the chunk's n - ceil(n least / 0.9) + 1 rarest fingerprints; so only these are looked up."""
     own = saved(chunked.select("repo_id", "id", "signature", "fingerprints"))
@@ -112,14 +159,24 @@ def corpus_matches(chunked: DataFrame, corpus: DataFrame, least: float = 0.45) -
     rare = spread.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * (least / 0.9) - 1e-9) + 1).where("df is not null")
     by_print = rare.select("repo_id", "id", "f").join(known, "f").where("repo_id <> matched_repo").select("repo_id", "id", "matched_repo", "matched_id")
     # All entries of one signature score alike by it, so the first of another repository stands for them; ties go to it anyhow.
-    firsts = other.groupBy("matched_signature").agg(F.array_sort(F.collect_set(F.struct("matched_repo"))).alias("repos"), F.min(F.struct("matched_repo", "matched_id")).alias("one"))
+    firsts = other.groupBy("matched_signature").agg(F.min(F.struct("matched_repo", "matched_id")).alias("one"))
     second = other.join(firsts.select("matched_signature", F.col("one.matched_repo").alias("taken")), "matched_signature").where("matched_repo <> taken").groupBy("matched_signature").agg(F.min(F.struct("matched_repo", "matched_id")).alias("two"))
-    pairs = own.select("repo_id", "id", F.col("signature").alias("matched_signature")).join(firsts.drop("repos").join(second, "matched_signature", "left"), "matched_signature")
+    pairs = own.select("repo_id", "id", F.col("signature").alias("matched_signature")).join(firsts.join(second, "matched_signature", "left"), "matched_signature")
     chosen = F.when(F.col("one.matched_repo") != F.col("repo_id"), F.col("one")).otherwise(F.col("two"))
     by_shape = pairs.withColumn("m", chosen).where("m is not null").select("repo_id", "id", "m.matched_repo", "m.matched_id")
-    candidates = by_print.unionByName(by_shape).distinct()
+    meant = None
+    if "embedding" in chunked.columns and "embedding" in corpus.columns:
+        vectors = lambda df: df.select(F.col("repo_id").cast("string"), F.col("id").cast("string"), "embedding")
+        meant = saved(near_in_meaning(vectors(chunked), vectors(corpus), least / 0.75))
+    candidates = by_print.unionByName(by_shape)
+    if meant is not None:
+        candidates = candidates.unionByName(meant.drop("cosine"))
+    candidates = candidates.distinct()
     both = candidates.join(own, ["repo_id", "id"]).join(other, ["matched_repo", "matched_id"])
     score = F.greatest(jaccard("fingerprints", "matched_fingerprints"), 0.9 * containment("fingerprints", "matched_fingerprints"), F.when(F.col("signature") == F.col("matched_signature"), 0.7).otherwise(0.0))
+    if meant is not None:
+        both = both.join(meant, ["repo_id", "id", "matched_repo", "matched_id"], "left")
+        score = F.greatest(score, 0.75 * F.coalesce("cosine", F.lit(0.0)))
     best = both.withColumn("similarity", score).where(F.col("similarity") >= least).groupBy("repo_id", "id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "matched_repo", "matched_id")).alias("m"))
     return best.select("repo_id", "id", "m.matched_repo", "m.matched_id", (-F.col("m.s")).alias("similarity"))
 
@@ -171,8 +228,6 @@ def top_similar(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int =
 
 def _scanned(numbered: DataFrame, vectors: DataFrame, k: int, block: int) -> DataFrame:
     """(query_id, id, similarity): of each batch of vectors the k nearest to each of the queries, which a caller bounds."""
-    from collections.abc import Iterator
-
     schema = "query_id long, id long, similarity double"
     asked = numbered.toArrow()
     ids, repos = np.array(asked.column("id").to_pylist(), dtype=np.int64), np.array([str(x) for x in asked.column("repo_id").to_pylist()])

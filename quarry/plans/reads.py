@@ -137,13 +137,23 @@ def _chunks(t) -> DataFrame:
 register_code("g37_chunks", lambda t: _chunks(t).select("repo_id", "id", "signature", F.size("fingerprints").alias("n_fingerprints")))
 register_code("b11_eligible_entities", lambda t: _chunks(t).groupBy("repo_id").agg(F.count(F.lit(1)).alias("n")))
 register_code("a18_corpus", lambda t: similarity.corpus_of(_chunks(t), t("owners").select("repo_id", F.concat(F.lit("org/"), "repo_id").alias("full_name"))).select("repo_id", "full_name", "id"))
-register_code("g40_corpus_matches", lambda t: rounded(similarity.corpus_matches(_chunks(t), _chunks(t)), "similarity"))
+
+
+@project.once
+def _embedded(t) -> DataFrame:
+    """The chunks with their embeddings."""
+    own = _chunks(t).withColumn("name", F.concat_ws("\n", "repo_id", "id"))
+    vectors = similarity.dense_embedding(own.select(F.col("name").alias("id"), F.col("source").alias("text"))).withColumnRenamed("id", "name")
+    return own.join(vectors, "name").drop("name")
+
+
+register_code("g40_corpus_matches", lambda t: rounded(similarity.corpus_matches(_embedded(t), _embedded(t)), "similarity"))
 
 
 def _summary(t) -> DataFrame:
     from ..tables import saved
 
-    own = saved(_chunks(t))
+    own = saved(_embedded(t))
     named = own.select("repo_id", F.col("id").alias("path"), "fingerprints").where(F.size("fingerprints") > 0)
     pairs, members = similarity.near_duplicates(named)
     return rounded(similarity.similarity_summary(own, pairs, members, similarity.corpus_matches(own, own), 1), "internal_ratio", "external_ratio", "max_external")

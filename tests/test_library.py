@@ -261,3 +261,25 @@ def test_queries_in_passes(spark):
     vectors = spark.createDataFrame(rows, "id long, repo_id string, embedding array<double>")
     got = [sorted(tuple(r) for r in similarity.top_similar(vectors.where("id % 3 < 2"), vectors, 4, most=n).select("query_id", "place", "id", "similarity").collect()) for n in (1 << 15, 9)]
     assert got[0] == got[1] and len(got[0]) == 160
+
+
+def test_matches_by_meaning(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((40, 64))
+    near = np.concatenate([base * c + rng.standard_normal(base.shape) * (1 - c * c) ** 0.5 for c in (0.62, 0.7, 0.9, 1.0)])
+    unit = lambda m: (m / np.linalg.norm(m, axis=1, keepdims=True)).tolist()
+    schema = "repo_id string, id string, embedding array<double>"
+    own, other = [("r", f"o{i}", v) for i, v in enumerate(unit(base))] + [("r", "zero", [0.0] * 64)], [(f"s{i % 3}", f"c{i}", v) for i, v in enumerate(unit(near))] + [("r", "own", unit(base)[0]), ("s0", "zero", [0.0] * 64)]
+    found = {(x.id, x.matched_id): x.cosine for x in similarity.near_in_meaning(spark.createDataFrame(own, schema), spark.createDataFrame(other, schema)).collect()}
+    want = {(a[1], b[1]): float(np.dot(a[2], b[2])) for a in own for b in other if a[0] != b[0] and np.dot(a[2], b[2]) >= 0.6}
+    assert set(found) <= set(want) and len(found) >= 0.9 * len(want) > 80 and all(abs(found[k] - want[k]) < 1e-9 for k in found)
+    text = {"a": "load rows from the table and count them by key", "b": "load rows from this table and count them by key now", "c": "entirely different words stand here"}
+    e = {r.id: r.embedding for r in similarity.dense_embedding(spark.createDataFrame([*text.items(), ("d", "")], "id string, text string")).collect()}
+    assert len(e["d"]) == 256 and not any(e["d"]) and abs(np.linalg.norm(e["a"]) - 1) < 1e-9
+    chunk = lambda repo, i: (repo, i, f"sig{i}{repo}", [f"f{i}{repo}"], e[i])
+    chunks = spark.createDataFrame([chunk("r", "a"), chunk("s", "b"), chunk("s", "c"), chunk("t", "d")], "repo_id string, id string, signature string, fingerprints array<string>, embedding array<double>")
+    best = {(x.repo_id, x.id): (x.matched_repo, x.matched_id, round(x.similarity, 6)) for x in similarity.corpus_matches(chunks, chunks).collect()}
+    score = round(0.75 * float(np.dot(e["a"], e["b"])), 6)
+    assert score >= 0.45 and best == {("r", "a"): ("s", "b", score), ("s", "b"): ("r", "a", score)}
