@@ -41,8 +41,12 @@ def test_every_secret_of_a_line_of_any_length(spark):
 
 
 def test_each_document_is_a_file_of_its_own(spark, tmp_path):
+    from quarry.plans import domain
     from quarry.plans.queries import QUERIES
 
     rows = [(i, f"text {i}", "en", "s", 6) for i in range(28)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
-    assert QUERIES["g2_entities"](spark, str(tmp_path)).select("path").distinct().count() == 28
+    paths = {r.path for r in domain.view(spark, str(tmp_path), "code").select("path").collect()}
+    assert len(paths) == 28
+    parsed = {p for p in paths if p.endswith((".py", ".ts", ".js"))}  # files of other kinds have no entities
+    assert len(parsed) == 16 and {r.path for r in QUERIES["g2_entities"](spark, str(tmp_path)).select("path").collect()} == parsed
