@@ -8,6 +8,7 @@ Handled files: normalizer NFC, white space to one space, lower case; pieces by a
 
 import hashlib
 import json
+import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -30,6 +31,9 @@ LATER_LETTERS = (
 )
 # ... and these capitals have small letters that Python's tables may lack.
 LATER_CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B, **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}}
+HAS_LATER_CAPITALS = re.compile("[" + "".join(map(chr, LATER_CAPITALS)) + "]")
+# str.split() takes these for white space as well, which they aren't.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 CACHED_WORDS = 200_000
 # With fewer words of one size, each is merged by itself.
 FEW_ROWS = 32
@@ -211,9 +215,14 @@ class Encoder:
         return regex.split("(" + "|".join(regex.escape(s) for s in sorted(self.specials, key=len, reverse=True)) + ")", text)
 
     def _chunks(self, part: str) -> list[str]:
-        if not part.isascii():
-            part = unicodedata.normalize("NFC", part).translate(LATER_CAPITALS).replace("Σ", "σ")  # characters are lower-cased one by one: no final sigma
-        return regex.split(r"\p{White_Space}+", part.lower())
+        """What stands between white space, as it is: normal forms and lower case don't reach over white space, so new chunks alone are brought to them."""
+        return regex.split(r"\p{White_Space}+", part) if any(c in part for c in SEPARATORS) else part.split()
+
+    def _plain(self, chunk: str) -> str:
+        if chunk.isascii():
+            return chunk.lower()
+        chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")  # characters are lower-cased one by one: no final sigma
+        return (chunk.translate(LATER_CAPITALS) if HAS_LATER_CAPITALS.search(chunk) else chunk).lower()
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids of each text; null is empty."""
@@ -223,7 +232,7 @@ class Encoder:
         new = list({c for parts in split for p in parts if not isinstance(p, str) for c in p}.difference(self.cache))
         if new:
             find = regex.compile(self.pattern, regex.V1).findall
-            pieces = [find(c) for c in new]
+            pieces = [[c] if c.isascii() and c.isalpha() else find(c) for c in map(self._plain, new)]  # ASCII letters are one piece
             names = list({p for ps in pieces for p in ps})
             ids = dict(zip(names, self.merge([p.encode("utf-8", "surrogatepass") for p in names])))
             self.cache.update((c, b"".join([ids[p] for p in ps])) for c, ps in zip(new, pieces))

@@ -83,3 +83,15 @@ def test_a_word_of_a_hundred_thousand_letters_in_seconds(both):
     ids = both[0].encode_batch([word])[0]
     assert time.time() - start < 30
     assert both[0].decode(ids).replace(" ", "").replace("</w>", "") == word
+
+
+def test_known_words_are_not_normalised_again(both, monkeypatch):
+    """Marks after white space and separators that aren't white space, as the library has them; a text of known words costs look-ups alone."""
+    texts = ["É é É ́a Å\x1ca\x1fb\x85c d", "ΟΔΟΣ Σ ꟋᲉ Ωm K", "á̧ ́ ̧<|endoftext|>́x"]
+    same(both, texts)
+    calls, normal = [], bpe.unicodedata.normalize
+    monkeypatch.setattr(bpe.unicodedata, "normalize", lambda form, text: calls.append(text) or normal(form, text))
+    ours = bpe.Encoder(PATH)
+    first = ours.encode_batch(texts)
+    seen = len(calls)
+    assert seen and ours.encode_batch(texts) == first and len(calls) == seen
