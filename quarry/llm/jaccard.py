@@ -15,18 +15,20 @@ Copies are one set from the start; links within a class aren't looked for, as th
 """
 
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import release, saved, small_batches
 from .simhash import components, majority
 
 SEED = 42
+# Odd, and one less is twice an odd number: words that change places change the polynomial. Multiplying by it and shifting loses nothing.
+FACTOR = np.uint64(0x9E3779B97F4A7C17)
+KEPT_WORDS = 200_000
 WORDS, NUMERATOR, DENOMINATOR = 4, 85, 100
 # Shingles that go to every task with their frequency: 9 bytes each.
 FREQUENT = 1 << 18
@@ -38,21 +40,42 @@ PARITIES = 8
 THIN = 16
 # Pairs that one copy of a set is joined with.
 PAIRS_A_COPY = 64
+# Sets whose regions and pairs one task takes; a small table in as many partitions as the session has would be mostly empty files.
+SETS_A_PART = 1 << 14
+LEAST_PARTS = 8
 # Keys that go to every task together, to pick texts where they are read; more of them are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
 
 
-def shingles(text: str | None, words: int = WORDS, seed: int = SEED) -> np.ndarray:
-    """Sorted distinct hashes of the runs of words; a shorter text is one run, a text without words has none."""
+class _Words(dict):
+    """Hashes of words, each made once, of at most KEPT_WORDS words."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        found = self[word] = xxhash.xxh64_intdigest(word, SEED)
+        return found
+
+
+_WORDS = _Words()
+
+
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """Sorted distinct hashes of the runs of words; a shorter text is one run, a text without words has none. A run's hash is a polynomial of its words' hashes, mixed."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
         return np.empty(0, dtype="<u8")
-    joined = b" ".join(tokens)
-    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    last = max(1, len(tokens) - words + 1)
-    runs = map(joined.__getitem__, map(slice, starts[:last].tolist(), ends[min(words, len(tokens)) - 1 :].tolist()))
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(seed)), dtype="<u8", count=last))
+    each = np.fromiter(map(_WORDS.__getitem__, tokens), dtype="<u8", count=len(tokens))
+    length = min(words, len(tokens))
+    last = len(tokens) - length + 1
+    runs = np.full(last, length, dtype="<u8")
+    for i in range(length):
+        runs *= FACTOR
+        runs += each[i : i + last]
+    runs ^= runs >> np.uint64(32)
+    runs *= FACTOR
+    runs ^= runs >> np.uint64(29)
+    return np.unique(runs)
 
 
 def prefix_length(size: int, numerator: int, denominator: int) -> int:
@@ -165,9 +188,18 @@ class Join:
         sketch = _sketches(words, numerator, denominator, *frequencies(rows, words, numerator, denominator), prints)
         self.own = saved(small_batches(self.rows).mapInArrow(sketch, f"row {rows.schema['row'].dataType.simpleString()}, source long, digest binary, size int, bits array<long>, fp long, keys array<long>"))
         picked = [F.first(c).alias(c) for c in ("source", "size", "bits", "fp", "keys")]
-        self.nodes = saved(self.own.where("size > 0").groupBy("digest").agg(*picked)).withColumn("node", F.monotonically_increasing_id())
+        nodes = saved(self.own.where("size > 0").groupBy("digest").agg(*picked)).withColumn("node", F.monotonically_increasing_id())
+        self.parts = max(LEAST_PARTS, -(-nodes.count() // SETS_A_PART))
+        self.nodes = self._few(nodes)
         self.sets: DataFrame | None = None
 
+    def _few(self, df: DataFrame) -> DataFrame:
+        """df in no more partitions than its number of sets is worth."""
+        return df.coalesce(self.parts)
+
+    def _saved(self, df: DataFrame) -> DataFrame:
+        return saved(self._few(df))
+
     def _fits(self, a: str, b: str, numerator: int) -> Column:
         return F.least(a, b) * self.denominator >= F.greatest(a, b) * numerator
 
@@ -187,17 +219,17 @@ class Join:
     def neighbourhoods(self) -> DataFrame:
         """(region, node, size, at, n): sets by shared rare shingle, those that are alone there left out."""
         keyed = self.nodes.select("node", "size", F.posexplode("keys").alias("at", "region"))
-        sizes = keyed.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        return saved(keyed.join(sizes.hint("merge"), "region").select("region", "node", "size", "at", "n"))
+        counted = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("region")))
+        return self._saved(counted.where("n > 1").select("region", "node", "size", "at", "n"))
 
     def _stars(self, members: DataFrame) -> DataFrame:
         """Distinct pairs (a, b) of the first set of each region and every other that the bounds let through."""
         least = members.groupBy("region").agg(F.min(F.struct("node", "size", "at")).alias("least"))
         met = members.join(least.hint("merge"), "region").where("node > least.node")
         met = met.select(F.col("node").alias("a"), F.col("least.node").alias("b"), F.col("size").alias("size_a"), F.col("least.size").alias("size_b"), F.col("at").alias("at_a"), F.col("least.at").alias("at_b"))
-        pairs = met.where(self._bounded()).select("a", "b", "size_a", "size_b").distinct()
+        pairs = self._few(met.where(self._bounded()).select("a", "b", "size_a", "size_b")).distinct()
         for side in "ab":
-            pairs = pairs.join(self.nodes.select(F.col("node").alias(side), F.col("bits").alias(f"bits_{side}")).hint("merge"), side)
+            pairs = self._few(pairs).join(self.nodes.select(F.col("node").alias(side), F.col("bits").alias(f"bits_{side}")).hint("merge"), side)
         return pairs.where(self._even(self.numerator)).select("a", "b")
 
     def _with_sets(self, pairs: DataFrame) -> DataFrame:
@@ -206,35 +238,37 @@ class Join:
         for side in "ab":
             copies = pairs.groupBy(F.col(side).alias("node")).agg(F.ceil(F.count(F.lit(1)) / PAIRS_A_COPY).cast("int").alias("copies"))
             dealt[side] = self.sets.join(copies.hint("merge"), "node").withColumn(f"salt_{side}", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).select(F.col("node").alias(side), f"salt_{side}", F.col("hashes").alias(f"hashes_{side}"))
-            pairs = pairs.join(copies.where("copies > 1").withColumnRenamed("node", side).hint("merge"), side, "left").withColumn(f"salt_{side}", F.coalesce(F.pmod(F.xxhash64("a", "b"), F.col("copies")), F.lit(0)).cast("int")).drop("copies")
-        pairs = saved(pairs)
-        return pairs.join(dealt["a"].hint("merge"), ["a", "salt_a"]).join(dealt["b"].hint("merge"), ["b", "salt_b"]).select("a", "b", "hashes_a", "hashes_b")
+            pairs = pairs.join(copies.where("copies > 1").withColumnRenamed("node", side).hint("merge"), side, "left")
+            pairs = self._few(pairs).withColumn(f"salt_{side}", F.coalesce(F.pmod(F.xxhash64("a", "b"), F.col("copies")), F.lit(0)).cast("int")).drop("copies")
+        pairs = self._saved(pairs)
+        with_a = self._few(pairs.join(self._few(dealt["a"]).hint("merge"), ["a", "salt_a"]))
+        return with_a.join(self._few(dealt["b"]).hint("merge"), ["b", "salt_b"]).select("a", "b", "hashes_a", "hashes_b")
 
     def measured(self, pairs: DataFrame) -> DataFrame:
         """(a, b, distance, linked) of pairs of sets."""
-        pairs = saved(pairs)
-        self.sets = self._gathered(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
-        both = small_batches(self._with_sets(pairs))
+        pairs = self._saved(pairs)
+        self.sets = self._gathered(self._few(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))).distinct())
+        both = small_batches(self._few(self._with_sets(pairs)))
         found = both.mapInArrow(_common, "a long, b long, size_a int, size_b int, common int")
         distance = 1 - F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))
-        return saved(found.select("a", "b", distance.alias("distance"), self._reaches(F.col("common"), "size_a", "size_b", self.numerator).alias("linked")))
+        return self._saved(found.select("a", "b", distance.alias("distance"), self._reaches(F.col("common"), "size_a", "size_b", self.numerator).alias("linked")))
 
     def _gathered(self, needed: DataFrame) -> DataFrame:
         """(node, hashes) of the given nodes, from their texts, picked by hash where they are read; a text of equal hash and another set is passed over."""
-        picked = saved(self.nodes.select("node", "digest", "source").join(needed.hint("merge"), "node", "left_semi"))
+        picked = self._saved(self.nodes.select("node", "digest", "source").join(self._few(needed).hint("merge"), "node", "left_semi"))
         few = picked.count() <= BROADCAST_IDS
         texts = self.rows.select("source", "text").join(F.broadcast(picked) if few else picked, "source").select("node", "digest", "text")
-        return saved(small_batches(texts).mapInArrow(_sets(self.words), "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes")))
+        return self._saved(small_batches(texts).mapInArrow(_sets(self.words), "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes")))
 
     def _mixed(self, members: DataFrame, roots: DataFrame) -> DataFrame:
         """members (region, node, ...) of regions of several classes, with root, their class, n, the region's size, largest, its class with most members, and outside, how many aren't of it."""
-        own = members.drop("root", "n", "largest", "outside").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        by_class = own.groupBy("region", "root").agg(F.count(F.lit(1)).alias("m"))
+        own = self._few(members.drop("root", "n", "largest", "outside").join(roots.hint("merge"), "node", "left")).withColumn("root", F.coalesce("root", "node"))
+        by_class = self._few(own.groupBy("region", "root").agg(F.count(F.lit(1)).alias("m")))
         most = by_class.groupBy("region").agg(F.max_by("root", F.struct("m", "root")).alias("largest"), F.count(F.lit(1)).alias("classes"), F.sum("m").alias("n"), (F.sum("m") - F.max("m")).alias("outside")).where("classes > 1")
         return own.join(most.drop("classes").hint("merge"), "region")
 
     def _sketched(self, members: DataFrame) -> DataFrame:
-        return members.join(self.nodes.select("node", "bits").hint("merge"), "node")
+        return self._few(members.join(self.nodes.select("node", "bits").hint("merge"), "node"))
 
     def _direct(self, members: DataFrame, thin: int = 1) -> DataFrame:
         """Distinct pairs (a, b), a > b, of different classes in a region that the bounds let through, one of both at home. thin: only one of so many pairs, those whose hashes agree."""
@@ -242,28 +276,34 @@ class Join:
         left, right = (own.select("region", "part", *[F.col(c).alias(f"{c}_{side}") for c in own.columns if c not in ("region", "part")]) for side in "ab")
         apart = (F.col("root_a") != F.col("root_b")) & (F.col("home_a") | F.col("home_b")) & (F.abs(F.col("distance_a") - F.col("distance_b")) <= self.eps + 1e-9)
         met = left.join(right.hint("merge"), ["region", "part"]).where((F.col("node_a") > F.col("node_b")) & apart & self._bounded() & self._even(self.numerator))
-        return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+        return self._few(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))).distinct()
 
     def _to_pivots(self, members: DataFrame, drawn: DataFrame) -> DataFrame:
         """Pairs (a, b) of members and the pivots (region, pivot) of their region that can be within twice the linking distance."""
         loose = 2 * self.numerator - self.denominator
-        far = self._sketched(self.nodes.select("node", "size").join(drawn.select(F.col("pivot").alias("node"), "region").hint("merge"), "node")).select("region", *[F.col(c).alias(f"{c}_b") for c in ("node", "size", "bits")])
+        far = self._sketched(self._few(self.nodes.select("node", "size").join(drawn.select(F.col("pivot").alias("node"), "region").hint("merge"), "node"))).select("region", *[F.col(c).alias(f"{c}_b") for c in ("node", "size", "bits")])
         own = self._sketched(members.select("region", "node", "size")).select("region", *[F.col(c).alias(f"{c}_a") for c in ("node", "size", "bits")])
         met = own.join(far.hint("merge"), "region").where((F.col("node_a") != F.col("node_b")) & self._fits("size_a", "size_b", loose) & self._even(loose))
-        return met.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct()
+        return self._few(met.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b"))).distinct()
 
     def _divided(self, members: DataFrame, drawn: DataFrame, seen: DataFrame) -> DataFrame:
-        """members of regions, given their pivots (region, pivot) and the measured distances, as the Voronoi regions of those that are within the linking distance of their nearest pivot, each with its window: all
-        within twice that distance; and what no pivot is near to, as the old region, which is divided again if a quarter of it has left. Pivots are left out, as all that they link with is known."""
+        """members of regions, given their pivots (region, pivot) and the measured distances, as the Voronoi regions of those that are within the linking distance of their region's nearest pivot, each with its window: all
+        within twice that distance; and what no pivot is near to, as the old region, which is divided again if a quarter of it has left. Pivots are left out, as all that they link with is known.
+
+        Regions that share members draw the same pivots, and a pivot has one Voronoi region for all of them: a set that shares twenty rare shingles with a pivot is near it once. So what is within
+        twice the linking distance needs no look at regions, only what is within the distance itself, to tell which pivot is the nearest of which region."""
         both = seen.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "distance").unionByName(seen.select(F.col("b").alias("node"), F.col("a").alias("pivot"), "distance"))
-        rest = members.join(drawn.withColumnRenamed("pivot", "node").hint("merge"), ["region", "node"], "left_anti").select("region", "node", "size", "at", "n")
-        away = rest.join(drawn.hint("merge"), "region").join(both.where(F.col("distance") <= 2 * self.eps + 1e-9).hint("merge"), ["node", "pivot"])
-        nearest = away.groupBy("region", "node").agg(F.min(F.struct("distance", "pivot")).alias("nearest"))
-        away = saved(away.join(nearest.hint("merge"), ["region", "node"]).withColumn("caught", F.col("nearest.distance") <= self.eps + 1e-9))
-        parts = away.withColumns({"home": F.col("caught") & (F.col("pivot") == F.col("nearest.pivot")), "region": F.xxhash64("region", "pivot"), "divided": F.lit(False)})
-        caught = away.where("caught").select("region", "node").distinct()
-        gone = caught.groupBy("region").agg(F.count(F.lit(1)).alias("gone"))
-        left = rest.join(caught.hint("merge"), ["region", "node"], "left_anti").join(gone.hint("merge"), "region", "left")
+        both = self._saved(both.where(F.col("distance") <= 2 * self.eps + 1e-9).join(self._few(drawn.select("pivot").distinct()).hint("merge"), "pivot", "left_semi"))
+        rest = self._few(members.join(drawn.withColumnRenamed("pivot", "node").hint("merge"), ["region", "node"], "left_anti").select("region", "node", "size", "at", "n"))
+        near = self._few(rest.select("region", "node").join(both.where(F.col("distance") <= self.eps + 1e-9).hint("merge"), "node"))
+        near = self._few(near.join(drawn.hint("merge"), ["region", "pivot"], "left_semi"))
+        nearest = self._saved(near.groupBy("region", "node").agg(F.min(F.struct("distance", "pivot")).alias("nearest")))
+        homes = self._few(nearest.select("node", "nearest.pivot").distinct()).withColumn("home", F.lit(True))
+        parts = self._few(both.join(homes.hint("merge"), ["node", "pivot"], "left"))
+        parts = self._few(parts.join(self.nodes.select("node", "size").hint("merge"), "node"))  # in any of the regions the shared shingle can be their first
+        parts = parts.withColumns({"region": F.xxhash64(F.lit("pivot"), "pivot"), "at": F.lit(0), "home": F.coalesce("home", F.lit(False)), "divided": F.lit(False)})
+        gone = self._few(nearest.groupBy("region").agg(F.count(F.lit(1)).alias("gone")))
+        left = self._few(rest.join(nearest.select("region", "node").hint("merge"), ["region", "node"], "left_anti")).join(gone.hint("merge"), "region", "left")
         left = left.withColumns({"distance": F.lit(0.0), "home": F.lit(True), "divided": F.coalesce(F.col("gone") * 4 >= F.col("n"), F.lit(False))})
         columns = ["region", "node", "size", "at", "distance", "home", "divided"]
         return parts.select(*columns).unionByName(left.select(*columns))
@@ -276,20 +316,20 @@ class Join:
         while True:
             if members is not None:
                 slot = F.pmod(F.xxhash64("node"), F.lit(PIVOTS))
-                drawn = saved(members.where("root <> largest").groupBy("region", slot.alias("slot")).agg(F.min("node").alias("pivot")).select("region", "pivot"))
-                pairs = pairs.unionByName(self._to_pivots(members, drawn)).unionByName(self._direct(members, THIN)).distinct()
+                drawn = self._saved(members.where("root <> largest").groupBy("region", slot.alias("slot")).agg(F.min("node").alias("pivot")).select("region", "pivot"))
+                pairs = self._few(pairs.unionByName(self._to_pivots(members, drawn)).unionByName(self._direct(members, THIN))).distinct()
             seen = self.measured(pairs)
             edges = seen.where("linked").select("a", "b")
             if roots is not None:
                 edges = edges.unionByName(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
-            roots = saved(components(edges))
+            roots = self._saved(components(edges, parts=self.parts))
             if members is not None:
                 rest = self._divided(members, drawn, seen)
             if rest is None:
                 return roots
-            mixed = saved(self._mixed(rest, roots))
+            mixed = self._saved(self._mixed(rest, roots))
             again = F.col("divided") & (F.col("n") > self.direct) & (F.col("outside") > self.direct)
-            pairs, members, rest = saved(self._direct(mixed.where(~again))), mixed.where(again), None
+            pairs, members, rest = self._saved(self._direct(mixed.where(~again))), mixed.where(again), None
             if members.isEmpty():
                 members = None
                 if pairs.isEmpty():

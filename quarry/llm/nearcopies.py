@@ -18,10 +18,10 @@ WORDLESS = -1
 class Copies(jaccard.Join):
     def _stars(self, members: DataFrame) -> DataFrame:
         """Candidates of the first round: those of the covering masks beside those of the neighbourhoods."""
-        prints = self.nodes.groupBy("fp").agg(F.min("node").alias("first"))
+        prints = self._few(self.nodes.groupBy("fp").agg(F.min("node").alias("first")))
         equal = self.nodes.select("node", "fp").join(prints.hint("merge"), "fp").where("node > first").select(F.col("node").alias("a"), F.col("first").alias("b"))
         near = simhash.links(prints.select(F.col("first").alias("node"), "fp"))
-        return super()._stars(members).unionByName(equal).unionByName(near).distinct()
+        return self._few(super()._stars(members).unionByName(equal).unionByName(near)).distinct()
 
 
 def classes(rows: DataFrame, pairwise_limit: int = jaccard.DIRECT) -> DataFrame:

@@ -101,25 +101,28 @@ def links(nodes: DataFrame, radius: int = RADIUS, pairwise_limit: int = PAIRWISE
     return pairs.unionByName(stars).distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60, parts: int | None = None) -> DataFrame:
     """(node, root): the smallest node reachable, for every node of edges (a, b). Alternates large-star and small-star rounds, each saved.
 
-    Sides of joins grow with the edges, so they are merged by sort and none goes through the driver."""
+    Sides of joins grow with the edges, so they are merged by sort and none goes through the driver. parts: no table has more partitions between its shuffles."""
+
+    def few(e: DataFrame) -> DataFrame:
+        return e if parts is None else e.coalesce(parts)
 
     def star(e: DataFrame) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        return both.join(least.hint("merge"), "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        return few(few(both.join(least.hint("merge"), "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))).distinct())
 
     def small(e: DataFrame) -> DataFrame:  # every edge has a > b
         least = e.groupBy("a").agg(F.min("b").alias("m"))
         joined = e.join(least.hint("merge"), "a")
-        return joined.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+        return few(few(joined.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))).distinct())
 
     def mark(e: DataFrame):
         return tuple(e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
 
-    now = saved(edges)
+    now = saved(few(edges))
     seen = mark(now)
     for _ in range(max_rounds):
         if not seen[0]:

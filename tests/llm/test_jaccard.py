@@ -94,3 +94,27 @@ def test_bounds_hold():
     order = jaccard.rarest_first(np.array([5, 9, 70], np.uint64) << np.uint64(24), np.array([5, 70], np.uint64), np.array([9, 4], np.uint8))
     assert (order >> np.uint64(24)).tolist() == [9, 70, 5]
     assert [jaccard.prefix_length(n, 85, 100) for n in (1, 6, 7, 20, 100)] == [1, 1, 2, 4, 16]
+
+
+def test_tables_of_few_sets_have_few_partitions_and_a_pivot_one_region(spark, monkeypatch):
+    """However many partitions the session has; and regions that share a crowd don't repeat it for each pivot that they share."""
+    rng = random.Random(7)
+    base = prose(rng, 90)
+    texts = [changed(base, set(rng.sample(range(90), k))) for k in (2, 4, 6, 8) for _ in range(15)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    made, divided, saved, divide = [], [], jaccard.saved, jaccard.Join._divided
+    monkeypatch.setattr(jaccard, "saved", lambda df: made.append(saved(df)) or made[-1])
+    monkeypatch.setattr(jaccard.Join, "_divided", lambda self, members, drawn, seen: divided.append((saved(divide(self, members, drawn, seen)), drawn)) or divided[-1][0])
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    for k, v in zip(kept, ("12", "false")):
+        spark.conf.set(k, v)
+    try:
+        assert found(spark, rows, direct=4) == brute(rows)
+        assert max(df.rdd.getNumPartitions() for df in made[3:-1]) <= jaccard.LEAST_PARTS
+        got, drawn = divided[0]
+        near = got.where("not divided and distance > 0")
+        assert 0 < near.select("region").distinct().count() <= drawn.select("pivot").distinct().count() < drawn.count()
+        assert near.count() == near.select("region", "node").distinct().count()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
