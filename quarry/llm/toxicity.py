@@ -64,6 +64,10 @@ def sentences(texts: list[bytes], bits: int = HASH_BITS):
     return doc, start - base, end - base, rows, features
 
 
+# The fit reads so many pairs of sentence and feature at a time.
+BLOCK = 1 << 20
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -107,13 +111,20 @@ def gradient(w: np.ndarray, bias: float, rows: np.ndarray, features: np.ndarray,
 
     (rows, features): which sentence has which feature; bag: the document of each sentence; a document without sentences has probability zero."""
     many = len(y)
-    p = _sigmoid(np.bincount(rows, weights=w[features], minlength=len(bag)) + bias)
+    blocks = [slice(a, a + BLOCK) for a in range(0, len(rows), BLOCK)]  # as copies of all rows and features would be most of the driver's memory
+    z = np.zeros(len(bag))
+    for b in blocks:
+        np.add.at(z, rows[b], w[features[b]])
+    p = _sigmoid(z + bias)
     clean = np.bincount(bag, weights=np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=many)
     whole = np.clip(-np.expm1(clean), 1e-9, 1 - 1e-9)
     loss = -np.mean(weight * np.where(y == 1, np.log(whole), np.log1p(-whole)))
     # d loss / d z: p for clean documents, -p (1 - P) / P for toxic ones
     g = weight[bag] * p * np.where(y[bag] == 1, -(1 - whole[bag]) / whole[bag], 1.0) / many
-    return float(loss), np.bincount(features, weights=g[rows], minlength=len(w)), float(g.sum())
+    by_w = np.zeros(len(w))
+    for b in blocks:
+        np.add.at(by_w, features[b], g[rows[b]])
+    return float(loss), by_w, float(g.sum())
 
 
 def pack(rows: np.ndarray, features: np.ndarray) -> bytes:

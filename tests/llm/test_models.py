@@ -88,3 +88,21 @@ def test_packed_features_come_back():
     counts, flat = toxicity.unpack(toxicity.pack(rows, features))
     assert counts.tolist() == [1, 2, 1] and flat.tolist() == [3, 1, 2, 200_000]
     assert [x.tolist() for x in toxicity.unpack(toxicity.pack(rows[:0], features[:0]))] == [[], []]
+
+
+def test_gradient_reads_pairs_in_blocks():
+    """The same numbers as over all pairs at once, without copies of them all."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    pairs, many = 3 * toxicity.BLOCK + 5, 5000
+    rows, features = np.sort(rng.integers(0, many, pairs)).astype(np.int32), rng.integers(0, 900, pairs).astype(np.int32)
+    bag, y, w = np.arange(many) // 5, rng.integers(0, 2, many // 5).astype(float), rng.normal(size=900) / 100
+    tracemalloc.start()
+    loss, by_w, _ = toxicity.gradient(w, -1.0, rows, features, bag, y, np.ones(len(y)))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    p = toxicity._sigmoid(np.bincount(rows, weights=w[features], minlength=many) - 1.0)
+    whole = 1 - np.array([np.prod(1 - p[bag == i]) for i in range(len(y))])
+    assert np.isclose(loss, -np.mean(np.where(y == 1, np.log(np.clip(whole, 1e-9, 1 - 1e-9)), np.log(np.clip(1 - whole, 1e-9, 1)))))
+    assert by_w.shape == w.shape and most < 10 * pairs
