@@ -1,6 +1,7 @@
 """What several operators share: reading, checkpoints, numbers of partitions."""
 
 import ctypes
+import gc
 import re
 import tempfile
 
@@ -43,6 +44,13 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def swept(spark: SparkSession) -> None:
+    """For loops of many small jobs, once a round: Spark gives up broadcasts, shuffle files and checkpoints of tables that nobody holds only when the driver's JVM collects its garbage,
+    and a heap that grows over the rounds isn't given back before that either."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def crc_part(doc_id: Column | str, parts: int) -> Column:
     """crc32 of the id as text, modulo parts."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id.cast("string").cast("binary")) % parts

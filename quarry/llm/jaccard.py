@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import release, saved, small_batches
+from .common import release, saved, small_batches, swept
 from .simhash import components, majority
 
 SEED = 42
@@ -319,6 +319,7 @@ class Join:
                 drawn = self._saved(members.where("root <> largest").groupBy("region", slot.alias("slot")).agg(F.min("node").alias("pivot")).select("region", "pivot"))
                 pairs = self._few(pairs.unionByName(self._to_pivots(members, drawn)).unionByName(self._direct(members, THIN))).distinct()
             seen = self.measured(pairs)
+            swept(self.rows.sparkSession)
             edges = seen.where("linked").select("a", "b")
             if roots is not None:
                 edges = edges.unionByName(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
@@ -327,6 +328,7 @@ class Join:
                 rest = self._divided(members, drawn, seen)
             if rest is None:
                 return roots
+            swept(self.rows.sparkSession)
             mixed = self._saved(self._mixed(rest, roots))
             again = F.col("divided") & (F.col("n") > self.direct) & (F.col("outside") > self.direct)
             pairs, members, rest = self._saved(self._direct(mixed.where(~again))), mixed.where(again), None

@@ -60,3 +60,14 @@ def test_classes_equal_brute_force_with_large_groups(spark):
     for limit in (4, 32):
         got = {r.row: r.root for r in nearcopies.classes(rows, pairwise_limit=limit).collect()}
         assert len({(got[i], want[i]) for i in range(len(texts))}) == len(set(want)) == len(set(got.values())), limit
+
+
+def test_rounds_give_up_what_earlier_ones_left_on_the_driver(spark):
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    whole = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    base = prose(150)
+    texts = [" ".join(changed(base, {rng.randrange(150)})) for _ in range(60)]
+    before = whole()
+    got = nearcopies.classes(spark.createDataFrame(list(enumerate(texts)), "row long, text string"), pairwise_limit=4).collect()
+    assert len({r.root for r in got}) == len(set(brute(texts))) and len(got) == 60
+    assert whole() >= before + 2

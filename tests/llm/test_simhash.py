@@ -82,3 +82,14 @@ def test_links_equal_brute_force_on_chains_and_large_buckets(spark):
     for limit in (0, 4, 64):
         got = {d: d for d in nodes} | {r.node: r.root for r in simhash.components(simhash.links(df, pairwise_limit=limit)).collect()}
         assert got == want, limit
+
+
+def test_components_end_with_the_round_that_settles_them(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(simhash, "saved", lambda df, own=simhash.saved: rounds.append(1) or own(df))
+    path = [(i + 1, i) for i in range(40)]
+    cases = [([], {}, 1), ([(2, 1), (3, 1), (5, 4)], {2: 1, 3: 1, 5: 4}, 1), ([(2, 1), (3, 2)], {2: 1, 3: 1}, 2), ([*path, (90, 80)], {a: 0 for a, _ in path} | {90: 80}, 7)]
+    for edges, want, most in cases:
+        rounds.clear()
+        got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == want and len(rounds) <= most, (edges, len(rounds))
