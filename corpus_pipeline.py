@@ -33,17 +33,8 @@ def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def repeats_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that stand in an earlier document are cut; parts of a character at a cut go with them; n_chars is counted anew."""
-    cut = suffix.dedup(docs, with_text=True, carry=("lang", "source"))
-
-    def decoded(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            texts = [x.as_py().decode("utf-8", "ignore") for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), batch.column(2), batch.column(3)], names=["doc_id", "text", "lang", "source"])
-
-    parts = cut.select("doc_id", "kept", F.element_at("carried", 1).alias("lang"), F.element_at("carried", 2).alias("source"))
-    texts = parts.mapInArrow(decoded, "doc_id long, text string, lang string, source string")
+    cut = suffix.dedup(docs, with_text=True, carry=("lang", "source"), decoded=True)
+    texts = cut.select("doc_id", F.col("kept").alias("text"), F.element_at("carried", 1).alias("lang"), F.element_at("carried", 2).alias("source"))
     return texts.withColumn("n_chars", F.length("text").cast("long")).select(*DOCUMENT_COLUMNS)
 
 

@@ -35,6 +35,9 @@ HAS_LATER_CAPITALS = re.compile("[" + "".join(map(chr, LATER_CAPITALS)) + "]")
 # str.split() takes these for white space as well, which they aren't.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 CACHED_WORDS = 200_000
+# Cells of the arrays that words are merged in side by side, and characters of the texts that are encoded together: a worker holds some 50 bytes a cell and more for each new word.
+CELLS = 1 << 17
+GROUP_CHARS = 1 << 18
 # With fewer words of one size, each is merged by itself.
 FEW_ROWS = 32
 
@@ -98,7 +101,7 @@ class Encoder:
                 for i in members:
                     out[i] = self._merge_word(words[i], depth)
                 continue
-            most = max(1, (1 << 20) >> depth)
+            most = max(1, CELLS >> depth)
             for at in range(0, len(members), most):
                 part = members[at : at + most]
                 for i, ids in zip(part, self._merge_rows([words[i] for i in part], depth)):
@@ -243,7 +246,7 @@ class Encoder:
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(packed, dtype="<u4").tolist()))
 
 
-def _groups(column, size: int = 1 << 20):
+def _groups(column, size: int = GROUP_CHARS):
     """Runs of the column's texts of about size characters."""
     got, n = [], 0
     for x in column:

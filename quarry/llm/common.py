@@ -5,6 +5,7 @@ import gc
 import re
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -99,7 +100,8 @@ def placed(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
 
 
 def release() -> None:
-    """Give freed memory of a worker back to the system, where the C library can: workers outlive their tasks."""
+    """Give freed memory of a worker, Arrow's too, back to the system, where the C library can: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)

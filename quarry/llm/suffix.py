@@ -382,9 +382,10 @@ def spans_of(sent: DataFrame, span: int) -> DataFrame:
 # -- 5: removal
 
 
-def removed(batches: DataFrame, spans: DataFrame, with_text: bool) -> DataFrame:
-    """A row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (binary) and carried."""
-    kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary, carried array<string>" if with_text else "")
+def removed(batches: DataFrame, spans: DataFrame, with_text: bool, decoded: bool = False) -> DataFrame:
+    """A row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept and carried. kept is binary or, decoded, a string without the
+    parts of characters at cuts: decoded here, as a second Python function on these rows would have workers of its own, which outlive it."""
+    kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (f", kept {'string' if decoded else 'binary'}, carried array<string>" if with_text else "")
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in arrow:
@@ -401,13 +402,16 @@ def removed(batches: DataFrame, spans: DataFrame, with_text: bool) -> DataFrame:
                 parts = [gone[a : a + n] for a, n in zip(batch.starts.tolist(), batch.lengths.tolist())]
                 lost, begun = [int(np.count_nonzero(p)) for p in parts], [int(p[:1].sum()) + int(np.count_nonzero(p[1:] & ~p[:-1])) if p.any() else 0 for p in parts]
                 kept = [batch.data[a : a + len(p)][~p].tobytes() for a, p in zip(batch.starts.tolist(), parts)]
+                digests = [hashlib.sha256(k).hexdigest() for k in kept]
+                if decoded:
+                    kept = [k.decode("utf-8", "ignore") for k in kept]
                 columns = [
                     pa.array([None if x == NO_ID else x for x in batch.ids.tolist()], pa.int64()),
                     pa.array(batch.lengths),
                     pa.array(lost, pa.int64()),
                     pa.array(begun, pa.int64()),
-                    pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
-                ] + ([pa.array(kept, pa.binary()), pa.array(row["carried"], pa.list_(pa.string()))] if with_text else [])
+                    pa.array(digests, pa.string()),
+                ] + ([pa.array(kept, pa.string() if decoded else pa.binary()), pa.array(row["carried"], pa.list_(pa.string()))] if with_text else [])
                 yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in kinds.split(", ")])
         release()
 
@@ -415,7 +419,7 @@ def removed(batches: DataFrame, spans: DataFrame, with_text: bool) -> DataFrame:
     return batches.join(spans, "batch", "left").select(*given).mapInArrow(run, kinds)
 
 
-def dedup(docs: DataFrame, span: int = SPAN, piece: int = PIECE, common: int = COMMON, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup(docs: DataFrame, span: int = SPAN, piece: int = PIECE, common: int = COMMON, with_text: bool = False, carry: tuple[str, ...] = (), decoded: bool = False) -> DataFrame:
     """docs: doc_id, text, any more. A row for each input row; see removed(). A null text is empty. Rows with one doc_id are one document for
     each other: neither removes from the other. A row with null doc_id loses what any other document holds, and takes from none. Texts of any length
     are read whole, in stretches of STEP_BYTES; carry names columns whatever else docs has."""
@@ -424,4 +428,4 @@ def dedup(docs: DataFrame, span: int = SPAN, piece: int = PIECE, common: int = C
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
     codes = repeated(batches, buckets, span, piece, common)
     spans = spans_of(stretches(batches, codes, buckets, span, piece), span)
-    return removed(batches, spans, with_text)
+    return removed(batches, spans, with_text, decoded)

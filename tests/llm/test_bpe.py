@@ -1,5 +1,7 @@
 import hashlib
+import random
 import struct
+import tracemalloc
 
 import public_tokenizers
 import pytest
@@ -95,3 +97,20 @@ def test_known_words_are_not_normalised_again(both, monkeypatch):
     first = ours.encode_batch(texts)
     seen = len(calls)
     assert seen and ours.encode_batch(texts) == first and len(calls) == seen
+
+
+def test_many_new_words_in_little_memory(both):
+    """Each word is new: what is held beside the cache of words doesn't grow with the texts of a batch."""
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 12))) for _ in range(3000)) for _ in range(60)]
+    ours = bpe.Encoder(PATH)
+    tracemalloc.start()
+    try:
+        for group in bpe._groups(pa.array(texts)):
+            ours.encode_batch(group)
+        held, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert peak - held < 40 << 20

@@ -82,3 +82,24 @@ def test_repeated_and_missing_ids_and_clashing_columns(spark, tmp_path):
     assert max(n for (i, _), n in counts.items() if i != 8) <= mixing.MAX_EPOCHS + 1
     encoded = corpus_pipeline.encoded(spark, docs, str(tmp_path)).collect()
     assert len(encoded) == len(rows) and sum(r.n_tokens == 0 for r in encoded) == 2
+
+
+def test_repeats_out_has_one_python_function_a_stage(spark, tmp_path):
+    """Two in a row have a worker each at the same time, and the workers outlive the stage."""
+    docs = spark.createDataFrame([(1, "é" * 60, "en", "s", 60), (2, "xé" + "é" * 60 + "ö", "en", "s", 63)], SCHEMA)
+    cut = corpus_pipeline.repeats_out(spark, docs, str(tmp_path))
+    found = []
+
+    def walk(node, before):
+        name = node.nodeName()
+        here = "Arrow" in name
+        found.append(name if here and before else "")
+        before = (before or here) and "Exchange" not in name
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i), before)
+
+    plan = cut._jdf.queryExecution().executedPlan()
+    walk(plan.initialPlan() if "Adaptive" in plan.nodeName() else plan, False)
+    assert len(found) > 5 and not any(found)
+    assert {r.doc_id: r.text for r in cut.collect()} == {1: "é" * 60, 2: "x"}  # the first byte of the last letter ends a repeated string, so its second goes too
