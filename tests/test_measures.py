@@ -204,3 +204,31 @@ struct node make(int v) {
     }
     complexity = {r.symbol: r.complexity for r in structure.entity_complexity(found.where("path = 'a.js'"), lines.lines_of(files)).collect()}
     assert complexity["load"] == 5 and complexity["last"] == 2 and complexity["run"] == 1
+
+
+def test_strong_components_of_long_chains_rings_and_random_graphs(spark):
+    from random import Random
+
+    draw, pairs = Random(3), []
+    for g in range(40):
+        pairs += [(f"g{g}", str(draw.randrange(14)), str(draw.randrange(14))) for _ in range(8 + g % 20)]
+    pairs += [("long", f"c{i}", f"c{i - 1}") for i in range(1, 500)] + [("ring", f"r{i:03}", f"r{(i + 1) % 450:03}") for i in range(450)] + [("ring", "r007", "tail"), ("ring", "head", "r100")]
+    pairs += [("beads", f"b{i:03}{x}", f"b{j:03}{y}") for i in range(40) for j, x, y in ((i, "p", "q"), (i, "q", "p"), (i + 1, "q", "p"))]
+    want, after = {}, {}
+    for r, a, b in pairs:
+        after.setdefault((r, a), set()).add(b)
+    reach = {}
+    for r, a, b in pairs:
+        for start in (a, b):
+            if (r, start) not in reach and r.startswith("g"):
+                seen, todo = set(), [start]
+                while todo:
+                    todo += [x for x in after.get((r, todo.pop()), ()) if x not in seen and not seen.add(x)]
+                reach[r, start] = seen
+    for (r, a), seen in reach.items():
+        own = {b for b in seen if a in reach[r, b]} | {a}
+        if len(own) > 1:
+            want[r, a] = min(own)
+    want |= {("ring", f"r{i:03}"): "r000" for i in range(450)} | {("beads", f"b{i:03}{x}"): f"b{i:03}p" for i in range(40) for x in "pq"}
+    got = graph.strong_components(spark.createDataFrame(pairs, "repo_id string, src string, dst string").repartition(4)).collect()
+    assert len(got) == len(want) and {(r.repo_id, r.node): r.component for r in got} == want
