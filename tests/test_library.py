@@ -283,3 +283,47 @@ def test_matches_by_meaning(spark):
     best = {(x.repo_id, x.id): (x.matched_repo, x.matched_id, round(x.similarity, 6)) for x in similarity.corpus_matches(chunks, chunks).collect()}
     score = round(0.75 * float(np.dot(e["a"], e["b"])), 6)
     assert score >= 0.45 and best == {("r", "a"): ("s", "b", score), ("s", "b"): ("r", "a", score)}
+
+
+def test_nearest_in_meaning_by_blocks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    base = rng.standard_normal((30, 16))
+    vectors = np.concatenate([base, base + 0.15 * rng.standard_normal(base.shape), base + 0.6 * rng.standard_normal(base.shape), base[:6]])
+    vectors = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).tolist()
+    rows = [(f"r{i % 4}", f"c{i:03}", v) for i, v in enumerate(vectors)]
+    frame = spark.createDataFrame(rows, "repo_id string, id string, embedding array<double>")
+    cosine = {(a[1], b[1]): float(np.dot(a[2], b[2])) for a in rows for b in rows if a[0] != b[0]}
+    for block in (1 << 14, 16):
+        every = {(x.id, x.matched_id): x.cosine for x in similarity.near_in_meaning(frame, frame, block=block).collect()}
+        first = {}
+        for (a, b), c in cosine.items():  # of entries with one vector the first stands
+            if c >= 0.6:
+                key = (a, tuple(vectors[int(b[1:])]))
+                first[key] = min(first.get(key, (b,)), (b,), key=lambda x: (rows[int(x[0][1:])][0], x[0]))
+        assert set(every) == {(a, b) for (a, _), (b,) in first.items()}
+        best = {}
+        for x in similarity.near_in_meaning(frame, frame, nearest=True, block=block).collect():
+            best[x.id] = max(best.get(x.id, 0.0), x.cosine)
+        want = {a: max(c for (k, _), c in cosine.items() if k == a) for a in {k for k, _ in cosine}}
+        assert set(best) == {a for a, c in want.items() if c >= 0.6} and all(abs(c - want[a]) < 1e-9 for a, c in best.items())
+
+
+def test_corpus_matches_like_brute_force(spark):
+    from random import Random
+
+    draw = Random(9)
+    rows = [(f"r{draw.randrange(4)}", f"c{i:02}", f"s{draw.randrange(40)}", [f"f{x:02}" for x in sorted(draw.sample(range(14), draw.randrange(2, 9)))]) for i in range(70)]
+    rows += [("r1", "whole", "w", [f"g{i:02}" for i in range(20)]), ("r2", "part", "p", [f"g{i:02}" for i in range(11, 20)])]  # Jaccard 0.45, containment 0.45: the eleven that aren't shared are as rare
+    rows += [("r3", "other", "o", [f"g{i:02}" for i in range(11, 20)] + [f"h{i:02}" for i in range(40)])]
+    best = {}
+    for r, i, s, f in rows:
+        for q, j, t, g in rows:
+            both = len({*f} & {*g})
+            score = max(both / len({*f} | {*g}), 0.9 * (both / len(f)), 0.7 if s == t else 0.0)
+            if r != q and score >= 0.45:
+                best[r, i] = min(best.get((r, i), (-score, q, j)), (-score, q, j))
+    frame = spark.createDataFrame(rows, "repo_id string, id string, signature string, fingerprints array<string>")
+    got = {(x.repo_id, x.id): (-x.similarity, x.matched_repo, x.matched_id) for x in similarity.corpus_matches(frame, frame).collect()}
+    assert got == best and got["r1", "whole"][1:] == ("r2", "part")
