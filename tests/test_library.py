@@ -327,3 +327,17 @@ def test_corpus_matches_like_brute_force(spark):
     frame = spark.createDataFrame(rows, "repo_id string, id string, signature string, fingerprints array<string>")
     got = {(x.repo_id, x.id): (-x.similarity, x.matched_repo, x.matched_id) for x in similarity.corpus_matches(frame, frame).collect()}
     assert got == best and got["r1", "whole"][1:] == ("r2", "part")
+
+
+def test_measures_are_kept_as_compressed_files(spark, tmp_path):
+    from quarry.plans import project
+
+    class Given:
+        def __call__(self, name):
+            return spark.range(2000).selectExpr("'r' as repo_id", "concat('a/', id) as path", "repeat('x = 1\n', 200) as text")
+
+    kept = project.rows(Given())
+    assert kept.count() == 2000 * 201 and kept.inputFiles()
+    from pathlib import Path
+
+    assert sum(Path(f.removeprefix("file:")).stat().st_size for f in {x.replace("file:///", "file:/") for x in kept.inputFiles()}) < 2000 * 1200
